@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -17,6 +17,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def bind(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column that is evaluated exactly once per row.
+
+    A filter on an ordinary computed column is pushed below its projection with a copy of the whole
+    expression; a generated column cannot be copied.
+    """
+    return df.select(*[c for c in df.columns if c != name], F.explode(F.array(value)).alias(name))
+
+
 def indexes(array: Column) -> Column:
     """0-based positions of an array (empty for an empty array)."""
     n = F.size(array)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tunekit.functions import json_text as J
-from tunekit.functions.arrays import let
+from tunekit.functions.arrays import bind, let
 
 # Entry fields in canonical order, and the message roles.
 ENTRY_FIELDS: dict[str, tuple[str, ...]] = {
@@ -99,13 +99,10 @@ def entry_json(dataset_type: str) -> Column:
 def entries_from_json(df: DataFrame, json_col: str, dataset_type: str) -> DataFrame:
     """Typed columns from JSON object texts; texts that are no entry give no row."""
     rest = [c for c in df.columns if c != json_col]
-    return (
-        df.select(
-            *rest, entry_of(J.parse(F.col(json_col)), dataset_type, require_keys=False).alias("_e")
-        )
-        .filter(F.col("_e").isNotNull())
-        .select(*rest, "_e.*")
+    parsed = let(
+        J.parse(F.col(json_col)), lambda v: entry_of(v, dataset_type, require_keys=False)
     )
+    return bind(df, "_e", parsed).filter(F.col("_e").isNotNull()).select(*rest, "_e.*")
 
 
 def infer_dataset_type(v: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tunekit.functions import html as H
 from tunekit.functions import json_text as J
+from tunekit.functions.arrays import bind
 from tunekit.functions.text import extension, file_name, has_text, strip
 from tunekit.operators import sections as S
 
@@ -169,7 +170,7 @@ def parse_documents(
         )
         .otherwise(no_metadata)
     )
-    parsed = typed.withColumn("content", content).withColumn("metadata", metadata)
+    parsed = bind(typed.withColumn("metadata", metadata), "content", content)
 
     body = F.col("content")
     found = (
@@ -191,7 +192,10 @@ def parse_documents(
         .when(body.isNull() & (F.col("doc_type") == "json"), "Invalid JSON")
         .when(body.isNull(), "Parser returned no content")
     )
-    return parsed.withColumn("sections", found).withColumn("error", error).drop("_ext", text_col)
+    rest = [c for c in df.columns if c != text_col]
+    return parsed.withColumn("sections", found).withColumn("error", error).select(
+        *rest, "doc_type", "content", "metadata", "sections", "error"
+    )
 
 
 # --- paged documents -------------------------------------------------------------------------

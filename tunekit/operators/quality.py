@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tunekit.functions.arrays import let
+from tunekit.functions.arrays import bind, let
 from tunekit.functions.text import WS, has_text, strip, text_preview, token_windows
 from tunekit.operators.entries import fields_of
 from tunekit.operators.prompts import MAINLAND_TO_TAIWAN
@@ -118,7 +118,8 @@ class BatchScorer:
                     ]
                 )
 
-        return F.pandas_udf(run, "array<double>")(windows)
+        # Keeps Catalyst from pushing a later filter below the call, which would score twice.
+        return F.pandas_udf(run, "array<double>").asNondeterministic()(windows)
 
 
 Scorer = LexiconScorer | BatchScorer
@@ -157,16 +158,16 @@ def with_quality(df: DataFrame, dataset_type: str, quality: Quality | None = Non
             "failed_fields", F.array().cast("array<string>")
         )
     scorer = quality.scorer
-    staged = df.withColumn("_fields", entry_fields(dataset_type)).withColumn(
-        "_windows",
-        F.transform(
-            "_fields",
-            lambda f: text_windows(
-                F.coalesce(f["text"], F.lit("")), scorer.tokenizer, quality.width, quality.overlap
-            ),
+    columns = df.columns
+    fields = bind(df, "_fields", entry_fields(dataset_type))
+    windows = F.transform(
+        "_fields",
+        lambda f: text_windows(
+            F.coalesce(f["text"], F.lit("")), scorer.tokenizer, quality.width, quality.overlap
         ),
     )
-    scored = staged.withColumn("_scores", scorer.mean_scores(F.col("_windows")))
+    cut = bind(fields, "_windows", windows)
+    scored = bind(cut, "_scores", scorer.mean_scores(F.col("_windows")))
 
     def result(f: Column, i: Column) -> Column:
         p = F.get(F.col("_scores"), i)
@@ -183,11 +184,11 @@ def with_quality(df: DataFrame, dataset_type: str, quality: Quality | None = Non
         )
 
     failed = F.transform(F.filter("qc_fields", lambda f: ~f["ok"]), lambda f: f["field"])
-    return (
-        scored.withColumn("qc_fields", F.transform("_fields", result))
-        .withColumn("failed_fields", failed)
-        .withColumn("qc_passed", F.size("failed_fields") == 0)
-        .drop("_fields", "_windows", "_scores")
+    checked = bind(scored, "qc_fields", F.transform("_fields", result)).withColumn(
+        "failed_fields", failed
+    )
+    return checked.withColumn("qc_passed", F.size("failed_fields") == 0).select(
+        *columns, "qc_fields", "qc_passed", "failed_fields"
     )
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tunekit.functions import json_text as J
+from tunekit.functions.arrays import bind
 from tunekit.functions.text import extension, has_text, is_blank, remove_nul, strip
 from tunekit.operators.fields import union_datasets
 
@@ -113,9 +114,8 @@ def _sniff(spark: SparkSession, path: str) -> str:
 def parse_lines(lines: DataFrame, text_col: str = "value") -> DataFrame:
     """JSON Lines rows: ``value`` (VARIANT object) and, for a bad line, ``error``. Blank lines go."""
     rest = [c for c in lines.columns if c != text_col]
-    parsed = lines.filter(~is_blank(F.col(text_col))).withColumn(
-        "_v", J.parse(strip(F.col(text_col)))
-    )
+    full = lines.filter(~is_blank(F.col(text_col)))
+    parsed = bind(full, "_v", J.parse(strip(F.col(text_col))))
     error = F.when(F.col("_v").isNull(), "Invalid JSON").when(
         ~J.is_object(F.col("_v")),
         F.concat(F.lit("Expected JSON object, got "), J.kind(F.col("_v"))),
