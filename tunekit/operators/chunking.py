@@ -161,14 +161,22 @@ def code_chunks(sections: Column, language: Column) -> Column:
 
 
 def semantic_chunks(
-    content: Column, doc_type: Column, sections: Column, language: Column, size: int, overlap: int
+    content: Column,
+    doc_type: Column | None,
+    sections: Column | None,
+    language: Column,
+    size: int,
+    overlap: int,
 ) -> Column:
     """Pieces at natural boundaries; a piece longer than ``size`` is cut into fixed windows."""
-    pieces = (
-        F.when((doc_type == "markdown") & (F.size(sections) > 0), markdown_chunks(sections))
-        .when((doc_type == "code") & (F.size(sections) > 0), code_chunks(sections, language))
-        .otherwise(paragraph_chunks(content))
-    )
+    pieces = paragraph_chunks(content)
+    if doc_type is not None and sections is not None:
+        sectioned = F.size(sections) > 0
+        pieces = (
+            F.when((doc_type == "markdown") & sectioned, markdown_chunks(sections))
+            .when((doc_type == "code") & sectioned, code_chunks(sections, language))
+            .otherwise(pieces)
+        )
 
     def fit(piece: Column) -> Column:
         whole = _restyle(
@@ -245,10 +253,6 @@ def split_content(
     language: Column | None = None,
 ) -> Column:
     """Array of chunks of one document; empty for blank content."""
-    doc_type = F.lit("text") if doc_type is None else doc_type
-    sections = F.array().cast("array<struct<title:string,content:string,level:int>>") if (
-        sections is None
-    ) else sections
     language = F.lit(None).cast("string") if language is None else language
     size, overlap = config.chunk_size, config.chunk_overlap
     if config.strategy == "fixed_size":

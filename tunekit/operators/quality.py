@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -81,10 +83,9 @@ class LexiconScorer:
 
     def mean_scores(self, windows: Column) -> Column:
         """Mean acceptance per field from ``array<array<string>>``."""
-        pattern = "|".join("\\Q" + w + "\\E" for w in self.words)
-
         def score(window: Column) -> Column:
-            return F.when(window.rlike(pattern), 0.0).otherwise(1.0)
+            hits = [F.contains(window, F.lit(word)) for word in self.words]
+            return F.when(reduce(or_, hits, F.lit(False)), 0.0).otherwise(1.0)
 
         def mean(ws: Column) -> Column:
             total = F.aggregate(ws, F.lit(0.0), lambda acc, w: acc + score(w))

@@ -26,6 +26,7 @@ from tunekit.plans import jobs
 from tunekit.sources import datasets as D
 from tunekit.sources import writers as W
 from tunekit.sources.shared import work_dir
+from tunekit.sources.tables import read_table
 from tunekit.streaming import jobs as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,7 +43,7 @@ def query(fn: Query) -> Query:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_table(spark, f"{sf_dir}/{name}.parquet")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
