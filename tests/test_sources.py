@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tunekit.operators.fields import FieldNotFound, require_field, require_variant_field, variant_fields
-from tunekit.operators.parsing import Parsers, UnsupportedFormat, assemble_pages, extract_pages, parse_documents
+from tunekit.operators.parsing import Parsers, UnsupportedFormat, extract_pages, parse_documents, with_page_content
 from tunekit.sources import datasets as D
 from tunekit.sources import documents as Docs
 from tunekit.sources import writers as W
@@ -194,9 +194,9 @@ def test_pages(spark):
         for i, part in enumerate(data.decode().split("|"), 1):
             yield (i, None, "no text") if part == "!" else (i, part, None)
 
-    out = {r.source_path: r for r in assemble_pages(extract_pages(files, pages_of)).collect()}
+    out = {r.source_path: r for r in with_page_content(extract_pages(files, pages_of)).collect()}
     a = out["a.pdf"]
     assert a.content == "x\n\ny\n\n[Error extracting page 4: no text]"
     assert [(s.title, s.start_line) for s in a.sections] == [("Page 1", 0), ("Page 2", 1)]
     assert a.metadata == {"page_count": "4"}
-    assert out["b.pdf"].error == "Failed to parse b.pdf: broken"
+    assert out["b.pdf"].error == "Failed to parse b.pdf: broken" and out["b.pdf"].content is None

@@ -200,6 +200,8 @@ def parse_documents(
 
 # --- paged documents -------------------------------------------------------------------------
 
+PAGES_TYPE = "array<struct<page:int,text:string,error:string>>"
+
 
 def extract_pages(
     files: DataFrame,
@@ -207,76 +209,91 @@ def extract_pages(
     path_col: str = "source_path",
     bytes_col: str = "bytes",
 ) -> DataFrame:
-    """Page rows ``(source_path, page, text, error)`` from a user's extractor of one file's bytes.
+    """``source_path, pages, error`` from a user's extractor of one file's bytes.
 
-    A file the extractor cannot open becomes one row with page NULL and the error.
+    The extractor yields ``(page, text, error)``, pages counting from 1. A file it cannot open has
+    NULL pages and an error.
     """
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
         for batch in batches:
             for path, data in zip(batch[path_col], batch[bytes_col], strict=True):
+                pages, error = None, None
                 try:
-                    rows = [(path, *page) for page in pages_of(bytes(data))]
+                    pages = [
+                        {"page": page, "text": text, "error": failure}
+                        for page, text, failure in pages_of(bytes(data))
+                    ]
                 except Exception as exc:
-                    rows = [(path, None, None, f"Failed to parse {path}: {exc}")]
-                yield pd.DataFrame(rows, columns=["source_path", "page", "text", "error"])
+                    error = f"Failed to parse {path}: {exc}"
+                yield pd.DataFrame(
+                    {"source_path": [path], "pages": [pages], "error": [error]}, dtype=object
+                )
 
     return files.select(path_col, bytes_col).mapInPandas(
-        run, "source_path string, page int, text string, error string"
+        run, f"source_path string, pages {PAGES_TYPE}, error string"
     )
 
 
-def assemble_pages(pages: DataFrame, key: str = "source_path") -> DataFrame:
-    """One document per key from page rows; pages count from 1.
+def with_page_content(df: DataFrame, pages_col: str = "pages") -> DataFrame:
+    """Replace an array of pages by ``doc_type, content, metadata, sections``; no shuffle.
 
     Blank pages are skipped; a failed page leaves a notice in the content but no section.
     """
-    usable = has_text(F.col("text")) & F.col("error").isNull()
-    notice = F.concat(
-        F.lit("[Error extracting page "), F.col("page"), F.lit(": "), F.col("error"), F.lit("]")
-    )
-    part = F.struct(
-        F.col("page"),
-        F.when(F.col("error").isNotNull(), notice).when(usable, F.col("text")).alias("shown"),
-        F.when(usable, strip(F.col("text"))).alias("body"),
-    )
-    opened = F.col("page").isNotNull()
-    grouped = pages.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.when(opened, part))).alias("_pages"),
-        F.count(F.when(opened, 1)).alias("page_count"),
-        F.max(F.when(~opened, F.col("error"))).alias("error"),
-    )
-    shown = F.filter(
-        F.transform("_pages", lambda p: p["shown"]), lambda text: text.isNotNull()
+    pages = F.col(pages_col)
+
+    def usable(p: Column) -> Column:
+        return has_text(p["text"]) & p["error"].isNull()
+
+    def shown(p: Column) -> Column:
+        notice = F.concat(
+            F.lit("[Error extracting page "),
+            p["page"].cast("string"),
+            F.lit(": "),
+            p["error"],
+            F.lit("]"),
+        )
+        return F.when(p["error"].isNotNull(), notice).when(usable(p), p["text"])
+
+    def section(title: Column, body: Column, level: int, line: Column) -> Column:
+        return F.struct(
+            title.alias("title"),
+            strip(body).alias("content"),
+            F.lit(level).alias("level"),
+            line.alias("start_line"),
+            line.alias("end_line"),
+        ).cast(S.SECTION_TYPE)
+
+    content = F.array_join(
+        F.filter(F.transform(pages, shown), lambda text: text.isNotNull()), "\n\n"
     )
     sections = F.transform(
-        F.filter("_pages", lambda p: p["body"].isNotNull()),
-        lambda p: F.struct(
-            F.concat(F.lit("Page "), p["page"]).alias("title"),
-            p["body"].alias("content"),
-            F.lit(1).alias("level"),
-            (p["page"] - 1).alias("start_line"),
-            (p["page"] - 1).alias("end_line"),
-        ).cast(S.SECTION_TYPE),
+        F.filter(pages, usable),
+        lambda p: section(
+            F.concat(F.lit("Page "), p["page"].cast("string")), p["text"], 1, p["page"] - 1
+        ),
     )
-    whole = F.array(
-        F.struct(
-            F.lit(None).cast("string").alias("title"),
-            strip(F.col("content")).alias("content"),
-            F.lit(0).alias("level"),
-            F.lit(0).alias("start_line"),
-            F.lit(0).alias("end_line"),
-        ).cast(S.SECTION_TYPE)
+    whole = F.array(section(F.lit(None).cast("string"), F.col("content"), 0, F.lit(0)))
+    rest = [c for c in df.columns if c != pages_col]
+    read = pages.isNotNull()
+    return bind(df, "content", content).select(
+        *rest,
+        F.lit("pdf").alias("doc_type"),
+        "content",
+        F.when(
+            read, F.create_map(F.lit("page_count"), F.size(pages).cast("string"))
+        ).alias("metadata"),
+        F.when(read, F.when(F.size(sections) > 0, sections).otherwise(whole)).alias("sections"),
     )
-    return (
-        grouped.withColumn("content", F.array_join(shown, "\n\n"))
-        .withColumn("sections", sections)
-        .select(
-            key,
-            F.lit("pdf").alias("doc_type"),
-            "content",
-            F.create_map(F.lit("page_count"), F.col("page_count").cast("string")).alias("metadata"),
-            F.when(F.size("sections") > 0, F.col("sections")).otherwise(whole).alias("sections"),
-            "error",
-        )
+
+
+def assemble_pages(pages: DataFrame, key: str = "source_path") -> DataFrame:
+    """One document per key from a table of page rows ``(key, page, text, error)``.
+
+    Only for pages that already live apart: this shuffles them by key, and the result row of a key
+    holds all its pages.
+    """
+    page = F.struct("page", "text", "error").cast("struct<page:int,text:string,error:string>")
+    return with_page_content(
+        pages.groupBy(key).agg(F.array_sort(F.collect_list(page)).alias("pages"))
     )

@@ -64,48 +64,71 @@ def file_results(
 ) -> DataFrame:
     """Per file: chunks processed, entries generated, error count, first errors, success.
 
-    ``files`` and ``chunks`` may carry an ``error`` column. Counts are aggregated per file before
-    the joins, so a file with most of the chunks meets the join as one row. A file without chunks
-    has failed; so has one with any failed chunk.
+    ``files`` and ``chunks`` may carry an ``error`` column. All counts come from one grouping with
+    partial aggregation, so a file with most of the chunks shuffles one row per task. A file
+    without chunks has failed; so has one with any failed chunk.
     """
-    failed = F.col(error) if error in chunks.columns else F.lit(None).cast("string")
-    per_chunks = chunks.groupBy(key).agg(
-        F.count(F.lit(1)).alias("chunks_processed"), F.count(failed).alias("_chunk_errors")
+    none = F.lit(None).cast("string")
+    failed = F.col(error) if error in chunks.columns else none
+    own = F.col(error) if error in files.columns else none
+
+    def tagged(df: DataFrame, kind: str, file_error: Column, chunk_error: Column) -> DataFrame:
+        return df.select(
+            key,
+            F.lit(kind).alias("_kind"),
+            file_error.alias("_file_error"),
+            chunk_error.isNotNull().alias("_bad"),
+        )
+
+    rows = (
+        tagged(files, "file", own, none)
+        .unionByName(tagged(chunks, "chunk", none, failed))
+        .unionByName(tagged(entries, "entry", none, none))
+    )
+
+    def count_of(kind: str) -> Column:
+        return F.count_if(F.col("_kind") == kind)
+
+    counts = (
+        rows.groupBy(key)
+        .agg(
+            count_of("file").alias("_files"),
+            count_of("chunk").alias("chunks_processed"),
+            count_of("entry").alias("entries_generated"),
+            F.count_if("_bad").alias("_bad_chunks"),
+            F.max("_file_error").alias("_file_error"),
+        )
+        .filter(F.col("_files") > 0)
     )
-    per_entries = entries.groupBy(key).agg(F.count(F.lit(1)).alias("entries_generated"))
     # row_number <= k is cut down inside each task before the shuffle, so a hot file sends k rows.
     rank = F.row_number().over(Window.partitionBy(key).orderBy(order))
     samples = (
-        chunks.withColumn("_error", failed)
+        chunks.select(key, order, failed.alias("_error"))
         .filter(F.col("_error").isNotNull())
         .withColumn("_rank", rank)
         .filter(F.col("_rank") <= errors_kept)
         .groupBy(key)
         .agg(F.array_sort(F.collect_list(F.struct("_rank", "_error"))).alias("_samples"))
-        .select(key, F.transform("_samples", lambda s: s["_error"]).alias("_samples"))
     )
-    own_error = F.col("_file_error") if error in files.columns else F.lit(None).cast("string")
-    base = files.select(key, *([F.col(error).alias("_file_error")] if error in files.columns else []))
-    zero = F.lit(0).cast("bigint")
-    joined = (
-        base.join(per_chunks, key, "left")
-        .join(per_entries, key, "left")
-        .join(samples, key, "left")
-        .withColumn("chunks_processed", F.coalesce("chunks_processed", zero))
-        .withColumn("entries_generated", F.coalesce("entries_generated", zero))
+    whole_file = F.coalesce(
+        F.col("_file_error"), F.when(F.col("chunks_processed") == 0, NO_CONTENT)
+    )
+    shown = F.coalesce(
+        F.transform("_samples", lambda s: s["_error"]), F.array().cast("array<string>")
+    )
+    return (
+        counts.join(samples, key, "left")
+        .select(
+            key,
+            "chunks_processed",
+            "entries_generated",
+            (F.col("_bad_chunks") + F.when(whole_file.isNotNull(), 1).otherwise(0)).alias(
+                "error_count"
+            ),
+            F.when(whole_file.isNotNull(), F.array(whole_file)).otherwise(shown).alias("errors"),
+        )
+        .withColumn("success", F.col("error_count") == 0)
     )
-    whole_file = F.coalesce(own_error, F.when(F.col("chunks_processed") == 0, NO_CONTENT))
-    return joined.select(
-        key,
-        "chunks_processed",
-        "entries_generated",
-        (
-            F.coalesce("_chunk_errors", zero) + F.when(whole_file.isNotNull(), 1).otherwise(0)
-        ).alias("error_count"),
-        F.when(whole_file.isNotNull(), F.array(whole_file))
-        .otherwise(F.coalesce("_samples", F.array().cast("array<string>")))
-        .alias("errors"),
-    ).withColumn("success", F.col("error_count") == 0)
 
 
 def batch_summary(results: DataFrame) -> DataFrame:

@@ -10,6 +10,8 @@ RECOMMENDED = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # The last of duplicate keys in a JSON object wins; otherwise such a text counts as invalid.
+    "spark.sql.variant.allowDuplicateKeys": "true",
     # A row is a whole document: fewer rows per Arrow batch keep Python workers small.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     "spark.hadoop.mapreduce.fileoutputcommitter.algorithm.version": "1",

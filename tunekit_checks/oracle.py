@@ -68,7 +68,7 @@ NOISY = f"""CASE doc_id % 8
   WHEN 4 THEN 'Sure, here you go: '||{body()}||' Hope it helps.'
   WHEN 5 THEN 'Output: ['||{body()}||', '||{body()}||',]'
   WHEN 6 THEN {body("'")}
-  ELSE 'not json idx all '||lang END"""
+  ELSE 'not json at all '||lang END"""
 INPUT = f"CASE WHEN doc_id % 7 = 0 THEN ' '||{NL}||chr(12288) ELSE lang END"
 ENTITIES = (
     "replace(replace(replace(replace({x}, '&quot;', '\"'), '&copy;', chr(169)), "
@@ -191,9 +191,9 @@ def text_sections() -> str:
     se AS (SELECT doc_id, g, string_agg(line, {NL} ORDER BY i) AS txt, min(i) AS start_line, max(i) AS end_line
       FROM gr WHERE NOT flush GROUP BY doc_id, g),
     ok AS (SELECT *, {strip('txt')} AS content FROM se WHERE {strip('txt')} <> '')
-    SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY g) - 1 AS section_index, NULL AS title, content, 0 AS level, start_line, end_line FROM ok
+    SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY g) - 1 AS section_index, NULL::VARCHAR AS title, content, 0 AS level, start_line, end_line FROM ok
     UNION ALL
-    SELECT doc_id, 0, NULL, '', 0, 0, max(i) FROM ls WHERE doc_id NOT IN (SELECT doc_id FROM ok) GROUP BY doc_id"""
+    SELECT doc_id, 0, NULL::VARCHAR, '', 0, 0, max(i) FROM ls WHERE doc_id NOT IN (SELECT doc_id FROM ok) GROUP BY doc_id"""
 
 
 def html_regex(x: str) -> str:
@@ -350,7 +350,7 @@ def oracle_sql() -> dict[str, str]:
     sql["request_plan"] = f"WITH {plan('SELECT event_type||chr(47)||user_id AS topic, count(*) AS n FROM events GROUP BY 1', 5)} SELECT * FROM rq"
     sql["funnel_request_count"] = """SELECT source, target, floor(target * greatest(1.2::DOUBLE, least(3.0::DOUBLE, 1.0 / greatest(0.1::DOUBLE, least(1.0::DOUBLE, rate)))) + 0.5)::BIGINT AS requests
       FROM (SELECT source, count(*) AS target, avg(quality) AS rate FROM documents JOIN labels USING (doc_id) GROUP BY source)"""
-    sql["augment_column_model"] = f"WITH {augment_sql()} SELECT doc_id, text, source, md5(prompt) AS lang, NULL AS error FROM asked"
+    sql["augment_column_model"] = f"WITH {augment_sql()} SELECT doc_id, text, source, md5(prompt) AS lang, NULL::VARCHAR AS error FROM asked"
     sql["augment_with_failures"] = f"WITH {augment_sql()} SELECT doc_id, text, source, CASE WHEN error IS NULL THEN md5(prompt) ELSE lang END AS lang, error FROM tried"
     sql["augment_summary"] = f"""WITH {augment_sql()} SELECT count(*) AS total_entries, count(*) - count(error) AS success_count, count(error) AS failure_count,
       (count(*) - count(error)) / count(*) * 100 AS success_rate FROM tried"""
@@ -358,7 +358,7 @@ def oracle_sql() -> dict[str, str]:
     sql["augment_new_field"] = f"""WITH {augment_sql()}, nf AS (SELECT doc_id, text, source, lang, {topic} AS prompt FROM rows)
       SELECT doc_id, text, source, lang, CASE WHEN {FAILS.format(p='prompt')} IS NULL THEN md5(prompt) END AS topic, {FAILS.format(p='prompt')} AS error FROM nf"""
     sql["augment_preview"] = f"WITH {augment_sql()} SELECT doc_id, lang AS before, md5(prompt) AS after FROM asked ORDER BY doc_id LIMIT 5"
-    sql["augment_resume"] = f"WITH {augment_sql()} SELECT doc_id, md5(prompt) AS lang, NULL AS error FROM asked"
+    sql["augment_resume"] = f"WITH {augment_sql()} SELECT doc_id, md5(prompt) AS lang, NULL::VARCHAR AS error FROM asked"
     sql["error_classes"] = f"""WITH {augment_sql()} SELECT CASE error WHEN 'Connection refused' THEN 'connection' WHEN 'model m not found' THEN 'model_not_found'
       ELSE 'context_length_exceeded' END AS error_class, count(*) AS n, min(error) AS sample FROM tried WHERE error IS NOT NULL GROUP BY 1"""
     sql["first_errors"] = f"WITH {augment_sql()} SELECT doc_id, error FROM tried WHERE error IS NOT NULL ORDER BY doc_id LIMIT 5"
@@ -366,7 +366,7 @@ def oracle_sql() -> dict[str, str]:
       CASE WHEN length(text) % 10 = 0 THEN 'Connection refused' END AS error FROM documents"""
 
     sql["response_clean"] = f"""SELECT doc_id, CASE doc_id % 8 WHEN 4 THEN 'Sure, here you go: '||{body()}||' Hope it helps.'
-      WHEN 5 THEN '['||{body()}||', '||{body()}||',]' WHEN 6 THEN {body("'")} WHEN 7 THEN 'not json idx all '||lang ELSE {body()} END AS cleaned FROM documents"""
+      WHEN 5 THEN '['||{body()}||', '||{body()}||',]' WHEN 6 THEN {body("'")} WHEN 7 THEN 'not json at all '||lang ELSE {body()} END AS cleaned FROM documents"""
     sql["response_repair"] = f"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace({NOISY}, ',{WS}*([}}\\]])', '\\1', 'g'),
       '''([^'']*)'':', '"\\1":', 'g'), ':{WS}*''([^'']*)''', ': "\\1"', 'g') AS repaired FROM documents"""
     entry = f"source AS instruction, lang AS input, {SAFE} AS output"
@@ -430,7 +430,7 @@ def oracle_sql() -> dict[str, str]:
       SELECT page_id, ext, {case_of('ext', Parse.DOC_TYPES)} IS NOT NULL AS supported, {case_of('ext', Parse.DOC_TYPES)} AS doc_type,
       coalesce({case_of('ext', Parse.CODE_LANGUAGES)}, 'unknown') AS language, {case_of('ext', fmts)} AS fmt FROM e"""
     sql["format_sniff"] = "SELECT event_id, ['jsonl', 'csv', 'tsv', 'jsonl'][event_id % 4 + 1] AS fmt FROM events"
-    sql["union_sources"] = """SELECT doc_id AS id, text, lang, NULL AS url, 0 AS source_ordinal FROM documents
+    sql["union_sources"] = """SELECT doc_id AS id, text, lang, NULL::VARCHAR AS url, 0 AS source_ordinal FROM documents
       UNION ALL SELECT item_id, text, NULL, NULL, 1 FROM benchmark UNION ALL SELECT page_id, NULL, NULL, url, 2 FROM pages"""
     sql["quarantine_bad_lines"] = """WITH l AS (SELECT event_id, CASE event_id % 10 WHEN 1 THEN 'x'||props WHEN 2 THEN '['||props||']' WHEN 3 THEN 'null' ELSE '  '||props END AS line
         FROM events WHERE event_id % 10 <> 0),
