@@ -232,6 +232,22 @@ def test_documents(spark, docs, tmp_path):
     write_dataset(entries, str(tmp_path / "out.jsonl"), order=("source_path", "chunk_index", "entry_index"))
 
 
+def test_paged_documents(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(b"one|two")
+    (tmp_path / "b.txt").write_text("text")
+
+    def pages_of(data):
+        for i, part in enumerate(data.decode().split("|"), 1):
+            yield i, part, None
+
+    files, answered, _ = jobs.documents_to_dataset(spark, str(tmp_path), chat(), pages_of=pages_of)
+    assert sorted(r.content for r in answered.select("content").collect()) == ["one\n\ntwo", "text"]
+    assert files.filter("error is not null").count() == 0
+    files, answered, _ = jobs.documents_to_dataset(spark, str(tmp_path), chat())
+    assert [r.error for r in files.orderBy("source_path").collect()] == [
+        "Paged document: needs a page extractor", None]
+
+
 def test_file_errors(spark):
     files = spark.createDataFrame([("a",), ("b",)], "source_path string")
     chunks = spark.createDataFrame(

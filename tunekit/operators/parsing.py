@@ -96,6 +96,11 @@ class Parsers:
         """Document type of a path, NULL when no parser is registered for its extension."""
         return _lookup(self.doc_types, extension(path))
 
+    def is_paged(self, path: Column) -> Column:
+        """Whether a path is a paged document without a text parser of its own."""
+        own = extension(path).isin(*self.custom) if self.custom else F.lit(False)
+        return F.coalesce((self.doc_type(path) == "pdf") & ~own, F.lit(False))
+
     def require(self, path: str) -> str:
         """Document type of one path, or an error that lists the supported formats."""
         name = path.rsplit("/", 1)[-1]
@@ -188,7 +193,7 @@ def parse_documents(
             F.col("doc_type").isNull(),
             F.concat(F.lit("Unsupported format: "), F.col("_ext"), F.lit(f". Supported: {listing}")),
         )
-        .when(builtin & (F.col("doc_type") == "pdf"), "Paged document: extract pages first")
+        .when(builtin & (F.col("doc_type") == "pdf"), "Paged document: needs a page extractor")
         .when(body.isNull() & (F.col("doc_type") == "json"), "Invalid JSON")
         .when(body.isNull(), "Parser returned no content")
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +21,12 @@ from tunekit.operators.inference import (
     plan_requests,
     set_field,
 )
-from tunekit.operators.parsing import Parsers, parse_documents
+from tunekit.operators.parsing import (
+    Parsers,
+    extract_pages,
+    parse_documents,
+    with_page_content,
+)
 from tunekit.operators.quality import (
     CHECKED_LOCALE,
     Quality,
@@ -32,7 +37,7 @@ from tunekit.operators.quality import (
 )
 from tunekit.operators.responses import parse_replies
 from tunekit.operators.validation import valid_entries
-from tunekit.sources.documents import read_documents
+from tunekit.sources.documents import read_documents, read_paged_bytes
 from tunekit.sources.writers import convert
 
 __all__ = [
@@ -228,21 +233,27 @@ def documents_to_dataset(
     pattern: str | None = None,
     recursive: bool = True,
     parsers: Parsers | None = None,
+    pages_of: Callable[[bytes], Iterable[tuple[int, str | None, str | None]]] | None = None,
     staging: str | None = None,
     waves: int = 1,
     partitions: int | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(files, answered chunks, entries)`` of a directory; feed them to ``file_results``.
 
+    ``pages_of`` reads paged files; without it each of them is a failed file.
+
     With ``staging`` the model ran once when this returns and all three may be read repeatedly;
     without it, consume only one of the last two.
     """
     job = job or DocumentJob()
-    parsed = parse_documents(
-        read_documents(spark, path, pattern, recursive, parsers),
-        parsers,
-        html_method=job.html_method,
-    )
+    parsers = parsers or Parsers()
+    texts = read_documents(spark, path, pattern, recursive, parsers)
+    if pages_of is not None:
+        texts = texts.filter(~parsers.is_paged(F.col("source_path")))
+    parsed = parse_documents(texts, parsers, html_method=job.html_method)
+    if pages_of is not None:
+        paged = read_paged_bytes(spark, path, pattern, recursive, parsers)
+        parsed = parsed.unionByName(with_page_content(extract_pages(paged, pages_of)))
     requests = chunk_requests(parsed.filter(F.col("error").isNull()), job)
     answered = _replies(
         requests, model, staging, ("source_path", "chunk_index"), waves, partitions

@@ -43,11 +43,10 @@ def list_documents(
     )
 
 
-def decoded(files: DataFrame) -> DataFrame:
-    """``source_path, raw_text`` of text files from ``binaryFile`` rows."""
-    return files.select(
-        F.col("path").alias("source_path"), decode_bytes(F.col("content")).alias("raw_text")
-    )
+def decoded(files: DataFrame, parsers: Parsers) -> DataFrame:
+    """``source_path, raw_text`` from ``binaryFile`` rows; paged files have no text."""
+    text = F.when(~parsers.is_paged(F.col("path")), decode_bytes(F.col("content")))
+    return files.select(F.col("path").alias("source_path"), text.alias("raw_text"))
 
 
 def read_documents(
@@ -65,17 +64,26 @@ def read_documents(
     reader = spark.read.format("binaryFile").option(
         "recursiveFileLookup", str(recursive).lower()
     )
-    paged = F.coalesce(parsers.doc_type(F.col("path")) == "pdf", F.lit(False))
-    return decoded(_select(reader.load(path), pattern, parsers).filter(~paged))
+    return decoded(_select(reader.load(path), pattern, parsers), parsers)
 
 
-def read_paged_bytes(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
+def read_paged_bytes(
+    spark: SparkSession,
+    path: str,
+    pattern: str | None = None,
+    recursive: bool = True,
+    parsers: Parsers | None = None,
+) -> DataFrame:
     """``source_path, bytes`` of paged files, input of ``extract_pages``."""
-    return (
+    parsers = parsers or Parsers()
+    files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", str(recursive).lower())
-        .option("pathGlobFilter", "*.[pP][dD][fF]")
         .load(path)
+    )
+    return (
+        _select(files, pattern, parsers)
+        .filter(parsers.is_paged(F.col("path")))
         .select(F.col("path").alias("source_path"), F.col("content").alias("bytes"))
     )
 
@@ -97,5 +105,4 @@ def stream_documents(
         .option("maxFilesPerTrigger", str(max_files))
         .load(path)
     )
-    paged = F.coalesce(parsers.doc_type(F.col("path")) == "pdf", F.lit(False))
-    return decoded(_select(files, pattern, parsers).filter(~paged))
+    return decoded(_select(files, pattern, parsers), parsers)
