@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tunekit.operators import inference as I
+from tunekit.operators import limits as L
 from tunekit.operators import prompts as P
 from tunekit.operators import quality as Q
 from tunekit.operators import reporting as R
@@ -200,6 +201,16 @@ def test_windows(spark):
     assert got[0][-1].split()[-1] == "w899"
 
 
+def test_limits(spark, monkeypatch, tmp_path):
+    df = spark.range(1000).select(((F.col("id") * 7919) % 1000).alias("k"), "id").repartition(5)
+    monkeypatch.setattr(L, "SMALL_LIMIT", 10)
+    for n in (5, 11, 500, 1000, 5000):
+        got = [r.k for r in L.first_rows(df, ("k",), n).orderBy("k").collect()]
+        assert got == list(range(min(n, 1000)))
+    df.write.parquet(str(tmp_path / "t"))
+    assert L.head_rows(spark.read.parquet(str(tmp_path / "t")), 123).count() == 123
+
+
 def test_funnel():
     assert [Q.request_count(100, r) for r in (0.7, 1.0, 0.5, 0.01)] == [143, 120, 200, 300]
     assert Q.update_pass_rate(5, 10, 0.7) == pytest.approx(0.56)

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tunekit.functions.arrays import let
-from tunekit.functions.text import WS, has_text, strip
+from tunekit.functions.text import UNICODE, WS, has_text, strip
 
 FENCE = "```"
 
@@ -88,14 +88,14 @@ def clean_reply(reply: Column) -> Column:
 
     lead_ins = "".join(f"(?:{prefix}{WS}*)?" for prefix in REPLY_PREFIXES)
     body = strip(let(strip(F.coalesce(reply, F.lit(""))), unfence))
-    return F.regexp_replace(body, "^" + lead_ins, "")
+    return F.regexp_replace(body, f"{UNICODE}^{lead_ins}", "")
 
 
 def repair_json(text: Column) -> Column:
     """Fix trailing commas and single-quoted keys and values."""
-    out = F.regexp_replace(text, rf",{WS}*([}}\]])", "$1")
+    out = F.regexp_replace(text, rf"{UNICODE},{WS}*([}}\]])", "$1")
     out = F.regexp_replace(out, r"'([^']*)':", r'"$1":')
-    return F.regexp_replace(out, rf":{WS}*'([^']*)'", r': "$1"')
+    return F.regexp_replace(out, rf"{UNICODE}:{WS}*'([^']*)'", r': "$1"')
 
 
 def _parse_or_repair(text: Column) -> Column:
@@ -103,7 +103,15 @@ def _parse_or_repair(text: Column) -> Column:
 
 
 def _outermost(text: Column, pattern: str) -> Column:
-    return F.when(text.rlike(pattern), F.regexp_extract(text, pattern, 0)).otherwise(text)
+    """Longest match, NULL for none: without its brackets a text is no object or array, and a parse
+    that fails costs a Java exception."""
+    return F.nullif(F.regexp_extract(text, pattern, 0), F.lit(""))
+
+
+def whole_object(cleaned: Column) -> Column:
+    """VARIANT of a reply that is one JSON object from end to end."""
+    braced = F.startswith(cleaned, F.lit("{")) & F.endswith(cleaned, F.lit("}"))
+    return let(parse(F.when(braced, cleaned)), lambda v: F.when(is_object(v), v))
 
 
 def reply_object(cleaned: Column) -> Column:

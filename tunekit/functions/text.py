@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tunekit.functions.arrays import let, running_sum
 
-# The code points that count as whitespace, as characters and as a regex class body.
+# The code points that count as whitespace.
 WHITESPACE_CHARS = "".join(
     chr(c)
     for c in [
@@ -24,12 +24,11 @@ WHITESPACE_CHARS = "".join(
         0x3000,
     ]
 )
-WS_BODY = (
-    r"\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
-    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-)
-WS = f"[{WS_BODY}]"
-BLANK_LINE = rf"\n{WS}*\n"
+# The same set as a regex class. It needs the Unicode flag in front of the pattern; one property
+# test per character is several times faster than listing the ranges.
+UNICODE = "(?U)"
+WS = r"[\s\x1c-\x1f]"
+BLANK_LINE = rf"{UNICODE}\n{WS}*\n"
 
 
 def strip(c: Column) -> Column:
@@ -37,6 +36,10 @@ def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(WHITESPACE_CHARS))
 
 
+def lstrip(c: Column) -> Column:
+    return F.ltrim(c, F.lit(WHITESPACE_CHARS))
+
+
 def is_blank(c: Column) -> Column:
     return strip(c) == F.lit("")
 
@@ -123,7 +126,7 @@ def split_with_offsets(text: Column, pattern: str) -> Column:
         def place(ends: Column) -> Column:
             def one(piece: Column, i: Column) -> Column:
                 origin = F.coalesce(F.get(ends, i - 1), F.lit(0).cast("bigint"))
-                lead = F.length(piece) - F.length(F.ltrim(piece, F.lit(WHITESPACE_CHARS)))
+                lead = F.length(piece) - F.length(lstrip(piece))
                 return F.struct(strip(piece).alias("content"), (origin + lead).alias("start"))
 
             return F.filter(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tunekit.functions.arrays import indexes, let, running_states, running_sum
 from tunekit.functions.text import (
     BLANK_LINE,
+    UNICODE,
     WS,
     has_text,
     match_spans,
@@ -299,7 +300,7 @@ def boundaries(text: Column) -> Column:
 
     found = F.concat(
         F.transform(match_spans(text, BLANK_LINE), lambda s: s["end"]),
-        F.transform(match_spans(text, rf"\n#{{1,6}}{WS}"), line_start),
+        F.transform(match_spans(text, rf"{UNICODE}\n#{{1,6}}{WS}"), line_start),
         F.transform(match_spans(text, "\n```"), line_start),
     )
     return F.array_sort(F.array_distinct(found))

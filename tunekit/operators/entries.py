@@ -77,18 +77,16 @@ def entry_of(v: Column, dataset_type: str, require_keys: bool) -> Column:
             messages_of(J.member(v, "conversations")),
             lambda ms: F.when(F.size(ms) > 0, F.struct(ms.alias("conversations"))),
         )
-    texts = [J.as_text(J.member(v, name)) for name in names]
-    if require_keys:
-        present = J.is_object(v)
-        for name in names:
-            present = present & J.member(v, name).isNotNull()
+
+    def build(members: Column) -> Column:
+        texts = [J.as_text(F.get(members, F.lit(i))) for i in range(len(names))]
+        if not require_keys:
+            texts = [F.coalesce(t, F.lit("")) for t in texts]
         entry = F.struct(*[t.alias(n) for t, n in zip(texts, names, strict=True)])
-    else:
-        present = J.is_object(v)
-        entry = F.struct(
-            *[F.coalesce(t, F.lit("")).alias(n) for t, n in zip(texts, names, strict=True)]
-        )
-    return F.when(present, entry)
+        return F.when(F.forall(members, lambda m: m.isNotNull()), entry) if require_keys else entry
+
+    members = F.when(J.is_object(v), F.array(*[J.member(v, name) for name in names]))
+    return let(members, lambda ms: F.when(ms.isNotNull(), build(ms)))
 
 
 def entry_json(dataset_type: str) -> Column:

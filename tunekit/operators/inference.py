@@ -261,8 +261,3 @@ def set_field(
 def drop_null_rows(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
     """Drop rows that hold no value at all."""
     return df.dropna(how="all", subset=list(columns) if columns is not None else None)
-
-
-def first_rows(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
-    """First ``n`` rows by order: a top-n per task, then one merge; take it before inference."""
-    return df.orderBy(*order).limit(n)

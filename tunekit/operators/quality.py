@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tunekit.functions.arrays import bind, let
-from tunekit.functions.text import WS, has_text, strip, text_preview, token_windows
+from tunekit.functions.text import UNICODE, WS, has_text, strip, text_preview, token_windows
 from tunekit.operators.entries import fields_of
+from tunekit.operators.limits import first_rows
 from tunekit.operators.prompts import MAINLAND_TO_TAIWAN
 
 # Window of the classifier in tokens (384 less two special ones), shared tokens
@@ -42,15 +43,18 @@ def text_windows(
     ``whitespace`` counts words, ``char`` counts characters (for scripts without spaces).
     """
     if tokenizer == "whitespace":
-        tokens, joiner = F.split(strip(text), rf"{WS}+", -1), " "
+        tokens, joiner = F.split(strip(text), rf"{UNICODE}{WS}+", -1), " "
+        surely_fits = F.length(text) < 2 * width
     elif tokenizer == "char":
         tokens, joiner = F.regexp_extract_all(text, F.lit(r"(?s)."), F.lit(0)), ""
+        surely_fits = F.length(text) <= width
     else:
         raise ValueError("tokenizer must be 'whitespace' or 'char'")
     cut = F.transform(
         token_windows(tokens, width, overlap), lambda w: F.array_join(w, joiner)
     )
-    return let(cut, lambda ws: F.when(F.size(ws) > 1, ws).otherwise(F.array(text)))
+    several = let(cut, lambda ws: F.when(F.size(ws) > 1, ws).otherwise(F.array(text)))
+    return F.when(surely_fits, F.array(text)).otherwise(several)
 
 
 def entry_fields(dataset_type: str) -> Column:
@@ -254,4 +258,4 @@ def first_n_passing(
     scored: DataFrame, n: int, order: tuple[str, ...] = ("batch_number", "entry_index")
 ) -> DataFrame:
     """First ``n`` passing entries in request order."""
-    return scored.filter("qc_passed").orderBy(*order).limit(n)
+    return first_rows(scored.filter("qc_passed"), order, n)

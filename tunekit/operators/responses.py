@@ -27,7 +27,7 @@ def lenient_entries(reply: Column, dataset_type: str) -> Column:
         return valid(F.when(v.isNotNull(), F.array(v)))
 
     def search(cleaned: Column) -> Column:
-        whole = let(J.parse(cleaned), lambda v: F.when(J.is_object(v), one(v)))
+        whole = let(J.whole_object(cleaned), lambda v: F.when(v.isNotNull(), one(v)))
         listed = let(
             valid(J.reply_array(cleaned)), lambda found: F.when(F.size(found) > 0, found)
         )

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from tunekit.functions import json_text as J
 from tunekit.functions.arrays import indexes, let, positions_where
-from tunekit.functions.text import WS, WS_BODY, is_blank, lines_of, strip
+from tunekit.functions.text import UNICODE, WS, is_blank, lines_of, lstrip, strip
 
 SECTION_TYPE = "struct<title:string,content:string,level:int,start_line:int,end_line:int>"
 
-_HEADING = rf"^{WS}*#{{1,6}}( |\z)"
+_HEADING = rf"{UNICODE}^{WS}*#{{1,6}}( |\z)"
 
 # What counts as a definition line, per language. ``kind`` is a group number or a
 # literal word; ``name`` is a group number. \s and \w cover Unicode.
@@ -80,9 +80,9 @@ def markdown_sections(content: Column) -> Column:
             line = F.get(lines, head)
             until = F.coalesce(F.get(heads, k + 1), F.size(lines))
             return _section(
-                strip(F.regexp_replace(line, rf"^{WS}*#{{1,6}}", "")),
+                strip(F.regexp_replace(line, rf"{UNICODE}^{WS}*#{{1,6}}", "")),
                 strip(_joined(lines, head + 1, until - head - 1)),
-                F.length(F.regexp_extract(line, rf"^{WS}*(#{{1,6}})", 1)),
+                F.length(F.regexp_extract(line, rf"{UNICODE}^{WS}*(#{{1,6}})", 1)),
                 head,
                 until - 1,
             )
@@ -155,7 +155,7 @@ def definition_title(line: Column, language: Column) -> Column:
     for name, rules in DEFINITION_LINES.items():
         found = None
         for pattern, kind, group in rules:
-            regex = "(?U)" + pattern.replace(r"\s", WS)
+            regex = UNICODE + pattern.replace(r"\s", WS)
             word = F.lit(kind) if isinstance(kind, str) else F.regexp_extract(text, regex, kind)
             hit = F.concat(word, F.lit(" "), F.regexp_extract(text, regex, group))
             found = F.when(text.rlike(regex), hit) if found is None else found.when(
@@ -255,7 +255,7 @@ def markdown_metadata(content: Column) -> Column:
 
 def json_metadata(text: Column) -> Column:
     """Kind of the root value and the usual descriptive string members of a root object."""
-    trimmed = F.regexp_replace(text, rf"^[{WS_BODY}]+", "")
+    trimmed = lstrip(text)
     head = F.substring(trimmed, 1, 1)
     root = (
         F.when(head == "{", "dict")

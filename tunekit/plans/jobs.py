@@ -15,12 +15,12 @@ from tunekit.operators.entries import fields_of
 from tunekit.operators.fields import require_field
 from tunekit.operators.inference import (
     Model,
-    first_rows,
     infer,
     infer_staged,
     plan_requests,
     set_field,
 )
+from tunekit.operators.limits import first_rows
 from tunekit.operators.parsing import (
     Parsers,
     extract_pages,

@@ -13,6 +13,7 @@ from tunekit.functions import json_text as J
 from tunekit.functions.arrays import bind
 from tunekit.functions.text import extension, has_text, is_blank, remove_nul, strip
 from tunekit.operators.fields import union_datasets
+from tunekit.operators.limits import head_rows
 
 # Dataset format by file extension, and extensions whose content decides.
 FORMATS = {
@@ -273,8 +274,7 @@ def read_directory(spark: SparkSession, path: str, recursive: bool = True) -> Da
     parts = []
     for fmt in kinds:
         if fmt == "sniff":
-            files = [r["path"] for r in listed.filter(F.col("fmt") == "sniff").select("path").collect()]
-            parts += [read_dataset(spark, f, _sniff(spark, f)) for f in sorted(files)]
+            parts += _read_sniffed(spark, path, recursive)
             continue
         reader = spark.read.option("recursiveFileLookup", str(recursive).lower()).option(
             "pathGlobFilter", "*" + _any_case(suffixes[fmt])
@@ -304,6 +304,38 @@ def read_directory(spark: SparkSession, path: str, recursive: bool = True) -> Da
     return union_datasets(_aligned(parts), ordinal=None)
 
 
+def sniffed_formats(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
+    """``file, fmt`` of every ``.txt`` and ``.data`` file, by its first line, in one job."""
+    names = "{" + ",".join("*" + _any_case(s) for s in SNIFFED) + "}"
+    lines = (
+        spark.read.option("recursiveFileLookup", str(recursive).lower())
+        .option("pathGlobFilter", names)
+        .text(path)
+        .select(
+            "value",
+            F.col("_metadata.file_path").alias("file"),
+            F.col("_metadata.file_block_start").alias("block"),
+        )
+        .withColumn("seq", F.monotonically_increasing_id())
+        .filter(F.col("block") == 0)
+    )
+    first = lines.groupBy("file").agg(F.min_by("value", "seq").alias("line"))
+    return first.select("file", format_of_line(F.col("line")).alias("fmt"))
+
+
+def _read_sniffed(spark: SparkSession, path: str, recursive: bool) -> list[DataFrame]:
+    """One scan per format found; the driver holds file names only."""
+    files: dict[str, list[str]] = {}
+    for row in sniffed_formats(spark, path, recursive).collect():
+        files.setdefault(row["fmt"], []).append(row["file"])
+    readers = {
+        "jsonl": lambda names: read_jsonl(spark, names),
+        "csv": lambda names: read_csv(spark, names, ","),
+        "tsv": lambda names: read_csv(spark, names, "\t"),
+    }
+    return [readers[fmt](sorted(names)) for fmt, names in sorted(files.items())]
+
+
 def _any_case(suffix: str) -> str:
     return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in suffix)
 
@@ -346,7 +378,7 @@ def read_mirror(
     ``max_entries`` of None or 0 reads everything; a limit stops scanning early.
     """
     df = read_dataset(spark, f"{root}/{name}/{config}/{split}", fmt)
-    return df.limit(max_entries) if max_entries else df
+    return head_rows(df, max_entries) if max_entries else df
 
 
 def describe_mirror(

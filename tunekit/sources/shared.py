@@ -8,6 +8,14 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """Checkpoint where the cluster says; set a folder only when none is set."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        root = spark.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(root or work_dir(spark, "checkpoint"))
+
+
 def work_dir(spark: SparkSession, purpose: str) -> str:
     """A new path under the cluster's checkpoint folder; a temporary one where none is set."""
     root = spark.conf.get("spark.checkpoint.dir", None)

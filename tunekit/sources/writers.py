@@ -84,7 +84,8 @@ def write_dataset(
 ) -> None:
     """Write any supported format; without ``fmt`` the path's suffix decides, else JSON Lines.
 
-    An empty dataset is refused; appending nothing is a no-op.
+    An empty dataset is refused; appending nothing is a no-op. The check computes a first row, so
+    pass ``allow_empty`` for the output of a model whose replies were not staged.
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
