@@ -195,8 +195,7 @@ def context_text(dtypes: dict[str, str], fields: tuple[str, ...]) -> Column:
     ]
     if not lines:
         return F.lit(NO_CONTEXT)
-    joined = F.array_join(F.filter(F.array(*lines), lambda line: line.isNotNull()), "\n")
-    return F.when(F.length(joined) > 0, joined).otherwise(NO_CONTEXT)
+    return F.coalesce(F.nullif(F.concat_ws("\n", *lines), F.lit("")), F.lit(NO_CONTEXT))
 
 
 def augment_prompts(

@@ -46,10 +46,11 @@ def first_errors(
 
 def errors_by_class(rows: DataFrame, error: str = "error") -> DataFrame:
     """Failures per class with one sample message."""
-    return (
-        rows.filter(F.col(error).isNotNull())
-        .groupBy(error_class(F.col(error)).alias("error_class"))
-        .agg(F.count(F.lit(1)).alias("n"), F.min(error).alias("sample"))
+    per_message = (
+        rows.filter(F.col(error).isNotNull()).groupBy(error).agg(F.count(F.lit(1)).alias("n"))
+    )
+    return per_message.groupBy(error_class(F.col(error)).alias("error_class")).agg(
+        F.sum("n").alias("n"), F.min(error).alias("sample")
     )
 
 
@@ -72,33 +73,19 @@ def file_results(
     failed = F.col(error) if error in chunks.columns else none
     own = F.col(error) if error in files.columns else none
 
-    def tagged(df: DataFrame, kind: str, file_error: Column, chunk_error: Column) -> DataFrame:
-        return df.select(
-            key,
-            F.lit(kind).alias("_kind"),
-            file_error.alias("_file_error"),
-            chunk_error.isNotNull().alias("_bad"),
-        )
-
-    rows = (
-        tagged(files, "file", own, none)
-        .unionByName(tagged(chunks, "chunk", none, failed))
-        .unionByName(tagged(entries, "entry", none, none))
-    )
-
-    def count_of(kind: str) -> Column:
-        return F.count_if(F.col("_kind") == kind)
+    def counted(df: DataFrame, is_chunk: bool, is_bad: Column) -> DataFrame:
+        return df.select(key, F.lit(is_chunk).alias("_chunk"), is_bad.alias("_bad"))
 
+    # Only counters in this grouping: a text aggregate would make Spark sort every row first.
     counts = (
-        rows.groupBy(key)
+        counted(chunks, True, failed.isNotNull())
+        .unionByName(counted(entries, False, F.lit(False)))
+        .groupBy(key)
         .agg(
-            count_of("file").alias("_files"),
-            count_of("chunk").alias("chunks_processed"),
-            count_of("entry").alias("entries_generated"),
+            F.count_if("_chunk").alias("_chunks"),
+            F.count_if(~F.col("_chunk")).alias("_entries"),
             F.count_if("_bad").alias("_bad_chunks"),
-            F.max("_file_error").alias("_file_error"),
         )
-        .filter(F.col("_files") > 0)
     )
     # row_number <= k is cut down inside each task before the shuffle, so a hot file sends k rows.
     rank = F.row_number().over(Window.partitionBy(key).orderBy(order))
@@ -116,15 +103,20 @@ def file_results(
     shown = F.coalesce(
         F.transform("_samples", lambda s: s["_error"]), F.array().cast("array<string>")
     )
+    zero = F.lit(0).cast("bigint")
     return (
-        counts.join(samples, key, "left")
+        files.select(key, own.alias("_file_error"))
+        .join(counts, key, "left")
+        .join(samples, key, "left")
+        .withColumn("chunks_processed", F.coalesce("_chunks", zero))
+        .withColumn("entries_generated", F.coalesce("_entries", zero))
         .select(
             key,
             "chunks_processed",
             "entries_generated",
-            (F.col("_bad_chunks") + F.when(whole_file.isNotNull(), 1).otherwise(0)).alias(
-                "error_count"
-            ),
+            (
+                F.coalesce("_bad_chunks", zero) + F.when(whole_file.isNotNull(), 1).otherwise(0)
+            ).alias("error_count"),
             F.when(whole_file.isNotNull(), F.array(whole_file)).otherwise(shown).alias("errors"),
         )
         .withColumn("success", F.col("error_count") == 0)
