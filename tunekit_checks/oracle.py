@@ -290,6 +290,28 @@ def plan(topics: str, batch: int, extra: str = "") -> str:
       FROM (SELECT *, unnest(range(0, ceil(n / per)::BIGINT)) AS b FROM pl))"""
 
 
+# Positions that Spark counts in 32 bits.
+INT_COLUMNS = {
+    "chunk_fixed": ("chunk_index",),
+    "chunk_paragraphs": ("chunk_index",),
+    "chunk_semantic": ("chunk_index",),
+    "chunk_hybrid": ("chunk_index",),
+    "chunk_markdown": ("chunk_index", "section_level"),
+    "chunk_code": ("chunk_index",),
+    "md_sections": ("section_index", "level", "start_line", "end_line"),
+    "text_sections": ("section_index", "start_line", "end_line"),
+    "code_sections": ("section_index", "start_line", "end_line"),
+    "json_leaves": ("leaf_index",),
+    "prompt_chunk": ("chunk_index",),
+    "conversation_replies": ("idx",),
+    "qc_windows": ("window_index",),
+    "qc_scores": ("num_windows",),
+    "qc_batch_scorer": ("num_windows",),
+    "doc_to_dataset": ("chunk_index",),
+    "stream_documents": ("chunk_index",),
+}
+
+
 def oracle_sql() -> dict[str, str]:
     sql: dict[str, str] = {}
     sql["chunk_fixed"] = FIXED
@@ -459,4 +481,7 @@ def oracle_sql() -> dict[str, str]:
     sql["generation_summary"] = """SELECT n AS success_count, 2000::BIGINT AS total_requested, n / 2000 * 100 AS success_rate
       FROM (SELECT sum(CASE doc_id % 8 WHEN 5 THEN 2 WHEN 7 THEN 0 ELSE 1 END)::BIGINT AS n FROM documents)"""
     sql["stream_documents"] = FIXED
+    for name, columns in INT_COLUMNS.items():
+        casts = ", ".join(f"{c}::INTEGER AS {c}" for c in columns)
+        sql[name] = f"SELECT * REPLACE ({casts}) FROM ({sql[name]})"
     return sql
