@@ -41,6 +41,7 @@ WRAPPED = [
     f"text\n```\n{BODY}\n```",
 ]
 BROKEN = ["", "   ", None, "not json", "{", "}", "{}", "[]", "[1, 2]", '"text"', "5", "null"]
+TRAILING = ['{"a": 1} x', '{"a": 1},', "[1] 2", "1] [2", "1,2", "{}{}", '{"a": 1}}', "1, ", "[1]]", '"a" "b"']
 
 
 def test_wrapped_replies(spark):
@@ -55,6 +56,14 @@ def test_broken_replies(spark):
     assert [len(r or []) for r in got] == [0] * 6 + [1] + [0] * 5  # {} becomes an empty entry
 
 
+def test_parse_reads_to_the_end(spark):
+    assert apply(spark, TRAILING, lambda c: J.parse(c).isNull()) == [True] * len(TRAILING)
+    good = ['{"a": 1}', " [1] ", "1", '"x"', "null", "true", "-1.5e3", "[]", "{}", "\n{}\n"]
+    assert apply(spark, good, lambda c: J.parse(c).isNull()) == [False] * len(good)
+    assert apply(spark, ['{"a": [1, {"b": "c"}]}', "null"], lambda c: F.to_json(J.parse(c))) == [
+        '{"a":[1,{"b":"c"}]}', "null"]
+
+
 def test_repair(spark):
     texts = [
         '{"instruction": "a", "input": "b", "output": "c",}',

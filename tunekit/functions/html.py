@@ -13,6 +13,22 @@ from tunekit.functions.text import strip
 # A private-use code point stands for "a tag was here" between the tag pass and the text pass.
 _MARK = "\ue000"
 
+# Rewrites of the regex method, in this order, before entities are decoded.
+_REGEX_PASSES = (
+    (r"(?is)<script[^>]*>.*?</script>", ""),
+    (r"(?is)<style[^>]*>.*?</style>", ""),
+    (r"(?s)<!--.*?-->", ""),
+    (r"(?i)<(br|p|div|h[1-6]|li|tr)[^>]*>", "\n"),
+    (r"<[^>]+>", ""),
+)
+# What the tree method removes: comments, scripts and styles, the head, then every tag.
+_TREE_CUTS = (
+    r"(?is)<!--.*?-->",
+    r"(?is)<(script|style)(?=[\s/>])[^>]*>.*?</\1\s*>",
+    r"(?is)<head(?=[\s/>])[^>]*>.*?</head\s*>",
+    r"(?s)<[a-zA-Z/!?][^>]*>",
+)
+
 
 def _entity_decoder():
     # Named entities follow the HTML5 table with its prefix rules, which no built-in offers.
@@ -36,24 +52,13 @@ def html_text(c: Column, method: str = "regex") -> Column:
     """
     if method == "regex":
         out = c
-        for pattern, replacement in (
-            (r"(?is)<script[^>]*>.*?</script>", ""),
-            (r"(?is)<style[^>]*>.*?</style>", ""),
-            (r"(?s)<!--.*?-->", ""),
-            (r"(?i)<(br|p|div|h[1-6]|li|tr)[^>]*>", "\n"),
-            (r"<[^>]+>", ""),
-        ):
+        for pattern, replacement in _REGEX_PASSES:
             out = F.regexp_replace(out, pattern, replacement)
         out = F.regexp_replace(unescape(out), r"[ \t]+", " ")
         return strip(F.regexp_replace(out, r"\n{3,}", "\n\n"))
     if method == "tree":
         out = F.translate(c, _MARK, " ")
-        for pattern in (
-            r"(?is)<!--.*?-->",
-            r"(?is)<(script|style)(?=[\s/>])[^>]*>.*?</\1\s*>",
-            r"(?is)<head(?=[\s/>])[^>]*>.*?</head\s*>",
-            r"(?s)<[a-zA-Z/!?][^>]*>",
-        ):
+        for pattern in _TREE_CUTS:
             out = F.regexp_replace(out, pattern, _MARK)
         nodes = F.transform(F.split(unescape(out), _MARK), strip)
         joined = F.array_join(F.filter(nodes, lambda node: node != F.lit("")), "\n")

@@ -22,8 +22,21 @@ REPLY_PREFIXES = (
 
 
 def parse(c: Column) -> Column:
-    """VARIANT of a JSON text, NULL when it is not valid JSON."""
-    return F.try_parse_json(c)
+    """VARIANT of a JSON text, NULL when it is not valid JSON from end to end.
+
+    The built-in parser stops after the first value and ignores what follows. Here the text becomes
+    the first element of an array that must close with a digest of the text, so anything after the
+    value makes the array invalid or moves the digest.
+    """
+    digest = F.xxhash64(c)
+    wrapped = F.try_parse_json(F.concat(F.lit("["), c, F.lit(","), digest.cast("string"), F.lit("]")))
+    return let(
+        wrapped,
+        lambda w: F.when(
+            F.try_variant_get(w, "$[1]", "bigint") == digest,
+            F.try_variant_get(w, "$[0]", "variant"),
+        ),
+    )
 
 
 def kind(v: Column) -> Column:

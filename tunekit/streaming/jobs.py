@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
+from pyspark.sql.types import StructType
 
 from tunekit.operators.inference import Model, infer
 from tunekit.operators.parsing import Parsers, parse_documents
@@ -45,6 +46,18 @@ def stream_jsonl(spark: SparkSession, path: str, max_files: int = 1000) -> DataF
     return parse_lines(spark.readStream.option("maxFilesPerTrigger", str(max_files)).text(path))
 
 
+def stream_table(
+    spark: SparkSession, path: str, schema: StructType | str, fmt: str = "parquet", max_files: int = 1000
+) -> DataFrame:
+    """Rows of new files of a mirrored dataset, ``max_files`` per micro-batch."""
+    return (
+        spark.readStream.format(fmt)
+        .schema(schema)
+        .option("maxFilesPerTrigger", str(max_files))
+        .load(path)
+    )
+
+
 def append_parquet(df: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
     """Process what is there, append exactly once, stop."""
     return (

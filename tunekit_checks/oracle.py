@@ -459,6 +459,17 @@ def oracle_sql() -> dict[str, str]:
       e AS (SELECT event_id, line, CASE WHEN NOT json_valid(line) THEN 'Invalid JSON' WHEN json_type(line) <> 'OBJECT' THEN 'Expected JSON object, got '||lower(json_type(line)) END AS error FROM l)
       SELECT event_id, error, CASE WHEN error IS NOT NULL THEN line END AS bad_line, CASE WHEN error IS NULL THEN json(line)::VARCHAR END AS value FROM e"""
 
+    sql["validate_by_type"] = f"""SELECT doc_id, dataset_type, reject_reason IS NULL AS valid, reject_reason FROM (
+      SELECT doc_id, ['sft', 'pretrain', 'dpo', 'other'][doc_id % 4 + 1] AS dataset_type, CASE doc_id % 4
+        WHEN 0 THEN CASE WHEN doc_id % 7 = 0 THEN 'blank input' WHEN {strip('text')} = '' THEN 'blank output' END
+        WHEN 1 THEN CASE WHEN {strip('text')} = '' THEN 'blank text' END
+        WHEN 2 THEN CASE WHEN {strip('text')} = '' THEN 'blank chosen' WHEN doc_id % 8 = 2 OR {strip('text')} = source THEN 'chosen equals rejected' END
+        ELSE 'unknown dataset type' END AS reject_reason FROM documents)"""
+    sql["jsonl_validity"] = """SELECT count(*) FILTER (event_id % 100 = 2) = 0 AS valid, count(*) FILTER (event_id % 100 <> 0) AS lines,
+      count(*) FILTER (event_id % 100 = 2) AS bad_lines FROM events"""
+    sql["html_sections"] = f"""SELECT page_id, t AS content, 0 AS level, 0 AS start_line, (length(t) - length(replace(t, {NL}, '')))::INTEGER AS end_line
+      FROM (SELECT page_id, {html_regex('html')} AS t FROM pages)"""
+
     for fmt in ("jsonl", "json", "csv", "tsv", "parquet"):
         sql[f"roundtrip_{fmt}"] = SOURCE_ROWS
     sql["convert_chain"] = SOURCE_ROWS

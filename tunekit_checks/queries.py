@@ -576,6 +576,22 @@ def validate_dpo(spark, sf_dir):
     return V.with_validity(pairs, "dpo").select("doc_id", "valid", "reject_reason")
 
 
+@query
+def validate_by_type(spark, sf_dir):
+    """Rows of mixed types that carry all columns."""
+    kinds = F.array(*map(F.lit, ["sft", "pretrain", "dpo", "other"]))
+    same = F.concat(col("text"), F.lit(" "))
+    rows = sft_entries(documents(spark, sf_dir)).withColumn("text", col("output"))
+    rows = rows.select(
+        "*",
+        F.element_at(kinds, (col("doc_id") % 4 + 1).cast("int")).alias("dataset_type"),
+        col("instruction").alias("prompt"),
+        col("text").alias("chosen"),
+        F.when(col("doc_id") % 8 == 2, same).otherwise(col("instruction")).alias("rejected"),
+    )
+    return V.with_validity_by_type(rows).select("doc_id", "dataset_type", "valid", "reject_reason")
+
+
 def _turns(spark, sf_dir) -> DataFrame:
     blank = (col("conv_id") % 9 == 0) & (col("turn") == 1)
     return table(spark, sf_dir, "conversations").withColumn(
@@ -789,6 +805,29 @@ def quarantine_bad_lines(spark, sf_dir):
     return D.parse_lines(lines).select("event_id", "error", "bad_line", F.to_json("value").alias("value"))
 
 
+def mixed_lines() -> Column:
+    kind = col("event_id") % 100
+    return (
+        F.when(kind == 0, F.lit("\t"))
+        .when(kind == 1, F.concat(F.lit("["), col("props"), F.lit("]")))
+        .when(kind == 2, F.concat(col("props"), F.lit(",")))
+        .otherwise(col("props"))
+    )
+
+
+@query
+def jsonl_validity(spark, sf_dir):
+    return D.is_valid_jsonl(table(spark, sf_dir, "events").select(mixed_lines().alias("value")))
+
+
+@query
+def html_sections(spark, sf_dir):
+    text = H.html_text(col("html"))
+    return table(spark, sf_dir, "pages").select(
+        "page_id", F.explode(S.single_section(text)).alias("s")
+    ).select("page_id", "s.content", "s.level", "s.start_line", "s.end_line")
+
+
 # --- round trips ------------------------------------------------------------------------------
 
 
