@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tunekit.llm.bytededup import without_repeats
 from tunekit.llm.parityjoin import similar_documents
 
 
@@ -17,6 +18,11 @@ def ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_documents(_documents(spark, sf_dir))
 
 
+def suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeats(_documents(spark, sf_dir)).drop("kept")
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_ngram_jaccard_join": ngram_jaccard_join,
+    "op8_suffix_array_dedup": suffix_array_dedup,
 }

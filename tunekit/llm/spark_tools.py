@@ -46,8 +46,8 @@ def membership(df: DataFrame, column: str, probes: int = 2) -> np.ndarray:
     return out
 
 
-def maybe_member(df: DataFrame, column: str, bits: np.ndarray, probes: int = 2) -> DataFrame:
-    """The rows whose bigint column may be in the filter; the filter travels as a broadcast of 2 MB."""
+def maybe_member(df: DataFrame, column: str, bits: np.ndarray, probes: int = 2, member: bool = True) -> DataFrame:
+    """The rows whose bigint column may be in the filter, or all others (nulls too); the filter travels as a broadcast of 2 MB."""
     shared = df.sparkSession.sparkContext.broadcast(bits)
 
     @F.pandas_udf(BooleanType())
@@ -60,7 +60,8 @@ def maybe_member(df: DataFrame, column: str, bits: np.ndarray, probes: int = 2)
             ok &= (shared.value[s >> 6] >> (s & 63)) & 1 == 1
         return pd.Series(ok)
 
-    return df.where(F.coalesce(kept(*_slots(column, probes)), F.lit(False)))
+    found = F.col(column).isNotNull() & kept(*_slots(column, probes))
+    return df.where(found if member else ~found)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
