@@ -5,15 +5,31 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tunekit.llm import langid, unigram
 from tunekit.llm.bytededup import without_repeats
 from tunekit.llm.parityjoin import similar_documents
+from tunekit.llm.vocabulary import read_pieces
+from tunekit.llm.wordpiece import count_tokens
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(_documents(spark, sf_dir).select("doc_id", "text"), read_pieces()).select("doc_id", "tokens.*")
+
+
+def sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text, how many, and whether decoding gives the text back."""
+    coded = unigram.encode(_documents(spark, sf_dir).select("doc_id", "text"), unigram.build(read_pieces()))
+    return coded.select(
+        "doc_id", "ids", F.coalesce(F.size("ids"), F.lit(0)).alias("n_pieces"), F.expr("decoded <=> text").alias("round_trip")
+    )
+
+
 def ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_documents(_documents(spark, sf_dir))
 
@@ -22,7 +38,18 @@ def suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(_documents(spark, sf_dir)).drop("kept")
 
 
+def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    out = langid.held_out(F.col("doc_id"))
+    model = langid.train(docs.where(~out).select("text", "lang"))
+    rows = docs.select("doc_id", "text", out.alias("held_out"))
+    return langid.identify(rows, model).select("doc_id", "held_out", "lang_pred", "score")
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_token_counts": token_counts,
+    "op4_sentencepiece": sentencepiece,
     "op7_ngram_jaccard_join": ngram_jaccard_join,
     "op8_suffix_array_dedup": suffix_array_dedup,
+    "op9_language_id": language_id,
 }
