@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from tunekit.llm import langid, unigram
 from tunekit.llm.bytededup import without_repeats
+from tunekit.llm.decontaminate import contaminated
 from tunekit.llm.parityjoin import similar_documents
+from tunekit.llm.unitdedup import without_repeated_units
 from tunekit.llm.vocabulary import read_pieces
 from tunekit.llm.wordpiece import count_tokens
 
@@ -18,6 +20,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_documents(spark, sf_dir).select("doc_id", "text"), read_pieces()).select("doc_id", "tokens.*")
 
@@ -30,6 +36,17 @@ def sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def line_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = without_repeated_units(_documents(spark, sf_dir).select("doc_id", "text", F.char_length("text").alias("n_chars")))
+    return kept.select(
+        "doc_id",
+        F.coalesce("n_chars", F.lit(0)).alias("n_chars"),
+        F.size("removed_units").alias("n_removed_units"),
+        F.array_join(F.transform("removed_units", lambda u: F.concat_ws("-", u["start"], u["end"])), " ").alias("removed_spans"),
+        F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"),
+    )
+
+
 def ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_documents(_documents(spark, sf_dir))
 
@@ -47,8 +64,10 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": decontamination,
     "op2_token_counts": token_counts,
     "op4_sentencepiece": sentencepiece,
+    "op6_line_hash_dedup": line_hash_dedup,
     "op7_ngram_jaccard_join": ngram_jaccard_join,
     "op8_suffix_array_dedup": suffix_array_dedup,
     "op9_language_id": language_id,
