@@ -2,4 +2,58 @@
 
 from __future__ import annotations
 
-SQL: dict[str, str] = {}
+_UNITS = """
+    SELECT doc_id, unit, pos,
+        coalesce(sum(length(unit) + 1) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+    FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS unit,
+                 generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents)
+"""
+
+_LINE_DEDUP = f"""
+WITH l AS ({_UNITS}),
+s AS (SELECT doc_id, pos, unit AS a, lead(unit) OVER w AS b, lead(unit, 2) OVER w AS c, lead(pos, 2) OVER w AS third FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+later AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, pos) AS n FROM s WHERE third IS NOT NULL),
+gone AS (SELECT DISTINCT doc_id, pos + d.i AS pos FROM later, (SELECT unnest([0, 1, 2]) AS i) d WHERE n > 1),
+marked AS (SELECT l.*, g.pos IS NOT NULL AS out FROM l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.pos = g.pos),
+islands AS (SELECT doc_id, pos, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM gone),
+runs AS (SELECT doc_id, string_agg((first - 1) || '-' || last, ' ' ORDER BY first) AS runs
+         FROM (SELECT doc_id, min(pos) AS first, max(pos) AS last FROM islands GROUP BY doc_id, island) GROUP BY doc_id),
+texts AS (SELECT doc_id, count(*)::INT AS n_lines, count(*) FILTER (out)::INT AS n_removed_lines,
+                 sha256(coalesce(string_agg(unit, chr(10) ORDER BY pos) FILTER (NOT out), '')) AS kept_sha256 FROM marked GROUP BY doc_id)
+SELECT t.doc_id, n_lines, n_removed_lines, coalesce(runs, '') AS removed_runs, kept_sha256 FROM texts t LEFT JOIN runs r ON t.doc_id = r.doc_id
+"""
+
+_LINE_HASH_DEDUP = f"""
+WITH l AS ({_UNITS}),
+n AS (SELECT *, trim(regexp_replace(lower(unit), '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) AS norm FROM l),
+k AS (SELECT *, length(norm) - length(replace(norm, ' ', '')) >= 4
+              AND row_number() OVER (PARTITION BY norm ORDER BY doc_id, pos) > 1 AS out FROM n)
+SELECT doc_id, (max(start + length(unit)))::INT AS n_chars, count(*) FILTER (out)::INT AS n_removed_units,
+       coalesce(string_agg(start::BIGINT || '-' || (start + length(unit))::BIGINT, ' ' ORDER BY pos) FILTER (out), '') AS removed_spans,
+       sha256(coalesce(string_agg(unit, chr(10) ORDER BY pos) FILTER (NOT out), '')) AS kept_sha256
+FROM k GROUP BY doc_id
+"""
+
+_ROOT = (
+    "sha256(array_to_string(list_transform(string_split({t}, chr(10) || chr(10)), lambda s: "
+    "sha256(array_to_string(list_transform(string_split(s, chr(10)), lambda p: sha256(p)), ','))), '|'))"
+)
+_LEAVES = "list_distinct(regexp_extract_all({t}, '[^\\n]{{1,32}}'))"
+_NEAR = (
+    "CASE WHEN fingerprint = {x}_fingerprint THEN 1.0 WHEN len(leaves) + len({x}_leaves) = 0 THEN 0.0 "
+    "ELSE 2.0::DOUBLE * len(list_intersect(leaves, {x}_leaves)) / (len(leaves) + len({x}_leaves)) END::DOUBLE AS near_{x}"
+)
+_MERKLE = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, coalesce(lead(text) OVER (ORDER BY doc_id, text), first(text) OVER (ORDER BY doc_id, text)) AS next, length(text) AS n_chars FROM d),
+e AS (SELECT *, substring(text, 1, n_chars - n_chars // 4) || substring(next, 1, n_chars // 4) AS edited FROM w),
+f AS (SELECT *, {_ROOT.format(t="text")} AS fingerprint, {_ROOT.format(t="edited")} AS edited_fingerprint, {_ROOT.format(t="next")} AS next_fingerprint,
+             {_LEAVES.format(t="text")} AS leaves, {_LEAVES.format(t="edited")} AS edited_leaves, {_LEAVES.format(t="next")} AS next_leaves FROM e)
+SELECT doc_id, n_chars, sha256(edited) AS edited_sha256, fingerprint, edited_fingerprint, {_NEAR.format(x="edited")}, {_NEAR.format(x="next")} FROM f
+"""
+
+SQL: dict[str, str] = {
+    "op5_line_dedup": _LINE_DEDUP,
+    "op6_line_hash_dedup": _LINE_HASH_DEDUP,
+    "op10_merkle_fingerprints": _MERKLE,
+}

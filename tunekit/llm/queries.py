@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from tunekit.llm import langid, unigram
 from tunekit.llm.bytededup import without_repeats
 from tunekit.llm.decontaminate import contaminated
+from tunekit.llm.linedup import without_repeated_lines
+from tunekit.llm.merkle import fingerprints
 from tunekit.llm.parityjoin import similar_documents
 from tunekit.llm.unitdedup import without_repeated_units
 from tunekit.llm.vocabulary import read_pieces
@@ -36,6 +38,19 @@ def sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1))
+    kept = without_repeated_lines(_documents(spark, sf_dir).select("doc_id", "text", lines.alias("n_lines")))
+    removed = F.aggregate("removed_runs", F.lit(0), lambda n, r: n + r["end"] - r["first"])
+    return kept.select(
+        "doc_id",
+        "n_lines",
+        removed.alias("n_removed_lines"),
+        F.array_join(F.transform("removed_runs", lambda r: F.concat_ws("-", r["first"], r["end"])), " ").alias("removed_runs"),
+        F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"),
+    )
+
+
 def line_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = without_repeated_units(_documents(spark, sf_dir).select("doc_id", "text", F.char_length("text").alias("n_chars")))
     return kept.select(
@@ -63,12 +78,20 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(rows, model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(_documents(spark, sf_dir)).select(
+        "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next"
+    )
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": decontamination,
     "op2_token_counts": token_counts,
     "op4_sentencepiece": sentencepiece,
+    "op5_line_dedup": line_dedup,
     "op6_line_hash_dedup": line_hash_dedup,
     "op7_ngram_jaccard_join": ngram_jaccard_join,
     "op8_suffix_array_dedup": suffix_array_dedup,
     "op9_language_id": language_id,
+    "op10_merkle_fingerprints": merkle_fingerprints,
 }
