@@ -91,9 +91,9 @@ def groups(ends: np.ndarray, size: int = PIECE) -> Iterator[tuple[int, int]]:
         row = last
 
 
-def _words_of_piece(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _words_of_piece(data: np.ndarray, breaks: np.ndarray, separator: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Start of every word and its hash; words end at white space and at breaks (row starts)."""
-    inside = ~SPACE[data]
+    inside = ~separator[data]
     before, after = np.empty_like(inside), np.empty_like(inside)
     before[0], before[1:] = False, inside[:-1]
     after[-1], after[:-1] = False, inside[1:]
@@ -111,32 +111,32 @@ def _long_word(data: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(LOWER[data].tobytes(), digest_size=8).digest(), "little")
 
 
-def word_hashes(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words (runs without ASCII white space, A-Z lower-cased) and, per row, where its words begin.
+def word_hashes(data: np.ndarray, ends: np.ndarray, separator: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words (runs without separators, by default ASCII white space; A-Z lower-cased) and, per row, where its words begin.
 
     Rows longer than a piece are cut at white space, so memory follows the number of words.
     """
     if len(ends) > 2 or len(data) <= PIECE:
-        start, hashes = _words_of_piece(data, ends[:-1]) if len(data) else (ends[:0], BYTE_VALUES[:0])
+        start, hashes = _words_of_piece(data, ends[:-1], separator) if len(data) else (ends[:0], BYTE_VALUES[:0])
         return hashes, np.searchsorted(start, ends)
     found, at = [], 0
     none = np.zeros(1, dtype=np.int64)
     while at < len(data):
         end = min(at + PIECE, len(data))
         if end < len(data):
-            spaces = np.flatnonzero(SPACE[data[at:end]])
+            spaces = np.flatnonzero(separator[data[at:end]])
             if len(spaces) and spaces[-1] > 0:
                 end = at + int(spaces[-1])
             else:  # one word fills the piece: go on to its end
-                while end < len(data) and not len(spaces := np.flatnonzero(SPACE[data[end : end + PIECE]])):
+                while end < len(data) and not len(spaces := np.flatnonzero(separator[data[end : end + PIECE]])):
                     end = min(end + PIECE, len(data))
                 end += int(spaces[0]) if end < len(data) else 0
         piece = data[at:end]
         if len(piece) > PIECE:
-            piece = piece[1:] if SPACE[piece[0]] else piece
+            piece = piece[1:] if separator[piece[0]] else piece
             found.append(np.array([_long_word(piece)], dtype=np.uint64))
         else:
-            found.append(_words_of_piece(piece, none)[1])
+            found.append(_words_of_piece(piece, none, separator)[1])
         at = end
     hashes = np.concatenate(found)
     return hashes, np.array([0, len(hashes)])

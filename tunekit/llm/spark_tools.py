@@ -35,8 +35,13 @@ def membership(df: DataFrame, column: str, probes: int = 2) -> np.ndarray:
     Rows are folded into 64-bit words by a grouping with at most FILTER_BITS / 64 groups, so what
     reaches the driver is bounded too.
     """
+    return fold_slots(df, _slots(column, probes))
+
+
+def fold_slots(df: DataFrame, slots: list) -> np.ndarray:
+    """A bit for every slot number (below FILTER_BITS) that some row has, as 64-bit words."""
     words = (
-        df.select(F.explode(F.array(*_slots(column, probes))).alias("slot"))
+        df.select(F.explode(F.array(*slots)).alias("slot"))
         .groupBy(F.shiftright("slot", 6).alias("word"))
         .agg(F.expr("bit_or(shiftleft(1L, cast(slot % 64 AS int)))").alias("bits"))
         .toPandas()
