@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tunekit.llm import langid, unigram
+from tunekit.llm import langid, secrets, unigram
 from tunekit.llm.bytededup import without_repeats
 from tunekit.llm.decontaminate import contaminated
 from tunekit.llm.linedup import without_repeated_lines
@@ -30,6 +30,15 @@ def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_documents(spark, sf_dir).select("doc_id", "text"), read_pieces()).select("doc_id", "tokens.*")
 
 
+def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate with its verdict; values are given as digests only."""
+    pieces = read_pieces()
+    words = [w.strip("▁") for w in pieces.pieces if w.strip("▁").isalpha() and len(w) > 3]
+    found = secrets.scan(_documents(spark, sf_dir), spark.createDataFrame([(w,) for w in words], "word string"))
+    digest = F.sha2(F.col("value").cast("binary"), 256).alias("value_sha256")
+    return found.select("doc_id", "word", digest, F.col("length").cast("int").alias("length"), F.round("probability", 6).alias("probability"), "is_secret")
+
+
 def sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text, how many, and whether decoding gives the text back."""
     coded = unigram.encode(_documents(spark, sf_dir).select("doc_id", "text"), unigram.build(read_pieces()))
@@ -87,6 +96,7 @@ def merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": decontamination,
     "op2_token_counts": token_counts,
+    "op3_secret_scan": secret_scan,
     "op4_sentencepiece": sentencepiece,
     "op5_line_dedup": line_dedup,
     "op6_line_hash_dedup": line_hash_dedup,
