@@ -1,14 +1,71 @@
-"""Documents to training rows, as stages that each write a table and read it again."""
+"""Documents to training rows, as stages that each write a table and read it again.
+
+Each stage takes all rows that the one before kept, and its decisions take effect; all but the last
+return the columns of documents. Rows without ``doc_id`` pass every stage that decides by id.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tunekit.llm import langid, unigram
+from tunekit.llm.decontaminate import contaminated
+from tunekit.llm.linedup import without_repeated_lines
+from tunekit.llm.parityjoin import similar_documents
+from tunekit.llm.spark_tools import maybe_member, membership, stage
+from tunekit.llm.vocabulary import read_pieces
+
+MIN_SCORE = 0.5
+
+
+def _without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose doc_id isn't in ids; only rows that a fixed-size filter can't clear are shuffled."""
+    filtered = membership(ids, "doc_id")
+    clear = maybe_member(docs, "doc_id", filtered, member=False)
+    return clear.unionAll(maybe_member(docs, "doc_id", filtered).join(ids, "doc_id", "left_anti").select(*docs.columns))
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop texts without a letter and those whose language is a guess; learns from the rows that aren't held out."""
+    model = langid.train(docs.where(~langid.held_out(F.col("doc_id"))).select("text", "lang"))
+    kept = langid.identify(docs, model, lang="__lang", confidence="__score").where((F.col("__lang") != langid.UNKNOWN) & (F.col("__score") >= MIN_SCORE))
+    return kept.select(*docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Delete later copies of line runs; a text of which nothing is left goes."""
+    cut = without_repeated_lines(docs, runs="__runs").where((F.size("__runs") == 0) | (F.col("text") != ""))
+    return cut.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+
+
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of similar documents the one with the least id stays."""
+    groups = stage(similar_documents(docs), "pipeline-groups")
+    return _without_ids(docs, groups.where("component_id != doc_id").select("doc_id").distinct())
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark passage go."""
+    found = stage(contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")), "pipeline-leaks")
+    return _without_ids(docs, found.where("doc_id IS NOT NULL").select("doc_id").distinct())
+
+
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Adds the ids of every text, their number and whether decoding them gives the text back."""
+    coded = unigram.encode(docs, unigram.build(read_pieces()))
+    return coded.select(*docs.columns, "ids", F.coalesce(F.size("ids"), F.lit(0)).alias("n_pieces"), F.expr("decoded <=> text").alias("round_trip"))
 
-from tunekit.llm.spark_tools import stage
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", language_id),
+    ("line_dedup", line_dedup),
+    ("ngram_jaccard_join", ngram_jaccard_join),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("sentencepiece", sentencepiece),
+]
 ORACLE_SQL = None
 
 
