@@ -4,6 +4,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from tunekit.functions import json_text as J
 from tunekit.operators.fields import FieldNotFound, require_field, require_variant_field, variant_fields
 from tunekit.operators.parsing import Parsers, UnsupportedFormat, extract_pages, parse_documents, with_page_content
 from tunekit.sources import datasets as D
@@ -71,9 +72,9 @@ def test_jsonl_lines(spark, tmp_path):
     f.write_text('{"a":1}\n\n  \nnot json\n[1]\n{"b":null,"c":{"d":[1]}}\n', encoding="utf-8")
     rows = D.scan_jsonl(spark, str(f)).orderBy(*D.ORDER_COLUMNS).collect()
     assert [r.error for r in rows] == [
-        None, "Invalid JSON", "Expected JSON object, got array", None]
+        None, "Invalid JSON", "Line is no JSON object but array", None]
     assert [(r.line, r.error) for r in D.bad_line_numbers(spark, str(f)).orderBy("line").collect()] == [
-        (4, "Invalid JSON"), (5, "Expected JSON object, got array")]
+        (4, "Invalid JSON"), (5, "Line is no JSON object but array")]
     assert D.quarantined_lines(spark, str(f)).count() == 2
     good = D.read_jsonl_variant(spark, str(f), strict=False)
     assert [r[0] for r in variant_fields(good).collect()] == ["a", "b", "c"]
@@ -200,3 +201,61 @@ def test_pages(spark):
     assert [(s.title, s.start_line) for s in a.sections] == [("Page 1", 0), ("Page 2", 1)]
     assert a.metadata == {"page_count": "4"}
     assert out["b.pdf"].error == "Failed to parse b.pdf: broken" and out["b.pdf"].content is None
+
+
+def test_strict_lines(spark, tmp_path):
+    for bad in ('{"a":5}{"a":6}', '{"a":4} junk', '[{"a":2},{"a":3}]', "7", '{"a":'):
+        f = tmp_path / "x.jsonl"
+        f.write_text('{"a":1}\n' + bad + "\n\n")
+        with pytest.raises(Exception, match="x.jsonl"):
+            D.read_dataset(spark, str(f)).collect()
+        assert [r.a for r in D.read_dataset(spark, str(f), strict=False).collect()] == [1]
+        assert [r.a for r in D.read_dataset(spark, str(f), schema="a long", strict=False).collect()] == [1]
+
+
+def test_strict_arrays(spark, tmp_path):
+    f = tmp_path / "x.json"
+    for bad in ('[{"a":1}] [{"a":2}]', '{"a":1}', "[1]", '[{"a":1}', "[null]"):
+        f.write_text(bad)
+        with pytest.raises(Exception):
+            D.read_dataset(spark, str(f), schema="a long").collect()
+    f.write_text(' [{"a":1},\n{"b":"x"}]\n')
+    assert [tuple(r) for r in D.read_dataset(spark, str(f)).collect()] == [(1, None), (None, "x")]
+
+
+def test_large_values(spark, tmp_path):
+    f = tmp_path / "x.jsonl"
+    f.write_text(json.dumps({"a": "x" * (40 << 20)}) + "\n" + json.dumps({"a": "y"}) + "\n")
+    assert sorted(r.n for r in D.read_dataset(spark, str(f)).selectExpr("length(a) AS n").collect()) == [1, 40 << 20]
+    leaves = spark.read.text(str(f)).select(J.string_leaves(F.col("value")).alias("v")).selectExpr("length(v[0]) AS n")
+    assert sorted(r.n for r in leaves.collect()) == [1, 40 << 20]
+
+
+def test_ragged_rows(spark, tmp_path):
+    f = tmp_path / "x.csv"
+    f.write_text('a,b\n1,2,3\n4\n5,"6,""x",7,"8,9"\n')
+    with pytest.raises(Exception, match="more cells"):
+        D.read_dataset(spark, str(f)).collect()
+    got = sorted(tuple(r) for r in D.read_dataset(spark, str(f), extra="more").collect())
+    assert got == [("1", "2", '["3"]'), ("4", None, None), ("5", '6,"x', '["7","8,9"]')]
+
+
+def test_different_headers(spark, tmp_path):
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "1.csv").write_text("a,b\n1,2\n")
+    (tmp_path / "d" / "2.csv").write_text("b,c\n3,4\n")
+    (tmp_path / "d" / "3.csv").write_text("a,b\n5,6\n")
+    for got in (D.read_dataset(spark, str(tmp_path / "d")), D.read_directory(spark, str(tmp_path / "d"))):
+        assert sorted((tuple(r) for r in got.select("a", "b", "c").collect()), key=str) == sorted([("1", "2", None), ("5", "6", None), (None, "3", "4")], key=str)
+
+
+@pytest.mark.parametrize("fmt", ["jsonl", "json", "csv", "tsv", "parquet"])
+def test_null_columns_stay(spark, tmp_path, fmt):
+    path = str(tmp_path / f"x.{fmt}")
+    W.write_dataset(spark.createDataFrame([(1, None), (2, None)], "a long, b string"), path)
+    assert sorted(D.read_dataset(spark, path).columns) == ["a", "b"]
+
+
+def test_csv_mirror(spark, tmp_path):
+    W.write_dataset(spark.range(3), str(tmp_path / "ds" / "default" / "train"), "csv")
+    assert D.describe_mirror(spark, str(tmp_path), "ds", "csv").first().rows == 3

@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 _SHORT = 64
 
 
+def quoted(name: str) -> Column:
+    """The column of exactly this name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once per row and use it several times inside ``body``.
 
@@ -26,7 +31,7 @@ def bind(df: DataFrame, name: str, value: Column) -> DataFrame:
     A filter on an ordinary computed column is pushed below its projection with a copy of the whole
     expression; a generated column cannot be copied.
     """
-    return df.select(*[c for c in df.columns if c != name], F.explode(F.array(value)).alias(name))
+    return df.select(*[quoted(c) for c in df.columns if c != name], F.explode(F.array(value)).alias(name))
 
 
 def indexes(array: Column) -> Column:

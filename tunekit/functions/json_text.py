@@ -39,6 +39,24 @@ def parse(c: Column) -> Column:
     )
 
 
+# Above this many characters a value may be too large for a VARIANT.
+LARGE = 4_000_000
+# Strict JSON, strings of any length.
+STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false", "maxStringLen": str((1 << 31) - 1)}
+
+
+def is_valid(c: Column) -> Column:
+    """Whether a text is valid JSON from end to end, also where it is too large to become a VARIANT."""
+
+    def whole(text: Column) -> Column:
+        digest = F.xxhash64(text).cast("string")
+        both = F.from_json(F.concat(F.lit("["), text, F.lit(","), digest, F.lit("]")), "array<string>", STRICT)
+        return let(both, lambda a: F.coalesce((F.size(a) == 2) & (F.get(a, F.lit(1)) == digest), F.lit(False)))
+
+    large = F.length(c) > LARGE
+    return F.coalesce(F.when(large, whole(F.when(large, c))).otherwise(parse(F.when(~large, c)).isNotNull()), F.lit(False))
+
+
 def kind(v: Column) -> Column:
     """'object', 'array', 'null', or the lower-cased scalar type of a VARIANT."""
     head = F.regexp_extract(F.schema_of_variant(v), r"^([A-Z]+)", 1)
@@ -149,6 +167,6 @@ def string_leaves(text: Column) -> Column:
         F.regexp_extract_all(text, F.lit(token), F.lit(0)), lambda t: F.endswith(t, F.lit('"'))
     )
     decoded = F.from_json(
-        F.concat(F.lit("["), F.array_join(values, ","), F.lit("]")), "array<string>"
+        F.concat(F.lit("["), F.array_join(values, ","), F.lit("]")), "array<string>", STRICT
     )
-    return F.when(parse(text).isNotNull(), F.filter(decoded, has_text))
+    return F.when(is_valid(text), F.filter(decoded, has_text))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tunekit.functions import json_text as J
+from tunekit.functions.arrays import quoted
 from tunekit.functions.text import file_name
 
 
@@ -50,7 +51,7 @@ def require_variant_field(
     present = df.filter(J.member(F.col(variant_col), target).isNotNull())
     if not present.isEmpty():
         return True
-    names = [r["field"] for r in variant_fields(df, variant_col).limit(1000).collect()]
+    names = [r["field"] for r in variant_fields(df, variant_col).collect()]
     raise FieldNotFound(target, names)
 
 
@@ -85,9 +86,12 @@ def profile(df: DataFrame, order: Sequence[str], sample: int = 3) -> DataFrame:
     names = F.array(*[F.lit(c) for c in df.columns])
     counted = df.agg(F.count(F.lit(1)).alias("rows"))
     head = (
-        df.orderBy(*order)
+        df.orderBy(*map(quoted, order))
         .limit(sample)
-        .select(F.struct(*order).alias("_at"), F.to_json(F.struct(*df.columns)).alias("_row"))
+        .select(
+            F.struct(*map(quoted, order)).alias("_at"),
+            F.to_json(F.struct(*map(quoted, df.columns))).alias("_row"),
+        )
         .agg(F.array_sort(F.collect_list(F.struct("_at", "_row"))).alias("_head"))
         .select(F.transform("_head", lambda h: h["_row"]).alias("sample"))
     )

@@ -13,7 +13,9 @@ from pyspark.sql.utils import AnalysisException
 
 from tunekit.functions.text import strip
 from tunekit.operators.prompts import value_text
+from tunekit.sources.shared import work_dir
 
+DEFAULT_NAMES = ("column", "batch")
 REPLY_TYPE = "raw_content string, error string"
 
 # Failure classes and the words that mark them.
@@ -153,6 +155,9 @@ def _staged(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
+_SLOTS = 1 << 20
+
+
 def infer_staged(
     df: DataFrame,
     model: Model,
@@ -164,39 +169,46 @@ def infer_staged(
 ) -> DataFrame:
     """Like :func:`infer`, but replies land in a Parquet table and a rerun skips what it holds.
 
-    The work is cut into ``waves`` by a hash of the request id; each wave is one committed write,
-    so a lost driver costs at most one wave. ``key_cols`` must identify a row. The result is the
-    input joined with its staged replies, safe to read many times.
+    The input is evaluated once and written to the shared folder, cut into ``waves`` by a hash of the
+    request id. Each wave reads its own part, leaves out the ids that are answered, and is one committed
+    write, so a lost driver costs at most one wave. ``key_cols`` must identify a row; the model needs a
+    name of its own (with its version), as its replies are found again by it. A request that was tried
+    more than once has the reply of its last success, or else its last failure.
     """
     if waves < 1:
         raise ValueError("waves must be positive")
+    if model.name in DEFAULT_NAMES:
+        raise ValueError("name the model (and its version): replies are staged under that name")
     spark = df.sparkSession
-    requests = df.withColumn("request_id", request_id(key_cols, model.name))
-    wave_of = F.pmod(F.xxhash64("request_id"), F.lit(waves))
+    path = work_dir(spark, "requests")
+    slot = F.pmod(F.xxhash64("request_id"), F.lit(_SLOTS))
+    requests = df.withColumn("request_id", request_id(key_cols, model.name)).withColumn("_slot", slot)
+    requests = requests.withColumn("_wave", F.floor(F.col("_slot") * waves / _SLOTS).cast("int"))
+    requests.write.partitionBy("_wave").parquet(path)
+    requests = spark.read.schema(requests.schema).parquet(path)
+    before = _staged(spark, staging)
+    attempt = 1 if before is None else (before.agg(F.max("attempt")).first()[0] or 0) + 1
     for wave in range(waves):
-        todo = requests.select("request_id", "system_prompt", "user_prompt")
-        if waves > 1:
-            todo = todo.filter(wave_of == wave)
-        done = _staged(spark, staging)
-        if done is not None:
+        todo = requests.filter(F.col("_wave") == wave).select("request_id", "_slot", "system_prompt", "user_prompt")
+        if before is not None:
+            # A wave's replies lie in files of its own range of slots.
+            low, high = (-(-w * _SLOTS // waves) for w in (wave, wave + 1))
+            done = before.filter((F.col("_slot") >= low) & (F.col("_slot") < high))
             if retry_failed:
                 done = done.filter(F.col("error").isNull())
-            if waves > 1:
-                done = done.filter(wave_of == wave)
             todo = todo.join(done.select("request_id"), "request_id", "left_anti")
-        infer(todo, model, partitions=partitions).select(
-            "request_id", "raw_content", "error"
+        # Rows with equal keys and prompts are one request.
+        infer(todo.dropDuplicates(["request_id"]), model, partitions=partitions).select(
+            "request_id", "_slot", F.lit(attempt).alias("attempt"), "raw_content", "error"
         ).write.mode("append").parquet(staging)
-    # A retried request has a failed row and perhaps a later success: keep the success.
-    replies = (
-        spark.read.parquet(staging)
-        .groupBy("request_id")
-        .agg(
-            F.max("raw_content").alias("raw_content"),
-            F.when(~F.bool_or(F.col("error").isNull()), F.max("error")).alias("error"),
-        )
-    )
-    return requests.join(replies, "request_id", "left").drop("request_id")
+    replies = spark.read.parquet(staging).drop("_slot")
+    tried = F.struct(F.col("error").isNull().alias("good"), "attempt")
+    best = replies.groupBy("request_id").agg(F.max(tried).alias("_best"))
+    best = best.select("request_id", F.col("_best.attempt").alias("attempt"))
+    chosen = replies.join(best, ["request_id", "attempt"])
+    return requests.drop("_slot", "_wave").join(
+        chosen.select("request_id", "raw_content", "error"), "request_id", "left"
+    ).drop("request_id")
 
 
 # --- request planning -----------------------------------------------------------------------

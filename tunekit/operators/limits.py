@@ -1,50 +1,17 @@
-"""First rows, small and large."""
+"""First rows by order, and any first rows."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from tunekit.sources.shared import ensure_checkpoint_dir
-
-# Up to here a limit may pass through one task; beyond it rows stay where they are.
-SMALL_LIMIT = 100_000
-_POSITION = (1 << 33) - 1
-
-
-def _cut(numbered: DataFrame, n: int) -> DataFrame:
-    """Keep the first ``n`` rows by ``_id``, a partition number and a position in the partition.
-
-    Only one count per partition reaches the driver.
-    """
-    part, position = F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit(_POSITION))
-    left, kept = n, F.lit(False)
-    for row in sorted(numbered.groupBy(part.alias("part")).count().collect()):
-        if left <= 0:
-            break
-        kept = (part < row["part"]) | ((part == row["part"]) & (position < left))
-        left -= row["count"]
-    return numbered.filter(kept).drop("_id")
 
 
 def first_rows(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
-    """First ``n`` rows by order.
-
-    A small ``n`` is a top-n per task and one merge. A large one is a distributed sort, cut at the
-    right row of the right partition; the sorted rows are checkpointed so both passes see the same.
-    """
-    if n <= SMALL_LIMIT:
-        return df.orderBy(*order).limit(n)
-    ensure_checkpoint_dir(df.sparkSession)
-    ordered = df.orderBy(*order).withColumn("_id", F.monotonically_increasing_id())
-    return _cut(ordered.checkpoint(), n)
+    """First ``n`` rows by order: each task keeps its own first ``n``, and those are merged."""
+    return df.orderBy(*order).limit(n)
 
 
 def head_rows(df: DataFrame, n: int) -> DataFrame:
-    """Any first ``n`` rows of a file scan, in file order for a large ``n``. The counting pass over
-    a Parquet scan reads no columns."""
-    if n <= SMALL_LIMIT:
-        return df.limit(n)
-    return _cut(df.withColumn("_id", F.monotonically_increasing_id()), n)
+    """Any first ``n`` rows; scanning stops once they are found."""
+    return df.limit(n)

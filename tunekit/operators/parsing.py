@@ -146,12 +146,13 @@ def parse_documents(
     def only(name: str) -> Column:
         return F.when(builtin & (F.col("doc_type") == name), raw)
 
+    typed = bind(typed, "_leaves", J.string_leaves(only("json")))
     content = (
         F.when(builtin & F.col("doc_type").isin("markdown", "text", "code"), raw)
         .when(builtin & (F.col("doc_type") == "html"), H.html_text(only("html"), html_method))
         .when(
             builtin & (F.col("doc_type") == "json"),
-            F.array_join(J.string_leaves(only("json")), "\n"),
+            F.array_join("_leaves", "\n"),
         )
     )
     for ext, (to_content, _) in parsers.custom.items():
@@ -182,7 +183,8 @@ def parse_documents(
         F.when(builtin & (F.col("doc_type") == "markdown"), S.markdown_sections(body))
         .when(builtin & (F.col("doc_type") == "text"), S.text_sections(body))
         .when(builtin & (F.col("doc_type") == "code"), S.code_sections(body, code_language(path)))
-        .when(builtin & F.col("doc_type").isin("html", "json"), S.single_section(body))
+        .when(builtin & (F.col("doc_type") == "html"), S.single_section(body))
+        .when(builtin & (F.col("doc_type") == "json"), S.leaf_section(body, F.size("_leaves")))
     )
     for ext, (_, to_sections) in parsers.custom.items():
         found = found.when(F.col("_ext") == ext, to_sections(body))

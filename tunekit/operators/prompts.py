@@ -7,6 +7,8 @@ from string import Formatter
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tunekit.functions.arrays import quoted
+
 from tunekit.operators.entries import fields_of
 
 # Words that differ between the two written standards of Chinese.
@@ -183,7 +185,7 @@ def topic_user_prompt(
 def value_text(column: str, dtype: str) -> Column:
     """A field as prompt text: nested values as JSON."""
     nested = dtype.startswith(("struct", "array", "map", "variant"))
-    return F.to_json(F.col(column)) if nested else F.col(column).cast("string")
+    return F.to_json(quoted(column)) if nested else quoted(column).cast("string")
 
 
 def context_text(dtypes: dict[str, str], fields: tuple[str, ...]) -> Column:

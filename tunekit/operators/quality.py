@@ -101,24 +101,46 @@ class LexiconScorer:
 @dataclass(frozen=True)
 class BatchScorer:
     """A Python classifier. ``load`` runs once per task and returns ``call(texts) -> probabilities``
-    of the accepted label. All windows of an Arrow batch reach it together."""
+    of the accepted label, on up to ``batch_size`` windows at a time. A batch that raises, or returns
+    another number of scores, is tried again text by text; a text without a score passes, as the
+    check must not lose what it cannot judge."""
 
     load: Callable[[], Callable[[list[str]], Sequence[float]]]
     tokenizer: str = "char"
+    batch_size: int = 256
+
+    def __post_init__(self) -> None:
+        if self.batch_size < 1:
+            raise ValueError("batch_size must be positive")
 
     def mean_scores(self, windows: Column) -> Column:
-        load = self.load
+        load, size = self.load, self.batch_size
+
+        def scored(call, texts: list[str]) -> list[float | None]:
+            try:
+                scores = [float(x) for x in call(texts)]
+                if len(scores) != len(texts):
+                    raise ValueError("as many scores as texts are needed")
+                return scores
+            except Exception:
+                if len(texts) == 1:
+                    return [None]
+                return [s for t in texts for s in scored(call, [t])]
+
+        def mean(scores: list[float | None]) -> float | None:
+            return None if None in scores or not scores else sum(scores) / len(scores)
 
         def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             call = load()
             for rows in batches:
                 flat = [w for row in rows if row is not None for ws in row for w in ws]
-                scores = iter(call(flat) if flat else [])
+                slices = (flat[i : i + size] for i in range(0, len(flat), size))
+                scores = iter([s for part in slices for s in scored(call, part)])
                 yield pd.Series(
                     [
                         None
                         if row is None
-                        else [sum(next(scores) for _ in ws) / len(ws) for ws in row]
+                        else [mean([next(scores) for _ in ws]) for ws in row]
                         for row in rows
                     ]
                 )

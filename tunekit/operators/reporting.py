@@ -1,4 +1,4 @@
-"""Run and file summaries. Every grouping pre-aggregates, and error samples are bounded top-k."""
+"""Run and file summaries. Every counting pre-aggregates."""
 
 from __future__ import annotations
 
@@ -61,9 +61,11 @@ def file_results(
     key: str = "source_path",
     order: str = "chunk_index",
     error: str = "error",
-    errors_kept: int = ERRORS_SHOWN,
+    errors_kept: int | None = None,
 ) -> DataFrame:
-    """Per file: chunks processed, entries generated, error count, first errors, success.
+    """Per file: chunks processed, entries generated, error count, errors in chunk order, success.
+
+    All errors of a file are listed, at most one per chunk; ``errors_kept`` keeps only the first ones.
 
     ``files`` and ``chunks`` may carry an ``error`` column. All counts come from one grouping with
     partial aggregation, so a file with most of the chunks shuffles one row per task. A file
@@ -87,15 +89,13 @@ def file_results(
             F.count_if("_bad").alias("_bad_chunks"),
         )
     )
-    # row_number <= k is cut down inside each task before the shuffle, so a hot file sends k rows.
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(order))
-    samples = (
-        chunks.select(key, order, failed.alias("_error"))
-        .filter(F.col("_error").isNotNull())
-        .withColumn("_rank", rank)
-        .filter(F.col("_rank") <= errors_kept)
-        .groupBy(key)
-        .agg(F.array_sort(F.collect_list(F.struct("_rank", "_error"))).alias("_samples"))
+    bad = chunks.select(key, F.col(order).alias("_order"), failed.alias("_error")).filter(F.col("_error").isNotNull())
+    if errors_kept is not None:
+        # row_number <= k is cut down inside each task before the shuffle, so a hot file sends k rows.
+        rank = F.row_number().over(Window.partitionBy(key).orderBy("_order"))
+        bad = bad.withColumn("_rank", rank).filter(F.col("_rank") <= errors_kept).drop("_rank")
+    samples = bad.groupBy(key).agg(
+        F.array_sort(F.collect_list(F.struct("_order", "_error"))).alias("_samples")
     )
     whole_file = F.coalesce(
         F.col("_file_error"), F.when(F.col("chunks_processed") == 0, NO_CONTENT)

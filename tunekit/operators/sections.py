@@ -67,6 +67,11 @@ def single_section(content: Column) -> Column:
     return F.array(_section(_no_title(), content, F.lit(0), F.lit(0), last))
 
 
+def leaf_section(content: Column, leaves: Column) -> Column:
+    """One untitled section over JSON leaves, counted as one line each (-1 as its end for none)."""
+    return F.array(_section(_no_title(), content, F.lit(0), F.lit(0), leaves - 1))
+
+
 def markdown_sections(content: Column) -> Column:
     """Sections at ATX headings; the text before the first heading is an untitled section."""
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import warnings
 from collections.abc import Sequence
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tunekit.functions import json_text as J
-from tunekit.functions.arrays import bind
+from tunekit.functions.arrays import bind, quoted
 from tunekit.functions.text import extension, has_text, is_blank, remove_nul, strip
 from tunekit.operators.fields import union_datasets
 from tunekit.operators.limits import head_rows
@@ -119,7 +120,7 @@ def parse_lines(lines: DataFrame, text_col: str = "value") -> DataFrame:
     parsed = bind(full, "_v", J.parse(strip(F.col(text_col))))
     error = F.when(F.col("_v").isNull(), "Invalid JSON").when(
         ~J.is_object(F.col("_v")),
-        F.concat(F.lit("Expected JSON object, got "), J.kind(F.col("_v"))),
+        F.concat(F.lit("Line is no JSON object but "), J.kind(F.col("_v"))),
     )
     return parsed.select(
         *rest,
@@ -181,15 +182,46 @@ def is_valid_jsonl(lines: DataFrame, text_col: str = "value") -> DataFrame:
 # --- typed readers ---------------------------------------------------------------------------
 
 
+def _inferred(reader, path: str | Sequence[str]) -> T.StructType:
+    """The fields Spark finds in the valid records, in one pass over the files."""
+    found = reader.option("maxStringLen", J.STRICT["maxStringLen"]).json(path).schema
+    return T.StructType([f for f in found.fields if f.name != "_corrupt_record"])
+
+
+def _refused(error: Column, *about: Column) -> Column:
+    return F.raise_error(F.concat_ws(" ", error, F.lit("in"), F.col("_file"), *about))
+
+
+def _as_schema(spark: SparkSession, schema: T.StructType | str) -> T.StructType:
+    return schema if isinstance(schema, T.StructType) else spark.createDataFrame([], schema).schema
+
+
 def read_jsonl(
     spark: SparkSession,
     path: str | Sequence[str],
     schema: T.StructType | str | None = None,
     strict: bool = True,
 ) -> DataFrame:
-    """Typed JSON Lines. Without a schema Spark infers it in one extra pass over the files."""
-    reader = spark.read.option("mode", "FAILFAST" if strict else "DROPMALFORMED")
-    return (reader.schema(schema) if schema is not None else reader).json(path)
+    """Typed JSON Lines. Without a schema Spark infers it in one extra pass over the files.
+
+    Every line must be one JSON object from end to end. A strict read fails at a line that isn't, with
+    its file and beginning; else such lines are left out (see :func:`quarantined_lines`).
+    """
+    return _typed_lines(spark, spark.read.text(path), schema, strict, lambda: _inferred(spark.read, path))
+
+
+def _typed_lines(spark, lines, schema, strict, infer) -> DataFrame:
+    schema = _as_schema(spark, schema) if schema is not None else infer()
+    rows = lines.select("value", F.col("_metadata.file_path").alias("_file")).filter(~is_blank(F.col("value")))
+    text = strip(F.col("value"))
+    good = J.is_valid(text) & F.startswith(text, F.lit("{"))
+    if strict:
+        bad = F.when(J.is_valid(text), "Line holds no JSON object").otherwise("Invalid JSON")
+        text = F.when(good, text).otherwise(_refused(bad, F.lit("at:"), F.left(text, F.lit(80))))
+    else:
+        rows = rows.filter(good)
+    options = J.STRICT | {"mode": "FAILFAST" if strict else "PERMISSIVE"}
+    return bind(rows, "_row", F.from_json(text, schema, options)).select("_row.*")
 
 
 def read_json(
@@ -198,11 +230,31 @@ def read_json(
     schema: T.StructType | str | None = None,
     strict: bool = True,
 ) -> DataFrame:
-    """Files that hold one JSON array of objects each. A file is the unit of parallelism."""
-    reader = spark.read.option("multiLine", "true").option(
-        "mode", "FAILFAST" if strict else "DROPMALFORMED"
-    )
-    return (reader.schema(schema) if schema is not None else reader).json(path)
+    """Files that hold one JSON array of objects each. A file is the unit of parallelism.
+
+    A strict read fails at a file that holds anything else, or something after its array (a file of no
+    bytes has no items); else such
+    files, and items that are no objects, are left out.
+    """
+    files = spark.read.text(path, wholetext=True)
+    return _typed_arrays(spark, files, schema, strict, lambda: _inferred(spark.read.option("multiLine", "true"), path))
+
+
+def _typed_arrays(spark, files, schema, strict, infer) -> DataFrame:
+    schema = _as_schema(spark, schema) if schema is not None else infer()
+    rows = files.select("value", F.col("_metadata.file_path").alias("_file"))
+    text = strip(F.col("value"))
+    good = J.is_valid(text) & F.startswith(text, F.lit("["))
+    if strict:
+        bad = F.when(J.is_valid(text), "File holds no JSON array").otherwise("Invalid JSON")
+        text = F.when(good, text).otherwise(_refused(bad))
+    else:
+        rows = rows.filter(good)
+    options = J.STRICT | {"mode": "FAILFAST" if strict else "PERMISSIVE"}
+    items = bind(rows, "_items", F.from_json(text, T.ArrayType(schema), options)).select("_file", F.explode("_items").alias("_row"))
+    if strict:
+        items = items.withColumn("_row", F.when(F.col("_row").isNotNull(), F.col("_row")).otherwise(_refused(F.lit("Item is no JSON object"))))
+    return items.filter(F.col("_row").isNotNull()).select("_row.*")
 
 
 def clean_cells(df: DataFrame) -> DataFrame:
@@ -214,15 +266,11 @@ def clean_cells(df: DataFrame) -> DataFrame:
     return df.select(*cells).dropna(how="all")
 
 
-def read_csv(
-    spark: SparkSession, path: str | Sequence[str], sep: str = ",", multiline: bool = True
-) -> DataFrame:
-    """Delimited text with a header; every cell is a string.
+RAW = "_raw_row"
 
-    ``multiline`` allows line breaks inside quotes but makes a file one task; turn it off for huge
-    files without them. A file whose header differs from the first one's raises.
-    """
-    raw = (
+
+def _csv_reader(spark: SparkSession, sep: str, multiline: bool):
+    return (
         spark.read.option("header", "true")
         .option("sep", sep)
         .option("quote", '"')
@@ -232,9 +280,69 @@ def read_csv(
         .option("ignoreTrailingWhiteSpace", "false")
         .option("enforceSchema", "false")
         .option("maxCharsPerColumn", "-1")
-        .csv(path)
     )
-    return clean_cells(raw)
+
+
+def _cells(raw: Column, sep: str) -> Column:
+    """All cells of one delimited row, quotes taken off."""
+    cut = re.escape(sep)
+    found = F.regexp_extract_all(raw, F.lit(rf'(?:^|{cut})[ \t]*("(?:[^"]|"")*"|[^{cut}]*)'), F.lit(1))
+    return F.transform(
+        found,
+        lambda c: F.when(F.startswith(c, F.lit('"')), F.regexp_replace(F.regexp_replace(c, r'^"|"\s*$', ""), '""', '"')).otherwise(c),
+    )
+
+
+def _one_header(reader, path: str | Sequence[str], sep: str, extra: str | None) -> DataFrame:
+    names = reader.csv(path).columns
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, RAW]])
+    raw = reader.schema(schema).option("columnNameOfCorruptRecord", RAW).csv(path)
+    # Spark hands over the text of rows with another number of cells than the header.
+    more = F.slice(_cells(F.col(RAW), sep), len(names) + 1, 1 << 20)
+    some = F.coalesce(F.size(more) > 0, F.lit(False))
+    if extra is None:
+        refused = F.raise_error(F.concat(F.lit("Row with more cells than its header (name a column for them with extra=): "), F.left(F.col(RAW), F.lit(80))))
+        return clean_cells(raw.filter(F.when(some, refused).otherwise(F.lit(True))).select(*map(quoted, names)))
+    return clean_cells(raw.select(*map(quoted, names), F.when(some, F.to_json(more)).alias(extra)))
+
+
+def csv_headers(spark: SparkSession, path: str | Sequence[str], recursive: bool = False, names: str = "*") -> DataFrame:
+    """``header, files``: the first lines of the files under a path and the files that have each."""
+    lines = (
+        spark.read.option("recursiveFileLookup", str(recursive).lower())
+        .option("pathGlobFilter", names)
+        .text(path)
+        .select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+        .withColumn("seq", F.monotonically_increasing_id())
+        .filter(F.col("block") == 0)
+    )
+    first = lines.groupBy("file").agg(F.min_by("value", "seq").alias("header"))
+    return first.groupBy("header").agg(F.array_sort(F.collect_list("file")).alias("files"))
+
+
+def read_csv(
+    spark: SparkSession,
+    path: str | Sequence[str],
+    sep: str = ",",
+    multiline: bool = True,
+    extra: str | None = None,
+    one_header: bool = False,
+) -> DataFrame:
+    """Delimited text with a header; every cell is a string.
+
+    ``multiline`` allows line breaks inside quotes but makes a file one task; turn it off for huge
+    files without them. Files with different headers give the union of their columns; finding the
+    headers takes a pass over the text, which ``one_header`` leaves out when all are known to be
+    equal (a file with another header then raises). A row with more cells than its header raises,
+    or, with ``extra``, keeps the surplus as a JSON array in a column of that name.
+    """
+    reader = _csv_reader(spark, sep, multiline)
+    if not one_header and len(spark.read.text(path).inputFiles()) > 1:
+        found = csv_headers(spark, path)
+        if found.count() > 1:
+            parts = [_one_header(_csv_reader(spark, sep, multiline), r["files"], sep, extra) for r in found.orderBy("header").collect()]
+            return union_datasets(parts, ordinal=None)
+    return _one_header(reader, path, sep, extra)
 
 
 def read_dataset(
@@ -244,15 +352,17 @@ def read_dataset(
     schema: T.StructType | str | None = None,
     strict: bool = True,
     warn_empty: bool = False,
+    multiline: bool = True,
+    extra: str | None = None,
 ) -> DataFrame:
-    """Read any supported format; ``fmt`` overrides detection."""
+    """Read any supported format; ``fmt`` overrides detection. ``multiline`` and ``extra`` are those of :func:`read_csv`."""
     fmt = fmt or detect_format(spark, path)
     if fmt == "jsonl":
         df = read_jsonl(spark, path, schema, strict)
     elif fmt == "json":
         df = read_json(spark, path, schema, strict)
     elif fmt in ("csv", "tsv"):
-        df = read_csv(spark, path, "," if fmt == "csv" else "\t")
+        df = read_csv(spark, path, "," if fmt == "csv" else "\t", multiline, extra)
     elif fmt == "parquet":
         df = spark.read.option("mergeSchema", "true").parquet(path)
     else:
@@ -262,7 +372,9 @@ def read_dataset(
     return df
 
 
-def read_directory(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
+def read_directory(
+    spark: SparkSession, path: str, recursive: bool = True, strict: bool = True, multiline: bool = True, extra: str | None = None
+) -> DataFrame:
     """A directory of mixed formats: one scan per format present, over the union of fields."""
     listed = list_files(spark, path, recursive).select(
         "path", format_of_name(F.col("path")).alias("fmt")
@@ -271,36 +383,27 @@ def read_directory(spark: SparkSession, path: str, recursive: bool = True) -> Da
     if not kinds:
         raise FormatError(f"No supported dataset file under {path}")
     suffixes = {v: k for k, v in FORMATS.items()}
+    deep = str(recursive).lower()
     parts = []
     for fmt in kinds:
         if fmt == "sniff":
             parts += _read_sniffed(spark, path, recursive)
             continue
-        reader = spark.read.option("recursiveFileLookup", str(recursive).lower()).option(
-            "pathGlobFilter", "*" + _any_case(suffixes[fmt])
-        )
-        if fmt in ("jsonl", "json"):
-            parts.append(
-                reader.option("multiLine", str(fmt == "json").lower())
-                .option("mode", "FAILFAST")
-                .json(path)
-            )
+        names = "*" + _any_case(suffixes[fmt])
+
+        def reader(names: str = names):
+            return spark.read.option("recursiveFileLookup", deep).option("pathGlobFilter", names)
+
+        if fmt == "jsonl":
+            parts.append(_typed_lines(spark, reader().text(path), None, strict, lambda r=reader: _inferred(r(), path)))
+        elif fmt == "json":
+            whole = reader().text(path, wholetext=True)
+            parts.append(_typed_arrays(spark, whole, None, strict, lambda r=reader: _inferred(r().option("multiLine", "true"), path)))
         elif fmt == "parquet":
-            parts.append(reader.option("mergeSchema", "true").parquet(path))
+            parts.append(reader().option("mergeSchema", "true").parquet(path))
         else:
-            parts.append(
-                clean_cells(
-                    reader.option("header", "true")
-                    .option("sep", "," if fmt == "csv" else "\t")
-                    .option("escape", '"')
-                    .option("multiLine", "true")
-                    .option("ignoreLeadingWhiteSpace", "true")
-                    .option("ignoreTrailingWhiteSpace", "false")
-                    .option("enforceSchema", "false")
-                    .option("maxCharsPerColumn", "-1")
-                    .csv(path)
-                )
-            )
+            for row in csv_headers(spark, path, recursive, names).orderBy("header").collect():
+                parts.append(read_csv(spark, row["files"], "," if fmt == "csv" else "\t", multiline, extra, one_header=True))
     return union_datasets(_aligned(parts), ordinal=None)
 
 
@@ -391,6 +494,8 @@ def describe_mirror(
         df = reader.option("mergeSchema", "true").parquet(base)
     elif fmt in ("jsonl", "json"):
         df = reader.option("multiLine", str(fmt == "json").lower()).json(base)
+    elif fmt in ("csv", "tsv"):
+        df = reader.option("header", "true").option("sep", "," if fmt == "csv" else "\t").option("escape", '"').option("multiLine", "true").csv(base)
     else:
         raise FormatError(f"Unsupported mirror format: {fmt}")
     fields = ", ".join(f"{n}: {t}" for n, t in df.dtypes)

@@ -6,11 +6,5 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """A Parquet table, spread over all cores when its files give fewer tasks than that.
-
-    Row-local work on long texts is CPU-bound, and a small table may sit in one row group. A table
-    with at least one split per core is left as it is, so no large table is ever shuffled here.
-    """
-    df = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """A Parquet table as it lies; how its files are cut into tasks is left to Spark."""
+    return spark.read.parquet(path)

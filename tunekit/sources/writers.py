@@ -7,7 +7,9 @@ from collections.abc import Iterable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tunekit.functions.arrays import quoted
 from tunekit.functions.text import remove_nul
 from tunekit.sources.datasets import FORMATS, FormatError, _suffix, read_dataset
 
@@ -34,13 +36,13 @@ def flat_columns(df: DataFrame) -> DataFrame:
     return df.select(*cells)
 
 
-def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists", nulls: bool = False) -> None:
-    """One object per line; NULL fields are left out unless ``nulls``."""
+def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists", nulls: bool = True) -> None:
+    """One object per line; without ``nulls`` NULL fields are left out, and an all-NULL column is lost."""
     df.write.mode(mode).option("ignoreNullFields", str(not nulls).lower()).json(path)
 
 
-def write_json(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Every part file is one JSON array, so parts are written in parallel."""
+def write_json(df: DataFrame, path: str, mode: str = "errorifexists", nulls: bool = True) -> None:
+    """Every part file is one JSON array, so parts are written in parallel; ``nulls`` as in :func:`write_jsonl`."""
 
     def bracket(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lead = "["
@@ -53,7 +55,9 @@ def write_json(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
         if lead == ",":
             yield pd.DataFrame({"value": ["]"]})
 
-    text = df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("value"))
+    options = {"ignoreNullFields": str(not nulls).lower()}
+    row = F.struct(*[quoted(c) for c in df.columns])
+    text = df.select(F.to_json(row, options).alias("value"))
     text.mapInPandas(bracket, "value string").write.mode(mode).text(path)
 
 
@@ -81,6 +85,7 @@ def write_dataset(
     mode: str = "errorifexists",
     order: tuple[str, ...] = (),
     allow_empty: bool = False,
+    nulls: bool = True,
 ) -> None:
     """Write any supported format; without ``fmt`` the path's suffix decides, else JSON Lines.
 
@@ -98,9 +103,9 @@ def write_dataset(
         raise EmptyDataset("no rows to write")
     df = _ordered(df, order)
     if fmt == "jsonl":
-        write_jsonl(df, path, mode)
+        write_jsonl(df, path, mode, nulls)
     elif fmt == "json":
-        write_json(df, path, mode)
+        write_json(df, path, mode, nulls)
     elif fmt == "parquet":
         df.write.mode(mode).parquet(path)
     else:
@@ -114,6 +119,11 @@ def convert(
     source_fmt: str | None = None,
     target_fmt: str | None = None,
     mode: str = "errorifexists",
+    schema: T.StructType | str | None = None,
+    strict: bool = True,
+    multiline: bool = True,
+    nulls: bool = True,
 ) -> None:
-    """Read one format, write another."""
-    write_dataset(read_dataset(spark, source, source_fmt), target, target_fmt, mode)
+    """Read one format, write another; the options are those of the reader and the writer."""
+    df = read_dataset(spark, source, source_fmt, schema, strict, multiline=multiline)
+    write_dataset(df, target, target_fmt, mode, nulls=nulls)

@@ -456,7 +456,7 @@ def oracle_sql() -> dict[str, str]:
       UNION ALL SELECT item_id, text, NULL, NULL, 1 FROM benchmark UNION ALL SELECT page_id, NULL, NULL, url, 2 FROM pages"""
     sql["quarantine_bad_lines"] = """WITH l AS (SELECT event_id, CASE event_id % 10 WHEN 1 THEN 'x'||props WHEN 2 THEN '['||props||']' WHEN 3 THEN 'null' ELSE '  '||props END AS line
         FROM events WHERE event_id % 10 <> 0),
-      e AS (SELECT event_id, line, CASE WHEN NOT json_valid(line) THEN 'Invalid JSON' WHEN json_type(line) <> 'OBJECT' THEN 'Expected JSON object, got '||lower(json_type(line)) END AS error FROM l)
+      e AS (SELECT event_id, line, CASE WHEN NOT json_valid(line) THEN 'Invalid JSON' WHEN json_type(line) <> 'OBJECT' THEN 'Line is no JSON object but '||lower(json_type(line)) END AS error FROM l)
       SELECT event_id, error, CASE WHEN error IS NOT NULL THEN line END AS bad_line, CASE WHEN error IS NULL THEN json(line)::VARCHAR END AS value FROM e"""
 
     sql["validate_by_type"] = f"""SELECT doc_id, dataset_type, reject_reason IS NULL AS valid, reject_reason FROM (
@@ -492,6 +492,21 @@ def oracle_sql() -> dict[str, str]:
     sql["generation_summary"] = """SELECT n AS success_count, 2000::BIGINT AS total_requested, n / 2000 * 100 AS success_rate
       FROM (SELECT sum(CASE doc_id % 8 WHEN 5 THEN 2 WHEN 7 THEN 0 ELSE 1 END)::BIGINT AS n FROM documents)"""
     sql["stream_documents"] = FIXED
+    sql["jsonl_strict_lines"] = "SELECT doc_id, text FROM documents WHERE doc_id % 10 NOT IN (1, 2, 3, 4)"
+    sql["json_shape"] = "SELECT doc_id, lang, text FROM documents WHERE doc_id % 8 NOT IN (3, 5)"
+    sql["csv_ragged"] = """SELECT doc_id::VARCHAR AS doc_id, lang, CASE WHEN doc_id % 7 = 0 THEN '["x,'||source||'"]' END AS more FROM documents"""
+    sql["csv_header_union"] = """SELECT doc_id::VARCHAR AS doc_id, CASE WHEN doc_id % 2 = 0 THEN lang END AS lang,
+      CASE WHEN doc_id % 2 = 1 THEN source END AS source FROM documents"""
+    sql["roundtrip_nulls"] = """SELECT doc_id::VARCHAR AS doc_id, NULL::VARCHAR AS nothing, f.fmt FROM documents,
+      (SELECT unnest(['jsonl', 'json', 'csv', 'tsv', 'parquet']) AS fmt) f"""
+    sql["json_sections"] = f"""SELECT doc_id, text||{NL}||lang||{NL}||source AS content, 0::INTEGER AS level, 0::INTEGER AS start_line, 2::INTEGER AS end_line FROM documents"""
+    sql["file_errors_all"] = f"""WITH base AS (SELECT doc_id, text AS t FROM documents), win AS ({windows('base', 'doc_id', 500, 0)})
+      SELECT doc_id AS source_path, count(*) FILTER (idx % 2 = 0) AS error_count, string_agg('bad '||idx, '|' ORDER BY idx) FILTER (idx % 2 = 0) AS errors
+      FROM win GROUP BY doc_id"""
+    sql["qc_scorer_errors"] = "SELECT doc_id, source LIKE '%3' OR lang <> 'de' AS qc_passed FROM documents"
+    sql["augment_dotted"] = "SELECT doc_id, lang AS source FROM documents"
+    sql["profile_dotted"] = """SELECT count(*) AS rows, 'doc_id,meta.lang,text' AS fields, least(3, count(*))::INTEGER AS n,
+      min_by(text, doc_id) AS first_text FROM documents"""
     for name, columns in INT_COLUMNS.items():
         casts = ", ".join(f"{c}::INTEGER AS {c}" for c in columns)
         sql[name] = f"SELECT * REPLACE ({casts}) FROM ({sql[name]})"

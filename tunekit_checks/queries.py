@@ -898,6 +898,130 @@ def mirror_describe(spark, sf_dir):
     return D.describe_mirror(spark, root, "docs")
 
 
+# --- files that strict readers must not lose rows of -------------------------------------------
+
+
+def _files(lines: DataFrame, group: Column, path: str, head: Column | None = None, tail: str = "", n: int = 8) -> None:
+    """One text file per group, made of the group's ``line`` values in the order of ``doc_id``."""
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "line"))), lambda x: x["line"]), tail + NL)
+    grouped = lines.groupBy(group.alias("g")).agg(body.alias("body"))
+    text = col("body") if head is None else F.concat(head, F.lit(NL), "body")
+    grouped.select("g", text.alias("value")).repartitionById(n, col("g")).select("value").write.text(path)
+
+
+@query
+def jsonl_strict_lines(spark, sf_dir):
+    """Lines with text after their object, arrays and cut-off objects are no rows."""
+    row = F.to_json(F.struct("doc_id", "text"))
+    line = (
+        F.when(col("doc_id") % 10 == 1, F.concat(row, F.lit(" junk")))
+        .when(col("doc_id") % 10 == 2, F.concat(row, row))
+        .when(col("doc_id") % 10 == 3, F.concat(F.lit("["), row, F.lit("]")))
+        .when(col("doc_id") % 10 == 4, F.left(row, F.length(row) - 1))
+        .otherwise(row)
+    )
+    path = work_dir(spark, "lines") + ".jsonl"
+    documents(spark, sf_dir).select(line.alias("value")).write.text(path)
+    return D.read_jsonl(spark, path, strict=False).select("doc_id", "text")
+
+
+@query
+def json_shape(spark, sf_dir):
+    """Files that hold an object, or something after their array, give no rows."""
+    path = work_dir(spark, "arrays")
+    rows = documents(spark, sf_dir).select("doc_id", F.to_json(F.struct("doc_id", "lang", "text")).alias("line"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "line"))), lambda x: x["line"]), ",")
+    grouped = rows.groupBy((col("doc_id") % 8).cast("int").alias("g")).agg(F.concat(F.lit("["), joined, F.lit("]")).alias("a"))
+    more = F.when(col("g") == 3, F.concat("a", F.lit(" []"))).when(col("g") == 5, F.concat(F.lit('{"rows":'), "a", F.lit("}")))
+    grouped = grouped.select("g", F.coalesce(more, "a").alias("value"))
+    grouped.repartitionById(8, col("g")).select("value").write.text(path)
+    return D.read_json(spark, path, "doc_id long, lang string, text string", strict=False)
+
+
+@query
+def csv_ragged(spark, sf_dir):
+    """Cells beyond the header are kept."""
+    path = work_dir(spark, "ragged")
+    cells = F.concat_ws(",", "doc_id", "lang", F.when(col("doc_id") % 7 == 0, F.concat(F.lit('"x,'), "source", F.lit('"'))))
+    _files(documents(spark, sf_dir).select("doc_id", cells.alias("line")), (col("doc_id") % 8).cast("int"), path, F.lit("doc_id,lang"))
+    return D.read_csv(spark, path, extra="more")
+
+
+@query
+def csv_header_union(spark, sf_dir):
+    """Files of one directory with two different headers."""
+    path = work_dir(spark, "headers")
+    odd = col("doc_id") % 2 == 1
+    cells = F.concat_ws(",", "doc_id", F.when(odd, col("source")).otherwise(col("lang")))
+    head = F.when(col("g") % 2 == 1, "doc_id,source").otherwise("doc_id,lang")
+    _files(documents(spark, sf_dir).select("doc_id", cells.alias("line")), (col("doc_id") % 8).cast("int"), path, head)
+    return D.read_csv(spark, path)
+
+
+@query
+def roundtrip_nulls(spark, sf_dir):
+    """A column without any value is still there after writing and reading, in five formats."""
+    rows = documents(spark, sf_dir).select(col("doc_id").cast("string").alias("doc_id"), F.lit(None).cast("string").alias("nothing"))
+    parts = []
+    for fmt in ("jsonl", "json", "csv", "tsv", "parquet"):
+        path = f"{work_dir(spark, 'nulls')}.{fmt}"
+        W.write_dataset(rows, path)
+        parts.append(D.read_dataset(spark, path).select("doc_id", "nothing", F.lit(fmt).alias("fmt")))
+    return Fields.union_datasets(parts, ordinal=None)
+
+
+@query
+def json_sections(spark, sf_dir):
+    """JSON leaves are lines of their section, whatever line breaks they hold."""
+    value = F.to_json(F.struct(F.struct("text", "lang").alias("a"), F.array("source", F.lit(" ")).alias("b"), "doc_id"))
+    docs = documents(spark, sf_dir).select("doc_id", F.concat(col("doc_id").cast("string"), F.lit(".json")).alias("path"), value.alias("text"))
+    parsed = Parse.parse_documents(docs, path_col="path", text_col="text")
+    return parsed.select("doc_id", F.explode("sections").alias("s")).select("doc_id", "s.content", "s.level", "s.start_line", "s.end_line")
+
+
+@query
+def file_errors_all(spark, sf_dir):
+    """Every error of a file is reported."""
+    docs = documents(spark, sf_dir).select(col("doc_id").alias("source_path"), col("text").alias("content"))
+    chunks = C.chunk_documents(docs, C.ChunkConfig(500, 0, "fixed_size"))
+    chunks = chunks.withColumn("error", F.when(col("chunk_index") % 2 == 0, F.concat(F.lit("bad "), col("chunk_index"))))
+    entries = chunks.filter(col("error").isNull()).select("source_path")
+    found = R.file_results(docs.select("source_path"), chunks, entries)
+    return found.select("source_path", "error_count", F.array_join("errors", "|").alias("errors"))
+
+
+@query
+def qc_scorer_errors(spark, sf_dir):
+    """Rows whose scorer fails pass."""
+
+    def load():
+        def call(texts):
+            if any(t.endswith("3") for t in texts):
+                raise RuntimeError("no score")
+            return [0.1 if t.startswith("de") else 0.9 for t in texts]
+
+        return call
+
+    rows = documents(spark, sf_dir).select("doc_id", F.concat_ws("-", "lang", "source").alias("text"))
+    quality = Q.Quality(scorer=Q.BatchScorer(load, batch_size=64))
+    return Q.with_quality(rows, "pretrain", quality).select("doc_id", "qc_passed")
+
+
+@query
+def augment_dotted(spark, sf_dir):
+    rows = documents(spark, sf_dir).select("doc_id", col("lang").alias("meta.lang"), "source")
+    model = I.ColumnModel(reply=lambda system, user: F.regexp_extract(user, r"meta\.lang: (\w+)", 1), name="dotted")
+    done = jobs.augment(rows, "source", "Name it.", context_fields=("meta.lang",), model=model)
+    return done.select("doc_id", "source")
+
+
+@query
+def profile_dotted(spark, sf_dir):
+    rows = documents(spark, sf_dir).select("doc_id", col("lang").alias("meta.lang"), "text")
+    found = Fields.profile(rows, ("doc_id",))
+    return found.select("rows", F.array_join("fields", ",").alias("fields"), F.size("sample").alias("n"), F.get_json_object(F.get("sample", F.lit(0)), "$.text").alias("first_text"))
+
+
 # --- whole jobs ---------------------------------------------------------------------------------
 
 
