@@ -14,14 +14,18 @@ Steps:
    Keys travel packed, thousands to a row, to the task of their shard, where they are sorted. Copies
    collapse to their class in that pass.
 2. A key of up to ``SMALL`` classes gives all its pairs. A key of more gives a star around its least
-   class, and its members stay as "hot" rows.
-3. Pairs are verified exactly and joined to components in two rounds: first few pairs per class, then
-   those pairs whose ends are still apart. A bit sketch of each set is compared first: its Hamming
-   distance can't exceed the symmetric difference, so a larger distance refutes a pair without its
-   shingles.
+   class, and its members stay as "hot" rows. A similar pair shares at least as many keys as a class has
+   filled blocks beyond the largest difference; a class with fewer repeated keys than that has no
+   partner and leaves, with its pairs.
+3. Pairs are verified exactly and joined to components. A bit sketch of each set is compared first: its
+   Hamming distance can't exceed the symmetric difference, so a larger distance refutes a pair without
+   its shingles.
 4. Hot keys whose classes are all in one component are settled. In the others a class can be left out
    when it has fewer hot keys than blocks that any partner must share with it: such a partner shares a
-   key that isn't hot, and was met in step 2. What is left is paired across components.
+   key that isn't hot, and was met in step 2. Classes that are left form families (those that share such
+   a key, and onwards). The bit sketches of a family are laid in blocks of about ``BLOCK`` classes, and
+   blocks of different components are compared with each other in numpy; only pairs that the sketches
+   don't refute become rows and are verified.
 
 Nulls and ties: a null text or one without words has no shingles and is linked with nothing. A row
 with a null ``doc_id`` links nothing and has a null component. Rows with the same ``doc_id`` stand
@@ -41,6 +45,7 @@ from tunekit.llm.spark_tools import components, maybe_member, membership, partit
 
 WORDS = 5
 SMALL = 12
+BLOCK = 256
 SINGLE_LEVEL = 6  # bands of sets under 2**6 shingles: each shingle is a block of its own
 LEVEL_BITS = np.uint64(6)
 _MULTIPLIERS = constants(WORDS, 11)
@@ -169,60 +174,73 @@ def _keys(shards: int):
 
 
 _KEYS = "doc_id long, cls long, n long, spare array<int>, shard int, packed binary"
+# kind: 0 a document, 1 a pair (a, b) in a band, 2 a member cls of a hot key, 3 how many repeated keys of a band a task has seen of cls
 _FOUND = pa.schema(
-    [("doc_id", pa.int64()), ("cls", pa.int64()), ("n", pa.int64()), ("spare", pa.list_(pa.int32())), ("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64())]
+    [("kind", pa.int32()), ("doc_id", pa.int64()), ("cls", pa.int64()), ("n", pa.int64()), ("spare", pa.list_(pa.int32())), ("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64()), ("level", pa.int32())]
 )
-_FOUND_DDL = "doc_id long, cls long, n long, spare array<int>, a long, b long, key long"
+_FOUND_DDL = "kind int, doc_id long, cls long, n long, spare array<int>, a long, b long, key long, level int"
 
 
-def _found(**columns) -> pa.RecordBatch:
+def _found(kind: int, **columns) -> pa.RecordBatch:
     n = len(next(iter(columns.values())))
+    columns["kind"] = pa.array(np.full(n, kind, np.int32))
     return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(n, f.type) for f in _FOUND], schema=_FOUND)
 
 
-def _buckets(batches):
-    """The documents' rows as they are, and what the keys of one task's shards give: pairs (a, b), and (cls, key) for members of hot keys."""
-    keys, cls = [], []
-    for batch in batches:
-        docs = batch.filter(batch.column("packed").is_null())
-        if len(docs):
-            yield _found(**{c: docs.column(c) for c in ("doc_id", "cls", "n", "spare")})
-        for row in batch.column("packed").drop_null():
-            both = np.frombuffer(row.as_buffer(), np.int64)
-            keys.append(both[: len(both) // 2].copy()), cls.append(both[len(both) // 2 :].copy())
-    if not keys:
-        return
-    key, owner = np.concatenate(keys), np.concatenate(cls)
-    del keys, cls
-    # Only keys met more than once matter.
-    order = np.argsort(key)
-    key, owner = key[order], owner[order]
-    same = np.r_[False, key[1:] == key[:-1], False]
-    keep = same[1:] | same[:-1]
-    key, owner = key[keep], owner[keep]
-    order = np.lexsort((owner, key))
-    key, owner = key[order], owner[order]
-    if len(key) == 0:
-        return
-    new = np.r_[True, (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])]
-    key, owner = key[new], owner[new]
-    start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    size = np.diff(np.r_[start, len(key)])
-    hot, least = np.repeat(size > SMALL, size), np.repeat(owner[start], size)
-    found = [np.stack([least[hot], owner[hot]], axis=1)]
-    for m in range(2, SMALL + 1):
-        rows = owner[start[size == m][:, None] + np.arange(m)]
-        found += [rows[:, [i, j]] for i in range(m) for j in range(i + 1, m)]
-    pairs = np.concatenate(found)
-    pairs = np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
-    for x in range(0, len(pairs), 50_000):
-        yield _found(a=pa.array(pairs[x : x + 50_000, 0].copy()), b=pa.array(pairs[x : x + 50_000, 1].copy()))
-    key, owner = key[hot], owner[hot]
-    for x in range(0, len(key), 50_000):
-        yield _found(cls=pa.array(owner[x : x + 50_000]), key=pa.array(key[x : x + 50_000]))
-
-
-_SETS = pa.schema([("cls", pa.int64()), ("hashes", pa.binary()), ("sketch", pa.binary())])
+def _buckets(small: int):
+    """The documents' rows as they are, and what the keys of one task's shards give."""
+
+    def run(batches):
+        keys, cls = [], []
+        for batch in batches:
+            docs = batch.filter(batch.column("packed").is_null())
+            if len(docs):
+                yield _found(0, **{c: docs.column(c) for c in ("doc_id", "cls", "n", "spare")})
+            for row in batch.column("packed").drop_null():
+                both = np.frombuffer(row.as_buffer(), np.int64)
+                keys.append(both[: len(both) // 2].copy()), cls.append(both[len(both) // 2 :].copy())
+        if not keys:
+            return
+        key, owner = np.concatenate(keys), np.concatenate(cls)
+        del keys, cls
+        # Only keys met more than once matter.
+        order = np.argsort(key)
+        key, owner = key[order], owner[order]
+        same = np.r_[False, key[1:] == key[:-1], False]
+        keep = same[1:] | same[:-1]
+        key, owner = key[keep], owner[keep]
+        order = np.lexsort((owner, key))
+        key, owner = key[order], owner[order]
+        if len(key) == 0:
+            return
+        new = np.r_[True, (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])]
+        key, owner = key[new], owner[new]
+        start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        size = np.diff(np.r_[start, len(key)])
+        level = (key & 63).astype(np.int32)
+        order = np.lexsort((level, owner))
+        first = np.flatnonzero(np.r_[True, (owner[order][1:] != owner[order][:-1]) | (level[order][1:] != level[order][:-1])])
+        yield from _slices(3, cls=owner[order][first], level=level[order][first], a=np.diff(np.r_[first, len(key)]))
+        hot, least = np.repeat(size > small, size), np.repeat(owner[start], size)
+        found = [np.stack([least[hot], owner[hot], level[hot]], axis=1)]
+        for m in range(2, small + 1):
+            at = start[size == m]
+            rows = owner[at[:, None] + np.arange(m)]
+            found += [np.stack([rows[:, i], rows[:, j], level[at]], axis=1) for i in range(m) for j in range(i + 1, m)]
+        pairs = np.concatenate(found)
+        pairs = np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
+        yield from _slices(1, a=pairs[:, 0], b=pairs[:, 1], level=pairs[:, 2].astype(np.int32))
+        yield from _slices(2, cls=owner[hot], key=key[hot], level=level[hot])
+
+    return run
+
+
+def _slices(kind: int, **columns):
+    for x in range(0, len(next(iter(columns.values()))), 50_000):
+        yield _found(kind, **{c: pa.array(np.ascontiguousarray(v[x : x + 50_000])) for c, v in columns.items()})
+
+
+_SETS = pa.schema([("cls", pa.int64()), ("n", pa.int64()), ("hashes", pa.binary()), ("sketch", pa.binary())])
 
 
 def signed(x: int) -> int:
@@ -235,7 +253,7 @@ def _candidate_sets(batches):
         cls, held, at = batch.column(2).to_pylist(), [], 0
         for i, s in _sets(batch):
             if signed(shingle_class(s)) == cls[i]:  # another text may have the same doc_id
-                held.append({"cls": cls[i], "hashes": s.tobytes(), "sketch": bit_sketch(s)})
+                held.append({"cls": cls[i], "n": len(s), "hashes": s.tobytes(), "sketch": bit_sketch(s)})
                 at += len(s) * 8
             if at > 4 * PIECE:
                 yield pa.RecordBatch.from_pylist(held, schema=_SETS)
@@ -265,67 +283,117 @@ def _similar(x, y):
     return pd.Series(out, dtype=bool)
 
 
-def _verified(pairs: DataFrame, sizes: DataFrame, sets: DataFrame, name: str) -> DataFrame:
-    """The pairs (a, b) of classes that are similar: sizes first, then bit sketches, then the sets."""
-    side = lambda t, e: t.select(*(F.col(c).alias(c if c == "cls" else f"{c}_{e}") for c in t.columns)).withColumnRenamed("cls", e)
-    small = sizes.join(sets.select("cls", "sketch"), "cls")
-    near = pairs.join(side(small, "a"), "a").join(side(small, "b"), "b").where("100 * least(n_a, n_b) >= 80 * greatest(n_a, n_b)")
-    near = stage(near.where(_near_by_sketch("n_a", "n_b", "sketch_a", "sketch_b")).select("a", "b"), f"{name}-near")
-    full = sets.select("cls", "hashes")
-    return stage(near.join(side(full, "a"), "a").join(side(full, "b"), "b").where(_similar("hashes_a", "hashes_b")).select("a", "b"), name)
+def _side(table: DataFrame, end: str) -> DataFrame:
+    """A table of classes for one end of a pair: cls becomes the end's name, other columns get it as a suffix."""
+    return table.select(*(F.col(c).alias(end if c == "cls" else f"{c}_{end}") for c in table.columns))
 
 
-def _apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
-    """The pairs whose ends are not yet in one component."""
-    of = lambda e: parts.select(F.col("id").alias(e), F.col("component").alias(f"c_{e}"))
-    return (
-        pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
-        .where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
-    )
+def _refuted_less(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
+    """The pairs (a, b) that sizes and bit sketches don't refute."""
+    small = sets.select("cls", "n", "sketch")
+    near = pairs.join(_side(small, "a"), "a").join(_side(small, "b"), "b").where("100 * least(n_a, n_b) >= 80 * greatest(n_a, n_b)")
+    return stage(near.where(_near_by_sketch("n_a", "n_b", "sketch_a", "sketch_b")).select("a", "b"), name)
+
+
+def _verified(near: DataFrame, sets: DataFrame, name: str) -> DataFrame:
+    """The similar ones of some pairs; only the sets of their classes are shuffled."""
+    full = maybe_member(sets.select("cls", "hashes"), "cls", membership(near.select(F.explode(F.array("a", "b")).alias("cls")), "cls"))
+    return stage(near.join(_side(full, "a"), "a").join(_side(full, "b"), "b").where(_similar("hashes_a", "hashes_b")).select("a", "b"), name)
 
 
-def _hot_pairs(hot: DataFrame, known: DataFrame, parts: DataFrame) -> DataFrame:
-    """Pairs across components that only hot keys can show."""
+_NEAR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _near_of_blocks(batches):
+    """Pairs of different components that sizes and sketches don't refute, from rows of two blocks of classes."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            x, y = row["x"], row["y"]
+            found = []
+            n, c = (np.array([e[k] for e in y], np.int64) for k in ("n", "component"))
+            by_size: dict[int, list[int]] = {}
+            for j, e in enumerate(y):
+                by_size.setdefault(len(e["sketch"]), []).append(j)
+            tables = {size: (np.array(js), np.stack([np.frombuffer(y[j]["sketch"], np.uint8) for j in js])) for size, js in by_size.items()}
+            for e in x:
+                own = np.frombuffer(e["sketch"], np.uint8)
+                for size, (js, table) in tables.items():
+                    short = min(size, len(own))
+                    p, q = (t.reshape(*t.shape[:-1], -1, short) for t in (own, table))
+                    p, q = np.bitwise_xor.reduce(p, axis=-2), np.bitwise_xor.reduce(q, axis=-2)
+                    distance = np.bitwise_count(p ^ q).sum(axis=1, dtype=np.int64)
+                    ok = (distance <= (e["n"] + n[js]) // 9) & (c[js] != e["component"])
+                    found += [(e["cls"], y[j]["cls"]) for j in js[ok]]
+            if found:
+                pairs = np.unique(np.sort(np.array(found, np.int64), axis=1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, i].copy()) for i in (0, 1)], schema=_NEAR)
+
+
+def _hot_pairs(hot: DataFrame, spare: DataFrame, parts: DataFrame, sets: DataFrame) -> DataFrame | None:
+    """Pairs (a, b) across components that only hot keys can show and that aren't refuted; None if all hot keys are settled."""
     of = parts.select(F.col("id").alias("cls"), "component")
-    placed = hot.join(of, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("key")
-    level = F.col("key").bitwiseAND(F.lit(63)).cast("int").alias("level")
-    spare = known.select("cls", F.explode(F.expr("transform(sequence(0, size(spare) - 2, 2), i -> struct(spare[i] AS level, spare[i + 1] AS spare))")).alias("s")).select("cls", "s.*")
-    bound = hot.groupBy("cls", level).count().join(spare, ["cls", "level"]).where("count >= spare").select("cls", "level")
-    left = stage(placed.withColumn("level", level).join(bound, ["cls", "level"], "left_semi").join(mixed, "key", "left_semi").select("key", "cls", "component"), "parity-hot")
-    other = left.select("key", F.col("cls").alias("b"), F.col("component").alias("c_b"))
-    return left.withColumnRenamed("cls", "a").join(other, "key").where("a < b AND component != c_b").select("a", "b").distinct()
-
-
-def similar_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id (least doc_id reachable by links of similarity 0.8 or more) of every row of (doc_id, text)."""
+    bound = hot.groupBy("cls", "level").count().join(spare, ["cls", "level"]).where("count >= spare").select("cls", "level")
+    placed = hot.join(bound, ["cls", "level"], "left_semi").join(of, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    placed = stage(placed.select("key", "cls", "component"), "parity-hot")
+    mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("cls").alias("least")).where("x != y")
+    stars = stage(placed.join(mixed.select("key", "least"), "key").select("cls", "least", "component").distinct(), "parity-stars")
+    if stars.isEmpty():
+        return None
+    families = components(stars, "cls", "least").withColumnsRenamed({"id": "cls", "component": "family"})
+    members = stars.select("cls", "component").distinct().join(families, "cls").join(sets.select("cls", "n", "sketch"), "cls")
+    # Large components have blocks of their own; the small ones of a family share blocks.
+    sizes = members.groupBy("family", "component").count()
+    sizes = sizes.withColumn("own", F.when(F.col("count") >= BLOCK, F.col("component")))
+    shared = sizes.groupBy("family", "own").agg(F.ceil(F.sum("count") / BLOCK).alias("parts"))
+    placed = members.join(sizes.select("family", "component", "own"), ["family", "component"])
+    placed = placed.join(shared.withColumnRenamed("own", "o").withColumnRenamed("family", "f"), F.expr("family = f AND own <=> o"))
+    blocks = stage(
+        placed.groupBy("family", "own", F.expr("pmod(xxhash64(cls), parts)").alias("part"))
+        .agg(F.collect_list(F.struct("cls", "component", "n", "sketch")).alias("block")),
+        "parity-blocks",
+    )
+    other = blocks.select("family", F.col("own").alias("own_y"), F.col("part").alias("part_y"), F.col("block").alias("y"))
+    rank = "struct(coalesce(own, bigint(-1)), own IS NULL, part)"
+    met = blocks.withColumnRenamed("block", "x").join(other, "family").where(
+        f"{rank} <= struct(coalesce(own_y, bigint(-1)), own_y IS NULL, part_y) AND NOT coalesce(own = own_y, false)"
+    )
+    return met.select("x", "y").repartition(partitions(hot.sparkSession)).mapInArrow(_near_of_blocks, "a long, b long").distinct()
+
+
+def similar_documents(docs: DataFrame, small: int = SMALL) -> DataFrame:
+    """doc_id, n_shingles and component_id (least doc_id reachable by links of similarity 0.8 or more) of every row of (doc_id, text).
+
+    Keys of more than ``small`` classes are treated as hot; the result doesn't depend on it.
+    """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     shards = partitions(spark)
     dealt = docs.mapInArrow(_keys(shards), _KEYS).repartitionById(shards, F.col("shard"))
-    found = stage(dealt.mapInArrow(_buckets, _FOUND_DDL), "parity-found")
-    rows = found.where("n is not null").select("doc_id", "cls", "n", "spare")
-    pairs = stage(found.where("b is not null").select("a", "b").distinct(), "parity-pairs")
-    hot = found.where("key is not null").select("cls", "key")
+    found = stage(dealt.mapInArrow(_buckets(small), _FOUND_DDL), "parity-found")
+    rows = found.where("kind = 0").select("doc_id", "cls", "n", "spare")
     classes = rows.where("n > 0 and doc_id is not null").groupBy("cls").agg(
         F.min("doc_id").alias("least_id"), F.first("n").alias("n"), F.first("spare").alias("spare")
     )
-    involved = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    known = stage(classes.join(involved, "cls", "left_semi"), "parity-classes")
+    each = F.expr("transform(sequence(0, size(spare) - 2, 2), i -> struct(spare[i] AS level, spare[i + 1] AS spare))")
+    repeated = found.where("kind = 3").groupBy("cls", "level").agg(F.sum("a").alias("keys"))
+    spare = repeated.join(classes.select("cls", F.explode(each).alias("s")).select("cls", "s.*"), ["cls", "level"])
+    spare = stage(spare.where("keys >= spare").select("cls", "level", "spare"), "parity-able")
+    able = lambda e: spare.select(F.col("cls").alias(e), "level")
+    pairs = found.where("kind = 1").select("a", "b", "level").distinct().join(able("a"), ["a", "level"]).join(able("b"), ["b", "level"])
+    pairs = stage(pairs.select("a", "b").distinct(), "parity-pairs")
+    hot = found.where("kind = 2").select("cls", "key", "level").join(able("cls"), ["cls", "level"])
+    known = stage(classes.join(spare.select("cls").distinct(), "cls", "left_semi"), "parity-classes")
     wanted = known.select("cls", F.col("least_id").alias("doc_id"))
     texts = maybe_member(docs, "doc_id", membership(wanted, "doc_id"))
     matched = texts.join(wanted.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "cls")
-    sets = stage(matched.mapInArrow(_candidate_sets, "cls long, hashes binary, sketch binary"), "parity-sets")
-    sizes = known.select("cls", "n")
-    # Round 1: for every class its least and its largest partner. Round 2: what is still apart. Round 3: hot keys.
-    few = pairs.groupBy("b").agg(F.min("a").alias("a"), F.max("a").alias("z"))
-    few = stage(few.select("a", "b").unionAll(few.select(F.col("z").alias("a"), "b")).distinct(), "parity-few")
-    links = _verified(few, sizes, sets, "parity-links1")
-    parts = stage(components(links), "parity-parts1")
-    links = links.unionAll(_verified(_apart(pairs.join(few, ["a", "b"], "left_anti"), parts), sizes, sets, "parity-links2"))
-    parts = stage(components(links), "parity-parts2")
-    links = links.unionAll(_verified(_hot_pairs(hot, known, parts).join(pairs, ["a", "b"], "left_anti"), sizes, sets, "parity-links3"))
-    parts = components(links)
+    sets = stage(matched.mapInArrow(_candidate_sets, "cls long, n long, hashes binary, sketch binary"), "parity-sets")
+    links = _verified(_refuted_less(pairs, sets, "parity-near"), sets, "parity-links")
+    parts = stage(components(links), "parity-parts")
+    last = _hot_pairs(hot, spare, parts, sets)
+    if last is not None:
+        links = _verified(stage(last.join(pairs, ["a", "b"], "left_anti"), "parity-near2"), sets, "parity-links2")
+        if not links.isEmpty():
+            parts = stage(components(links.unionAll(parts.select(F.col("id").alias("a"), F.col("component").alias("b")))), "parity-parts2")
     grouped = classes.join(parts.withColumnRenamed("id", "cls"), "cls", "left").select("cls", F.coalesce("component", "cls").alias("name"), "least_id")
     least = grouped.groupBy("name").agg(F.min("least_id").alias("component_id"))
     named = grouped.join(least, "name").select("cls", "component_id")

@@ -72,31 +72,24 @@ def maybe_member(df: DataFrame, column: str, bits: np.ndarray, probes: int = 2,
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component) for every end of an edge; component is the least id that can be reached.
 
-    Alternates the large-star and small-star steps on DataFrames until the edges stop changing. Every
-    step is one grouped minimum and one join on the node, so a node with very many edges is
-    pre-aggregated in the grouping and split by the adaptive join.
+    Alternates the large-star and small-star steps on DataFrames until every node points at one root
+    that points nowhere. Every step is one grouped minimum and one join on the node, so a node with
+    very many edges is pre-aggregated in the grouping and split by the adaptive join.
     """
-    now = stage(
-        edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges"
-    )
-    seen = None
-    while True:
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == seen:
-            return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionAll(
-                now.select(F.col("v").alias("id"), F.col("v").alias("component"))
-            ).distinct()
-        seen = state
+    now = stage(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
+    while not _stars(now):
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u != v").distinct()
+        large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
-        now = stage(
-            small.select("u", F.col("m").alias("v"))
-            .unionAll(small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")))
-            .where("u != v")
-            .distinct(),
-            "edges",
-        )
+        pointed = small.select("u", F.col("m").alias("v")).unionAll(small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")))
+        now = stage(pointed.where("u != v").distinct(), "edges")
+    return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionAll(now.select("v", F.col("v").alias("component")).distinct())
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether every u has one edge and no u is a v."""
+    ends = edges.select(F.col("u").alias("id"), F.lit(1).alias("out"), F.lit(0).alias("into"))
+    ends = ends.unionAll(edges.select("v", F.lit(0), F.lit(1)))
+    return ends.groupBy("id").agg(F.sum("out").alias("out"), F.max("into").alias("into")).where("out > 1 OR (out = 1 AND into = 1)").isEmpty()
