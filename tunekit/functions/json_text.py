@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from tunekit.functions.arrays import let
@@ -21,6 +21,16 @@ REPLY_PREFIXES = (
 )
 
 
+_DUPLICATES = "spark.sql.variant.allowDuplicateKeys"
+
+
+def _fix_duplicate_keys() -> None:
+    """Set the session's rule for repeated keys of a JSON object: the last one wins, in any session."""
+    session = SparkSession.getActiveSession()
+    if session is not None and session.conf.get(_DUPLICATES, "false") != "true":
+        session.conf.set(_DUPLICATES, "true")
+
+
 def parse(c: Column) -> Column:
     """VARIANT of a JSON text, NULL when it is not valid JSON from end to end.
 
@@ -28,6 +38,7 @@ def parse(c: Column) -> Column:
     the first element of an array that must close with a digest of the text, so anything after the
     value makes the array invalid or moves the digest.
     """
+    _fix_duplicate_keys()
     digest = F.xxhash64(c)
     wrapped = F.try_parse_json(F.concat(F.lit("["), c, F.lit(","), digest.cast("string"), F.lit("]")))
     return let(

@@ -507,6 +507,38 @@ def oracle_sql() -> dict[str, str]:
     sql["augment_dotted"] = "SELECT doc_id, lang AS source FROM documents"
     sql["profile_dotted"] = """SELECT count(*) AS rows, 'doc_id,meta.lang,text' AS fields, least(3, count(*))::INTEGER AS n,
       min_by(text, doc_id) AS first_text FROM documents"""
+    texts = f"""SELECT (doc_id % 8)::INTEGER AS g, string_agg(text, {NL} ORDER BY doc_id)||{NL} AS body FROM documents GROUP BY 1"""
+    sql["document_scan"] = f"SELECT g, length(body)::INTEGER AS n, md5(body) AS digest FROM ({texts})"
+    sql["document_list"] = f"SELECT g, 'text' AS doc_type, strlen(body) AS length FROM ({texts})"
+    sql["document_file_stream"] = f"SELECT g, md5(body) AS digest FROM ({texts})"
+    sql["append_rows"] = sql["mirror_read"] = "SELECT doc_id::VARCHAR AS doc_id, lang, source, text FROM documents"
+    sql["target_check"] = "SELECT unnest(['doc_id', 'even', 'odd']) AS field"
+    sql["drop_null_rows"] = "SELECT doc_id, lang, source FROM documents WHERE doc_id % 3 <> 0"
+    languages = {
+        "py": "python", "js": "javascript", "ts": "typescript", "java": "java", "go": "go", "rs": "rust", "c": "c",
+        "cpp": "cpp", "cc": "cpp", "cxx": "cpp", "h": "c", "hpp": "cpp", "rb": "ruby",
+    }
+    known = ", ".join(f"('{e}', '{n}', {i})" for i, (e, n) in enumerate(languages.items()))
+    sql["code_metadata"] = f"""WITH k(ext, lang, i) AS (VALUES {known}), d AS (SELECT doc_id, ext, k.lang FROM documents JOIN k ON doc_id % {len(languages)} = i)
+      SELECT doc_id, 'code' AS doc_type, 'language' AS key, lang AS value FROM d UNION ALL SELECT doc_id, 'code', 'extension', '.'||ext FROM d
+      UNION ALL SELECT doc_id, 'code', 'filename', 'f'||doc_id||'.'||ext FROM d"""
+    titles = [
+        ("  class Alpha:", "class Alpha"), ("const beta = async () => 1", "function beta"), ("function gamma() {", "function gamma"),
+        ("public static void delta(", "void delta"), ("func (r *R) eps() {", "func eps"), ("pub struct Zeta {", "struct Zeta"),
+        ("struct eta {", "struct eta"), ("class Theta {", "class Theta"), ("module Iota", "module Iota"),
+    ]
+    known = ", ".join(f"('{line}', '{title}', {i})" for i, (line, title) in enumerate(titles))
+    sql["code_sections_all"] = f"""WITH k(line, title, i) AS (VALUES {known}), d AS (SELECT doc_id, source, line, title FROM documents JOIN k ON doc_id % 9 = i)
+      SELECT doc_id, NULL::VARCHAR AS title, '#' AS content, 0::INTEGER AS start_line, 0::INTEGER AS end_line FROM d
+      UNION ALL SELECT doc_id, title, line||{NL}||'# '||source, 1, 2 FROM d"""
+    sql["entry_keys"] = """SELECT doc_id, 'pretrain' AS kind, CASE WHEN doc_id & 1 = 0 THEN lang||'0' ELSE '' END AS entry FROM documents
+      UNION ALL SELECT doc_id, 'dpo', CASE WHEN doc_id & 7 = 0 THEN lang||'0|'||lang||'1|'||lang||'2' ELSE '' END FROM documents"""
+    sql["infer_type_of_many"] = """SELECT doc_id, CASE WHEN doc_id & 8 = 0 THEN 'sft' WHEN doc_id & 4 = 0 THEN 'pretrain' WHEN doc_id & 2 = 0 THEN 'sft_conv'
+      WHEN doc_id & 1 = 0 THEN 'dpo' END AS dataset_type FROM documents"""
+    sql["roles"] = "SELECT conv_id, turn, turn % 3 = 0 AND role IN ('system', 'user', 'assistant') AS ok FROM conversations"
+    sql["row_cap"] = "SELECT n::INTEGER AS n, least(n, (SELECT count(*) FROM documents)) AS rows FROM (SELECT unnest([1, 150, 100000, 100001]) AS n)"
+    sql["without_nul"] = "SELECT doc_id, lang||source||text AS text FROM documents"
+    sql["own_parser"] = """SELECT doc_id, 'log' AS doc_type, upper(source) AS content, 1::INTEGER AS n_sections, NULL::VARCHAR AS error FROM documents"""
     for name, columns in INT_COLUMNS.items():
         casts = ", ".join(f"{c}::INTEGER AS {c}" for c in columns)
         sql[name] = f"SELECT * REPLACE ({casts}) FROM ({sql[name]})"

@@ -24,6 +24,7 @@ from tunekit.operators import sections as S
 from tunekit.operators import validation as V
 from tunekit.plans import jobs
 from tunekit.sources import datasets as D
+from tunekit.sources import documents as Docs
 from tunekit.sources import writers as W
 from tunekit.sources.shared import work_dir
 from tunekit.sources.tables import read_table
@@ -1022,6 +1023,163 @@ def profile_dotted(spark, sf_dir):
     return found.select("rows", F.array_join("fields", ",").alias("fields"), F.size("sample").alias("n"), F.get_json_object(F.get("sample", F.lit(0)), "$.text").alias("first_text"))
 
 
+# --- handles that have no query above -----------------------------------------------------------
+
+
+def _text_files(spark, sf_dir) -> str:
+    """Eight text files of whole documents, by the remainder of the id."""
+    path = work_dir(spark, "texts")
+    _files(documents(spark, sf_dir).select("doc_id", col("text").alias("line")), (col("doc_id") % 8).cast("int"), path)
+    return path
+
+
+def _part(path: Column) -> Column:
+    return F.regexp_extract(path, r"part-0*(\d+)-", 1).cast("int")
+
+
+@query
+def document_scan(spark, sf_dir):
+    docs = Docs.read_documents(spark, _text_files(spark, sf_dir), pattern="part-*.txt")
+    return docs.select(_part(col("source_path")).alias("g"), F.char_length("raw_text").alias("n"), F.md5(col("raw_text").cast("binary")).alias("digest"))
+
+
+@query
+def document_list(spark, sf_dir):
+    found = Docs.list_documents(spark, _text_files(spark, sf_dir))
+    return found.select(_part(col("source_path")).alias("g"), "doc_type", "length")
+
+
+@query
+def document_file_stream(spark, sf_dir):
+    """The same files as a stream, appended exactly once."""
+    root = work_dir(spark, "filestream")
+    rows = Docs.stream_documents(spark, _text_files(spark, sf_dir), max_files=3)
+    rows = rows.select(_part(col("source_path")).alias("g"), F.md5(col("raw_text").cast("binary")).alias("digest"))
+    stream.append_parquet(rows, f"{root}/out", f"{root}/state").awaitTermination()
+    return spark.read.parquet(f"{root}/out")
+
+
+@query
+def append_rows(spark, sf_dir):
+    path = work_dir(spark, "append") + ".jsonl"
+    rows = _text_rows(spark, sf_dir)
+    for rest in (0, 1):
+        W.write_dataset(rows.filter(col("doc_id").cast("long") % 2 == rest), path, mode="append")
+    return D.read_dataset(spark, path).select("doc_id", "lang", "source", "text")
+
+
+@query
+def mirror_read(spark, sf_dir):
+    root = work_dir(spark, "mirrored")
+    W.write_dataset(_text_rows(spark, sf_dir), f"{root}/docs/default/train", "parquet")
+    return D.read_mirror(spark, root, "docs")
+
+
+@query
+def target_check(spark, sf_dir):
+    """The fields that an unknown target is refused with."""
+    keys = F.to_json(F.struct("doc_id", F.when(col("doc_id") % 2 == 0, col("lang")).alias("even"), F.when(col("doc_id") % 2 == 1, col("lang")).alias("odd")))
+    rows = documents(spark, sf_dir).select(J.parse(keys).alias("value"))
+    try:
+        Fields.require_variant_field(rows, "missing")
+    except Fields.FieldNotFound as refused:
+        return spark.createDataFrame([(name,) for name in refused.available], "field string")
+    raise AssertionError("an unknown field was found")
+
+
+@query
+def drop_null_rows(spark, sf_dir):
+    some = col("doc_id") % 3 != 0
+    rows = documents(spark, sf_dir).select("doc_id", F.when(some, col("lang")).alias("lang"), F.when(some, col("source")).alias("source"))
+    return I.drop_null_rows(rows, ["lang", "source"])
+
+
+EXTENSIONS = ("py", "js", "ts", "java", "go", "rs", "c", "cpp", "cc", "cxx", "h", "hpp", "rb")
+
+
+@query
+def code_metadata(spark, sf_dir):
+    ext = F.element_at(F.array(*map(F.lit, EXTENSIONS)), (col("doc_id") % len(EXTENSIONS) + 1).cast("int"))
+    docs = documents(spark, sf_dir).select("doc_id", F.concat(F.lit("/src/f"), col("doc_id"), F.lit("."), ext).alias("path"), col("text"))
+    parsed = Parse.parse_documents(docs, path_col="path", text_col="text")
+    return parsed.select("doc_id", "doc_type", F.explode("metadata").alias("key", "value"))
+
+
+DEFINITIONS = {
+    "python": "  class Alpha:",
+    "javascript": "const beta = async () => 1",
+    "typescript": "function gamma() {",
+    "java": "public static void delta(",
+    "go": "func (r *R) eps() {",
+    "rust": "pub struct Zeta {",
+    "c": "struct eta {",
+    "cpp": "class Theta {",
+    "ruby": "module Iota",
+}
+
+
+@query
+def code_sections_all(spark, sf_dir):
+    """A definition in each of the nine languages, after one line and before another."""
+    at = (col("doc_id") % len(DEFINITIONS) + 1).cast("int")
+    language = F.element_at(F.array(*map(F.lit, DEFINITIONS)), at)
+    text = F.concat(F.lit("#\n"), F.element_at(F.array(*map(F.lit, DEFINITIONS.values())), at), F.lit("\n# "), col("source"))
+    found = documents(spark, sf_dir).select("doc_id", F.explode(S.code_sections(text, language)).alias("s"))
+    return found.select("doc_id", "s.title", "s.content", "s.start_line", "s.end_line")
+
+
+def _members(spark, sf_dir, *names: str) -> DataFrame:
+    """Objects with some of the names, the k-th one missing where bit k of doc_id is set."""
+    cells = [F.when(col("doc_id").bitwiseAND(F.lit(1 << k)) == 0, F.concat(col("lang"), F.lit(k))).alias(n) for k, n in enumerate(names)]
+    return documents(spark, sf_dir).select("doc_id", J.parse(F.to_json(F.struct(*cells))).alias("v"))
+
+
+@query
+def entry_keys(spark, sf_dir):
+    """Entries that need all keys of their type: pretrain and preference rows."""
+    parts = []
+    for kind, names in (("pretrain", ("text",)), ("dpo", ("prompt", "chosen", "rejected"))):
+        found = _members(spark, sf_dir, *names).select("doc_id", E.entry_of(col("v"), kind, require_keys=True).alias("e"))
+        parts.append(found.select("doc_id", F.lit(kind).alias("kind"), F.concat_ws("|", *[f"e.{n}" for n in names]).alias("entry")))
+    return Fields.union_datasets(parts, ordinal=None)
+
+
+@query
+def infer_type_of_many(spark, sf_dir):
+    """Rows with several known keys: the first of the fixed order decides."""
+    rows = _members(spark, sf_dir, "prompt", "conversations", "text", "instruction")
+    return rows.select("doc_id", E.infer_dataset_type(col("v")).alias("dataset_type"))
+
+
+@query
+def roles(spark, sf_dir):
+    role = F.when(col("turn") % 3 == 1, F.concat("role", F.lit("2"))).when(col("turn") % 3 == 2, F.upper("role")).otherwise(col("role"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", V.is_role(role).alias("ok"))
+
+
+@query
+def row_cap(spark, sf_dir):
+    from tunekit.operators.limits import head_rows
+
+    rows = documents(spark, sf_dir)
+    counts = [head_rows(rows, n).agg(F.lit(n).alias("n"), F.count("*").alias("rows")) for n in (1, 150, 100_000, 100_001)]
+    return Fields.union_datasets(counts, ordinal=None)
+
+
+@query
+def without_nul(spark, sf_dir):
+    text = F.concat_ws("\x00", "lang", "source", "text")
+    return documents(spark, sf_dir).select("doc_id", T.remove_nul(text).alias("text"))
+
+
+@query
+def own_parser(spark, sf_dir):
+    parsers = Parse.Parsers().register(["log"], "log", lambda raw: F.upper(raw))
+    docs = documents(spark, sf_dir).select("doc_id", F.concat(col("doc_id").cast("string"), F.lit(".LOG")).alias("path"), col("source").alias("text"))
+    parsed = Parse.parse_documents(docs, parsers, path_col="path", text_col="text")
+    return parsed.select("doc_id", "doc_type", "content", F.size("sections").alias("n_sections"), "error")
+
+
 # --- whole jobs ---------------------------------------------------------------------------------
 
 
