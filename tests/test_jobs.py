@@ -353,3 +353,17 @@ def test_dotted_names(spark):
     from tunekit.operators.fields import profile
 
     assert profile(rows, ("meta.lang",)).first().fields == ["meta.lang", "text"]
+
+
+def test_schema_and_progress(spark, tmp_path):
+    from tunekit.operators.entries import output_schema
+
+    schema, seen = output_schema("sft"), []
+
+    def load():
+        return lambda systems, users, form: [form] * len(users)
+
+    model = I.BatchModel(load, name="formed-1", output_schema=schema)
+    out = I.infer_staged(prompts(spark, 12), model, str(tmp_path / "s"), ("id",), waves=3, report=lambda *x: seen.append(x))
+    assert {r.raw_content for r in out.collect()} == {schema}
+    assert [w for w, _, _ in seen] == [0, 1, 2] and sum(n for _, n, _ in seen) == 12 and sum(f for _, _, f in seen) == 0

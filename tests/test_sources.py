@@ -259,3 +259,19 @@ def test_null_columns_stay(spark, tmp_path, fmt):
 def test_csv_mirror(spark, tmp_path):
     W.write_dataset(spark.range(3), str(tmp_path / "ds" / "default" / "train"), "csv")
     assert D.describe_mirror(spark, str(tmp_path), "ds", "csv").first().rows == 3
+
+
+def test_line_numbers_over_splits(spark, tmp_path):
+    (tmp_path / "d").mkdir()
+    for name in ("a", "b"):
+        rows = [f'{{"n":{i}}}' if i % 97 else ("" if i % 2 else "bad") for i in range(5000)]
+        (tmp_path / "d" / f"{name}.jsonl").write_text("\n".join(rows) + "\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        got = D.bad_line_numbers(spark, str(tmp_path / "d")).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    want = [i + 1 for i in range(0, 5000, 97) if i % 2 == 0]
+    for name in ("a", "b"):
+        assert sorted(r.line for r in got if r.file.endswith(f"{name}.jsonl")) == want

@@ -7,7 +7,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -49,13 +49,16 @@ class BatchModel:
 
     ``load`` runs once per task and returns ``call(system_prompts, user_prompts) -> replies``.
     ``call`` gets slices of ``batch_size`` prompts, up to ``concurrency`` at a time; a slice that
-    raises is tried again one prompt at a time, so one bad prompt fails alone.
+    raises is tried again one prompt at a time, so one bad prompt fails alone. With an
+    ``output_schema`` (see ``entries.output_schema``) ``call`` gets it as its third argument, for
+    models that can be held to a form.
     """
 
-    load: Callable[[], Callable[[list[str], list[str]], Sequence[str]]]
+    load: Callable[[], Callable[..., Sequence[str]]]
     name: str = "batch"
     batch_size: int = 1
     concurrency: int = 5
+    output_schema: str | None = None
 
     def __post_init__(self) -> None:
         if not 1 <= self.concurrency <= 20:
@@ -65,10 +68,11 @@ class BatchModel:
 
     def replies(self, system: Column, user: Column) -> Column:
         load, size, width = self.load, self.batch_size, self.concurrency
+        extra = () if self.output_schema is None else (self.output_schema,)
 
         def answer(call, rows: list[tuple[str, str]]) -> list[tuple[str | None, str | None]]:
             try:
-                texts = call([s for s, _ in rows], [u for _, u in rows])
+                texts = call([s for s, _ in rows], [u for _, u in rows], *extra)
                 if len(texts) != len(rows):
                     raise ValueError(f"model returned {len(texts)} replies for {len(rows)} prompts")
                 return [
@@ -166,6 +170,7 @@ def infer_staged(
     waves: int = 1,
     retry_failed: bool = True,
     partitions: int | None = None,
+    report: Callable[[int, int, int], None] | None = None,
 ) -> DataFrame:
     """Like :func:`infer`, but replies land in a Parquet table and a rerun skips what it holds.
 
@@ -173,7 +178,8 @@ def infer_staged(
     request id. Each wave reads its own part, leaves out the ids that are answered, and is one committed
     write, so a lost driver costs at most one wave. ``key_cols`` must identify a row; the model needs a
     name of its own (with its version), as its replies are found again by it. A request that was tried
-    more than once has the reply of its last success, or else its last failure.
+    more than once has the reply of its last success, or else its last failure. After each wave
+    ``report(wave, requests sent, failures)`` is called with what its write observed.
     """
     if waves < 1:
         raise ValueError("waves must be positive")
@@ -198,9 +204,15 @@ def infer_staged(
                 done = done.filter(F.col("error").isNull())
             todo = todo.join(done.select("request_id"), "request_id", "left_anti")
         # Rows with equal keys and prompts are one request.
-        infer(todo.dropDuplicates(["request_id"]), model, partitions=partitions).select(
+        replies = infer(todo.dropDuplicates(["request_id"]), model, partitions=partitions).select(
             "request_id", "_slot", F.lit(attempt).alias("attempt"), "raw_content", "error"
-        ).write.mode("append").parquet(staging)
+        )
+        seen = Observation()
+        replies.observe(seen, F.count(F.lit(1)).alias("sent"), F.count("error").alias("failed")).write.mode(
+            "append"
+        ).parquet(staging)
+        if report is not None:
+            report(wave, seen.get["sent"], seen.get["failed"])
     replies = spark.read.parquet(staging).drop("_slot")
     tried = F.struct(F.col("error").isNull().alias("good"), "attempt")
     best = replies.groupBy("request_id").agg(F.max(tried).alias("_best"))

@@ -38,6 +38,7 @@ from tunekit.operators.quality import (
 from tunekit.operators.responses import parse_replies
 from tunekit.operators.validation import valid_entries
 from tunekit.sources.documents import read_documents, read_paged_bytes
+from tunekit.sources.shared import work_dir
 from tunekit.sources.writers import convert
 
 __all__ = [
@@ -254,6 +255,11 @@ def documents_to_dataset(
     if pages_of is not None:
         paged = read_paged_bytes(spark, path, pattern, recursive, parsers)
         parsed = parsed.unionByName(with_page_content(extract_pages(paged, pages_of)))
+    if staging is not None:
+        # Parsed once: the file table and the requests both read the staged documents.
+        place, schema = work_dir(spark, "parsed"), parsed.schema
+        parsed.write.parquet(place)
+        parsed = spark.read.schema(schema).parquet(place)
     requests = chunk_requests(parsed.filter(F.col("error").isNull()), job)
     answered = _replies(
         requests, model, staging, ("source_path", "chunk_index"), waves, partitions

@@ -6,7 +6,7 @@ import re
 import warnings
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -158,16 +158,18 @@ def quarantined_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFra
 
 
 def bad_line_numbers(spark: SparkSession, files: str | Sequence[str]) -> DataFrame:
-    """``file, line, error`` (lines from 1) for files known to be bad; reads each as one row."""
-    whole = spark.read.text(files, wholetext=True).select(
-        F.col("_metadata.file_path").alias("file"),
-        F.posexplode(F.split("value", "\n", -1)).alias("_at", "_line"),
-    )
-    return (
-        parse_lines(whole, "_line")
-        .filter(F.col("error").isNotNull())
-        .select("file", (F.col("_at") + 1).alias("line"), "error")
-    )
+    """``file, line, error`` (lines from 1) of bad lines.
+
+    Lines are counted per split of a file; the splits before a line's own and its place within that
+    give its number, so a file of any size is read in parallel.
+    """
+    rows = with_row_order(spark.read.text(files))
+    splits = rows.groupBy("_file", "_block").agg(F.min("_seq").alias("_first"), F.count("*").alias("_n"))
+    before = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    bad = parse_lines(rows).filter(F.col("error").isNotNull())
+    line = F.col("_before") + F.col("_seq") - F.col("_first") + 1
+    return bad.join(splits, ["_file", "_block"]).select(F.col("_file").alias("file"), line.alias("line"), "error")
 
 
 def is_valid_jsonl(lines: DataFrame, text_col: str = "value") -> DataFrame:
