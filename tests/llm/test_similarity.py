@@ -168,31 +168,44 @@ def test_line_dedup_edges(frame):
 @pytest.mark.parametrize("kind", ["line", "paragraph"])
 def test_unit_dedup(frame, kind):
     rng = random.Random(1)
-    pool = [" ".join(words(rng, n)) for n in (2, 4, 5, 6, 9, 30) for _ in range(3)]
+    pool = [" ".join(words(rng, n)) + rng.choice([".", "?!", ""]) for n in (2, 4, 5, 6, 9, 30) for _ in range(3)]
     cut = "\n" if kind == "line" else "\n\n"
-    rows = [(i, cut.join(rng.choice([x, x.upper(), x.replace(" ", "\t ")]) for x in rng.choices(pool, k=rng.randrange(0, 7)))) for i in range(50)]
+    unit = lambda: "  ".join(rng.choice([x, x.upper(), x.replace(" ", "\t ")]) for x in rng.choices(pool, k=rng.randrange(kind == "paragraph", 4)))
+    rows = [(i, cut.join(unit() for _ in range(rng.randrange(0, 6)))) for i in range(60)]
     seen, want = set(), {}
     for i, t in rows:
-        kept, at, spans = [], 0, []
+        gone, at, kept = set(), 0, []
         for u in t.split(cut):
-            key = tuple(u.lower().split())
-            if len(key) >= 5 and key in seen:
-                spans.append((at, at + len(u)))
-            else:
-                kept.append(u)
-            seen.add(key)
+            parts = [(at + m.start(), m.group()) for m in re.finditer(r"[^.!?]*[.!?]+[ \t]*|[^.!?]+", u)]
+            named = [("sentence", s, x) for s, x in parts] + ([("unit", at, u)] if len(parts) > 1 else [])
+            for kind_, s, x in named:
+                key = (kind_, *x.lower().split())
+                if len(key) > 5 and key in seen:
+                    gone.update(range(s, s + len(x)))
+                seen.add(key)
+            rest = "".join(c for k, c in enumerate(u, at) if k not in gone)
+            if rest or not u:
+                kept.append(rest)
             at += len(u) + len(cut)
-        want[i] = (cut.join(kept), spans)
+        want[i] = (cut.join(kept), sorted(gone))
     got = unitdedup.without_repeated_units(frame(rows), kind).collect()
-    assert {r.doc_id: (r.text, [tuple(x) for x in r.removed_units]) for r in got} == want
+    assert {r.doc_id: (r.text, [k for s, e in r.removed_spans for k in range(s, e)]) for r in got} == want
+
+
+def test_unit_dedup_inside_a_line(frame):
+    passage = "Of all the words here none is new. And so it goes on and on. It has an end too, at last."
+    rows = [(1, f"start of one {passage} and its end"), (2, f"other words. {passage}\nlast line"), (3, passage)]
+    got = {r.doc_id: r for r in unitdedup.without_repeated_units(frame(rows)).collect()}
+    assert got[2].text == "other words. Of all the words here none is new. \nlast line"
+    assert got[1].text == rows[0][1] and got[3].text == ""
 
 
 def test_unit_dedup_edges(frame):
     assert unitdedup.without_repeated_units(frame([])).collect() == []
     line = "one two three four five"
-    rows = [(None, line, 1), (2, line, 2), (2, line, 3), (3, None, 4), (4, f"{line}\n{line}", 5)]
+    rows = [(None, line, 1), (2, line, 2), (2, line, 3), (3, None, 4), (4, f"{line}\n{line}", 5), (5, "x" * 200_000, 6)]
     got = unitdedup.without_repeated_units(frame(rows, "doc_id long, text string, end long")).collect()
-    assert {(r.end, r.text) for r in got} == {(1, line), (2, line), (3, line), (4, None), (5, "")}
+    assert {(r.end, r.text) for r in got} == {(1, line), (2, line), (3, line), (4, None), (5, ""), (6, "x" * 200_000)}
 
 
 def brute_leaks(docs, items):

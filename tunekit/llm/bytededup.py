@@ -29,13 +29,14 @@ same offsets. Extra columns are ignored. An empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tunekit.llm.arrays import PIECE, Substrings, constants, groups, mix, sliding_min, text_bytes
+from tunekit.llm.places import FOUND_DDL, by_document, dealt, interval_rows, merged, sorted_places, spread, unpacked
 from tunekit.llm.spark_tools import maybe_member, membership, partitions, stage
 
 LENGTH, GRAM = 100, 32
@@ -44,8 +45,6 @@ _C = constants(4, 29)
 _HIGH, _LOW = np.uint64(0xFFFFFFFF00000000), np.uint64(0xFFFFFFFF)
 _SPAN = np.dtype([("bucket", "u8"), ("span", "u8"), ("doc", "i8"), ("start", "u4"), ("more", "u4")])
 _SUFFIX = np.dtype([("bucket", "u8"), ("doc", "i8"), ("start", "u4")])
-_FOUND = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("open", pa.bool_()), ("shard", pa.int32()), ("packed", pa.binary())])
-_FOUND_DDL = "doc_id long, start long, end long, open boolean, shard int, packed binary"
 HELD = 400_000
 
 
@@ -89,72 +88,6 @@ def suffix_buckets(data: np.ndarray, start: np.ndarray) -> np.ndarray:
     return mix(two[start] * _C[2] + two[start + later] * _C[3])
 
 
-def _rows(**columns) -> pa.RecordBatch:
-    n = len(next(iter(columns.values())))
-    return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(n, f.type) for f in _FOUND], schema=_FOUND)
-
-
-def _intervals(doc: np.ndarray, start: np.ndarray, end: np.ndarray, open_: bool) -> Iterator[pa.RecordBatch]:
-    """Rows of intervals; removed ones (open false) are merged where they overlap."""
-    if not open_ and len(doc):
-        doc, start, end = merged(doc, start, end)
-    for x in range(0, len(doc), 50_000):
-        part = slice(x, x + 50_000)
-        size = len(doc[part])
-        yield _rows(doc_id=pa.array(doc[part].astype(np.int64)), start=pa.array(start[part].astype(np.int64)), end=pa.array(end[part].astype(np.int64)), open=pa.array(np.full(size, open_)))
-
-
-def merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Maximal unions of overlapping or touching intervals of each document."""
-    order = np.lexsort((start, doc))
-    doc, start, end = doc[order].astype(np.int64), start[order].astype(np.int64), end[order].astype(np.int64)
-    rank = np.cumsum(np.r_[False, doc[1:] != doc[:-1]])
-    reach = np.maximum.accumulate(end + rank * (1 << 33)) - rank * (1 << 33)
-    first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (start[1:] > reach[:-1])])
-    return doc[first], start[first], reach[np.r_[first[1:], len(doc)] - 1]
-
-
-def _later(x: np.ndarray, by: list[str]) -> np.ndarray:
-    """x sorted by the names, document and start, and which rows aren't the first of theirs."""
-    x = x[np.lexsort([x["start"], x["doc"], *(x[c] for c in reversed(by))])]
-    same = np.ones(max(len(x) - 1, 0), dtype=bool)
-    for c in by:
-        same &= x[c][1:] == x[c][:-1]
-    later = np.r_[False, same][: len(x)]
-    if len(x):  # the same start of a document given twice is no later copy
-        head = np.maximum.accumulate(np.where(later, 0, np.arange(len(x))))
-        later &= (x["doc"] != x["doc"][head]) | (x["start"] != x["start"][head])
-    return x, later
-
-
-def _dealt(x: np.ndarray, by: list[str], shards: int, width: Callable) -> Iterator[pa.RecordBatch]:
-    """Later copies within the task at once; the first of each name packed by shard."""
-    x, later = _later(x, by)
-    yield from _intervals(x["doc"][later], x["start"][later], width(x[later]), False)
-    head = np.ones(len(x), dtype=bool)
-    head[1:] = False
-    for c in by:
-        head[1:] |= x[c][1:] != x[c][:-1]
-    x = x[head]
-    shard = ((x["bucket"] >> np.uint64(20)) % np.uint64(shards)).astype(np.int32)
-    order = np.argsort(shard, kind="stable")
-    x, shard = x[order], shard[order]
-    cuts = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1], True])
-    rows = [b"".join(np.ascontiguousarray(x[c][a:b]).tobytes() for c in x.dtype.names) for a, b in zip(cuts[:-1], cuts[1:])]
-    yield _rows(shard=pa.array(shard[cuts[:-1]]), packed=pa.array(rows, pa.binary()))
-
-
-def _unpacked(batch: pa.RecordBatch, kind: np.dtype) -> Iterator[np.ndarray]:
-    for row in batch.column("packed").drop_null():
-        raw = row.as_py()
-        n, at = len(raw) // kind.itemsize, 0
-        out = np.empty(n, dtype=kind)
-        for c in kind.names:
-            out[c] = np.frombuffer(raw, kind[c], n, at)
-            at += n * kind[c].itemsize
-        yield out
-
-
 _SPAN_END = lambda x: x["start"].astype(np.int64) + x["more"] + LENGTH
 _SUFFIX_END = lambda x: x["start"].astype(np.int64) + LENGTH
 
@@ -174,10 +107,10 @@ def _runs(shards: int):
                 held.append(x)
                 size += len(x)
                 if size > HELD:
-                    yield from _dealt(np.concatenate(held), ["bucket", "span"], shards, _SPAN_END)
+                    yield from dealt(np.concatenate(held), ["bucket", "span"], shards, _SPAN_END)
                     held, size = [], 0
         if size:
-            yield from _dealt(np.concatenate(held), ["bucket", "span"], shards, _SPAN_END)
+            yield from dealt(np.concatenate(held), ["bucket", "span"], shards, _SPAN_END)
 
     return run
 
@@ -189,7 +122,7 @@ def _refine_spans(batches):
         done = batch.filter(batch.column("packed").is_null())
         if len(done):
             yield done
-        held += _unpacked(batch, _SPAN)
+        held += unpacked(batch, _SPAN)
     if not held:
         return
     x = np.concatenate(held)
@@ -198,13 +131,13 @@ def _refine_spans(batches):
     bucket = x["bucket"][order]
     same = np.r_[False, bucket[1:] == bucket[:-1], False]
     x = x[order[same[1:] | same[:-1]]]
-    x, later = _later(x, ["bucket", "span"])
-    yield from _intervals(x["doc"][later], x["start"][later], _SPAN_END(x[later]), False)
+    x, later = sorted_places(x, ["bucket", "span"])
+    yield from interval_rows(x["doc"][later], x["start"][later], _SPAN_END(x[later]), False)
     new = np.r_[True, (x["bucket"][1:] != x["bucket"][:-1]) | (x["span"][1:] != x["span"][:-1])][: len(x)]
     x = x[new]
     same = np.r_[False, x["bucket"][1:] == x["bucket"][:-1], False]
     x = x[(same[1:] | same[:-1])[: len(x)]]
-    yield from _intervals(x["doc"], x["start"], x["start"].astype(np.int64) + x["more"] + 1, True)
+    yield from interval_rows(x["doc"], x["start"], x["start"].astype(np.int64) + x["more"] + 1, True)
 
 
 def _suffixes(shards: int):
@@ -237,10 +170,10 @@ def _suffixes(shards: int):
                 held.append(x)
                 size += len(x)
                 if size > HELD:
-                    yield from _dealt(np.concatenate(held), ["bucket"], shards, _SUFFIX_END)
+                    yield from dealt(np.concatenate(held), ["bucket"], shards, _SUFFIX_END)
                     held, size = [], 0
         if size:
-            yield from _dealt(np.concatenate(held), ["bucket"], shards, _SUFFIX_END)
+            yield from dealt(np.concatenate(held), ["bucket"], shards, _SUFFIX_END)
 
     return run
 
@@ -251,10 +184,10 @@ def _refine_suffixes(batches):
         done = batch.filter(batch.column("packed").is_null())
         if len(done):
             yield done
-        held += _unpacked(batch, _SUFFIX)
+        held += unpacked(batch, _SUFFIX)
     if held:
-        x, later = _later(np.concatenate(held), ["bucket"])
-        yield from _intervals(x["doc"][later], x["start"][later], _SUFFIX_END(x[later]), False)
+        x, later = sorted_places(np.concatenate(held), ["bucket"])
+        yield from interval_rows(x["doc"][later], x["start"][later], _SUFFIX_END(x[later]), False)
 
 
 _KEPT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
@@ -281,36 +214,25 @@ def _cut(batches):
         yield pa.RecordBatch.from_pylist(out, schema=_KEPT)
 
 
-def _by_document(intervals: DataFrame) -> DataFrame:
-    """Per document the starts and ends of its intervals, in arrays as long as the document allows."""
-    both = intervals.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("all"))
-    return both.select("doc_id", F.col("all.start").alias("starts"), F.col("all.end").alias("ends"))
-
-
 def removed_intervals(docs: DataFrame) -> DataFrame:
     """Byte intervals (doc_id, start, end) of later copies, not yet merged, of (doc_id, text)."""
     shards = partitions(docs.sparkSession)
-    spans = docs.mapInArrow(_runs(shards), _FOUND_DDL)
-    found = stage(_spread(spans, shards).mapInArrow(_refine_spans, _FOUND_DDL).drop("shard", "packed"), "bytes-spans")
+    spans = docs.mapInArrow(_runs(shards), FOUND_DDL)
+    found = stage(spread(spans, shards).mapInArrow(_refine_spans, FOUND_DDL).drop("shard", "packed"), "bytes-spans")
     runs = found.where("open").select("doc_id", "start", "end")
-    wanted = _by_document(runs)
+    wanted = by_document(runs)
     texts = maybe_member(docs, "doc_id", membership(runs, "doc_id")).join(wanted.hint("shuffle_hash"), "doc_id")
-    suffixes = texts.select("doc_id", "text", "starts", "ends").mapInArrow(_suffixes(shards), _FOUND_DDL)
-    more = _spread(suffixes, shards).mapInArrow(_refine_suffixes, _FOUND_DDL).drop("shard", "packed")
+    suffixes = texts.select("doc_id", "text", "starts", "ends").mapInArrow(_suffixes(shards), FOUND_DDL)
+    more = spread(suffixes, shards).mapInArrow(_refine_suffixes, FOUND_DDL).drop("shard", "packed")
     return stage(found.where("NOT open").unionAll(more).select("doc_id", "start", "end"), "bytes-removed")
 
 
-def _spread(df: DataFrame, shards: int) -> DataFrame:
-    """Packed rows to the task of their shard, intervals to any."""
-    return df.repartitionById(shards, F.coalesce("shard", F.pmod(F.xxhash64("doc_id", "start"), F.lit(shards)).cast("int")))
-
-
 def without_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes) of every row of (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     removed = removed_intervals(docs)
     touched = membership(removed, "doc_id")
-    cut = maybe_member(docs, "doc_id", touched).join(_by_document(removed).hint("shuffle_hash"), "doc_id", "left")
+    cut = maybe_member(docs, "doc_id", touched).join(by_document(removed).hint("shuffle_hash"), "doc_id", "left")
     cut = cut.select("doc_id", "text", "starts", "ends").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     kept = F.coalesce("text", F.lit("")).cast("binary")
     none = F.lit(0).cast("long")

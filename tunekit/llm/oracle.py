@@ -23,15 +23,27 @@ texts AS (SELECT doc_id, count(*)::INT AS n_lines, count(*) FILTER (out)::INT AS
 SELECT t.doc_id, n_lines, n_removed_lines, coalesce(runs, '') AS removed_runs, kept_sha256 FROM texts t LEFT JOIN runs r ON t.doc_id = r.doc_id
 """
 
+_NORM = "trim(regexp_replace(lower({x}), '[ \\t\\n\\r\\f\\v]+', ' ', 'g'))"
+_SENTENCES = "regexp_extract_all(unit, '[^.!?]*[.!?]+[ \\t]*|[^.!?]+')"
 _LINE_HASH_DEDUP = f"""
 WITH l AS ({_UNITS}),
-n AS (SELECT *, trim(regexp_replace(lower(unit), '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) AS norm FROM l),
-k AS (SELECT *, length(norm) - length(replace(norm, ' ', '')) >= 4
-              AND row_number() OVER (PARTITION BY norm ORDER BY doc_id, pos) > 1 AS out FROM n)
-SELECT doc_id, (max(start + length(unit)))::INT AS n_chars, count(*) FILTER (out)::INT AS n_removed_units,
-       coalesce(string_agg(start::BIGINT || '-' || (start + length(unit))::BIGINT, ' ' ORDER BY pos) FILTER (out), '') AS removed_spans,
-       sha256(coalesce(string_agg(unit, chr(10) ORDER BY pos) FILTER (NOT out), '')) AS kept_sha256
-FROM k GROUP BY doc_id
+t AS (SELECT doc_id, pos, start, unnest({_SENTENCES}) AS tok, generate_subscripts({_SENTENCES}, 1) AS k, len({_SENTENCES}) AS n_tok FROM l),
+s AS (SELECT *, start + coalesce(sum(length(tok)) OVER (PARTITION BY doc_id, pos ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ofs FROM t),
+keys AS (SELECT 's' AS kind, doc_id, pos, k, ofs, {_NORM.format(x="tok")} AS norm FROM s
+         UNION ALL SELECT 'u', l.doc_id, l.pos, 0, l.start, {_NORM.format(x="unit")} FROM l WHERE len({_SENTENCES}) > 1),
+copies AS (SELECT kind, doc_id, pos, k FROM keys WHERE length(norm) - length(replace(norm, ' ', '')) >= 4
+           QUALIFY row_number() OVER (PARTITION BY kind, norm ORDER BY doc_id, ofs) > 1),
+m AS (SELECT s.*, c.k IS NOT NULL OR u.doc_id IS NOT NULL AS out FROM s
+      LEFT JOIN copies c ON c.kind = 's' AND c.doc_id = s.doc_id AND c.pos = s.pos AND c.k = s.k
+      LEFT JOIN copies u ON u.kind = 'u' AND u.doc_id = s.doc_id AND u.pos = s.pos),
+r AS (SELECT doc_id, min(ofs) AS a, max(ofs + length(tok)) AS b FROM (
+        SELECT *, k - row_number() OVER (PARTITION BY doc_id, pos ORDER BY k) AS island FROM m WHERE out) GROUP BY doc_id, pos, island),
+runs AS (SELECT doc_id, string_agg(a::BIGINT || '-' || b::BIGINT, ' ' ORDER BY a) AS spans, sum(b - a)::BIGINT AS n FROM r GROUP BY doc_id),
+kept AS (SELECT doc_id, pos, coalesce(string_agg(tok, '' ORDER BY k) FILTER (NOT out), '') AS rest, bool_or(out) AS cut FROM m GROUP BY doc_id, pos),
+texts AS (SELECT l.doc_id, max(l.start + length(l.unit))::INT AS n_chars,
+                 sha256(coalesce(string_agg(coalesce(rest, ''), chr(10) ORDER BY l.pos) FILTER (coalesce(rest, '') <> '' OR NOT coalesce(cut, false)), '')) AS kept_sha256
+          FROM l LEFT JOIN kept k ON k.doc_id = l.doc_id AND k.pos = l.pos GROUP BY l.doc_id)
+SELECT t.doc_id, n_chars, coalesce(n, 0) AS n_removed, coalesce(spans, '') AS removed_spans, kept_sha256 FROM texts t LEFT JOIN runs r ON r.doc_id = t.doc_id
 """
 
 _ROOT = (

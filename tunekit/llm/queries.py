@@ -65,8 +65,8 @@ def line_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select(
         "doc_id",
         F.coalesce("n_chars", F.lit(0)).alias("n_chars"),
-        F.size("removed_units").alias("n_removed_units"),
-        F.array_join(F.transform("removed_units", lambda u: F.concat_ws("-", u["start"], u["end"])), " ").alias("removed_spans"),
+        F.aggregate("removed_spans", F.lit(0).cast("long"), lambda n, u: n + u["end"] - u["start"]).alias("n_removed"),
+        F.array_join(F.transform("removed_spans", lambda u: F.concat_ws("-", u["start"], u["end"])), " ").alias("removed_spans"),
         F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"),
     )
 
