@@ -5,6 +5,7 @@ import itertools
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,8 +78,6 @@ def test_parity_join_edges(frame):
 
 
 def test_sketch_bounds_difference():
-    import numpy as np
-
     rng = np.random.default_rng(1)
     for n, m in ((1, 1), (5, 40), (300, 310), (64, 2000)):
         a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
@@ -209,20 +208,25 @@ def test_unit_dedup_edges(frame):
 
 
 def brute_leaks(docs, items):
+    numbers: dict[str, int] = {}
+
     def tokens(t):
-        return re.findall(r"[0-9a-z\u0080-\U0010ffff]+", (t or "").lower())
+        found = re.findall(r"[0-9a-z\u0080-\U0010ffff]+", (t or "").lower())
+        return np.array([numbers.setdefault(w, len(numbers)) for w in found], dtype=np.int32)
 
-    out = set()
-    for (d, t), (i, u) in itertools.product(docs, items):
-        x, y = tokens(t), tokens(u)
+    texts, out = {d: tokens(t) for d, t in docs}, set()
+    for i, u in items:
+        y = tokens(u)
         w = min(13, len(y))
         if w < 8:
             continue
         need = 11 if w == 13 else w
-        for p, q in itertools.product(range(len(x) - w + 1), range(len(y) - w + 1)):
-            if sum(a == b for a, b in zip(x[p : p + w], y[q : q + w])) >= need:
-                out.add((d, i))
-                break
+        for d, x in texts.items():
+            p, q = len(x) - w + 1, len(y) - w + 1
+            if p > 0:
+                same = x[:, None] == y[None, :]
+                if sum(same[k : k + p, k : k + q].astype(np.int8) for k in range(w)).max() >= need:
+                    out.add((d, i))
     return out
 
 
