@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-PIECE = 1 << 20
+PIECE = 1 << 18
 LONG_WORD = 1 << 16
 _BASE = 0x9E3779B97F4A7C15
 

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tunekit.llm.arrays import PIECE, Substrings, constants, groups, mix, sliding_min, text_bytes
 from tunekit.llm.places import FOUND_DDL, by_document, dealt, interval_rows, merged, sorted_places, spread, unpacked
-from tunekit.llm.spark_tools import maybe_member, membership, partitions, stage
+from tunekit.llm.spark_tools import bounded_batches, maybe_member, membership, partitions, stage
 
 LENGTH, GRAM = 100, 32
 WINDOW = LENGTH - GRAM + 1
@@ -230,6 +230,7 @@ def removed_intervals(docs: DataFrame) -> DataFrame:
 def without_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes) of every row of (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    bounded_batches(docs.sparkSession)
     removed = removed_intervals(docs)
     touched = membership(removed, "doc_id")
     cut = maybe_member(docs, "doc_id", touched).join(by_document(removed).hint("shuffle_hash"), "doc_id", "left")

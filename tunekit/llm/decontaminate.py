@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import IntegerType
 
 from tunekit.llm.arrays import SPACE, constants, groups, mix, word_hashes
-from tunekit.llm.spark_tools import FILTER_BITS, fold_slots, stage
+from tunekit.llm.spark_tools import FILTER_BITS, bounded_batches, fold_slots, stage
 
 WIDTH, SUBSTITUTIONS, SHORTEST = 13, 2, 8
 BLOCKS = [(0, 4), (4, 7), (7, 10), (10, 13)]
@@ -165,6 +165,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     matching windows), best_agreement (most equal words in a window).
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string"))
     test = stage(items.mapInArrow(_item_seeds, "item long, n_words int, width int, seed long, at int, words binary").distinct(), "seeds")
     widths = sorted(r.width for r in test.select("width").distinct().collect())  # at most six

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tunekit.llm.arrays import constants
+from tunekit.llm.spark_tools import bounded_batches
 
 BUCKETS = 1 << 15
 SMOOTHING = 0.5
@@ -103,6 +104,7 @@ class Model:
 
 def train(rows: DataFrame) -> Model:
     """A model from the columns text and lang."""
+    bounded_batches(rows.sparkSession)
     known = rows.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
     totals = known.mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     texts = totals[totals["bucket"] < 0].set_index("lang")["n"].to_dict()
@@ -128,6 +130,7 @@ def score(texts: list[str | None], model: Model) -> tuple[list[str], np.ndarray]
 
 def identify(docs: DataFrame, model: Model, text: str = "text", lang: str = "lang_pred", confidence: str = "score") -> DataFrame:
     """The rows with the predicted language and its probability; both names must be new."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang string, score double")

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BooleanType
 
 from tunekit.llm.arrays import PIECE, constants, groups, mix, text_bytes, word_hashes
-from tunekit.llm.spark_tools import components, maybe_member, membership, partitions, stage
+from tunekit.llm.spark_tools import bounded_batches, components, maybe_member, membership, partitions, stage
 
 WORDS = 5
 SMALL = 12
@@ -160,7 +160,7 @@ def _keys(shards: int):
                         keys.append(found), cls.append(name)
                         held += len(found)
                 spare.append(room)
-                if held > 1_500_000:
+                if held > 500_000:
                     yield from packed(keys, cls, seen)
                     held = 0
             n = len(ids)
@@ -262,25 +262,22 @@ def _candidate_sets(batches):
             yield pa.RecordBatch.from_pylist(held, schema=_SETS)
 
 
-@F.pandas_udf(BooleanType())
-def _near_by_sketch(n, m, x, y):
-    import pandas as pd
+@F.arrow_udf(BooleanType())
+def _near_by_sketch(n: pa.Array, m: pa.Array, x: pa.Array, y: pa.Array) -> pa.Array:
+    limit = (n.to_numpy(zero_copy_only=False) + m.to_numpy(zero_copy_only=False)) // 9
+    return pa.array([hamming(p.as_buffer(), q.as_buffer()) <= d for d, p, q in zip(limit, x, y)], pa.bool_())
 
-    return pd.Series([hamming(p, q) <= (a + b) // 9 for a, b, p, q in zip(n, m, x, y)], dtype=bool)
-
-
-@F.pandas_udf(BooleanType())
-def _similar(x, y):
-    import pandas as pd
 
+@F.arrow_udf(BooleanType())
+def _similar(x: pa.Array, y: pa.Array) -> pa.Array:
     out = []
     for p, q in zip(x, y):
-        a, b = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
+        a, b = np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64)
         both = np.concatenate([a, b])
         both.sort()
         shared = int(np.count_nonzero(both[1:] == both[:-1]))
         out.append(100 * shared >= 80 * (len(both) - shared))
-    return pd.Series(out, dtype=bool)
+    return pa.array(out, pa.bool_())
 
 
 def _side(table: DataFrame, end: str) -> DataFrame:
@@ -307,7 +304,8 @@ _NEAR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 def _near_of_blocks(batches):
     """Pairs of different components that sizes and sketches don't refute, from rows of two blocks of classes."""
     for batch in batches:
-        for row in batch.to_pylist():
+        for i in range(len(batch)):
+            row = batch.slice(i, 1).to_pylist()[0]
             x, y = row["x"], row["y"]
             found = []
             n, c = (np.array([e[k] for e in y], np.int64) for k in ("n", "component"))
@@ -366,6 +364,7 @@ def similar_documents(docs: DataFrame, small: int = SMALL) -> DataFrame:
     Keys of more than ``small`` classes are treated as hot; the result doesn't depend on it.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     shards = partitions(spark)
     dealt = docs.mapInArrow(_keys(shards), _KEYS).repartitionById(shards, F.col("shard"))

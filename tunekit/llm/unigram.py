@@ -5,9 +5,11 @@ with the largest sum of log scores is taken; of equal sums the one whose last pi
 character that no piece covers costs the least score less ten, and is written as its UTF-8 bytes'
 pieces (or as the unknown piece if the vocabulary has no byte pieces).
 
-No piece has a marker after another character (checked when the model is built), so a text may be cut
-before every run of markers that follows another character: the best way of the whole is the best ways
-of the parts put together. Parts repeat, so their ids are kept in a bounded cache per process.
+Where two characters stand side by side in no piece, no piece crosses that place, and the best way of the
+whole is the best ways of both parts put together. So a text is cut before every run of markers that
+follows another character (if no piece has a marker after another character, which is checked when the
+model is built), and a part again at its last such place, as between a word and a comma. Parts repeat,
+and their ids are kept in a bounded cache per process.
 
 Decoding joins the pieces, turns markers into spaces and byte pieces into bytes, and takes the leading
 space away. It gives the text back exactly unless the text itself has the marker U+2581, which comes
@@ -27,10 +29,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from tunekit.llm.spark_tools import bounded_batches
 from tunekit.llm.vocabulary import SPACE, Pieces
 
 PART = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-CACHED = 1 << 19
+CACHED = 1 << 18
 CHARS = 1 << 20
 UNKNOWN_COST = 10.0
 
@@ -98,6 +101,7 @@ class Model:
     unknown: int
     plain: tuple[bytes, ...]  # what each id decodes to
     parted: bool  # whether texts may be cut before runs of markers
+    pairs: frozenset[str]  # characters that are side by side in some piece
 
 
 def build(pieces: Pieces) -> Model:
@@ -112,7 +116,9 @@ def build(pieces: Pieces) -> Model:
     if not pieces.bytes_:
         plain[unknown] = " ⁇ ".encode()
     parted = all(SPACE not in pieces.pieces[i].lstrip(SPACE) for i in normal)
-    return Model(double_array([(pieces.pieces[i].encode(), i) for i in normal]), pieces.scores, pieces.bytes_, unknown, tuple(plain), parted)
+    pairs = frozenset(p[k : k + 2] for p in (pieces.pieces[i] for i in normal) for k in range(len(p) - 1))
+    trie = double_array([(pieces.pieces[i].encode(), i) for i in normal])
+    return Model(trie, pieces.scores, pieces.bytes_, unknown, tuple(plain), parted, pairs)
 
 
 class Encoder(dict):
@@ -126,7 +132,9 @@ class Encoder(dict):
         self.missing = min(scored, default=0.0) - UNKNOWN_COST
 
     def __missing__(self, part: str) -> bytes:
-        ids = np.array(self.best(part), np.int32).tobytes()
+        pairs = self.model.pairs
+        cut = next((i for i in range(min(len(part), 64) - 1, 0, -1) if part[i - 1 : i + 1] not in pairs), 0)
+        ids = self[part[:cut]] + self[part[cut:]] if cut else np.array(self.best(part), np.int32).tobytes()
         if len(part) < 64:
             self[part] = ids
         return ids
@@ -200,6 +208,7 @@ def _encoder(key: int, model: Model) -> Encoder:
 
 def encode(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The rows' other columns, the text, ``ids``, and ``decoded`` (ids turned back to text)."""
+    bounded_batches(docs.sparkSession)
     clash = {"ids", "decoded"} & set(docs.columns)
     if clash:
         docs = docs.drop(*clash)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tunekit.llm.places import FOUND_DDL, by_document, dealt, interval_rows, merged, sorted_places, spread, unpacked
-from tunekit.llm.spark_tools import maybe_member, membership, partitions, stage
+from tunekit.llm.spark_tools import bounded_batches, maybe_member, membership, partitions, stage
 
 MIN_WORDS = 5
 HELD = 400_000
@@ -116,6 +116,7 @@ def _later_copies(batches):
 def repeated_units(docs: DataFrame, kind: str = "line") -> DataFrame:
     """Intervals (doc_id, start, end) of everything that goes, of (doc_id, text); they may overlap."""
     shards = partitions(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     placed = docs.select("doc_id", "text").mapInArrow(_keyed(kind, shards), FOUND_DDL)
     gone = spread(placed, shards).mapInArrow(_later_copies, FOUND_DDL)
     return stage(gone.select("doc_id", "start", "end"), "units-gone")

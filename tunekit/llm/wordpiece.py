@@ -17,13 +17,13 @@ from __future__ import annotations
 import re
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from tunekit.llm.spark_tools import bounded_batches
 from tunekit.llm.vocabulary import SPACE, Pieces
 
 WORD = re.compile(r"[^\W_]+|[^\w\s]|_")
-CACHED = 1 << 19  # distinct words a task keeps the counts of
+CACHED = 1 << 18  # distinct words a task keeps the counts of
 _UNKNOWN = 1 << 40
 
 
@@ -110,6 +110,7 @@ def count_text(text: str | None, counts: _Counts) -> tuple[int, int, int]:
 
 def count_tokens(docs: DataFrame, pieces: Pieces, text: str = "text") -> DataFrame:
     """The rows with a struct column ``tokens`` of n_words, n_tokens and n_unknown."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(pieces)
     key = hash(pieces)
 
