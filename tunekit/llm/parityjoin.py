@@ -37,7 +37,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import BooleanType
 
 from tunekit.llm.arrays import PIECE, constants, groups, mix, text_bytes, word_hashes
@@ -330,8 +330,13 @@ def _near_of_blocks(batches):
 def _hot_pairs(hot: DataFrame, spare: DataFrame, parts: DataFrame, sets: DataFrame) -> DataFrame | None:
     """Pairs (a, b) across components that only hot keys can show and that aren't refuted; None if all hot keys are settled."""
     of = parts.select(F.col("id").alias("cls"), "component")
-    bound = hot.groupBy("cls", "level").count().join(spare, ["cls", "level"]).where("count >= spare").select("cls", "level")
-    placed = hot.join(bound, ["cls", "level"], "left_semi").join(of, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    bound = hot.groupBy("cls", "level").count().join(spare, ["cls", "level"]).where("count >= spare")
+    # A pair that no other key has shown shares `spare` hot keys of either class, so each may do without the last half of
+    # as many: two such halves don't hold all that is shared.
+    bound = bound.select("cls", "level", F.expr("count - (spare - 1) div 2").alias("kept"))
+    nth = F.row_number().over(Window.partitionBy("cls", "level").orderBy("key"))
+    placed = hot.join(bound, ["cls", "level"]).withColumn("nth", nth).where("nth <= kept")
+    placed = placed.join(of, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     placed = stage(placed.select("key", "cls", "component"), "parity-hot")
     mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("cls").alias("least")).where("x != y")
     stars = stage(placed.join(mixed.select("key", "least"), "key").select("cls", "least", "component").distinct(), "parity-stars")
