@@ -110,6 +110,15 @@ def test_unigram_round_trip(frame, texts):
     assert unigram.encode(frame([]), unigram.build(read_pieces())).collect() == []
 
 
+def test_unigram_of_long_texts_without_spaces():
+    encoder = unigram.Encoder(unigram.build(read_pieces()))
+    line = "".join(random.Random(8).choice("abcdefgh,.;:()0123456789") for _ in range(49)) + "\n"
+    whole = encoder.best(SPACE + line * 20)
+    assert encoder.encode(line * 20).tolist() == list(whole)
+    for text in (line * 200_000, "x" * 10_000_000):
+        assert encoder.decode(encoder.encode(text)) == text
+
+
 def test_language_id(frame, spark, tables):
     docs = tables("documents")
     out = langid.held_out(F.col("doc_id"))

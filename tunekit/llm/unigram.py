@@ -16,13 +16,16 @@ space away. It gives the text back exactly unless the text itself has the marker
 back as a space.
 
 A null text has null ids and decodes to null; an empty text has no ids. Very long texts are cut as
-above, a part without spaces is encoded whole in memory in proportion to its length. Repeated rows,
-null ids and extra columns don't matter; an empty table gives an empty result.
+above, one place after the other, in a part without spaces too; what has no such place is encoded whole
+in memory in proportion to its length. Repeated rows, null ids and extra columns don't matter; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,6 +38,7 @@ from tunekit.llm.vocabulary import SPACE, Pieces
 PART = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 CACHED = 1 << 18
 CHARS = 1 << 20
+SHORT = 64  # characters of parts that are kept
 UNKNOWN_COST = 10.0
 
 
@@ -132,19 +136,33 @@ class Encoder(dict):
         self.missing = min(scored, default=0.0) - UNKNOWN_COST
 
     def __missing__(self, part: str) -> bytes:
+        if len(part) >= SHORT:
+            return b"".join(self.long(part))
         pairs = self.model.pairs
-        cut = next((i for i in range(min(len(part), 64) - 1, 0, -1) if part[i - 1 : i + 1] not in pairs), 0)
+        cut = next((i for i in range(len(part) - 1, 0, -1) if part[i - 1 : i + 1] not in pairs), 0)
         ids = self[part[:cut]] + self[part[cut:]] if cut else np.array(self.best(part), np.int32).tobytes()
-        if len(part) < 64:
-            self[part] = ids
+        self[part] = ids
         return ids
 
-    def best(self, part: str) -> list[int]:
+    def long(self, part: str) -> Iterator[bytes]:
+        """Ids of what is between the cut places of a part of any length."""
+        pairs, at, n = self.model.pairs, 0, len(part)
+        while at < n:
+            near = range(min(at + SHORT, n) - 1, at, -1) if n - at >= SHORT else ()
+            to = next((i for i in near if part[i - 1 : i + 1] not in pairs), 0)
+            to = to or next((i for i in range(at + SHORT, n) if part[i - 1 : i + 1] not in pairs), n)
+            own = part[at:to]
+            yield self[own] if len(own) < SHORT else np.array(self.best(own), np.int32).tobytes()
+            at = to
+
+    def best(self, part: str) -> Sequence[int]:
         data = part.encode("utf-8", "surrogatepass")
         n = len(data)
         base, check, value, scores = self.base, self.check, self.value, self.model.scores
         low = float("-inf")
-        sums, back, piece = [low] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
+        few = n < CHARS  # lists are faster, arrays smaller
+        sums = [low] * (n + 1) if few else array("d", [low]) * (n + 1)
+        back, piece = ([0] * (n + 1), [-1] * (n + 1)) if few else (array("i", [0]) * (n + 1), array("i", [-1]) * (n + 1))
         sums[0] = 0.0
         at = 0
         while at < n:
@@ -170,14 +188,14 @@ class Encoder(dict):
                 if total > sums[to]:
                     sums[to], back[to], piece[to] = total, at, -1
             at += step
-        out: list[int] = []
+        out = [] if few else array("i")
         at = n
         while at:
             start = back[at]
             if piece[at] >= 0:
                 out.append(piece[at])
             elif self.model.bytes_:
-                out += [self.model.bytes_[b] for b in reversed(data[start:at])]
+                out.extend(self.model.bytes_[b] for b in reversed(data[start:at]))
             else:
                 out.append(self.model.unknown)
             at = start
