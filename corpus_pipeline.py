@@ -49,7 +49,7 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark passage go."""
-    found = stage(contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")), "pipeline-leaks")
+    found = stage(contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), short_items=True), "pipeline-leaks")
     return _without_ids(docs, found.where("doc_id IS NOT NULL").select("doc_id").distinct())
 
 

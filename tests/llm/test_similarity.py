@@ -245,6 +245,25 @@ def test_decontamination(frame, spark):
     assert len(got) == len({(r.doc_id, r.item_id) for r in got})
 
 
+def test_decontamination_of_short_items(frame):
+    rng = random.Random(5)
+    items, docs = [], []
+    for n in range(1, 13):
+        item = [f"w{n}x{k}" for k in range(n)]
+        items.append((n, " ".join(item)))
+        for off in range(4):
+            near = list(item)
+            for k in rng.sample(range(n), min(off, n)):
+                near[k] = "other"
+            docs.append((10 * n + off, " ".join(["before", *near, "after"])))
+    items += [(20, "\u6c34\u306e\u4e2d\u3067\u9b5a\u304c\u6cf3\u3050"), (21, " ?! "), (22, None)]
+    docs += [(200, "\u305d\u306e\u6c34\u306e\u4e2d\u3067\u9b5a\u304c\u6cf3\u304e\u3001"), (201, "\u9b5a\u304c\u6cf3\u3050")]
+    bench = frame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(frame(docs), bench, short_items=True).collect()}
+    assert got == {(10 * n + off, n) for n in range(1, 13) for off in range((n >= 5) + (n >= 10) + 1)} | {(200, 20)}
+    assert {r.item_id for r in decontaminate.unsearchable(bench).collect()} == {21, 22}
+
+
 def test_decontamination_edges(frame):
     none, text = frame([], "item_id long, text string"), " ".join("abcdefghijklmnop")
     assert decontaminate.contaminated(frame([(1, text)]), none).collect() == []

@@ -4,10 +4,13 @@ A training text holds a benchmark item if some 13 consecutive words of both agre
 places (no insertions). The 13 positions are four blocks; each of six fixed masks looks at two blocks
 and ignores the others. Two substitutions touch at most two blocks, so at least one mask sees two equal
 windows: hashing both sides under all masks and joining on the hash misses nothing, and each hit is
-verified position by position. An item of 8 to 12 words is matched whole and exactly; one with fewer
-words is too short to be evidence and matches nothing.
+verified position by position. By default an item of 8 to 12 words is matched whole and exactly, and one
+with fewer words matches nothing. With ``short_items`` every item that has a word is searched, and masks
+are scaled to its width: whole items of 10 to 12 words may differ in two places, of 5 to 9 words in one
+(three blocks, masks of two), shorter ones are matched exactly. ``unsearchable`` gives the items left.
 
-Words are runs of letters, digits and non-ASCII characters, lower-cased. Benchmark hashes go into a
+Words are runs of letters, digits and non-ASCII characters, lower-cased; in scripts written without
+spaces each character is a word. Benchmark hashes go into a
 filter of fixed size (2 MB), which tasks that read the texts get by broadcast; a text's windows that
 pass are merged to segments, and equal segments of different texts are matched once. So a passage
 that a third of all texts hold costs one match, and the joins carry segments, not texts.
@@ -19,6 +22,7 @@ on either side nothing matches.
 
 from __future__ import annotations
 
+import re
 from itertools import combinations
 
 import numpy as np
@@ -31,10 +35,12 @@ from tunekit.llm.spark_tools import FILTER_BITS, bounded_batches, fold_slots, st
 
 WIDTH, SUBSTITUTIONS, SHORTEST = 13, 2, 8
 BLOCKS = [(0, 4), (4, 7), (7, 10), (10, 13)]
-MASKS = list(combinations(range(4), 2))
 _M = constants(WIDTH, 31)
 _SALT = constants(64, 37)
 
+# Thai, Lao, Myanmar, Khmer, kana, Han.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9d\U00020000-\U0003ffff]")
+
 SEPARATOR = SPACE.copy()
 SEPARATOR[:128] = True
 SEPARATOR[[*range(48, 58), *range(65, 91), *range(97, 123)]] = False
@@ -42,7 +48,8 @@ SEPARATOR[[*range(48, 58), *range(65, 91), *range(97, 123)]] = False
 
 def words_of(texts: list[str | None]):
     """(first row, word hashes, where each row's words begin) of blocks of texts."""
-    raw = [(t or "").lower().encode("utf-8", "surrogatepass") for t in texts]
+    spaced = ((t or "") if (t or "").isascii() else _UNSPACED.sub(r" \g<0> ", t) for t in texts)
+    raw = [t.lower().encode("utf-8", "surrogatepass") for t in spaced]
     ends = np.r_[0, np.cumsum([len(r) for r in raw])].astype(np.int64)
     data = np.frombuffer(b"".join(raw), np.uint8)
     for lo, hi in groups(ends):
@@ -50,11 +57,28 @@ def words_of(texts: list[str | None]):
         yield lo, hashes, at
 
 
-def seeds(words: np.ndarray, width: int = WIDTH) -> np.ndarray:
-    """Masked hashes of all windows of a width: one row per mask (a single full mask below WIDTH)."""
-    n = len(words) - width + 1
+def allowed(width: int, short_items: bool) -> int:
+    """How many words of a window may differ."""
+    if width == WIDTH:
+        return SUBSTITUTIONS
+    return (2 if width >= 10 else 1 if width >= 5 else 0) if short_items else 0
+
+
+def masks(width: int, short_items: bool) -> list[list[tuple[int, int]]]:
+    """The blocks each mask sees; as many substitutions as are allowed leave one mask without any."""
+    free = allowed(width, short_items)
+    if not free:
+        return [[(0, width)]]
+    n = free + 2
+    blocks = BLOCKS if width == WIDTH else [(width * k // n, width * (k + 1) // n) for k in range(n)]
+    return [[blocks[a], blocks[b]] for a, b in combinations(range(n), 2)]
+
+
+def seeds(words: np.ndarray, width: int = WIDTH, short_items: bool = False) -> np.ndarray:
+    """Masked hashes of all windows of a width: one row per mask."""
+    n, looks = len(words) - width + 1, masks(width, short_items)
     if n <= 0:
-        return np.zeros((len(MASKS) if width == WIDTH else 1, 0), np.uint64)
+        return np.zeros((len(looks), 0), np.uint64)
 
     def part(a, b):
         total = np.zeros(n, np.uint64)
@@ -62,10 +86,8 @@ def seeds(words: np.ndarray, width: int = WIDTH) -> np.ndarray:
             total += words[o : o + n] * _M[o]
         return total
 
-    if width < WIDTH:
-        return mix(part(0, width) + _SALT[width])[None, :]
-    blocks = [part(a, b) for a, b in BLOCKS]
-    return np.stack([mix(blocks[a] + blocks[b] + _SALT[32 + k]) for k, (a, b) in enumerate(MASKS)])
+    blocks = {x: part(*x) for look in looks for x in look}
+    return np.stack([mix(sum((blocks[x] for x in look), np.zeros(n, np.uint64)) + _SALT[32 + k] + _SALT[width]) for k, look in enumerate(looks)])
 
 
 def _in_filter(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -80,26 +102,31 @@ def _in_filter(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
 _ITEMS = pa.schema([("item", pa.int64()), ("n_words", pa.int32()), ("width", pa.int32()), ("seed", pa.int64()), ("at", pa.int32()), ("words", pa.binary())])
 
 
-def _item_seeds(batches):
-    for batch in batches:
-        ids, out = batch.column(0).to_pylist(), []
-        for first, hashes, at in words_of(batch.column(1).to_pylist()):
-            for i in range(len(at) - 1):
-                words = hashes[at[i] : at[i + 1]]
-                width = min(WIDTH, len(words))
-                if width < SHORTEST:
-                    continue
-                for row in seeds(words, width):
-                    for j, h in enumerate(row.view(np.int64).tolist()):
-                        out.append((ids[first + i], len(words), width, h, j, words[j : j + width].tobytes()))
-        for x in range(0, len(out), 50_000):
-            yield pa.RecordBatch.from_pylist([dict(zip(_ITEMS.names, r)) for r in out[x : x + 50_000]], schema=_ITEMS)
+def _item_seeds(short_items: bool):
+    shortest = 1 if short_items else SHORTEST
+
+    def run(batches):
+        for batch in batches:
+            ids, out = batch.column(0).to_pylist(), []
+            for first, hashes, at in words_of(batch.column(1).to_pylist()):
+                for i in range(len(at) - 1):
+                    words = hashes[at[i] : at[i + 1]]
+                    width = min(WIDTH, len(words))
+                    if width < shortest:
+                        continue
+                    for row in seeds(words, width, short_items):
+                        for j, h in enumerate(row.view(np.int64).tolist()):
+                            out.append((ids[first + i], len(words), width, h, j, words[j : j + width].tobytes()))
+            for x in range(0, len(out), 50_000):
+                yield pa.RecordBatch.from_pylist([dict(zip(_ITEMS.names, r)) for r in out[x : x + 50_000]], schema=_ITEMS)
+
+    return run
 
 
 _SEGMENTS = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("segment", pa.int64()), ("words", pa.binary())])
 
 
-def _segments(bits, widths: list[int]):
+def _segments(bits, widths: list[int], short_items: bool):
     """Merged windows of each text that pass the filter under some mask."""
 
     def run(batches):
@@ -109,7 +136,7 @@ def _segments(bits, widths: list[int]):
                 covered = np.zeros(len(hashes) + 1, np.int64)
                 row = np.repeat(np.arange(len(at) - 1), np.diff(at))
                 for width in widths:
-                    found = seeds(hashes, width)
+                    found = seeds(hashes, width, short_items)
                     ok = np.zeros(found.shape[1], bool)
                     for h in found:
                         ok |= _in_filter(bits.value, h)
@@ -134,14 +161,14 @@ def _segments(bits, widths: list[int]):
 _SEEDS = pa.schema([("segment", pa.int64()), ("pos", pa.int32()), ("width", pa.int32()), ("seed", pa.int64()), ("window", pa.binary())])
 
 
-def _segment_seeds(bits, widths: list[int]):
+def _segment_seeds(bits, widths: list[int], short_items: bool):
     def run(batches):
         for batch in batches:
             out = []
             for name, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = np.frombuffer(raw, np.uint64)
                 for width in widths:
-                    for h in seeds(words, width):
+                    for h in seeds(words, width, short_items):
                         for i in np.flatnonzero(_in_filter(bits.value, h)):
                             out.append((name, int(i), width, int(h.view(np.int64)[i]), words[i : i + width].tobytes()))
             if out:
@@ -157,7 +184,20 @@ def _agreements(x, y):
     return pd.Series([int(np.count_nonzero(np.frombuffer(a, np.uint64) == np.frombuffer(b, np.uint64))) for a, b in zip(x, y)], dtype="int32")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def _without_words(batches):
+    for batch in batches:
+        bare = [False] * len(batch)
+        for first, _, at in words_of(batch.column(1).to_pylist()):
+            bare[first : first + len(at) - 1] = (np.diff(at) == 0).tolist()
+        yield batch.filter(pa.array(bare, pa.bool_())).select([0])
+
+
+def unsearchable(benchmark: DataFrame) -> DataFrame:
+    """item_id of the benchmark items that have no word and so are found in no text."""
+    return benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).mapInArrow(_without_words, "item_id long")
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, short_items: bool = False) -> DataFrame:
     """One row per text and benchmark item it holds.
 
     docs has doc_id and text, benchmark item_id and text. Columns: doc_id, item_id, first_word and
@@ -167,19 +207,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     bounded_batches(spark)
     items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string"))
-    test = stage(items.mapInArrow(_item_seeds, "item long, n_words int, width int, seed long, at int, words binary").distinct(), "seeds")
-    widths = sorted(r.width for r in test.select("width").distinct().collect())  # at most six
+    test = stage(items.mapInArrow(_item_seeds(short_items), "item long, n_words int, width int, seed long, at int, words binary").distinct(), "seeds")
+    widths = sorted(r.width for r in test.select("width").distinct().collect())  # at most WIDTH
     low = FILTER_BITS - 1
     bits = spark.sparkContext.broadcast(
         fold_slots(test, [F.col("seed").bitwiseAND(F.lit(low)), F.shiftright("seed", 24).bitwiseAND(F.lit(low))])
     )
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    segments = stage(texts.mapInArrow(_segments(bits, widths), "doc_id long, start int, segment long, words binary"), "segments")
+    segments = stage(texts.mapInArrow(_segments(bits, widths, short_items), "doc_id long, start int, segment long, words binary"), "segments")
     different = segments.groupBy("segment").agg(F.first("words").alias("words"))
-    found = different.mapInArrow(_segment_seeds(bits, widths), "segment long, pos int, width int, seed long, window binary")
+    found = different.mapInArrow(_segment_seeds(bits, widths, short_items), "segment long, pos int, width int, seed long, window binary")
     hits = found.join(test, ["seed", "width"]).select("segment", "pos", "item", "n_words", "at", "width", "window", "words").distinct()
     hits = hits.withColumn("equal", _agreements("window", "words"))
-    hits = hits.where(F.col("equal") >= F.when(F.col("width") < WIDTH, F.col("width")).otherwise(WIDTH - SUBSTITUTIONS))
+    need = F.array(*(F.lit(w - allowed(w, short_items)) for w in range(1, WIDTH + 1)))
+    hits = hits.where(F.col("equal") >= F.element_at(need, F.col("width")))
     matched = hits.groupBy("segment", "item", "n_words").agg(
         F.min("pos").alias("first"),
         F.max(F.col("pos") + F.col("width")).alias("end"),

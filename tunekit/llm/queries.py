@@ -23,7 +23,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contaminated(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return contaminated(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), short_items=True)
 
 
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
