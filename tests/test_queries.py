@@ -33,3 +33,17 @@ def test_entry(spark):
 
     assert contract.entry(spark).limit(1).count() == 1
     assert set(contract.oracle_sql()) <= set(contract.queries())
+
+
+@pytest.mark.parametrize("name", ["json_shape", "csv_ragged", "csv_header_union"])
+def test_files_grow_with_rows(spark, con, name, monkeypatch):
+    from tunekit_checks import queries
+
+    paths, work_dir = [], queries.work_dir
+    monkeypatch.setattr(queries, "FILE_ROWS", 10, raising=False)
+    monkeypatch.setattr(queries, "work_dir", lambda *a: paths.append(work_dir(*a)) or paths[-1])
+    df = REGISTRY[name](spark, SF)
+    result = con.execute(SQL[name])
+    assert rows_of(df.columns, df.collect()) == rows_of([d[0] for d in result.description], result.fetchall())
+    written = spark.read.format("binaryFile").load(paths[0]).where("length > 0")
+    assert written.count() > 16

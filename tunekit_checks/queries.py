@@ -910,6 +910,15 @@ def _files(lines: DataFrame, group: Column, path: str, head: Column | None = Non
     grouped.select("g", text.alias("value")).repartitionById(n, col("g")).select("value").write.text(path)
 
 
+FILE_ROWS = 1000
+
+
+def _numbered_files(docs: DataFrame) -> tuple[Column, int]:
+    """The file of each row, and how many there are: their number modulo 8 is that of doc_id, and they grow with the rows."""
+    parts = -(-docs.count() // (8 * FILE_ROWS)) or 1
+    return (col("doc_id") % 8 + 8 * F.pmod(F.xxhash64("doc_id"), F.lit(parts))).cast("int"), 8 * parts
+
+
 @query
 def jsonl_strict_lines(spark, sf_dir):
     """Lines with text after their object, arrays and cut-off objects are no rows."""
@@ -932,10 +941,11 @@ def json_shape(spark, sf_dir):
     path = work_dir(spark, "arrays")
     rows = documents(spark, sf_dir).select("doc_id", F.to_json(F.struct("doc_id", "lang", "text")).alias("line"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "line"))), lambda x: x["line"]), ",")
-    grouped = rows.groupBy((col("doc_id") % 8).cast("int").alias("g")).agg(F.concat(F.lit("["), joined, F.lit("]")).alias("a"))
-    more = F.when(col("g") == 3, F.concat("a", F.lit(" []"))).when(col("g") == 5, F.concat(F.lit('{"rows":'), "a", F.lit("}")))
+    group, n = _numbered_files(documents(spark, sf_dir))
+    grouped = rows.groupBy(group.alias("g")).agg(F.concat(F.lit("["), joined, F.lit("]")).alias("a"))
+    more = F.when(col("g") % 8 == 3, F.concat("a", F.lit(" []"))).when(col("g") % 8 == 5, F.concat(F.lit('{"rows":'), "a", F.lit("}")))
     grouped = grouped.select("g", F.coalesce(more, "a").alias("value"))
-    grouped.repartitionById(8, col("g")).select("value").write.text(path)
+    grouped.repartitionById(n, col("g")).select("value").write.text(path)
     return D.read_json(spark, path, "doc_id long, lang string, text string", strict=False)
 
 
@@ -944,7 +954,9 @@ def csv_ragged(spark, sf_dir):
     """Cells beyond the header are kept."""
     path = work_dir(spark, "ragged")
     cells = F.concat_ws(",", "doc_id", "lang", F.when(col("doc_id") % 7 == 0, F.concat(F.lit('"x,'), "source", F.lit('"'))))
-    _files(documents(spark, sf_dir).select("doc_id", cells.alias("line")), (col("doc_id") % 8).cast("int"), path, F.lit("doc_id,lang"))
+    docs = documents(spark, sf_dir)
+    group, n = _numbered_files(docs)
+    _files(docs.select("doc_id", cells.alias("line")), group, path, F.lit("doc_id,lang"), n=n)
     return D.read_csv(spark, path, extra="more")
 
 
@@ -955,7 +967,9 @@ def csv_header_union(spark, sf_dir):
     odd = col("doc_id") % 2 == 1
     cells = F.concat_ws(",", "doc_id", F.when(odd, col("source")).otherwise(col("lang")))
     head = F.when(col("g") % 2 == 1, "doc_id,source").otherwise("doc_id,lang")
-    _files(documents(spark, sf_dir).select("doc_id", cells.alias("line")), (col("doc_id") % 8).cast("int"), path, head)
+    docs = documents(spark, sf_dir)
+    group, n = _numbered_files(docs)
+    _files(docs.select("doc_id", cells.alias("line")), group, path, head, n=n)
     return D.read_csv(spark, path)
 
 
