@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tunekit.llm import langid, secrets, unigram
+from tunekit.llm import bpe, langid, secrets, unigram, vectorcodes
 from tunekit.llm.bytededup import without_repeats
 from tunekit.llm.decontaminate import contaminated
 from tunekit.llm.linedup import without_repeated_lines
+from tunekit.llm.manifest import leaf_digest, manifest
 from tunekit.llm.merkle import fingerprints
 from tunekit.llm.parityjoin import similar_documents
 from tunekit.llm.unitdedup import without_repeated_units
@@ -93,6 +94,43 @@ def merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    coded = bpe.encode(_documents(spark, sf_dir).select("doc_id", "text"), ranks)
+    joined = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(joined.cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its proof; a fifth of them are checked with their texts in lower case."""
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    claim = F.when(tampered, leaf_digest(*fields, F.translate("text", upper, lower)))
+    made = manifest(_documents(spark, sf_dir), "source", "doc_id", leaf_digest(*fields, F.col("text")), claim)
+    return made.rows.select(
+        F.col("id").alias("doc_id"),
+        "leaf",
+        "subroot",
+        "root",
+        F.sha2(F.col("proof").cast("binary"), 256).alias("proof_sha256"),
+        "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
+def vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vectorcodes.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(vectorcodes.books_sha256(books)).alias("codebooks_sha256"))
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": decontamination,
     "op2_token_counts": token_counts,
@@ -104,4 +142,7 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_array_dedup": suffix_array_dedup,
     "op9_language_id": language_id,
     "op10_merkle_fingerprints": merkle_fingerprints,
+    "op11_byte_bpe": byte_bpe,
+    "op12_merkle_manifest": merkle_manifest,
+    "op13_vector_codes": vector_codes,
 }
