@@ -18,10 +18,10 @@ proof above it and delivers that, with its own run in front, to its children; in
 its proof: the siblings of its run, level by level, through the subroot to the root.
 
 A group of any size is spread over its blocks, so a group with a third of all rows is no hot key. Rows
-are placed by a range sort on (group, key, digest), by counts of its partitions, and by offsets.
+are placed by a range sort on (group, key, digest, claim), by counts of its partitions, and by offsets.
 
 A null in a field is hashed as ``-``. A null group is a group of its own, before all others; null keys come
-first in their group. Rows with equal keys stand in order of their digests; repeated rows are leaves of their
+first in their group. Rows with equal keys stand in order of their digests, then of their claims; repeated rows are leaves of their
 own. A lone leaf is its group's subroot, a lone subroot is the root. An empty table has no root and gives
 an empty result. Columns of the input beyond the fields don't matter, whatever their names.
 """
@@ -170,10 +170,10 @@ def _downward(batches):
         yield pa.RecordBatch.from_pylist(out, schema=schema)
 
 
-def _placed(rows: DataFrame, key: str, name: str) -> DataFrame:
-    """Rows with ``pos``, their place in their tree in order of (key, digest), and ``m``, the tree's size."""
-    order = [F.col("tree"), F.col(key), F.col("digest"), F.monotonically_increasing_id()]  # the last one deals out repeated rows
-    sized = rows.repartitionByRange(*order).sortWithinPartitions("tree", key, "digest")
+def _placed(rows: DataFrame, *keys: str, name: str) -> DataFrame:
+    """Rows with ``pos``, their place in their tree in order of the keys, and ``m``, the tree's size."""
+    order = ["tree", *keys]
+    sized = rows.repartitionByRange(*order, F.monotonically_increasing_id()).sortWithinPartitions(*order)  # the id deals out repeated rows
     dealt = stage(sized.withColumn("part", F.spark_partition_id()).withColumn("seq", F.monotonically_increasing_id()), name)
     pieces = dealt.groupBy("tree", "part").agg(F.min("seq").alias("first"), F.count(F.lit(1)).alias("n"))
     tree = Window.partitionBy("tree")
@@ -274,7 +274,7 @@ def manifest(rows: DataFrame, group: str, key: str, digest: Column, claim: Colum
     bounded_batches(spark)
     claimed = F.lit(None).cast("binary") if claim is None else claim
     leaves = rows.select(quoted(group).cast("string").alias("tree"), quoted(key).cast("long").alias("id"), digest.alias("digest"), claimed.alias("claim"))
-    leaves = stage(_placed(stage(leaves, "manifest-leaves"), "id", "manifest-order"), "manifest-placed")
+    leaves = stage(_placed(stage(leaves, "manifest-leaves"), "id", "digest", "claim", name="manifest-order"), "manifest-placed")
     rounds = _forest(leaves, "manifest-nodes")
     tops = rounds[0].where("m = 1").select("tree", "digest")
     for nodes in rounds[1:]:
@@ -283,7 +283,7 @@ def manifest(rows: DataFrame, group: str, key: str, digest: Column, claim: Colum
 
     # The tree over the groups: its leaves are the subroots, its only group has no name.
     named = subroots.select(F.lit("").alias("tree"), F.col("tree").alias("name"), "digest")
-    over = stage(_placed(named, "name", "manifest-groups"), "manifest-groups-placed")
+    over = stage(_placed(named, "name", name="manifest-groups"), "manifest-groups-placed")
     upper = _forest(over, "manifest-upper")
     last = upper[-1].where("m = 1").first()
     none = F.array().cast("array<int>").alias("slots"), F.array().cast("array<binary>").alias("runs")
