@@ -271,3 +271,19 @@ def test_decontamination_edges(frame):
     docs = frame([(None, text, 1), (2, text, 2), (2, text, 3)], "doc_id long, text string, item_id long")
     got = decontaminate.contaminated(docs, frame([(7, text)], "item_id long, text string")).collect()
     assert sorted((r.doc_id or -1, r.item_id, r.first_word, r.end_word, r.item_words_found, r.item_words) for r in got) == [(-1, 7, 0, 16, 16, 16), (2, 7, 0, 16, 16, 16)]
+
+
+def parity_word(n, flip):
+    """Letters by the parity of ones in their place's binary digits; a word and its complement agree in many polynomial hashes."""
+    return "".join("ab"[(bin(i).count("1") + flip) % 2] for i in range(n))
+
+
+def test_long_words_that_polynomial_hashes_confuse(frame):
+    pairs = [(parity_word(n, 0), parity_word(n, 1)) for n in (256, 257, 512, 1024, 2048, 70_000)]
+    texts = [w for pair in pairs for w in pair] + [f"{w} b c d e f" for pair in pairs for w in pair]
+    rows = list(enumerate([*texts, *texts[:3]]))
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in parityjoin.similar_documents(frame(rows)).collect()}
+    assert got == brute_join(rows)
+    items = frame([(1, f"{pairs[3][0]} two three")], "item_id long, text string")
+    docs = frame([(1, f"{pairs[3][0]} two three"), (2, f"{pairs[3][1]} two three")])
+    assert [r.doc_id for r in decontaminate.contaminated(docs, items, short_items=True).collect()] == [1]
