@@ -15,6 +15,9 @@ from tunekit.functions.arrays import bind, quoted
 from tunekit.functions.text import extension, has_text, is_blank, remove_nul, strip
 from tunekit.operators.fields import union_datasets
 from tunekit.operators.limits import head_rows
+from tunekit.sources.delimited import read_delimited
+from tunekit.sources.json_arrays import item_runs
+from tunekit.sources.shared import work_dir
 
 # Dataset format by file extension, and extensions whose content decides.
 FORMATS = {
@@ -231,29 +234,41 @@ def read_json(
     path: str | Sequence[str],
     schema: T.StructType | str | None = None,
     strict: bool = True,
+    joined_files: bool = False,
 ) -> DataFrame:
-    """Files that hold one JSON array of objects each. A file is the unit of parallelism.
+    """Files that hold one JSON array of objects each, of any size (:mod:`tunekit.sources.json_arrays`).
+
+    With ``joined_files`` the files are one array together, as ``write_json_array`` leaves them.
 
     A strict read fails at a file that holds anything else, or something after its array (a file of no
-    bytes has no items); else such
-    files, and items that are no objects, are left out.
+    bytes has no items); else such files, and items that are no objects, are left out, which takes
+    another pass to find such files.
     """
-    files = spark.read.text(path, wholetext=True)
-    return _typed_arrays(spark, files, schema, strict, lambda: _inferred(spark.read.option("multiLine", "true"), path))
-
-
-def _typed_arrays(spark, files, schema, strict, infer) -> DataFrame:
-    schema = _as_schema(spark, schema) if schema is not None else infer()
-    rows = files.select("value", F.col("_metadata.file_path").alias("_file"))
-    text = strip(F.col("value"))
-    good = J.is_valid(text) & F.startswith(text, F.lit("["))
+    return _typed_arrays(spark, item_runs(spark, path, joined_files=joined_files), schema, strict)
+
+
+def _typed_arrays(spark: SparkSession, runs: DataFrame, schema: T.StructType | str | None, strict: bool) -> DataFrame:
+    text = F.concat(F.lit("["), F.col("items"), F.lit("]"))
+    if schema is None:
+        # A run is a line when the line breaks between its values are blanks; strings hold none.
+        place = work_dir(spark, "items")
+        runs.filter(F.col("items").isNotNull()).select(F.translate(text, "\n\r", "  ")).write.text(place)
+        schema = _inferred(spark.read, place)
+    schema = _as_schema(spark, schema)
+    rows = runs.withColumnRenamed("file", "_file")
+    error = F.coalesce(F.col("error"), F.when(~J.is_valid(text), "Invalid JSON"))
     if strict:
-        bad = F.when(J.is_valid(text), "File holds no JSON array").otherwise("Invalid JSON")
-        text = F.when(good, text).otherwise(_refused(bad))
+        text = F.when(error.isNull(), text).otherwise(_refused(error))
     else:
-        rows = rows.filter(good)
+        bad = rows.filter(error.isNotNull()).select("_file").distinct()
+        rows = rows.join(bad, "_file", "left_anti")
     options = J.STRICT | {"mode": "FAILFAST" if strict else "PERMISSIVE"}
-    items = bind(rows, "_items", F.from_json(text, T.ArrayType(schema), options)).select("_file", F.explode("_items").alias("_row"))
+    found = F.from_json(text, T.ArrayType(schema), options)
+    if not strict:
+        # One item that is no object makes the whole array NULL.
+        objects = F.filter(J.items(J.parse(F.when(found.isNull(), text))), J.is_object)
+        found = F.coalesce(found, F.transform(objects, lambda v: F.from_json(F.to_json(v), schema, options)))
+    items = bind(rows, "_items", found).select("_file", F.explode("_items").alias("_row"))
     if strict:
         items = items.withColumn("_row", F.when(F.col("_row").isNotNull(), F.col("_row")).otherwise(_refused(F.lit("Item is no JSON object"))))
     return items.filter(F.col("_row").isNotNull()).select("_row.*")
@@ -271,13 +286,12 @@ def clean_cells(df: DataFrame) -> DataFrame:
 RAW = "_raw_row"
 
 
-def _csv_reader(spark: SparkSession, sep: str, multiline: bool):
+def _csv_reader(spark: SparkSession, sep: str):
     return (
         spark.read.option("header", "true")
         .option("sep", sep)
         .option("quote", '"')
         .option("escape", '"')
-        .option("multiLine", str(multiline).lower())
         .option("ignoreLeadingWhiteSpace", "true")
         .option("ignoreTrailingWhiteSpace", "false")
         .option("enforceSchema", "false")
@@ -308,6 +322,15 @@ def _one_header(reader, path: str | Sequence[str], sep: str, extra: str | None)
     return clean_cells(raw.select(*map(quoted, names), F.when(some, F.to_json(more)).alias(extra)))
 
 
+def _refuse_cut_rows(lines: DataFrame, sep: str) -> None:
+    """Raise for a line that opens a quoted cell and doesn't close it."""
+    text = F.col("value")
+    odd = (F.length(text) - F.length(F.translate(text, '"', ""))) % 2 == 1
+    cut = lines.filter(odd & text.rlike(rf'(?:^|{re.escape(sep)}) *"')).select(F.col("_metadata.file_path"), F.left(text, F.lit(80))).first()
+    if cut is not None:
+        raise FormatError(f"{cut[0]}: a quoted cell goes on behind its line, read it with multiline=True: {cut[1]}")
+
+
 def csv_headers(spark: SparkSession, path: str | Sequence[str], recursive: bool = False, names: str = "*") -> DataFrame:
     """``header, files``: the first lines of the files under a path and the files that have each."""
     lines = (
@@ -332,19 +355,21 @@ def read_csv(
 ) -> DataFrame:
     """Delimited text with a header; every cell is a string.
 
-    ``multiline`` allows line breaks inside quotes but makes a file one task; turn it off for huge
-    files without them. Files with different headers give the union of their columns; finding the
-    headers takes a pass over the text, which ``one_header`` leaves out when all are known to be
-    equal (a file with another header then raises). A row with more cells than its header raises,
-    or, with ``extra``, keeps the surplus as a JSON array in a column of that name.
+    ``multiline`` allows line breaks inside quotes, in files of any size (:mod:`tunekit.sources.delimited`).
+    Without it Spark's reader for single lines is used, and a row that goes on behind its line raises.
+    Files with different headers give the union of their columns; with ``one_header`` all must be
+    equal. A row with more cells than its header raises, or, with ``extra``, keeps the surplus as a
+    JSON array in a column of that name.
     """
-    reader = _csv_reader(spark, sep, multiline)
+    if multiline:
+        return clean_cells(read_delimited(spark, path, sep, extra, one_header)[0])
+    _refuse_cut_rows(spark.read.text(path), sep)
     if not one_header and len(spark.read.text(path).inputFiles()) > 1:
         found = csv_headers(spark, path)
         if found.count() > 1:
-            parts = [_one_header(_csv_reader(spark, sep, multiline), r["files"], sep, extra) for r in found.orderBy("header").collect()]
+            parts = [_one_header(_csv_reader(spark, sep), r["files"], sep, extra) for r in found.orderBy("header").collect()]
             return union_datasets(parts, ordinal=None)
-    return _one_header(reader, path, sep, extra)
+    return _one_header(_csv_reader(spark, sep), path, sep, extra)
 
 
 def read_dataset(
@@ -399,10 +424,12 @@ def read_directory(
         if fmt == "jsonl":
             parts.append(_typed_lines(spark, reader().text(path), None, strict, lambda r=reader: _inferred(r(), path)))
         elif fmt == "json":
-            whole = reader().text(path, wholetext=True)
-            parts.append(_typed_arrays(spark, whole, None, strict, lambda r=reader: _inferred(r().option("multiLine", "true"), path)))
+            parts.append(_typed_arrays(spark, item_runs(spark, path, recursive, names), None, strict))
         elif fmt == "parquet":
             parts.append(reader().option("mergeSchema", "true").parquet(path))
+        elif multiline:
+            cells, _ = read_delimited(spark, path, "," if fmt == "csv" else "\t", extra, recursive=recursive, names=names)
+            parts.append(clean_cells(cells))
         else:
             for row in csv_headers(spark, path, recursive, names).orderBy("header").collect():
                 parts.append(read_csv(spark, row["files"], "," if fmt == "csv" else "\t", multiline, extra, one_header=True))

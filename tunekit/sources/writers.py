@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from tunekit.functions.arrays import quoted
 from tunekit.functions.text import remove_nul
 from tunekit.sources.datasets import FORMATS, FormatError, _suffix, read_dataset
+from tunekit.sources.one_array import write_json_array
 
 MODES = ("errorifexists", "overwrite", "append")
 
@@ -86,9 +87,13 @@ def write_dataset(
     order: tuple[str, ...] = (),
     allow_empty: bool = False,
     nulls: bool = True,
+    one_array: bool = False,
 ) -> None:
     """Write any supported format; without ``fmt`` the path's suffix decides, else JSON Lines.
 
+    With ``one_array`` the files of a JSON dataset make one array together (:mod:`tunekit.sources.one_array`)
+    instead of one each.
+
     An empty dataset is refused; appending nothing is a no-op. The check computes a first row, so
     pass ``allow_empty`` for the output of a model whose replies were not staged.
     """
@@ -105,7 +110,7 @@ def write_dataset(
     if fmt == "jsonl":
         write_jsonl(df, path, mode, nulls)
     elif fmt == "json":
-        write_json(df, path, mode, nulls)
+        (write_json_array if one_array else write_json)(df, path, mode, nulls)
     elif fmt == "parquet":
         df.write.mode(mode).parquet(path)
     else:

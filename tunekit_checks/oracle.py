@@ -497,6 +497,7 @@ def oracle_sql() -> dict[str, str]:
     sql["csv_ragged"] = """SELECT doc_id::VARCHAR AS doc_id, lang, CASE WHEN doc_id % 7 = 0 THEN '["x,'||source||'"]' END AS more FROM documents"""
     sql["csv_header_union"] = """SELECT doc_id::VARCHAR AS doc_id, CASE WHEN doc_id % 2 = 0 THEN lang END AS lang,
       CASE WHEN doc_id % 2 = 1 THEN source END AS source FROM documents"""
+    sql["csv_ranges"] = sql["json_ranges"] = sql["json_one_array"] = SOURCE_ROWS
     sql["roundtrip_nulls"] = """SELECT doc_id::VARCHAR AS doc_id, NULL::VARCHAR AS nothing, f.fmt FROM documents,
       (SELECT unnest(['jsonl', 'json', 'csv', 'tsv', 'parquet']) AS fmt) f"""
     sql["json_sections"] = f"""SELECT doc_id, text||{NL}||lang||{NL}||source AS content, 0::INTEGER AS level, 0::INTEGER AS start_line, 2::INTEGER AS end_line FROM documents"""

@@ -869,6 +869,35 @@ def roundtrip_parquet(spark, sf_dir):
     return _round_trip(spark, sf_dir, "parquet")
 
 
+def _in_large_files(rows: DataFrame) -> DataFrame:
+    """Rows in a quarter of the partitions, so that files have several ranges."""
+    return rows.coalesce(max(1, rows.rdd.getNumPartitions() // 4))
+
+
+@query
+def csv_ranges(spark, sf_dir):
+    """Rows with line breaks in quotes, cut out of all ranges of large files."""
+    path = work_dir(spark, "ranges") + ".csv"
+    W.write_csv(_in_large_files(_text_rows(spark, sf_dir)), path)
+    return D.read_csv(spark, path, one_header=True)
+
+
+@query
+def json_ranges(spark, sf_dir):
+    """Items of large JSON arrays, cut out of all ranges of their files."""
+    path = work_dir(spark, "ranges") + ".json"
+    W.write_json(_in_large_files(_text_rows(spark, sf_dir)), path)
+    return D.read_json(spark, path, "doc_id string, lang string, source string, text string")
+
+
+@query
+def json_one_array(spark, sf_dir):
+    """One array written by many tasks and read again by many tasks."""
+    path = work_dir(spark, "array") + ".json"
+    W.write_dataset(_text_rows(spark, sf_dir), path, one_array=True)
+    return D.read_json(spark, path, "doc_id string, lang string, source string, text string", joined_files=True)
+
+
 @query
 def convert_chain(spark, sf_dir):
     root = work_dir(spark, "chain")
