@@ -243,3 +243,16 @@ def test_secret_forest_on_held_out_findings(spark, dictionary):
 
 def test_secret_scan_of_nothing(frame, dictionary):
     assert secrets.scan(frame([], "doc_id long, text string, source string"), dictionary).collect() == []
+
+
+def test_language_id_in_portions(frame, monkeypatch):
+    texts = ["", None, "a", "Ab c, de fg!", "12", "Straße Σίσυφος " * 9, "x" * 100, " \n ", "ñ"]
+    whole = langid.features(texts)
+    model = langid.train(frame([(t, "x" if i % 2 else "y") for i, t in enumerate(texts)], "text string, lang string"))
+    langs, shares = langid.score(texts, model)
+    for size in (1, 2, 3, 7, 64):
+        monkeypatch.setattr(langid, "CHARS", size)
+        part = langid.features(texts)
+        assert sorted(zip(*part[:2])) == sorted(zip(*whole[:2])) and (part[2] == whole[2]).all()
+        again = langid.score(texts, model)
+        assert again[0] == langs and np.allclose(again[1], shares)

@@ -177,11 +177,10 @@ def _segment_seeds(bits, widths: list[int], short_items: bool):
     return run
 
 
-@F.pandas_udf(IntegerType())
-def _agreements(x, y):
-    import pandas as pd
-
-    return pd.Series([int(np.count_nonzero(np.frombuffer(a, np.uint64) == np.frombuffer(b, np.uint64))) for a, b in zip(x, y)], dtype="int32")
+@F.arrow_udf(IntegerType())
+def _agreements(x: pa.Array, y: pa.Array) -> pa.Array:
+    equal = [int(np.count_nonzero(np.frombuffer(a.as_buffer(), np.uint64) == np.frombuffer(b.as_buffer(), np.uint64))) for a, b in zip(x, y)]
+    return pa.array(equal, pa.int32())
 
 
 def _without_words(batches):

@@ -8,12 +8,13 @@ log probabilities is broadcast and texts are scored in blocks with numpy.
 
 The score is the posterior probability of the chosen language. A text that is null or has no letter is
 ``und`` with score 0; so is every text when there is nothing to learn from. Equal likelihoods go to the
-language that is first by name. Rows with a null language train nothing; repeated rows count as often
+language that is first by name. A very long text is taken in portions. Rows with a null language train nothing; repeated rows count as often
 as they occur. Extra columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
 
@@ -26,7 +27,7 @@ from tunekit.llm.spark_tools import bounded_batches
 
 BUCKETS = 1 << 15
 SMOOTHING = 0.5
-CHARS = 1 << 19
+CHARS = 1 << 17
 UNKNOWN = "und"
 _M = constants(6, 17)
 
@@ -37,27 +38,35 @@ def _letters() -> np.ndarray:
     return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
 
 
-def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, bucket) of every n-gram of some texts, and which texts have a letter."""
+def grams(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(text number, bucket) of every n-gram of some texts, in portions: memory is ten bytes a character and a portion's share."""
     lowered = [(t or "").lower() + "\n" for t in texts]
+    ends = np.cumsum([len(t) for t in lowered])
     codes = np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), np.uint32)
-    owner = np.repeat(np.arange(len(texts)), [len(t) for t in lowered])
-    letter = _letters()[codes]
-    has = np.bincount(owner[letter], minlength=len(texts)) > 0
-    x = np.where(letter, codes, 0).astype(np.uint64)
-    shift, found, owners = np.uint64(64 - 15), [], []
-    for n, at in ((2, 0), (3, 2)):
-        size = max(len(x) - n + 1, 0)
-        h = np.full(size, (_M[5:6] * np.uint64(n))[0], dtype=np.uint64)
-        some = np.zeros(size, dtype=bool)
-        for i in range(n):
-            h += x[i : i + size] * _M[at + i]
-            some |= letter[i : i + size]
-        some &= owner[:size] == owner[n - 1 : n - 1 + size]
-        h = h[some]
-        found.append(((h ^ (h >> np.uint64(29))) * _M[0] >> shift).astype(np.int64))
-        owners.append(owner[:size][some])
-    return np.concatenate(owners), np.concatenate(found), has
+    del lowered
+    shift = np.uint64(64 - 15)
+    for low in range(0, len(codes), CHARS):
+        part = codes[low : low + CHARS + 2]
+        owner = np.searchsorted(ends, np.arange(low, low + len(part)), side="right")
+        letter = _letters()[part]
+        x = np.where(letter, part, 0).astype(np.uint64)
+        for n, at in ((2, 0), (3, 2)):
+            size = max(min(CHARS, len(part) - n + 1), 0)
+            h = np.full(size, (_M[5:6] * np.uint64(n))[0], dtype=np.uint64)
+            some = np.zeros(size, dtype=bool)
+            for i in range(n):
+                h += x[i : i + size] * _M[at + i]
+                some |= letter[i : i + size]
+            some &= owner[:size] == owner[n - 1 : n - 1 + size]
+            h = h[some]
+            yield owner[:size][some], ((h ^ (h >> np.uint64(29))) * _M[0] >> shift).astype(np.int64)
+
+
+def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All of ``grams`` at once, and which texts have a letter (and so an n-gram)."""
+    owners, found = zip(*grams(texts))
+    owner = np.concatenate(owners)
+    return owner, np.concatenate(found), np.bincount(owner, minlength=len(texts)) > 0
 
 
 def _blocks(texts: list[str | None]):
@@ -79,13 +88,15 @@ def _count(batches):
     for batch in batches:
         langs = batch.column(1).to_pylist()
         for first, texts in _blocks(batch.column(0).to_pylist()):
-            owner, bucket, has = features(texts)
             own = langs[first : first + len(texts)]
-            for lang in set(own):
-                mine = np.array([x == lang for x in own])
-                total = counts.setdefault(lang, np.zeros(BUCKETS + 1, np.int64))
-                total[:-1] += np.bincount(bucket[mine[owner]], minlength=BUCKETS)
-                total[-1] += np.count_nonzero(has & mine)
+            mine = {lang: np.array([x == lang for x in own]) for lang in set(own)}
+            has = np.zeros(len(texts), bool)
+            for owner, bucket in grams(texts):
+                has[owner] = True
+                for lang, rows in mine.items():
+                    counts.setdefault(lang, np.zeros(BUCKETS + 1, np.int64))[:-1] += np.bincount(bucket[rows[owner]], minlength=BUCKETS)
+            for lang, rows in mine.items():
+                counts[lang][-1] += np.count_nonzero(has & rows)
     for lang, total in counts.items():
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays(
@@ -119,10 +130,13 @@ def train(rows: DataFrame) -> Model:
 
 def score(texts: list[str | None], model: Model) -> tuple[list[str], np.ndarray]:
     """Language and posterior probability of some texts."""
-    owner, bucket, has = features(texts)
     if not model.languages:
         return [UNKNOWN] * len(texts), np.zeros(len(texts))
-    total = np.stack([np.bincount(owner, weights=p[bucket], minlength=len(texts)) + q for p, q in zip(model.log_p, model.prior)])
+    total, has = np.repeat(model.prior[:, None], len(texts), axis=1), np.zeros(len(texts), bool)
+    for owner, bucket in grams(texts):
+        has[owner] = True
+        for i, p in enumerate(model.log_p):
+            total[i] += np.bincount(owner, weights=p[bucket], minlength=len(texts))
     best = total.argmax(axis=0)
     share = 1 / np.exp(total - total.max(axis=0)).sum(axis=0)
     return [model.languages[b] if ok else UNKNOWN for b, ok in zip(best, has)], np.where(has, share, 0.0)
@@ -133,16 +147,15 @@ def identify(docs: DataFrame, model: Model, text: str = "text", lang: str = "lan
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang string, score double")
-    def predict(texts):
-        import pandas as pd
-
+    @F.arrow_udf("lang string, score double")
+    def predict(texts: pa.Array) -> pa.Array:
         langs, scores = [], []
-        for _, block in _blocks([t if isinstance(t, str) else None for t in texts]):
+        for _, block in _blocks(texts.to_pylist()):
             a, b = score(block, shared.value)
             langs += a
             scores.append(b)
-        return pd.DataFrame({"lang": langs, "score": np.concatenate(scores) if scores else np.zeros(0)})
+        share = np.concatenate(scores) if scores else np.zeros(0)
+        return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(share, pa.float64())], names=["lang", "score"])
 
     column: Column = predict(F.col(f"`{text}`").cast("string"))
     made = docs.withColumn("__language", column)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
@@ -70,15 +71,13 @@ def maybe_member(df: DataFrame, column: str, bits: np.ndarray, probes: int = 2,
     """The rows whose bigint column may be in the filter, or all others (nulls too); the filter travels as a broadcast of 2 MB."""
     shared = df.sparkSession.sparkContext.broadcast(bits)
 
-    @F.pandas_udf(BooleanType())
-    def kept(*slots):
-        import pandas as pd
-
-        ok = np.ones(len(slots[0]), dtype=bool)
-        for slot in slots:
-            s = slot.to_numpy(dtype=np.int64)
+    @F.arrow_udf(BooleanType())
+    def kept(first: pa.Array, *more: pa.Array) -> pa.Array:
+        ok = np.ones(len(first), dtype=bool)
+        for slot in (first, *more):
+            s = slot.to_numpy(zero_copy_only=False).astype(np.int64)
             ok &= (shared.value[s >> 6] >> (s & 63)) & 1 == 1
-        return pd.Series(ok)
+        return pa.array(ok)
 
     found = F.col(column).isNotNull() & kept(*_slots(column, probes))
     return df.where(found if member else ~found)
