@@ -367,3 +367,64 @@ def test_schema_and_progress(spark, tmp_path):
     out = I.infer_staged(prompts(spark, 12), model, str(tmp_path / "s"), ("id",), waves=3, report=lambda *x: seen.append(x))
     assert {r.raw_content for r in out.collect()} == {schema}
     assert [w for w, _, _ in seen] == [0, 1, 2] and sum(n for _, n, _ in seen) == 12 and sum(f for _, _, f in seen) == 0
+
+
+@pytest.mark.parametrize("fmt,named", [("jsonl", True), ("csv", True), ("json", False), ("parquet", False)])
+def test_streams_share_a_target(spark, tmp_path, fmt, named):
+    schema = "s string, id long"
+    for s in "ab":
+        spark.range(40).selectExpr(f"'{s}' AS s", "id").repartition(4).write.parquet(str(tmp_path / s))
+
+    def run(s):
+        rows = stream.stream_table(spark, str(tmp_path / s), schema, max_files=2)
+        stream.append_dataset(rows, str(tmp_path / "out"), fmt, str(tmp_path / f"state-{s}"), stream_id=s if named else None).awaitTermination()
+
+    def rows():
+        return sorted((r.s, int(r.id)) for r in stream.read_appended(spark, str(tmp_path / "out"), fmt).collect())
+
+    want = [(s, i) for s in "ab" for i in range(40)]
+    assert rows() == []
+    for s in "aba":
+        run(s)
+    assert rows() == want and stream.appended_batches(spark, str(tmp_path / "out")).count() == 4
+    # A batch that the checkpoint doesn't have comes again: the ledger has it, or not.
+    for forget in (False, True):
+        for name in ("1", ".1.crc"):
+            (tmp_path / "state-b" / "commits" / name).unlink(missing_ok=True)
+        if forget:
+            for f in (tmp_path / "out" / "_ledger" / "stream=b" / "batch=1").glob("*"):
+                f.unlink()
+            assert not named or len(rows()) < 80
+        run("b")
+        assert rows() == want
+
+
+def test_streams_by_name(spark, tmp_path):
+    spark.range(5).write.parquet(str(tmp_path / "in"))
+    rows = stream.stream_table(spark, str(tmp_path / "in"), "id long")
+    stream.append_dataset(rows, str(tmp_path / "out"), "jsonl", str(tmp_path / "c"), stream_id="ids-1").awaitTermination()
+    assert [tuple(r) for r in stream.appended_batches(spark, str(tmp_path / "out")).collect()] == [("ids-1", 0, 5)]
+    with pytest.raises(ValueError):
+        stream.append_dataset(rows, "x", "jsonl", "y", stream_id="a/b")
+    with pytest.raises(ValueError):
+        stream.append_dataset(rows, "x", "jsonl", "y", max_entries=0)
+
+
+def test_a_stream_stops_at_its_row_cap(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+
+    def add(name, text):
+        (tmp_path / "in" / name).write_text(text)
+
+    def run(cap):
+        rows = stream.stream_jsonl(spark, str(tmp_path / "in"), max_files=1)
+        stop = F.when(F.col("error").isNotNull(), F.raise_error(F.lit("opened"))).otherwise(F.to_json("value"))
+        stream.append_dataset(rows.select(stop.alias("v")), str(tmp_path / "out"), "jsonl", str(tmp_path / "c"), max_entries=cap).awaitTermination()
+        return [r.rows for r in stream.appended_batches(spark, str(tmp_path / "out")).orderBy("batch").collect()]
+
+    for i in range(3):
+        add(f"{i}.jsonl", "".join(f'{{"n":{10 * i + k}}}\n' for k in range(10)))
+    assert run(25) == [10, 10, 5]
+    add("bad.jsonl", "no json\n")  # would fail if it were opened
+    assert run(25) == [10, 10, 5]
+    assert stream.read_appended(spark, str(tmp_path / "out"), "jsonl").distinct().count() == 25

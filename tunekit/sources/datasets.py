@@ -374,7 +374,7 @@ def read_csv(
 
 def read_dataset(
     spark: SparkSession,
-    path: str,
+    path: str | Sequence[str],
     fmt: str | None = None,
     schema: T.StructType | str | None = None,
     strict: bool = True,
@@ -382,7 +382,7 @@ def read_dataset(
     multiline: bool = True,
     extra: str | None = None,
 ) -> DataFrame:
-    """Read any supported format; ``fmt`` overrides detection. ``multiline`` and ``extra`` are those of :func:`read_csv`."""
+    """Read any supported format; ``fmt`` overrides detection (several paths need it). ``multiline`` and ``extra`` are those of :func:`read_csv`."""
     fmt = fmt or detect_format(spark, path)
     if fmt == "jsonl":
         df = read_jsonl(spark, path, schema, strict)
@@ -391,7 +391,7 @@ def read_dataset(
     elif fmt in ("csv", "tsv"):
         df = read_csv(spark, path, "," if fmt == "csv" else "\t", multiline, extra)
     elif fmt == "parquet":
-        df = spark.read.option("mergeSchema", "true").parquet(path)
+        df = spark.read.option("mergeSchema", "true").parquet(*([path] if isinstance(path, str) else path))
     else:
         raise FormatError(f"Unsupported format: {fmt}")
     if warn_empty and df.isEmpty():

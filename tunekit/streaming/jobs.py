@@ -6,17 +6,20 @@ checkpoint records which files are done.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.types import StructType
+from pyspark.sql.utils import AnalysisException
 
 from tunekit.operators.inference import Model, infer
+from tunekit.operators.limits import head_rows
 from tunekit.operators.parsing import Parsers, parse_documents
 from tunekit.plans.jobs import DocumentJob, chunk_requests, document_entries
-from tunekit.sources.datasets import parse_lines
+from tunekit.sources.datasets import parse_lines, read_dataset
 from tunekit.sources.documents import stream_documents
 from tunekit.sources.writers import write_dataset
 
@@ -69,17 +72,41 @@ def append_parquet(df: DataFrame, target: str, checkpoint: str) -> StreamingQuer
     )
 
 
-def append_dataset(df: DataFrame, target: str, fmt: str, checkpoint: str) -> StreamingQuery:
-    """Append each micro-batch in any dataset format.
+def append_dataset(
+    df: DataFrame, target: str, fmt: str, checkpoint: str, max_entries: int | None = None, stream_id: str | None = None
+) -> StreamingQuery:
+    """Append each micro-batch in any dataset format, for any number of streams into one target.
 
-    Each batch goes to its own ``batch=<id>`` directory and overwrites it when replayed, so a
-    retried batch leaves no duplicates.
+    A batch has a folder of its own, named by the stream and its number, and a row in the target's
+    ledger once its rows are there. A batch that is replayed writes its folder anew if the ledger
+    doesn't have it, and does nothing if it has; so nothing is lost or doubled, and
+    :func:`read_appended` never shows half a batch. A stream is known by the id that its checkpoint
+    keeps, or by ``stream_id`` (letters, digits, ``-`` and ``_``), which then must belong to one checkpoint.
+
+    ``max_entries`` rows of a stream are kept, over all its batches and restarts; batches after that are
+    not evaluated, so their files aren't opened.
     """
+    if max_entries is not None and max_entries < 1:
+        raise ValueError("max_entries must be positive")
+    if stream_id is not None and not re.fullmatch(r"[A-Za-z0-9_-]+", stream_id):
+        raise ValueError("stream_id must consist of letters, digits, - and _")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        write_dataset(
-            batch, f"{target}/batch={batch_id}", fmt, mode="overwrite", allow_empty=True
-        )
+        spark = batch.sparkSession
+        stream = stream_id or spark.sparkContext.getLocalProperty("sql.streaming.queryId")
+        done = {r["batch"]: r["rows"] for r in _ledger_of(spark, target, stream).collect()} if max_entries or batch_id else {}
+        if batch_id in done or not _ledger_of(spark, target, stream, batch_id).isEmpty():
+            return
+        if max_entries is not None:
+            left = max_entries - sum(done.values())
+            if left <= 0:
+                return
+            batch = head_rows(batch, left)
+        seen = Observation()
+        counted = batch.observe(seen, F.count(F.lit(1)).alias("rows"))
+        write_dataset(counted, _folder(target, stream, batch_id), fmt, mode="overwrite", allow_empty=True)
+        row = spark.createDataFrame([(stream, batch_id, seen.get["rows"])], LEDGER).coalesce(1)
+        row.write.mode("overwrite").parquet(f"{target}/_ledger/stream={stream}/batch={batch_id}")
 
     return (
         df.writeStream.foreachBatch(write)
@@ -89,6 +116,38 @@ def append_dataset(df: DataFrame, target: str, fmt: str, checkpoint: str) -> Str
     )
 
 
+LEDGER = "stream string, batch long, rows long"
+
+
+def _folder(target: str, stream: str, batch: int) -> str:
+    return f"{target}/stream={stream}/batch={batch}"
+
+
+def _ledger_of(spark: SparkSession, target: str, stream: str | None = None, batch: int | None = None) -> DataFrame:
+    place = f"{target}/_ledger" + ("" if stream is None else f"/stream={stream}") + ("" if batch is None else f"/batch={batch}")
+    try:
+        # The folders' names repeat what the rows say and are not read as columns.
+        return spark.read.schema(LEDGER).option("recursiveFileLookup", "true").parquet(place)
+    except AnalysisException as exc:
+        if exc.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], LEDGER)
+
+
+def appended_batches(spark: SparkSession, target: str) -> DataFrame:
+    """``stream, batch, rows`` of the batches that :func:`append_dataset` has finished."""
+    return _ledger_of(spark, target)
+
+
+def read_appended(spark: SparkSession, target: str, fmt: str, schema: StructType | str | None = None, strict: bool = True) -> DataFrame:
+    """The rows of all finished batches. The driver lists one folder a batch, as Spark lists files."""
+    done = appended_batches(spark, target).where("rows > 0").select("stream", "batch").collect()
+    folders = sorted(_folder(target, r["stream"], r["batch"]) for r in done)
+    if folders:
+        return read_dataset(spark, folders, fmt, schema, strict)
+    return spark.createDataFrame([], schema if schema is not None else StructType())
+
+
 class ProgressListener(StreamingQueryListener):
     """Calls ``report(rows so far, batch id)`` after every micro-batch."""
 

@@ -512,6 +512,8 @@ def oracle_sql() -> dict[str, str]:
     sql["document_scan"] = f"SELECT g, length(body)::INTEGER AS n, md5(body) AS digest FROM ({texts})"
     sql["document_list"] = f"SELECT g, 'text' AS doc_type, strlen(body) AS length FROM ({texts})"
     sql["document_file_stream"] = f"SELECT g, md5(body) AS digest FROM ({texts})"
+    sql["append_dataset_twice"] = SOURCE_ROWS
+    sql["stream_row_cap"] = "SELECT least(500, count(*)) AS rows, least(500, count(DISTINCT doc_id)) AS ids, 0 AS strange FROM documents"
     sql["append_rows"] = sql["mirror_read"] = "SELECT doc_id::VARCHAR AS doc_id, lang, source, text FROM documents"
     sql["target_check"] = "SELECT unnest(['doc_id', 'even', 'odd']) AS field"
     sql["drop_null_rows"] = "SELECT doc_id, lang, source FROM documents WHERE doc_id % 3 <> 0"

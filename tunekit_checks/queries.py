@@ -1111,6 +1111,35 @@ def append_rows(spark, sf_dir):
     return D.read_dataset(spark, path).select("doc_id", "lang", "source", "text")
 
 
+@query
+def append_dataset_twice(spark, sf_dir):
+    """Two streams into one target, the first of them run once more."""
+    root = work_dir(spark, "appended")
+    for rest in (0, 1):
+        rows = _text_rows(spark, sf_dir).filter(col("doc_id").cast("long") % 2 == rest)
+        rows.write.parquet(f"{root}/in{rest}")
+    for rest in (0, 1, 0):
+        rows = stream.stream_table(spark, f"{root}/in{rest}", "doc_id string, lang string, source string, text string", max_files=4)
+        stream.append_dataset(rows, f"{root}/out", "parquet", f"{root}/state{rest}").awaitTermination()
+    return stream.read_appended(spark, f"{root}/out", "parquet")
+
+
+STREAM_CAP = 500
+
+
+@query
+def stream_row_cap(spark, sf_dir):
+    """A stream that stops at a number of rows: how many came, how many different ones, and how many that aren't in the table."""
+    root = work_dir(spark, "capped")
+    _text_rows(spark, sf_dir).repartition(8).write.parquet(f"{root}/in")
+    rows = stream.stream_table(spark, f"{root}/in", "doc_id string, lang string, source string, text string", max_files=1)
+    stream.append_dataset(rows, f"{root}/out", "parquet", f"{root}/state", max_entries=STREAM_CAP).awaitTermination()
+    kept = stream.read_appended(spark, f"{root}/out", "parquet").select("doc_id", F.md5("text").alias("digest"))
+    known = documents(spark, sf_dir).select(col("doc_id").cast("string").alias("doc_id"), F.md5("text").alias("digest"))
+    strange = kept.join(known, ["doc_id", "digest"], "left_anti").agg(F.count(F.lit(1)).alias("strange"))
+    return kept.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("doc_id").alias("ids")).crossJoin(strange)
+
+
 @query
 def mirror_read(spark, sf_dir):
     root = work_dir(spark, "mirrored")
