@@ -10,6 +10,7 @@ from tunekit.operators import quality as Q
 from tunekit.operators import reporting as R
 from tunekit.operators.chunking import ChunkConfig
 from tunekit.plans import jobs
+from tunekit.plans import waves as W
 from tunekit.sources.writers import write_dataset
 from tunekit.streaming import jobs as stream
 
@@ -428,3 +429,110 @@ def test_a_stream_stops_at_its_row_cap(spark, tmp_path):
     add("bad.jsonl", "no json\n")  # would fail if it were opened
     assert run(25) == [10, 10, 5]
     assert stream.read_appended(spark, str(tmp_path / "out"), "jsonl").distinct().count() == 25
+
+
+def counted_chat(log, replies):
+    """A model that notes every call; ``replies`` gives the outputs of a request by how many went before."""
+
+    def load():
+        def call(systems, users):
+            out = []
+            for u in users:
+                n = len(list(log.iterdir()))
+                (log / f"{n}-{abs(hash(u)) % 10**9}").write_text(u)
+                found = replies(u)
+                if isinstance(found, Exception):
+                    raise found
+                out.append(json.dumps([{"instruction": "i", "input": u[:20], "output": w} for w in found]))
+            return out
+
+        return call
+
+    return I.BatchModel(load, name="counted-1", concurrency=1)
+
+
+def test_generate_tops_up(spark, tmp_path):
+    log = tmp_path / "log"
+    log.mkdir()
+    rates, progress = str(tmp_path / "rates"), str(tmp_path / "progress")
+    model = counted_chat(log, lambda u: ["軟體", "軟件", "軟件", "軟件", "軟件"])  # one of five passes
+    out = jobs.generate(spark, "tea", 20, model, locale="zh-tw", rates=rates, progress=progress, partitions=1).collect()
+    assert len(out) == 20 and all(r.output == "軟體" for r in out)
+    assert [(r.batch_number, r.entry_index) for r in out] == [(i, 0) for i in range(1, 21)]
+    waves_ = W.progress_of(spark, progress).orderBy("wave").collect()
+    assert sum(r.sent for r in waves_) == len(list(log.iterdir())) and len(waves_) > 2
+    assert sum(r.passed for r in waves_[:-1]) < 20 <= sum(r.passed for r in waves_) and all(r.rate > 0 for r in waves_)
+    rate = W.stored_pass_rate(spark, rates, "counted-1", "sft", "zh-tw", 0.7)
+    assert 0.2 <= rate < 0.35 and W.stored_pass_rate(spark, rates, "other", "sft", "zh-tw", 0.7) == 0.7
+    first = waves_[0].sent
+    jobs.generate(spark, "tea", 20, model, locale="zh-tw", rates=rates, progress=progress, partitions=1)
+    later = W.progress_of(spark, progress).orderBy("at").collect()[len(waves_)]
+    assert later.wave == 0 and later.sent > first  # starts from the stored rate
+
+
+def test_generate_gives_up_on_a_model_without_entries(spark, tmp_path):
+    log = tmp_path / "log"
+    log.mkdir()
+    assert jobs.generate(spark, "tea", 4, counted_chat(log, lambda u: []), partitions=1).collect() == []
+    assert len(list(log.iterdir())) == 2  # two rounds of one request
+    some = counted_chat(log, lambda u: ValueError("odd") if "2" in u.split("batch")[-1][:3] else ["a"])
+    assert 0 < jobs.generate(spark, "tea", 4, some, max_rounds=3, partitions=1).count() <= 4
+
+
+def test_first_passing_stops_early(spark, tmp_path):
+    log = tmp_path / "log"
+    log.mkdir()
+    rows = spark.range(400).select("id", F.lit("s").alias("system_prompt"), F.concat(F.lit("p "), "id").alias("user_prompt"))
+    model = counted_chat(log, lambda u: ["x"])
+
+    def scored_of(answered):
+        return answered.select("id", "raw_content", (F.col("id") % 3 == 0).alias("qc_passed"))
+
+    out = jobs.first_passing(rows, "id", 20, model, scored_of, partitions=1).collect()
+    assert [r.id for r in out] == list(range(0, 60, 3))
+    assert 58 <= len(list(log.iterdir())) < 120
+    short = jobs.first_passing(rows.limit(10), "id", 20, I.ColumnModel(lambda s, u: u), scored_of).collect()
+    assert [r.id for r in short] == [0, 3, 6, 9]
+
+
+def test_a_fatal_failure_ends_the_job(spark, tmp_path):
+    log = tmp_path / "log"
+    log.mkdir()
+    broken = counted_chat(log, lambda u: RuntimeError("model 'x' not found") if "5" in u else RuntimeError("context length exceeded") if "7" in u else ["a"])
+    run = dict(staging=str(tmp_path / "s"), key_cols=("id",), waves=4, partitions=1, budget=I.FailureBudget())
+    with pytest.raises(I.ModelStopped) as end:
+        I.infer_staged(prompts(spark, 80), broken, **run)
+    assert (end.value.kind, end.value.wave) == ("model_not_found", 0) and "not found" in str(end.value)
+    calls = [p.read_text() for p in log.iterdir()]
+    assert sum("5" in c for c in calls) == 1  # nothing was sent after it
+    staged = spark.read.parquet(str(tmp_path / "s"))
+    assert staged.filter("error LIKE 'Not sent after: %'").count() > 0 and staged.count() < 80
+    fixed = counted_chat(log, lambda u: RuntimeError("context length exceeded") if "7" in u else ["a"])
+    done = I.infer_staged(prompts(spark, 80), fixed, **run)
+    failed = {r.id for r in done.filter("error IS NOT NULL").collect()}
+    assert failed == {i for i in range(80) if "7" in prompt_of(spark, i)}
+    good = sum("5" not in c and "7" not in c for c in calls)
+    assert len(list(log.iterdir())) == len(calls) + 80 - good
+
+
+def prompt_of(spark, i):
+    return {r.id: r.user_prompt for r in prompts(spark, 80).collect()}[i]
+
+
+def test_a_share_of_failures_ends_the_job(spark, tmp_path):
+    model = I.ColumnModel(lambda s, u: u, lambda s, u: F.when(F.length(u) > 4, "odd"), name="odd-1")
+    rows = spark.range(60).select("id", F.lit("s").alias("system_prompt"), F.concat(F.lit("p"), F.repeat(F.lit("x"), (F.col("id") % 9).cast("int"))).alias("user_prompt"))
+    for share, ends in ((0.9, False), (0.3, True)):
+        run = dict(staging=str(tmp_path / f"s{share}"), key_cols=("id",), budget=I.FailureBudget(share=share, least=10))
+        if ends:
+            with pytest.raises(I.ModelStopped, match="requests failed: odd"):
+                I.infer_staged(rows, model, **run)
+        else:
+            assert I.infer_staged(rows, model, **run).count() == 60
+    with pytest.raises(ValueError):
+        I.FailureBudget(share=1.0)
+
+
+def test_error_classes_of_messages():
+    for message, kind in (("Model 'x' NOT found", "model_not_found"), ("refused", "connection"), ("odd", "other"), ("context length exceeded", "context_length_exceeded")):
+        assert I.class_of_error(message) == kind

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -26,6 +27,44 @@ ERROR_CLASSES = (
 )
 
 
+def class_of_error(message: str) -> str:
+    """:func:`error_class` of one message."""
+    text = message.lower()
+    for name, words in ERROR_CLASSES:
+        if all(w in text for w in words):
+            return name
+    return "connection" if "connection" in text or "refused" in text else "other"
+
+
+@dataclass(frozen=True)
+class FailureBudget:
+    """When a job gives up on its model.
+
+    One failure of a ``fatal`` class is enough: a task that sees one sends no further request, and the job
+    ends with the wave. So does a wave of at least ``least`` requests of which more than ``share`` failed.
+    Failures of other classes cost their own rows only.
+    """
+
+    fatal: tuple[str, ...] = ("model_not_found", "model_loading_timeout", "connection")
+    share: float | None = None
+    least: int = 100
+
+    def __post_init__(self) -> None:
+        if self.share is not None and not 0 <= self.share < 1:
+            raise ValueError("share must be at least 0 and below 1")
+
+
+class ModelStopped(RuntimeError):
+    """A job ended by its failure budget; the replies so far are staged, and a rerun goes on from there."""
+
+    def __init__(self, kind: str, wave: int, example: str | None):
+        super().__init__(f"stopped after wave {wave}: {kind}: {example}")
+        self.kind, self.wave, self.example = kind, wave, example
+
+
+NOT_SENT = "Not sent after: "
+
+
 @dataclass(frozen=True)
 class ColumnModel:
     """A model that is a Column expression of (system prompt, user prompt)."""
@@ -51,7 +90,8 @@ class BatchModel:
     ``call`` gets slices of ``batch_size`` prompts, up to ``concurrency`` at a time; a slice that
     raises is tried again one prompt at a time, so one bad prompt fails alone. With an
     ``output_schema`` (see ``entries.output_schema``) ``call`` gets it as its third argument, for
-    models that can be held to a form.
+    models that can be held to a form. With a ``budget`` a task answers what is left with the failure
+    that ended it instead of calling.
     """
 
     load: Callable[[], Callable[..., Sequence[str]]]
@@ -59,6 +99,7 @@ class BatchModel:
     batch_size: int = 1
     concurrency: int = 5
     output_schema: str | None = None
+    budget: FailureBudget | None = None
 
     def __post_init__(self) -> None:
         if not 1 <= self.concurrency <= 20:
@@ -69,8 +110,11 @@ class BatchModel:
     def replies(self, system: Column, user: Column) -> Column:
         load, size, width = self.load, self.batch_size, self.concurrency
         extra = () if self.output_schema is None else (self.output_schema,)
+        fatal = () if self.budget is None else self.budget.fatal
 
-        def answer(call, rows: list[tuple[str, str]]) -> list[tuple[str | None, str | None]]:
+        def answer(call, rows: list[tuple[str, str]], ended: list[str]) -> list[tuple[str | None, str | None]]:
+            if ended:
+                return [(None, NOT_SENT + ended[0])] * len(rows)
             try:
                 texts = call([s for s, _ in rows], [u for _, u in rows], *extra)
                 if len(texts) != len(rows):
@@ -80,19 +124,23 @@ class BatchModel:
                     for t in texts
                 ]
             except Exception as exc:
+                message = str(exc) or type(exc).__name__
+                if class_of_error(message) in fatal:
+                    ended.append(message)
+                    return [(None, message)] * len(rows)
                 if len(rows) > 1:
-                    return [reply for row in rows for reply in answer(call, [row])]
-                return [(None, str(exc) or type(exc).__name__)]
+                    return [reply for row in rows for reply in answer(call, [row], ended)]
+                return [(None, message)]
 
         def run(
             batches: Iterator[tuple[pd.Series, pd.Series]],
         ) -> Iterator[pd.DataFrame]:
-            call = load()
+            call, ended = load(), []
             with ThreadPoolExecutor(width) as pool:
                 for systems, users in batches:
                     rows = list(zip(systems, users, strict=True))
                     slices = [rows[i : i + size] for i in range(0, len(rows), size)]
-                    done = [r for part in pool.map(lambda s: answer(call, s), slices) for r in part]
+                    done = [r for part in pool.map(lambda s: answer(call, s, ended), slices) for r in part]
                     yield pd.DataFrame(done, columns=["raw_content", "error"], dtype=object)
 
         run.__annotations__ = {
@@ -159,6 +207,20 @@ def _staged(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
+def _check(budget: FailureBudget, wave: int, sent: int, failed: int, fatal: str | None, example: str | None) -> None:
+    if fatal is not None:
+        raise ModelStopped(class_of_error(fatal), wave, fatal.removeprefix(NOT_SENT))
+    if budget.share is not None and sent >= budget.least and failed > budget.share * sent:
+        raise ModelStopped(f"{failed} of {sent} requests failed", wave, example)
+
+
+def check_budget(budget: FailureBudget, replies: DataFrame, wave: int = 0) -> None:
+    """Raise :class:`ModelStopped` if some replies use the budget up."""
+    fatal = error_class(F.col("error")).isin(*budget.fatal)
+    found = replies.agg(F.count(F.lit(1)), F.count("error"), F.min(F.when(fatal, F.col("error"))), F.min("error")).first()
+    _check(budget, wave, *found)
+
+
 _SLOTS = 1 << 20
 
 
@@ -171,6 +233,8 @@ def infer_staged(
     retry_failed: bool = True,
     partitions: int | None = None,
     report: Callable[[int, int, int], None] | None = None,
+    budget: FailureBudget | None = None,
+    progress: Callable[[int, int, int, float], None] | None = None,
 ) -> DataFrame:
     """Like :func:`infer`, but replies land in a Parquet table and a rerun skips what it holds.
 
@@ -179,12 +243,17 @@ def infer_staged(
     write, so a lost driver costs at most one wave. ``key_cols`` must identify a row; the model needs a
     name of its own (with its version), as its replies are found again by it. A request that was tried
     more than once has the reply of its last success, or else its last failure. After each wave
-    ``report(wave, requests sent, failures)`` is called with what its write observed.
+    ``report(wave, requests sent, failures)`` is called with what its write observed, and ``progress`` with
+    that and the seconds it took (``plans.waves.progress_writer`` makes a table of it).
+
+    With a ``budget`` the job ends in :class:`ModelStopped` after a wave that uses it up.
     """
     if waves < 1:
         raise ValueError("waves must be positive")
     if model.name in DEFAULT_NAMES:
         raise ValueError("name the model (and its version): replies are staged under that name")
+    if budget is not None and isinstance(model, BatchModel):
+        model = replace(model, budget=budget)
     spark = df.sparkSession
     path = work_dir(spark, "requests")
     slot = F.pmod(F.xxhash64("request_id"), F.lit(_SLOTS))
@@ -207,12 +276,22 @@ def infer_staged(
         replies = infer(todo.dropDuplicates(["request_id"]), model, partitions=partitions).select(
             "request_id", "_slot", F.lit(attempt).alias("attempt"), "raw_content", "error"
         )
-        seen = Observation()
-        replies.observe(seen, F.count(F.lit(1)).alias("sent"), F.count("error").alias("failed")).write.mode(
-            "append"
-        ).parquet(staging)
+        seen, began = Observation(), time.monotonic()
+        fatal = error_class(F.col("error")).isin(*(budget.fatal if budget is not None else ()))
+        replies.observe(
+            seen,
+            F.count(F.lit(1)).alias("sent"),
+            F.count("error").alias("failed"),
+            F.min(F.when(fatal, F.col("error"))).alias("fatal"),
+            F.min("error").alias("example"),
+        ).write.mode("append").parquet(staging)
+        sent, failed = seen.get["sent"], seen.get["failed"]
         if report is not None:
-            report(wave, seen.get["sent"], seen.get["failed"])
+            report(wave, sent, failed)
+        if progress is not None:
+            progress(wave, sent, failed, time.monotonic() - began)
+        if budget is not None:
+            _check(budget, wave, sent, failed, seen.get["fatal"], seen.get["example"])
     replies = spark.read.parquet(staging).drop("_slot")
     tried = F.struct(F.col("error").isNull().alias("good"), "attempt")
     best = replies.groupBy("request_id").agg(F.max(tried).alias("_best"))

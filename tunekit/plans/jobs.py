@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+import time
 from collections.abc import Callable, Iterable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tunekit.functions.text import has_text
@@ -14,7 +17,10 @@ from tunekit.operators.chunking import ChunkConfig, chunk_documents
 from tunekit.operators.entries import fields_of
 from tunekit.operators.fields import require_field
 from tunekit.operators.inference import (
+    BatchModel,
+    FailureBudget,
     Model,
+    check_budget,
     infer,
     infer_staged,
     plan_requests,
@@ -33,10 +39,12 @@ from tunekit.operators.quality import (
     first_n_passing,
     quality_filter,
     request_count,
+    update_pass_rate,
     with_quality,
 )
 from tunekit.operators.responses import parse_replies
 from tunekit.operators.validation import valid_entries
+from tunekit.plans.waves import record_progress, store_pass_rate, stored_pass_rate
 from tunekit.sources.documents import read_documents, read_paged_bytes
 from tunekit.sources.shared import work_dir
 from tunekit.sources.writers import convert
@@ -49,6 +57,7 @@ __all__ = [
     "convert",
     "document_entries",
     "documents_to_dataset",
+    "first_passing",
     "generate",
     "topic_requests",
 ]
@@ -71,13 +80,14 @@ def _replies(
 
 
 def topic_requests(
-    topics: DataFrame, dataset_type: str = "sft", locale: str = "en", batch_size: int = 5
+    topics: DataFrame, dataset_type: str = "sft", locale: str = "en", batch_size: int = 5, sent: int = 0
 ) -> DataFrame:
-    """Prompted requests for rows ``(topic, count)``."""
+    """Prompted requests for rows ``(topic, count)``; their numbers go on from those already ``sent``."""
     topics = topics.filter(has_text(F.col("topic")))
     topic, number, size = F.col("topic"), F.col("batch_number"), F.col("batch_size")
     return (
         plan_requests(topics, batch_size)
+        .withColumn("batch_number", number + sent)
         .withColumn("system_prompt", P.topic_system_prompt(topic, size, dataset_type, locale))
         .withColumn("user_prompt", P.topic_user_prompt(topic, number, size, dataset_type, locale))
     )
@@ -96,30 +106,117 @@ def generate(
     staging: str | None = None,
     waves: int = 1,
     partitions: int | None = None,
+    max_rounds: int = 20,
+    rates: str | None = None,
+    progress: str | None = None,
+    budget: FailureBudget | None = None,
 ) -> DataFrame:
     """``count`` entries about a topic: over-request, infer, parse, check, keep the first ``count``
-    in request order."""
+    in request order.
+
+    The model runs when this is called, in rounds: each asks for what is still lacking, by the pass rate
+    seen so far, until enough entries have passed; then nothing more is sent. It ends with less after
+    ``max_rounds``, or after two rounds from which nothing passed. With ``rates`` the first round starts
+    from the rate that the last run with this model, type and locale left in that table, and the new one
+    is added to it. With ``progress`` every round adds a row to that table (``plans.waves.progress_of``).
+    """
     if not topic.strip():
         raise ValueError("topic must not be blank")
     if count < 1:
         raise ValueError("count must be positive")
     checked = locale == CHECKED_LOCALE
-    asked = request_count(count, estimated_pass_rate) if checked else count
-    topics = spark.range(1).select(
-        F.lit(topic.strip()).alias("topic"), F.lit(asked).cast("bigint").alias("count")
-    )
-    requests = topic_requests(topics, dataset_type, locale, batch_size)
-    answered = _replies(requests, model, staging, ("topic", "batch_number"), waves, partitions)
-    entries = parse_replies(
-        answered.filter(F.col("error").isNull()), dataset_type, keep=("batch_number",)
-    )
-    if checked:
-        scored = with_quality(entries, dataset_type, quality)
-    else:
-        scored = entries.withColumn("qc_passed", F.lit(True))
-    return first_n_passing(scored, count).select(
-        "batch_number", "entry_index", *fields_of(dataset_type)
-    )
+    rate = stored_pass_rate(spark, rates, model.name, dataset_type, locale, estimated_pass_rate)
+    root = work_dir(spark, "generated")
+    sent = passed = seen = barren = 0
+    parts: list[DataFrame] = []
+    for number in range(max_rounds):
+        asked = request_count(count - passed, rate) if checked else count - passed
+        topics = spark.range(1).select(F.lit(topic.strip()).alias("topic"), F.lit(asked).cast("bigint").alias("count"))
+        requests = topic_requests(topics, dataset_type, locale, batch_size, sent)
+        began = time.monotonic()
+        answered = _answered_round(requests, model, staging, f"{root}/replies-{number}", waves, partitions, budget)
+        entries = parse_replies(answered.filter(F.col("error").isNull()), dataset_type, keep=("batch_number",))
+        if checked:
+            scored = with_quality(entries, dataset_type, quality)
+        else:
+            scored = entries.withColumn("qc_passed", F.lit(True))
+        scored = scored.select("batch_number", "entry_index", *fields_of(dataset_type), "qc_passed")
+        own = Observation()
+        counted = scored.observe(own, F.count(F.lit(1)).alias("checked"), F.count_if("qc_passed").alias("passed"))
+        counted.write.parquet(f"{root}/entries-{number}")
+        parts.append(spark.read.schema(scored.schema).parquet(f"{root}/entries-{number}"))
+        asks = answered.agg(F.count(F.lit(1)), F.count("error")).first()
+        if progress is not None:
+            record_progress(spark, progress, f"generate {topic.strip()}", number, asks[0], asks[1], time.monotonic() - began, own.get["checked"], own.get["passed"])
+        sent, passed, seen = sent + asks[0], passed + own.get["passed"], seen + own.get["checked"]
+        if checked:
+            rate = update_pass_rate(own.get["passed"], own.get["checked"], rate)
+        barren = 0 if own.get["passed"] else barren + 1
+        if passed >= count or barren == 2:
+            break
+    if checked and rates is not None:
+        store_pass_rate(spark, rates, model.name, dataset_type, locale, seen, passed, rate)
+    rows = reduce(DataFrame.unionAll, parts)
+    return first_n_passing(rows, count).select("batch_number", "entry_index", *fields_of(dataset_type))
+
+
+def _answered_round(
+    requests: DataFrame, model: Model, staging: str | None, place: str, waves: int, partitions: int | None, budget: FailureBudget | None
+) -> DataFrame:
+    """Replies that are written before they are read: staged by request, or just kept for this run."""
+    if staging is not None:
+        return infer_staged(requests, model, staging, ("topic", "batch_number"), waves=waves, partitions=partitions, budget=budget)
+    if budget is not None and isinstance(model, BatchModel):
+        model = replace(model, budget=budget)
+    answered = infer(requests, model, partitions=partitions)
+    answered.write.parquet(place)
+    answered = requests.sparkSession.read.schema(answered.schema).parquet(place)
+    if budget is not None:
+        check_budget(budget, answered)
+    return answered
+
+
+def first_passing(
+    requests: DataFrame,
+    order: str,
+    n: int,
+    model: Model,
+    scored_of: Callable[[DataFrame], DataFrame],
+    estimated_pass_rate: float = 0.7,
+    per_request: float = 1.0,
+    partitions: int | None = None,
+    max_rounds: int = 20,
+    progress: str | None = None,
+    budget: FailureBudget | None = None,
+) -> DataFrame:
+    """The first ``n`` rows that pass, in order of their requests, without paying for the rest.
+
+    Requests (columns ``order``, ``system_prompt, user_prompt`` and any more) are sent in rounds in that
+    order, each as large as the pass rate so far makes likely to be enough; ``order`` must tell rows apart.
+    ``scored_of`` turns answered requests into rows with ``order`` and ``qc_passed``, ``per_request`` of them
+    for each request about. Requests are evaluated once a round, so stage them if that is expensive.
+    """
+    spark = requests.sparkSession
+    root, rate, last = work_dir(spark, "rounds"), estimated_pass_rate, None
+    passed = 0
+    parts: list[DataFrame] = []
+    for number in range(max_rounds):
+        asked = max(1, math.ceil(request_count(n - passed, rate) / per_request))
+        todo = requests if last is None else requests.filter(F.col(order) > F.lit(last))
+        began = time.monotonic()
+        answered = _answered_round(first_rows(todo, [order], asked), model, None, f"{root}/replies-{number}", 1, partitions, budget)
+        scored = scored_of(answered)
+        own = Observation()
+        scored.observe(own, F.count(F.lit(1)).alias("checked"), F.count_if("qc_passed").alias("passed")).write.parquet(f"{root}/rows-{number}")
+        parts.append(spark.read.schema(scored.schema).parquet(f"{root}/rows-{number}"))
+        sent, failed, last = answered.agg(F.count(F.lit(1)), F.count("error"), F.max(order)).first()
+        if progress is not None:
+            record_progress(spark, progress, "first passing", number, sent, failed, time.monotonic() - began, own.get["checked"], own.get["passed"])
+        passed += own.get["passed"]
+        rate = update_pass_rate(own.get["passed"], own.get["checked"], rate)
+        if passed >= n or sent < asked:
+            break
+    return first_n_passing(reduce(DataFrame.unionAll, parts), n, (order,))
 
 
 # --- dataset rows with one field filled ------------------------------------------------------

@@ -498,6 +498,9 @@ def oracle_sql() -> dict[str, str]:
     sql["csv_header_union"] = """SELECT doc_id::VARCHAR AS doc_id, CASE WHEN doc_id % 2 = 0 THEN lang END AS lang,
       CASE WHEN doc_id % 2 = 1 THEN source END AS source FROM documents"""
     sql["csv_ranges"] = sql["json_ranges"] = sql["json_one_array"] = SOURCE_ROWS
+    sql["first_passing_rounds"] = sql["first_n_passing"]
+    sql["wave_progress"] = """SELECT 'digests' AS job, 4 AS waves, count(*) AS sent, count(*) FILTER (length(text) % 10 = 0) AS failed, true AS timed FROM documents"""
+    sql["failure_budget"] = """SELECT doc_id, md5(lang||' '||text) AS reply, NULL::VARCHAR AS error, 'model_not_found 0' AS stopped FROM documents"""
     sql["roundtrip_nulls"] = """SELECT doc_id::VARCHAR AS doc_id, NULL::VARCHAR AS nothing, f.fmt FROM documents,
       (SELECT unnest(['jsonl', 'json', 'csv', 'tsv', 'parquet']) AS fmt) f"""
     sql["json_sections"] = f"""SELECT doc_id, text||{NL}||lang||{NL}||source AS content, 0::INTEGER AS level, 0::INTEGER AS start_line, 2::INTEGER AS end_line FROM documents"""

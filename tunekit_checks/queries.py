@@ -22,7 +22,7 @@ from tunekit.operators import reporting as R
 from tunekit.operators import responses as Resp
 from tunekit.operators import sections as S
 from tunekit.operators import validation as V
-from tunekit.plans import jobs
+from tunekit.plans import jobs, waves
 from tunekit.sources import datasets as D
 from tunekit.sources import documents as Docs
 from tunekit.sources import writers as W
@@ -716,6 +716,51 @@ def first_n_passing(spark, sf_dir):
     return Q.first_n_passing(scored, 100, ("doc_id",)).select("doc_id", "instruction", "input")
 
 
+@query
+def first_passing_rounds(spark, sf_dir):
+    """The same rows from a model that is asked in rounds until enough have passed."""
+    entries = sft_entries(documents(spark, sf_dir))
+    prompts = entries.select("doc_id", F.lit("Repeat.").alias("system_prompt"), F.to_json(F.struct("instruction", "input", "output")).alias("user_prompt"))
+    model = I.ColumnModel(reply=lambda system, user: user, name="repeat")
+
+    def scored_of(answered):
+        rows = answered.select("doc_id", F.from_json("raw_content", "instruction string, input string, output string").alias("e")).select("doc_id", "e.*")
+        return Q.with_quality(rows, "sft", _quality()).select("doc_id", "instruction", "input", "qc_passed")
+
+    return jobs.first_passing(prompts, "doc_id", 100, model, scored_of).select("doc_id", "instruction", "input")
+
+
+def _prompted(spark, sf_dir) -> DataFrame:
+    return documents(spark, sf_dir).select("doc_id", "lang", F.lit("Digest.").alias("system_prompt"), col("text").alias("user_prompt"))
+
+
+@query
+def wave_progress(spark, sf_dir):
+    """What the table of a staged run says about its waves."""
+    root = work_dir(spark, "progress")
+    model = echo_model(lambda user: F.when(F.length(user) % 10 == 0, "out of memory"))
+    writer = waves.progress_writer(spark, f"{root}/progress", "digests")
+    I.infer_staged(_prompted(spark, sf_dir), model, f"{root}/staging", ("doc_id",), waves=4, progress=writer)
+    return waves.progress_of(spark, f"{root}/progress").groupBy("job").agg(
+        F.count(F.lit(1)).alias("waves"), F.sum("sent").alias("sent"), F.sum("failed").alias("failed"), F.bool_and(F.col("seconds") > 0).alias("timed")
+    )
+
+
+@query
+def failure_budget(spark, sf_dir):
+    """A run that a missing model ends after its first wave, and the one that goes on from its replies."""
+    staging = work_dir(spark, "budget")
+    rows = _prompted(spark, sf_dir).withColumn("user_prompt", F.concat_ws(" ", "lang", "user_prompt"))
+    run = dict(staging=staging, key_cols=("doc_id",), waves=4, budget=I.FailureBudget())
+    stopped = None
+    try:
+        I.infer_staged(rows, echo_model(lambda user: F.when(F.startswith(user, F.lit("de ")), "model m not found")), **run)
+    except I.ModelStopped as end:
+        stopped = f"{end.kind} {end.wave}"
+    done = I.infer_staged(rows, echo_model(), **run)
+    return done.select("doc_id", F.trim("raw_content").alias("reply"), "error", F.lit(stopped).alias("stopped"))
+
+
 @query
 def lexicon_apply(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", P.apply_lexicon(col("text"), SWAPS).alias("text"))
