@@ -1,5 +1,6 @@
 import html
 import json
+import re
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from tunekit.functions import html as H
 from tunekit.functions import json_text as J
 from tunekit.functions import text as T
+from tunekit.operators import quality as Q
 from tunekit.operators import entries as E
 from tunekit.operators import fields as Fields
 from tunekit.operators import validation as V
@@ -205,3 +207,65 @@ def test_parse_replies_keeps_keys(spark):
     df = spark.createDataFrame([(1, "[" + BODY + "," + BODY + "]"), (2, "junk")], "id int, raw_content string")
     got = parse_replies(df, "sft").orderBy("id", "entry_index").collect()
     assert [(r.id, r.entry_index) for r in got] == [(1, 0), (1, 1)]
+
+
+def windows_by_hand(text, places, width, overlap):
+    if len(places) <= width:
+        return [text]
+    out, i = [], 0
+    while True:
+        own = places[i : i + width]
+        out.append(text[own[0][0] : own[-1][1]])
+        if i + width >= len(places):
+            return out
+        i += width - overlap
+
+
+def test_windows_of_a_tokenizer(spark):
+    pieces = re.compile(r"\w{1,3}|[^\w\s]")
+
+    def load():
+        return lambda texts: [[m.span() for m in pieces.finditer(t)] for t in texts]
+
+    texts = ["", " ", "a", "abcdefg hij", "one  two,three\n四五六七八 \U0001f600x " * 20, None, "abc " * 12]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    for width, overlap, size in ((12, 4, 64), (5, 0, 1), (1, 0, 3)):
+        cut = Q.text_windows(F.col("text"), Q.BatchTokenizer(load, size), width, overlap)
+        got = {r.id: r.w for r in df.select("id", cut.alias("w")).collect()}
+        for i, t in enumerate(texts):
+            want = [None] if t is None else windows_by_hand(t, [m.span() for m in pieces.finditer(t)], width, overlap)
+            assert got[i] == want
+    for bad in ((0, 0), (4, 4), (4, -1)):
+        with pytest.raises(ValueError):
+            Q.text_windows(F.col("text"), Q.BatchTokenizer(load), *bad)
+    with pytest.raises(Exception, match="as many token lists"):
+        df.select(Q.text_windows(F.col("text"), Q.BatchTokenizer(lambda: lambda texts: []))).collect()
+
+
+def test_quality_over_windows_of_a_tokenizer(spark):
+    def load():
+        return lambda texts: [[(i, min(i + 2, len(t))) for i in range(0, len(t), 2)] for t in texts]
+
+    scorer = Q.LexiconScorer(("bad",), tokenizer=Q.BatchTokenizer(load))
+    rows = [(1, "x" * 8 + "bad" + "x" * 9, "ok", "fine"), (2, "x" * 40, "y", "z")]
+    df = spark.createDataFrame(rows, "id int, instruction string, input string, output string")
+    got = {r.id: r for r in Q.with_quality(df, "sft", Q.Quality(scorer, 0.9, width=4, overlap=1)).collect()}
+    first = got[1].qc_fields[0]
+    assert (first.num_windows, first.ok, got[1].failed_fields) == (3, False, ["instruction"])
+    assert first.accepted_probability == pytest.approx(2 / 3) and got[2].qc_passed and got[2].qc_fields[0].num_windows == 7
+
+
+def test_windows_of_a_public_tokenizer(spark):
+    public = pytest.importorskip("public_tokenizers")
+    path = public.path("byte_bpe_50k.json")
+
+    def load():
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(path)
+        return lambda texts: [e.offsets for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    text = "The quick brown fox jumps over the lazy dog. " * 60
+    got = spark.createDataFrame([(text,)], "text string").select(Q.text_windows(F.col("text"), Q.BatchTokenizer(load)).alias("w")).first().w
+    places = load()([text])[0]
+    assert len(places) > 382 and got == windows_by_hand(text, places, 382, 128)

@@ -9,6 +9,7 @@ from functools import reduce
 from operator import or_
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,16 +33,81 @@ REJECTED_LABEL, ACCEPTED_LABEL = "Mainland Traditional", "Taiwan Traditional"
 FIELD_TEXTS = "array<struct<field:string,text:string>>"
 
 
+@dataclass(frozen=True)
+class BatchTokenizer:
+    """A Python tokenizer. ``load`` runs once per task and returns ``call(texts)``: for each text the
+    ``(start, end)`` places of its tokens in characters, in order; ``batch_size`` texts at a time.
+
+    Only windows come back from Python, as places in the text, so their words and spaces are the text's own.
+    """
+
+    load: Callable[[], Callable[[list[str]], Sequence[Sequence[tuple[int, int]]]]]
+    batch_size: int = 64
+
+    def __post_init__(self) -> None:
+        if self.batch_size < 1:
+            raise ValueError("batch_size must be positive")
+
+    def spans(self, texts: Column, width: int, overlap: int) -> Column:
+        """Windows of every text of an array, as ``array<array<struct<start,end>>>``; NULL for a text that fits."""
+        load, size, step = self.load, self.batch_size, width - overlap
+        if width < 1 or overlap < 0 or step < 1:
+            raise ValueError("window width must be positive and overlap in [0, width)")
+        kind = pa.list_(pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
+
+        def windows(places: Sequence[tuple[int, int]]) -> list[dict] | None:
+            n = len(places)
+            if n <= width:
+                return None
+            firsts = range(0, step * -(-(n - width) // step) + 1, step)
+            return [{"start": places[i][0], "end": places[min(i + width, n) - 1][1]} for i in firsts]
+
+        def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            call = load()
+            for rows in batches:
+                rows = rows.to_pylist()
+                flat = [t or "" for row in rows if row is not None for t in row]
+                found: list = []
+                for i in range(0, len(flat), size):
+                    places = call(flat[i : i + size])
+                    if len(places) != len(flat[i : i + size]):
+                        raise ValueError("as many token lists as texts are needed")
+                    found += [windows(p) for p in places]
+                left = iter(found)
+                yield pa.array([None if row is None else [next(left) for _ in row] for row in rows], kind)
+
+        run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+        return F.arrow_udf(run, "array<array<struct<start:int,end:int>>>")(texts)
+
+
+Tokenizer = str | BatchTokenizer
+
+
+def windows_of_texts(texts: Column, tokenizer: Tokenizer, width: int = WINDOW_TOKENS, overlap: int = WINDOW_OVERLAP) -> Column:
+    """The windows of every text of an array of texts."""
+    if isinstance(tokenizer, str):
+        return F.transform(texts, lambda t: text_windows(t, tokenizer, width, overlap))
+
+    def cut(text: Column, spans: Column) -> Column:
+        several = F.transform(spans, lambda s: F.substring(text, s["start"] + 1, s["end"] - s["start"]))
+        return F.coalesce(several, F.array(text))
+
+    return F.zip_with(texts, tokenizer.spans(texts, width, overlap), cut)
+
+
 def text_windows(
     text: Column,
-    tokenizer: str = "whitespace",
+    tokenizer: Tokenizer = "whitespace",
     width: int = WINDOW_TOKENS,
     overlap: int = WINDOW_OVERLAP,
 ) -> Column:
     """Overlapping windows of a text; a text that fits is one window, unchanged.
 
-    ``whitespace`` counts words, ``char`` counts characters (for scripts without spaces).
+    ``whitespace`` counts words, ``char`` counts characters (for scripts without spaces); a
+    :class:`BatchTokenizer` counts its own tokens, such as the sub-words of a classifier.
     """
+    if isinstance(tokenizer, BatchTokenizer):
+        return F.get(windows_of_texts(F.array(text), tokenizer, width, overlap), F.lit(0))
     if tokenizer == "whitespace":
         tokens, joiner = F.split(strip(text), rf"{UNICODE}{WS}+", -1), " "
         surely_fits = F.length(text) < 2 * width
@@ -49,7 +115,7 @@ def text_windows(
         tokens, joiner = F.regexp_extract_all(text, F.lit(r"(?s)."), F.lit(0)), ""
         surely_fits = F.length(text) <= width
     else:
-        raise ValueError("tokenizer must be 'whitespace' or 'char'")
+        raise ValueError("tokenizer must be 'whitespace', 'char' or a BatchTokenizer")
     cut = F.transform(
         token_windows(tokens, width, overlap), lambda w: F.array_join(w, joiner)
     )
@@ -83,7 +149,7 @@ class LexiconScorer:
     """Deterministic scorer: a window with a listed word is of the rejected variety."""
 
     words: tuple[str, ...] = tuple(MAINLAND_TO_TAIWAN)
-    tokenizer: str = "char"
+    tokenizer: Tokenizer = "char"
 
     def mean_scores(self, windows: Column) -> Column:
         """Mean acceptance per field from ``array<array<string>>``."""
@@ -106,7 +172,7 @@ class BatchScorer:
     check must not lose what it cannot judge."""
 
     load: Callable[[], Callable[[list[str]], Sequence[float]]]
-    tokenizer: str = "char"
+    tokenizer: Tokenizer = "char"
     batch_size: int = 256
 
     def __post_init__(self) -> None:
@@ -187,13 +253,8 @@ def with_quality(df: DataFrame, dataset_type: str, quality: Quality | None = Non
     scorer = quality.scorer
     columns = df.columns
     fields = bind(df, "_fields", entry_fields(dataset_type))
-    windows = F.transform(
-        "_fields",
-        lambda f: text_windows(
-            F.coalesce(f["text"], F.lit("")), scorer.tokenizer, quality.width, quality.overlap
-        ),
-    )
-    cut = bind(fields, "_windows", windows)
+    texts = F.transform("_fields", lambda f: F.coalesce(f["text"], F.lit("")))
+    cut = bind(fields, "_windows", windows_of_texts(texts, scorer.tokenizer, quality.width, quality.overlap))
     scored = bind(cut, "_scores", scorer.mean_scores(F.col("_windows")))
 
     def result(f: Column, i: Column) -> Column:

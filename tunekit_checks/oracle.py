@@ -305,6 +305,7 @@ INT_COLUMNS = {
     "prompt_chunk": ("chunk_index",),
     "conversation_replies": ("idx",),
     "qc_windows": ("window_index",),
+    "qc_subword_windows": ("window_index",),
     "qc_scores": ("num_windows",),
     "qc_batch_scorer": ("num_windows",),
     "doc_to_dataset": ("chunk_index",),
@@ -420,6 +421,9 @@ def oracle_sql() -> dict[str, str]:
     sql["qc_windows"] = f"""WITH tk AS (SELECT doc_id, text AS t, string_split_regex({strip('text')}, '{WS}+') AS ts FROM documents),
       wd AS (SELECT *, unnest(range(0, greatest(ceil((len(ts) - 382) / 254.0), 0)::BIGINT + 1)) AS i FROM tk)
       SELECT doc_id, i AS window_index, CASE WHEN len(ts) <= 382 THEN t ELSE array_to_string(ts[i*254+1 : i*254+382], ' ') END AS window_text FROM wd"""
+    sql["qc_subword_windows"] = """WITH n AS (SELECT doc_id, text, (length(text) + 2) // 3 AS n FROM documents),
+      wd AS (SELECT *, unnest(range(0, greatest(ceil((n - 382) / 254.0), 0)::BIGINT + 1)) AS i FROM n)
+      SELECT doc_id, i AS window_index, CASE WHEN n <= 382 THEN text ELSE substr(text, (i * 254 * 3 + 1)::BIGINT, 382 * 3) END AS window_text FROM wd"""
     sql["qc_scores"] = QC_SCORES
     sql["qc_batch_scorer"] = QC_SCORES
     sql["qc_filter"] = f"WITH {scored()} SELECT entry.* FROM entry JOIN ve USING (doc_id) WHERE passed"
@@ -511,7 +515,8 @@ def oracle_sql() -> dict[str, str]:
     sql["augment_dotted"] = "SELECT doc_id, lang AS source FROM documents"
     sql["profile_dotted"] = """SELECT count(*) AS rows, 'doc_id,meta.lang,text' AS fields, least(3, count(*))::INTEGER AS n,
       min_by(text, doc_id) AS first_text FROM documents"""
-    texts = f"""SELECT (doc_id % 8)::INTEGER AS g, string_agg(text, {NL} ORDER BY doc_id)||{NL} AS body FROM documents GROUP BY 1"""
+    texts = f"""SELECT (doc_id % 8 + 8 * ((doc_id // 8) % (SELECT greatest(1, ceil(count(*) / 8000.0))::BIGINT FROM documents)))::INTEGER AS g,
+      string_agg(text, {NL} ORDER BY doc_id)||{NL} AS body FROM documents GROUP BY 1"""
     sql["document_scan"] = f"SELECT g, length(body)::INTEGER AS n, md5(body) AS digest FROM ({texts})"
     sql["document_list"] = f"SELECT g, 'text' AS doc_type, strlen(body) AS length FROM ({texts})"
     sql["document_file_stream"] = f"SELECT g, md5(body) AS digest FROM ({texts})"

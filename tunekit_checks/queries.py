@@ -666,6 +666,23 @@ def qc_windows(spark, sf_dir):
     )
 
 
+def three_letters() -> Q.BatchTokenizer:
+    """A tokenizer whose tokens are three characters each."""
+
+    def load():
+        return lambda texts: [[(i, min(i + 3, len(t))) for i in range(0, len(t), 3)] for t in texts]
+
+    return Q.BatchTokenizer(load)
+
+
+@query
+def qc_subword_windows(spark, sf_dir):
+    """Windows of 382 tokens of a plugged-in tokenizer, as spans of the text."""
+    return documents(spark, sf_dir).select(
+        "doc_id", F.posexplode(Q.text_windows(col("text"), three_letters())).alias("window_index", "window_text")
+    )
+
+
 @query
 def qc_scores(spark, sf_dir):
     return Q.quality_scores(_scored(spark, sf_dir), ("doc_id",))
@@ -758,7 +775,7 @@ def failure_budget(spark, sf_dir):
     except I.ModelStopped as end:
         stopped = f"{end.kind} {end.wave}"
     done = I.infer_staged(rows, echo_model(), **run)
-    return done.select("doc_id", F.trim("raw_content").alias("reply"), "error", F.lit(stopped).alias("stopped"))
+    return done.select("doc_id", T.strip(col("raw_content")).alias("reply"), "error", F.lit(stopped).alias("stopped"))
 
 
 @query
@@ -1115,9 +1132,12 @@ def profile_dotted(spark, sf_dir):
 
 
 def _text_files(spark, sf_dir) -> str:
-    """Eight text files of whole documents, by the remainder of the id."""
+    """Text files of whole documents, of FILE_ROWS each about, so that they grow in number with the table and not in size."""
     path = work_dir(spark, "texts")
-    _files(documents(spark, sf_dir).select("doc_id", col("text").alias("line")), (col("doc_id") % 8).cast("int"), path)
+    docs = documents(spark, sf_dir)
+    parts = -(-docs.count() // (8 * FILE_ROWS)) or 1
+    group = (col("doc_id") % 8 + 8 * (F.floor(col("doc_id") / 8) % parts)).cast("int")
+    _files(docs.select("doc_id", col("text").alias("line")), group, path, n=8 * parts)
     return path
 
 
@@ -1141,7 +1161,7 @@ def document_list(spark, sf_dir):
 def document_file_stream(spark, sf_dir):
     """The same files as a stream, appended exactly once."""
     root = work_dir(spark, "filestream")
-    rows = Docs.stream_documents(spark, _text_files(spark, sf_dir), max_files=3)
+    rows = Docs.stream_documents(spark, _text_files(spark, sf_dir), max_files=16)
     rows = rows.select(_part(col("source_path")).alias("g"), F.md5(col("raw_text").cast("binary")).alias("digest"))
     stream.append_parquet(rows, f"{root}/out", f"{root}/state").awaitTermination()
     return spark.read.parquet(f"{root}/out")
