@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tunekit.functions import json_text as J
 from tunekit.operators.fields import FieldNotFound, require_field, require_variant_field, variant_fields
-from tunekit.operators.parsing import Parsers, UnsupportedFormat, extract_pages, parse_documents, with_page_content
+from tunekit.operators.parsing import Parsers, UnsupportedFormat, extract_pages, page_documents, page_rows, parse_documents, with_page_content
 from tunekit.sources import datasets as D
 from tunekit.sources import documents as Docs
 from tunekit.sources import writers as W
@@ -275,3 +275,50 @@ def test_line_numbers_over_splits(spark, tmp_path):
     want = [i + 1 for i in range(0, 5000, 97) if i % 2 == 0]
     for name in ("a", "b"):
         assert sorted(r.line for r in got if r.file.endswith(f"{name}.jsonl")) == want
+
+
+def test_registered_page_parser(spark, tmp_path):
+    for name, text in (("a.BOOK", "x|y| |!|z"), ("b.book", "broken"), ("c.txt", "plain"), ("d.book", " ")):
+        (tmp_path / name).write_text(text)
+
+    def pages_of(data):
+        for i, part in enumerate(data.decode().split("|"), 1):
+            if part == "broken":
+                raise ValueError("no pages")
+            yield (i, None, "smudged") if part == "!" else (i, part, None)
+
+    parsers = Parsers().register_pages(["book"], "book", pages_of)
+    assert parsers.require("x.Book") == "book"
+    files = Docs.read_paged_bytes(spark, str(tmp_path), parsers=parsers)
+    assert sorted(r.source_path[-6:] for r in files.collect()) == ["a.BOOK", "b.book", "d.book"]
+    rows = page_rows(files, parsers)
+    got = sorted(((r.source_path[-6:], r.page or 0, r.text, r.error) for r in rows.collect()), key=str)
+    assert [g[:3] for g in got] == [("a.BOOK", 1, "x"), ("a.BOOK", 2, "y"), ("a.BOOK", 3, " "), ("a.BOOK", 4, None), ("a.BOOK", 5, "z"), ("b.book", 0, None), ("d.book", 1, " ")]
+    assert got[3][3] == "smudged" and got[5][3].startswith("Failed to parse") and got[5][3].endswith("no pages")
+    docs = {(r.source_path[-6:], r.page): r for r in page_documents(rows).collect()}
+    assert set(docs) == {("a.BOOK", 1), ("a.BOOK", 2), ("a.BOOK", 4), ("a.BOOK", 5), ("b.book", None)}
+    one = docs["a.BOOK", 5]
+    assert (one.content, one.doc_type, one.sections[0].title, one.sections[0].start_line, one.metadata) == ("z", "book", "Page 5", 4, {"page": "5"})
+    assert docs["a.BOOK", 4].sections is None and docs["a.BOOK", 4].error == "smudged"
+    text = parse_documents(spark.createDataFrame([("d.book", None)], "source_path string, raw_text string"), parsers).first()
+    assert text.error == "Paged document: needs a page extractor"
+
+
+def test_pages_are_handed_on_one_by_one(spark, tmp_path):
+    """A file of 10,000 pages of 10 KB: the parser is never far ahead of what has been handed on."""
+    (tmp_path / "a.book").write_text("10000")
+    marks = tmp_path / "marks"
+    marks.mkdir()
+
+    def pages_of(data):
+        import resource
+
+        for i in range(int(data)):
+            yield i + 1, f"{i} " + "x" * 10_000, None
+        (marks / "peak").write_text(str(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024))
+
+    files = Docs.read_paged_bytes(spark, str(tmp_path), "*.book", parsers=Parsers().register_pages(["book"], "book", pages_of))
+    rows = page_rows(files, pages_of)
+    got = rows.agg(F.count("page"), F.sum(F.length("text")), F.max("page")).first()
+    assert tuple(got) == (10_000, sum(len(f"{i} ") + 10_000 for i in range(10_000)), 10_000)
+    assert int((marks / "peak").read_text()) < 400  # 100 MB of text alone would be 200 MB on top of a worker's own

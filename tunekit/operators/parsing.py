@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +46,9 @@ DOC_TYPES = {
 }
 
 
+PagesOf = Callable[[bytes], Iterable[tuple[int, str | None, str | None]]]
+
+
 class UnsupportedFormat(ValueError):
     def __init__(self, ext: str, supported: Iterable[str]):
         self.supported = sorted(supported)
@@ -66,13 +70,15 @@ class Parsers:
     """Parsers by extension: the built-in types plus what the user registers.
 
     A registered parser maps the decoded text Column to the content Column; its sections default to
-    one section over all lines.
+    one section over all lines. A registered page parser is a Python function from a file's bytes to its
+    pages, for formats that no expression can read (:func:`page_rows`).
     """
 
     doc_types: dict[str, str] = field(default_factory=lambda: dict(DOC_TYPES))
     custom: dict[str, tuple[Callable[[Column], Column], Callable[[Column], Column]]] = field(
         default_factory=dict
     )
+    paged: dict[str, PagesOf] = field(default_factory=dict)
 
     def register(
         self,
@@ -86,6 +92,13 @@ class Parsers:
             self.custom[ext] = (to_content, to_sections)
         return self
 
+    def register_pages(self, extensions: Iterable[str], doc_type: str, pages_of: PagesOf) -> Parsers:
+        for ext in map(normalize_extension, extensions):
+            self.doc_types[ext] = doc_type
+            self.custom.pop(ext, None)
+            self.paged[ext] = pages_of
+        return self
+
     def supported(self) -> list[str]:
         return sorted(self.doc_types)
 
@@ -97,9 +110,10 @@ class Parsers:
         return _lookup(self.doc_types, extension(path))
 
     def is_paged(self, path: Column) -> Column:
-        """Whether a path is a paged document without a text parser of its own."""
+        """Whether a path is a paged document: it has a page parser, or is of a paged type without a text parser of its own."""
         own = extension(path).isin(*self.custom) if self.custom else F.lit(False)
-        return F.coalesce((self.doc_type(path) == "pdf") & ~own, F.lit(False))
+        registered = extension(path).isin(*self.paged) if self.paged else F.lit(False)
+        return F.coalesce(((self.doc_type(path) == "pdf") | registered) & ~own, F.lit(False))
 
     def require(self, path: str) -> str:
         """Document type of one path, or an error that lists the supported formats."""
@@ -155,6 +169,7 @@ def parse_documents(
             F.array_join("_leaves", "\n"),
         )
     )
+    paged = F.col("_ext").isin(*parsers.paged) if parsers.paged else F.lit(False)
     for ext, (to_content, _) in parsers.custom.items():
         content = content.when(F.col("_ext") == ext, to_content(F.when(F.col("_ext") == ext, raw)))
 
@@ -195,7 +210,7 @@ def parse_documents(
             F.col("doc_type").isNull(),
             F.concat(F.lit("Unsupported format: "), F.col("_ext"), F.lit(f". Supported: {listing}")),
         )
-        .when(builtin & (F.col("doc_type") == "pdf"), "Paged document: needs a page extractor")
+        .when(builtin & ((F.col("doc_type") == "pdf") | paged), "Paged document: needs a page extractor")
         .when(body.isNull() & (F.col("doc_type") == "json"), "Invalid JSON")
         .when(body.isNull(), "Parser returned no content")
     )
@@ -208,6 +223,78 @@ def parse_documents(
 # --- paged documents -------------------------------------------------------------------------
 
 PAGES_TYPE = "array<struct<page:int,text:string,error:string>>"
+PAGE_BYTES = 1 << 20  # text that is held before it is handed on
+
+
+def page_rows(
+    files: DataFrame,
+    pages_of: PagesOf | Parsers,
+    path_col: str = "source_path",
+    bytes_col: str = "bytes",
+) -> DataFrame:
+    """``source_path, doc_type, page, text, error``: a row for every page, handed on as the parser yields it.
+
+    ``pages_of`` yields ``(page, text, error)``, pages counting from 1; with ``Parsers`` each file goes to the
+    page parser of its extension. Only about ``PAGE_BYTES`` of text are held at a time, so a file may have
+    any number of pages if its parser yields them one by one. A file that fails has a row with page NULL
+    and the error, behind the pages that came before it.
+    """
+    by_ext = pages_of.paged if isinstance(pages_of, Parsers) else {}
+    kinds = pages_of.doc_types if isinstance(pages_of, Parsers) else {}
+    kind = pa.schema([("source_path", pa.string()), ("doc_type", pa.string()), ("page", pa.int32()), ("text", pa.string()), ("error", pa.string())])
+
+    def pages(path: str, ext: str, data: bytes | None) -> Iterator[tuple]:
+        doc_type = kinds.get(ext, "pdf")
+        try:
+            if by_ext and ext not in by_ext:
+                raise ValueError(f"no page parser for {ext or 'this name'}")
+            for page, text, failure in (by_ext.get(ext) or pages_of)(bytes(data or b"")):
+                yield path, doc_type, page, text, failure
+        except Exception as exc:
+            yield path, doc_type, None, None, f"Failed to parse {path}: {exc}"
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        size = 0
+        for batch in batches:
+            for i in range(batch.num_rows):
+                path, ext, data = (batch.column(c)[i].as_py() for c in range(3))
+                for row in pages(path, ext, data):
+                    held.append(row)
+                    size += len(row[3] or "") + 100
+                    if size > PAGE_BYTES:
+                        yield pa.RecordBatch.from_pylist([dict(zip(kind.names, r)) for r in held], schema=kind)
+                        held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_pylist([dict(zip(kind.names, r)) for r in held], schema=kind)
+
+    rows = files.select(F.col(path_col).alias("source_path"), extension(F.col(path_col)).alias("ext"), F.col(bytes_col).alias("bytes"))
+    return rows.mapInArrow(run, "source_path string, doc_type string, page int, text string, error string")
+
+
+def page_documents(pages: DataFrame) -> DataFrame:
+    """Every page of :func:`page_rows` as a parsed document of its own, for chunking without a row that holds a whole file.
+
+    ``source_path, page, doc_type, content, metadata, sections, error``; blank pages are left out, and a page
+    or file that failed has NULL content and its error.
+    """
+    text = F.when(F.col("error").isNull(), F.col("text"))
+    section = F.struct(
+        F.concat(F.lit("Page "), F.col("page").cast("string")).alias("title"),
+        strip(text).alias("content"),
+        F.lit(1).alias("level"),
+        (F.col("page") - 1).alias("start_line"),
+        (F.col("page") - 1).alias("end_line"),
+    ).cast(S.SECTION_TYPE)
+    return pages.filter(F.col("error").isNotNull() | has_text(F.col("text"))).select(
+        "source_path",
+        "page",
+        "doc_type",
+        text.alias("content"),
+        F.create_map(F.lit("page"), F.col("page").cast("string")).cast(METADATA_TYPE).alias("metadata"),
+        F.when(text.isNotNull(), F.array(section)).alias("sections"),
+        "error",
+    )
 
 
 def extract_pages(

@@ -520,6 +520,9 @@ def oracle_sql() -> dict[str, str]:
     sql["document_scan"] = f"SELECT g, length(body)::INTEGER AS n, md5(body) AS digest FROM ({texts})"
     sql["document_list"] = f"SELECT g, 'text' AS doc_type, strlen(body) AS length FROM ({texts})"
     sql["document_file_stream"] = f"SELECT g, md5(body) AS digest FROM ({texts})"
+    sql["paged_parser"] = f"""WITH ls AS (SELECT g, unnest(string_split(body, {NL})) AS line, generate_subscripts(string_split(body, {NL}), 1) AS page FROM ({texts}))
+      SELECT g, page, 'lines' AS doc_type, CASE WHEN page % 7 <> 0 THEN md5(line) END AS digest, CASE WHEN page % 7 <> 0 THEN 'Page '||page END AS title,
+        CASE WHEN page % 7 = 0 THEN 'unreadable' END AS error FROM ls WHERE page % 7 = 0 OR {strip('line')} <> ''"""
     sql["append_dataset_twice"] = SOURCE_ROWS
     sql["stream_row_cap"] = "SELECT least(500, count(*)) AS rows, least(500, count(DISTINCT doc_id)) AS ids, 0 AS strange FROM documents"
     sql["append_rows"] = sql["mirror_read"] = "SELECT doc_id::VARCHAR AS doc_id, lang, source, text FROM documents"

@@ -1317,6 +1317,20 @@ def own_parser(spark, sf_dir):
     return parsed.select("doc_id", "doc_type", "content", F.size("sections").alias("n_sections"), "error")
 
 
+@query
+def paged_parser(spark, sf_dir):
+    """Files of a registered page parser, read from disk and handed on page by page."""
+
+    def lines(data: bytes):
+        for at, line in enumerate(data.decode().split("\n")):
+            yield (at + 1, None, "unreadable") if at % 7 == 6 else (at + 1, line, None)
+
+    parsers = Parse.Parsers().register_pages(["txt"], "lines", lines)
+    files = Docs.read_paged_bytes(spark, _text_files(spark, sf_dir), parsers=parsers)
+    pages = Parse.page_documents(Parse.page_rows(files, parsers))
+    return pages.select(_part(col("source_path")).alias("g"), "page", "doc_type", F.md5("content").alias("digest"), col("sections")[0]["title"].alias("title"), "error")
+
+
 # --- whole jobs ---------------------------------------------------------------------------------
 
 
