@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tunekit.llm.arrays import constants
-from tunekit.llm.spark_tools import bounded_batches
+from tunekit.llm.spark_tools import bounded_batches, fresh
 
 BUCKETS = 1 << 15
 SMOOTHING = 0.5
@@ -143,7 +143,7 @@ def score(texts: list[str | None], model: Model) -> tuple[list[str], np.ndarray]
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", lang: str = "lang_pred", confidence: str = "score") -> DataFrame:
-    """The rows with the predicted language and its probability; both names must be new."""
+    """The rows with the predicted language and its probability; input columns of these names (in any case) are replaced."""
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -158,8 +158,9 @@ def identify(docs: DataFrame, model: Model, text: str = "text", lang: str = "lan
         return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(share, pa.float64())], names=["lang", "score"])
 
     column: Column = predict(F.col(f"`{text}`").cast("string"))
-    made = docs.withColumn("__language", column)
-    return made.withColumns({lang: F.col("__language.lang"), confidence: F.col("__language.score")}).drop("__language")
+    both = fresh(docs, "__language")
+    made = docs.withColumn(both, column)
+    return made.withColumns({lang: F.col(both)["lang"], confidence: F.col(both)["score"]}).drop(both)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -15,7 +15,7 @@ Sequences never run over the end of a document.
 A null text is an empty text, which has one empty line. Rows with a null ``doc_id`` keep all lines and
 are no copies' origin. Rows that share a ``doc_id`` count as one document given more than once: equal
 places aren't later copies, and what goes from one goes from the others at the same line numbers.
-Other columns are kept as they are. An empty table gives an empty result.
+Other columns are kept as they are, whatever their names; one named like the result is replaced. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tunekit.llm.spark_tools import partitions, stage
+from tunekit.llm.spark_tools import fresh, partitions, stage, without
 
 MIN_LINES = 3
 
@@ -71,11 +71,12 @@ def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
 
 def without_repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES, runs: str = "removed_runs") -> DataFrame:
     """The rows with later copies of repeated runs deleted from ``text``; a new last column has the deleted runs."""
-    docs = docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")})
-    found = repeated_runs(docs.select("doc_id", "text"), min_lines).select(F.col("doc_id").alias("__doc"), F.col("runs").alias(runs))
-    joined = docs.join(found.hint("shuffle_hash"), docs["doc_id"] == F.col("__doc"), "left").drop("__doc").withColumn("__lines", F.size(_lines()))
+    docs = without(docs, runs).withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")})
+    doc, lines = fresh(docs, "__doc"), fresh(docs, "__lines")
+    found = repeated_runs(docs.select("doc_id", "text"), min_lines).select(F.col("doc_id").alias(doc), F.col("runs").alias(runs))
+    joined = docs.join(found.hint("shuffle_hash"), docs["doc_id"] == F.col(doc), "left").drop(doc).withColumn(lines, F.size(_lines()))
     kept = F.filter(_lines(), lambda _, i: ~F.exists(F.col(runs), lambda r: (i >= r["first"]) & (i < r["end"])))
-    inside = F.filter(F.transform(F.col(runs), lambda r: F.struct(r["first"].alias("first"), F.least(r["end"], F.col("__lines")).alias("end"))), lambda r: r["first"] < r["end"])
+    inside = F.filter(F.transform(F.col(runs), lambda r: F.struct(r["first"].alias("first"), F.least(r["end"], F.col(lines)).alias("end"))), lambda r: r["first"] < r["end"])
     text = F.when(F.col(runs).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     empty = F.array().cast("array<struct<first:int,end:int>>")
     return joined.select(*(text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns), F.coalesce(inside, empty).alias(runs))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
+from pyspark.sql.types import BooleanType, StructField, StructType
 
+from tunekit.functions.arrays import quoted
 from tunekit.sources.shared import work_dir
 
 
@@ -19,6 +22,27 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def without(docs: DataFrame, *names: str) -> DataFrame:
+    """The rows without columns of some names in any case, whatever other names (dots and all) there are."""
+    gone = {n.lower() for n in names}
+    kept = [quoted(c) for c in docs.columns if c.lower() not in gone]
+    return docs if len(kept) == len(docs.columns) else docs.select(*kept)
+
+
+def fresh(docs: DataFrame, name: str) -> str:
+    """A name like the given one that no column has in any case."""
+    used = {c.lower() for c in docs.columns}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
+def map_rows(docs: DataFrame, run: Callable[[Iterator], Iterator], schema: StructType) -> DataFrame:
+    """``mapInArrow`` for rows with any column names: it can't name a column with a dot, so inside they are numbered."""
+    numbered = StructType([StructField(f"c{i}", f.dataType) for i, f in enumerate(schema.fields)])
+    return docs.toDF(*(f"c{i}" for i in range(len(docs.columns)))).mapInArrow(run, numbered).toDF(*schema.names)
+
+
 BATCH_BYTES = 4 << 20
 
 

@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tunekit.llm.spark_tools import bounded_batches
+from tunekit.llm.spark_tools import bounded_batches, map_rows, without
 from tunekit.llm.vocabulary import SPACE, Pieces
 
 PART = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -225,11 +225,9 @@ def _encoder(key: int, model: Model) -> Encoder:
 
 
 def encode(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """The rows' other columns, the text, ``ids``, and ``decoded`` (ids turned back to text)."""
+    """The rows' other columns, the text, ``ids``, and ``decoded`` (ids turned back to text); input columns of these names (in any case) are replaced."""
     bounded_batches(docs.sparkSession)
-    clash = {"ids", "decoded"} & set(docs.columns)
-    if clash:
-        docs = docs.drop(*clash)
+    docs = without(docs, "ids", "decoded")
     docs = docs.withColumn(text, F.col(f"`{text}`").cast("string"))
     shared, key = docs.sparkSession.sparkContext.broadcast(model), id(model)
     at = docs.columns.index(text)
@@ -256,4 +254,4 @@ def encode(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
     schema = StructType([*docs.schema.fields]).add("ids", ArrayType(IntegerType())).add("decoded", StringType())
-    return docs.mapInArrow(run, schema)
+    return map_rows(docs, run, schema)

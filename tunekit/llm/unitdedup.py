@@ -15,8 +15,8 @@ all texts hold comes at most once from each block of texts. Texts are shuffled o
 
 A null text is empty. Rows with a null ``doc_id`` have no rank: all their units stay, and they are no
 copies' first place. Rows that share a ``doc_id`` count as one text given more than once: what goes
-from one goes from the others at the same offsets. Other columns of the input are kept as they are; an
-empty table gives an empty result.
+from one goes from the others at the same offsets. Other columns of the input are kept as they are,
+whatever their names; one named like the result is replaced. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tunekit.llm.places import FOUND_DDL, by_document, dealt, interval_rows, merged, sorted_places, spread, unpacked
-from tunekit.llm.spark_tools import bounded_batches, maybe_member, membership, partitions, stage
+from tunekit.llm.spark_tools import bounded_batches, fresh, map_rows, maybe_member, membership, partitions, stage, without
 
 MIN_WORDS = 5
 HELD = 400_000
@@ -162,13 +162,14 @@ def _without(names: list[str], text_at: int, kind: str):
 
 def without_repeated_units(docs: DataFrame, kind: str = "line", spans: str = "removed_spans") -> DataFrame:
     """The rows with repeated units taken out of ``text``; a new last column has the removed spans of the original."""
-    docs = docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")})
+    docs = without(docs, spans).withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")})
+    doc, starts, ends = (fresh(docs, x) for x in ("__doc", "__starts", "__ends"))
     gone = repeated_units(docs, kind)
     filtered = membership(gone, "doc_id")
-    by_doc = by_document(gone).select(F.col("doc_id").alias("__doc"), F.col("starts").alias("__starts"), F.col("ends").alias("__ends"))
+    by_doc = by_document(gone).select(F.col("doc_id").alias(doc), F.col("starts").alias(starts), F.col("ends").alias(ends))
     touched = maybe_member(docs, "doc_id", filtered)
-    joined = touched.join(by_doc.hint("shuffle_hash"), touched["doc_id"] == F.col("__doc"), "left").drop("__doc")
+    joined = touched.join(by_doc.hint("shuffle_hash"), touched["doc_id"] == F.col(doc), "left").drop(doc)
     none = F.array().cast("array<struct<start:bigint,end:bigint>>")
     whole = maybe_member(docs, "doc_id", filtered, member=False).withColumn(spans, none)
-    cut = joined.mapInArrow(_without([*docs.columns, spans], docs.columns.index("text"), kind), whole.schema)
+    cut = map_rows(joined, _without([*docs.columns, spans], docs.columns.index("text"), kind), whole.schema)
     return cut.unionAll(whole)

@@ -109,7 +109,7 @@ def count_text(text: str | None, counts: _Counts) -> tuple[int, int, int]:
 
 
 def count_tokens(docs: DataFrame, pieces: Pieces, text: str = "text") -> DataFrame:
-    """The rows with a struct column ``tokens`` of n_words, n_tokens and n_unknown."""
+    """The rows with a struct column ``tokens`` of n_words, n_tokens and n_unknown; an input column of that name (in any case) is replaced."""
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(pieces)
     key = hash(pieces)
