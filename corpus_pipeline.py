@@ -8,37 +8,45 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tunekit.functions.arrays import quoted
 from tunekit.llm import langid, unigram
 from tunekit.llm.decontaminate import contaminated
 from tunekit.llm.linedup import without_repeated_lines
 from tunekit.llm.parityjoin import similar_documents
-from tunekit.llm.spark_tools import maybe_member, membership, stage
+from tunekit.llm.spark_tools import fresh, maybe_member, membership, stage
 from tunekit.llm.vocabulary import read_pieces
 
 MIN_SCORE = 0.5
 
 
+def _columns(docs: DataFrame, *without: str) -> list[Column]:
+    """The columns of documents by their exact names, but some."""
+    return [quoted(c) for c in docs.columns if c.lower() not in without]
+
+
 def _without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows whose doc_id isn't in ids; only rows that a fixed-size filter can't clear are shuffled."""
     filtered = membership(ids, "doc_id")
     clear = maybe_member(docs, "doc_id", filtered, member=False)
-    return clear.unionAll(maybe_member(docs, "doc_id", filtered).join(ids, "doc_id", "left_anti").select(*docs.columns))
+    return clear.unionAll(maybe_member(docs, "doc_id", filtered).join(ids, "doc_id", "left_anti").select(*_columns(docs)))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop texts without a letter and those whose language is a guess; learns from the rows that aren't held out."""
     model = langid.train(docs.where(~langid.held_out(F.col("doc_id"))).select("text", "lang"))
-    kept = langid.identify(docs, model, lang="__lang", confidence="__score").where((F.col("__lang") != langid.UNKNOWN) & (F.col("__score") >= MIN_SCORE))
-    return kept.select(*docs.columns)
+    lang, score = fresh(docs, "__lang"), fresh(docs, "__score")
+    kept = langid.identify(docs, model, lang=lang, confidence=score).where((F.col(lang) != langid.UNKNOWN) & (F.col(score) >= MIN_SCORE))
+    return kept.select(*_columns(docs))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Delete later copies of line runs; a text of which nothing is left goes."""
-    cut = without_repeated_lines(docs, runs="__runs").where((F.size("__runs") == 0) | (F.col("text") != ""))
-    return cut.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    runs = fresh(docs, "__runs")
+    cut = without_repeated_lines(docs, runs=runs).where((F.size(runs) == 0) | (F.col("text") != ""))
+    return cut.withColumn("n_chars", F.char_length("text").cast("long")).select(*_columns(docs))
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,9 +62,9 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Adds the ids of every text, their number and whether decoding them gives the text back."""
+    """Adds the ids of every text, their number and whether decoding them gives the text back; input columns of these names are replaced."""
     coded = unigram.encode(docs, unigram.build(read_pieces()))
-    return coded.select(*docs.columns, "ids", F.coalesce(F.size("ids"), F.lit(0)).alias("n_pieces"), F.expr("decoded <=> text").alias("round_trip"))
+    return coded.select(*_columns(docs, "ids", "decoded", "n_pieces", "round_trip"), "ids", F.coalesce(F.size("ids"), F.lit(0)).alias("n_pieces"), F.expr("decoded <=> text").alias("round_trip"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
