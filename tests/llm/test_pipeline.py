@@ -93,3 +93,15 @@ def test_pipeline_stages_take_odd_rows(spark):
             if name != corpus_pipeline.STAGES[-1][0]:
                 assert out.columns == docs.columns
         assert {r.doc_id for r in out.collect()} == ({None, 3} if docs_in is docs else set())
+
+
+def test_stages_keep_columns_of_any_name(spark, tmp_path):
+    names = ["a.b", "__lang", "__score", "__runs", "ids", "Decoded", "n_pieces"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
+    docs = docs.select("*", *(F.concat(F.lit(f"{n} "), "doc_id").alias(n) for n in names))
+    for _, step in corpus_pipeline.STAGES[:-1]:
+        docs = step(spark, docs, SF)
+        assert docs.columns[5:] == names
+    rows = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
+    assert rows and all(r[n] == f"{n} {r.doc_id}" for r in rows for n in names[:4])
+    assert list(rows[0].__fields__).count("ids") == 1 and all(len(r.ids) == r.n_pieces for r in rows)
