@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
 from tunekit.sources.shared import work_dir
-from tunekit.sources.splits import HEAD, TAIL, THROUGH, WHOLE, Known, Step, joined, pieces, ranges, starts, summarise
+from tunekit.sources.splits import HEAD, TAIL, THROUGH, WHOLE, Known, Step, in_one_range_each, joined, pieces, ranges, starts, summarise
 
 BATCH_CHARS = 1 << 21
 
@@ -179,11 +179,20 @@ def read_delimited(
 
     The files are read once for the state at the start of each range and for headers when this is called
     (and once more for rows that a range's end cuts, if there are any), and once when the result is used.
+    Where every file is one range, the first time looks for headers only.
     """
     step = line_step(sep)
     lines = pieces(spark, path, "\n", recursive, names)
-    summary = starts(summarise(lines, step, 0, _first_row(step)))
-    found = summary.where("head IS NOT NULL").select("head", F.xxhash64("head").alias("hash")).distinct().orderBy("head").collect()
+    summary, heads = None, None
+    if in_one_range_each(spark, path, recursive, names):
+        some = lines.select("value", "file", F.monotonically_increasing_id().alias("seq")).where(F.length(F.rtrim("value", F.lit("\r"))) > 0)
+        heads = some.groupBy("file").agg(F.min_by("value", "seq").alias("head"))
+        if any(step(r["head"].encode(), False)[0] for r in heads.select("head").distinct().collect()):
+            heads = None  # a header of several lines
+    if heads is None:
+        summary = starts(summarise(lines, step, 0, _first_row(step)))
+        heads = summary.where("head IS NOT NULL")
+    found = heads.select("head", F.xxhash64("head").alias("hash")).distinct().orderBy("head").collect()
     headers = [r["head"].rstrip("\r") for r in found]
     if one_header and len({tuple(names_of(_text(h.encode()), sep)) for h in headers}) > 1:
         raise ValueError(f"files with different headers under {path}")
@@ -221,7 +230,7 @@ def read_delimited(
 
     narrow = lines.select("value", "block", "split", F.xxhash64("file").alias("file_hash"))
     out = narrow.mapInArrow(rows, schema)
-    if summary.where("inside").isEmpty():
+    if summary is None or summary.where("inside").isEmpty():
         return out, layout
 
     def fragments(batches):

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tunekit.sources.shared import work_dir
-from tunekit.sources.splits import HEAD, TAIL, THROUGH, WHOLE, Known, joined, pieces, ranges, starts, summarise
+from tunekit.sources.splits import HEAD, TAIL, THROUGH, WHOLE, Known, in_one_range_each, joined, pieces, ranges, starts, summarise
 
 SEPARATOR = "}"
 INVALID, NO_ARRAY = "Invalid JSON", "File holds no JSON array"
@@ -112,7 +112,8 @@ def item_runs(spark: SparkSession, path: str | Sequence[str], recursive: bool =
     order of their names, each of them ending with a ``}`` but the last one.
     """
     parts = pieces(spark, path, SEPARATOR, recursive, names, unit="path" if joined_files else "file")
-    summary = starts(summarise(parts, piece_step, -1))
+    small = not joined_files and in_one_range_each(spark, path, recursive, names)
+    summary = None if small else starts(summarise(parts, piece_step, -1))
     known = spark.sparkContext.broadcast(Known(summary, {}))
 
     def cut(batches) -> Iterator[tuple[dict, bool, bool, int, bytes]]:
@@ -132,7 +133,7 @@ def item_runs(spark: SparkSession, path: str | Sequence[str], recursive: bool =
             yield rows
 
     out = parts.mapInArrow(whole, "file string, items string, error string")
-    if summary.where("NOT first AND (inside OR depth <> 1)").isEmpty():
+    if summary is None or summary.where("NOT first AND (inside OR depth <> 1)").isEmpty():
         return out
 
     def fragments(batches):

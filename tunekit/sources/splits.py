@@ -58,6 +58,15 @@ def pieces(spark: SparkSession, path: str | Sequence[str], separator: str, recur
     return rows.select("value", unit_file.alias("file"), block.alias("block"), F.xxhash64("file", "place").alias("split"))
 
 
+def in_one_range_each(spark: SparkSession, path: str | Sequence[str], recursive: bool = False, names: str | None = None) -> bool:
+    """Whether every file is so small that Spark never cuts it: no longer than the cost of opening one. Only the listing is read."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
+    if names is not None:
+        reader = reader.option("pathGlobFilter", names)
+    longest = reader.load(path if isinstance(path, str) else list(path)).agg(F.max("length")).first()[0] or 0
+    return longest <= spark._jsparkSession.sessionState().conf().filesOpenCostInBytes()
+
+
 def ranges(batches: Iterable[pa.RecordBatch], *columns: str) -> Iterator[tuple[dict, Iterator[bytes]]]:
     """The ranges of a task: values of some columns, and its pieces (to be used up before the next range)."""
 
@@ -157,7 +166,10 @@ class Start:
 class Known:
     """What a task looks up about a range: sorted numbers of ranges and their starts."""
 
-    def __init__(self, rows: DataFrame, heads: dict[int, int]):
+    def __init__(self, rows: DataFrame | None, heads: dict[int, int]):
+        if rows is None:  # every file is one range
+            self.split = np.zeros(0, np.int64)
+            return
         table = rows.select("split", "inside", "depth", "first", "more", F.xxhash64("head").alias("head")).where("more OR NOT first").toArrow()
         split = table.column("split").to_numpy()
         order = np.argsort(split)
