@@ -404,7 +404,13 @@ def test_streams_by_name(spark, tmp_path):
     spark.range(5).write.parquet(str(tmp_path / "in"))
     rows = stream.stream_table(spark, str(tmp_path / "in"), "id long")
     stream.append_dataset(rows, str(tmp_path / "out"), "jsonl", str(tmp_path / "c"), stream_id="ids-1").awaitTermination()
-    assert [tuple(r) for r in stream.appended_batches(spark, str(tmp_path / "out")).collect()] == [("ids-1", 0, 5)]
+    done = stream.appended_batches(spark, str(tmp_path / "out")).collect()
+    assert [(r.stream, r.batch, r.rows, r.failed) for r in done] == [("ids-1", 0, 5, 0)] and done[0].rate > 0
+    (tmp_path / "lines").mkdir()
+    (tmp_path / "lines" / "a.jsonl").write_text('{"a":1}\nbad\n')
+    lines = stream.stream_jsonl(spark, str(tmp_path / "lines")).select(F.to_json("value").alias("v"), "error")
+    stream.append_dataset(lines, str(tmp_path / "out"), "jsonl", str(tmp_path / "c2"), stream_id="lines").awaitTermination()
+    assert [(r.rows, r.failed) for r in stream.appended_batches(spark, str(tmp_path / "out")).where("stream = 'lines'").collect()] == [(2, 1)]
     with pytest.raises(ValueError):
         stream.append_dataset(rows, "x", "jsonl", "y", stream_id="a/b")
     with pytest.raises(ValueError):

@@ -7,7 +7,9 @@ checkpoint records which files are done.
 from __future__ import annotations
 
 import re
+import time
 from collections.abc import Callable
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -102,10 +104,12 @@ def append_dataset(
             if left <= 0:
                 return
             batch = head_rows(batch, left)
-        seen = Observation()
-        counted = batch.observe(seen, F.count(F.lit(1)).alias("rows"))
+        seen, began = Observation(), time.monotonic()
+        failed = F.count("error") if "error" in batch.columns else F.count(F.lit(None))
+        counted = batch.observe(seen, F.count(F.lit(1)).alias("rows"), failed.alias("failed"))
         write_dataset(counted, _folder(target, stream, batch_id), fmt, mode="overwrite", allow_empty=True)
-        row = spark.createDataFrame([(stream, batch_id, seen.get["rows"])], LEDGER).coalesce(1)
+        found = (seen.get["rows"], seen.get["failed"] or 0, time.monotonic() - began, datetime.now(timezone.utc))
+        row = spark.createDataFrame([(stream, batch_id, *found)], LEDGER).coalesce(1)
         row.write.mode("overwrite").parquet(f"{target}/_ledger/stream={stream}/batch={batch_id}")
 
     return (
@@ -116,7 +120,7 @@ def append_dataset(
     )
 
 
-LEDGER = "stream string, batch long, rows long"
+LEDGER = "stream string, batch long, rows long, failed long, seconds double, at timestamp"
 
 
 def _folder(target: str, stream: str, batch: int) -> str:
@@ -135,8 +139,12 @@ def _ledger_of(spark: SparkSession, target: str, stream: str | None = None, batc
 
 
 def appended_batches(spark: SparkSession, target: str) -> DataFrame:
-    """``stream, batch, rows`` of the batches that :func:`append_dataset` has finished."""
-    return _ledger_of(spark, target)
+    """What :func:`append_dataset` has finished so far, a row a batch, readable while streams run.
+
+    ``stream, batch, rows, failed`` (rows with an ``error``, where there is such a column), ``seconds, at``, and
+    ``rate``, rows a second.
+    """
+    return _ledger_of(spark, target).withColumn("rate", F.try_divide(F.col("rows").cast("double"), F.col("seconds")))
 
 
 def read_appended(spark: SparkSession, target: str, fmt: str, schema: StructType | str | None = None, strict: bool = True) -> DataFrame:
