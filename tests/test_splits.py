@@ -93,6 +93,15 @@ def test_many_files_headers_and_surplus_in_ranges(spark, tmp_path, small_ranges)
     assert D.read_csv(spark, str(tmp_path / "5.csv")).columns == []
 
 
+def test_partitions_smaller_than_the_cost_of_a_file(spark, tmp_path, small_ranges):
+    (tmp_path / "a.csv").write_text("a,b\n" + "".join(f'{i},"x\ny"\n' for i in range(500)))
+    (tmp_path / "a.json").write_text(json.dumps([{"a": i} for i in range(500)]))
+    small_ranges(1000)
+    spark.conf.set("spark.sql.files.openCostInBytes", str(4 << 20))
+    assert D.read_csv(spark, str(tmp_path / "a.csv")).where("b = 'x\ny'").count() == 500
+    assert D.read_json(spark, str(tmp_path / "a.json"), "a long").distinct().count() == 500
+
+
 def test_odd_csv(spark, tmp_path):
     f = tmp_path / "x.csv"
     f.write_bytes(b'\n\r\nid,A,a,\r\n1,"p\x00q"r,5" disk,\xff\r\n2,  "x""\n ",,\r\n\r\n3,"open,\n4')

@@ -59,12 +59,13 @@ def pieces(spark: SparkSession, path: str | Sequence[str], separator: str, recur
 
 
 def in_one_range_each(spark: SparkSession, path: str | Sequence[str], recursive: bool = False, names: str | None = None) -> bool:
-    """Whether every file is so small that Spark never cuts it: no longer than the cost of opening one. Only the listing is read."""
+    """Whether every file is so small that Spark never cuts it: no longer than the cost of opening one, or than a partition. Only the listing is read."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
     if names is not None:
         reader = reader.option("pathGlobFilter", names)
     longest = reader.load(path if isinstance(path, str) else list(path)).agg(F.max("length")).first()[0] or 0
-    return longest <= spark._jsparkSession.sessionState().conf().filesOpenCostInBytes()
+    conf = spark._jsparkSession.sessionState().conf()
+    return longest <= min(conf.filesOpenCostInBytes(), conf.filesMaxPartitionBytes())
 
 
 def ranges(batches: Iterable[pa.RecordBatch], *columns: str) -> Iterator[tuple[dict, Iterator[bytes]]]:
