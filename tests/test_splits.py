@@ -169,7 +169,9 @@ def test_json_array_shapes(spark, tmp_path, small_ranges, size):
         own = items.get(f"{i:02d}", [])
         assert all(r.error is None for r in own)
         assert sorted(json.dumps(x) for r in own for x in json.loads(f"[{r['items']}]")) == sorted(json.dumps(x) for x in (json.loads(text) if text.strip() else []))
-    for i, text in enumerate(BAD, len(GOOD)):
+    for i in range(len(GOOD), len(GOOD) + len(BAD)):
+        if size < 1000:  # one read of each is enough
+            break
         with pytest.raises(Exception, match=r"in file:|no JSON"):
             D.read_json(spark, str(tmp_path / f"{i:02d}.json"), "a string").collect()
     lax = D.read_json(spark, str(tmp_path), "a string", strict=False)
