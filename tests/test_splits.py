@@ -156,7 +156,7 @@ BAD = [
 ]
 
 
-@pytest.mark.parametrize("size", [1 << 30, 6])
+@pytest.mark.parametrize("size", [1 << 30, 12])
 def test_json_array_shapes(spark, tmp_path, small_ranges, size):
     for i, text in enumerate(GOOD + BAD):
         (tmp_path / f"{i:02d}.json").write_text(text)
@@ -170,8 +170,8 @@ def test_json_array_shapes(spark, tmp_path, small_ranges, size):
         assert all(r.error is None for r in own)
         assert sorted(json.dumps(x) for r in own for x in json.loads(f"[{r['items']}]")) == sorted(json.dumps(x) for x in (json.loads(text) if text.strip() else []))
     for i in range(len(GOOD), len(GOOD) + len(BAD)):
-        if size < 1000:  # one read of each is enough
-            break
+        if size < 1000:  # one strict and one lax read of each are enough
+            return
         with pytest.raises(Exception, match=r"in file:|no JSON"):
             D.read_json(spark, str(tmp_path / f"{i:02d}.json"), "a string").collect()
     lax = D.read_json(spark, str(tmp_path), "a string", strict=False)
