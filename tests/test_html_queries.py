@@ -14,7 +14,7 @@ PAGES = [
     (1, "u1", "<html><head><title>a &amp; b&amp</title></head><body><h1>c&amp</h1><p>&copy; d &quot;e&quot;</p></body></html>"),
     (2, "u2", "<html><head><title>&ampx; &&amp;&</title></head><body><p>f&quot</p>&middot;<p>&amp;copy;</p></body></html>"),
 ]
-QUERIES = ["html_metadata", "html_sections", "html_text_regex", "html_text_tree"]
+QUERIES = ["html_metadata", "html_sections", "html_text_regex", "html_text_tree", "parse_documents"]
 
 
 @pytest.mark.parametrize("name", QUERIES)

@@ -129,10 +129,10 @@ def code_language(path: Column) -> Column:
     return F.coalesce(_lookup(CODE_LANGUAGES, extension(path)), F.lit("unknown"))
 
 
-def _html_metadata(content: Column) -> Column:
+def _html_metadata(content: Column, terminated: bool) -> Column:
     pairs = F.array(
-        F.struct(F.lit("title").alias("key"), H.html_title(content).alias("value")),
-        F.struct(F.lit("description").alias("key"), H.html_description(content).alias("value")),
+        F.struct(F.lit("title").alias("key"), H.html_title(content, terminated).alias("value")),
+        F.struct(F.lit("description").alias("key"), H.html_description(content, terminated).alias("value")),
     )
     return F.map_from_entries(F.filter(pairs, lambda p: p["value"].isNotNull()))
 
@@ -143,12 +143,13 @@ def parse_documents(
     path_col: str = "source_path",
     text_col: str = "raw_text",
     html_method: str = "regex",
+    html_terminated: bool = False,
 ) -> DataFrame:
     """Add ``doc_type, content, metadata, sections, error`` and drop the raw text.
 
     All types share one scan: each branch sees its own rows' text and NULL for the others, so
     neither the regexes nor the entity decoder run on foreign documents. Rows that cannot be parsed
-    keep NULL content and an ``error``.
+    keep NULL content and an ``error``. ``html_terminated`` decodes only entities that end in a semicolon.
     """
     parsers = parsers or Parsers()
     path, raw = F.col(path_col), F.col(text_col)
@@ -163,7 +164,7 @@ def parse_documents(
     typed = bind(typed, "_leaves", J.string_leaves(only("json")))
     content = (
         F.when(builtin & F.col("doc_type").isin("markdown", "text", "code"), raw)
-        .when(builtin & (F.col("doc_type") == "html"), H.html_text(only("html"), html_method))
+        .when(builtin & (F.col("doc_type") == "html"), H.html_text(only("html"), html_method, html_terminated))
         .when(
             builtin & (F.col("doc_type") == "json"),
             F.array_join("_leaves", "\n"),
@@ -176,7 +177,7 @@ def parse_documents(
     no_metadata = F.create_map().cast(METADATA_TYPE)
     metadata = (
         F.when(builtin & (F.col("doc_type") == "markdown"), S.markdown_metadata(only("markdown")))
-        .when(builtin & (F.col("doc_type") == "html"), _html_metadata(only("html")))
+        .when(builtin & (F.col("doc_type") == "html"), _html_metadata(only("html"), html_terminated))
         .when(builtin & (F.col("doc_type") == "json"), S.json_metadata(only("json")))
         .when(
             builtin & (F.col("doc_type") == "code"),
