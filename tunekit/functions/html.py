@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tunekit.functions.text import strip
+from tunekit.sources.shared import bounded_batches
 
 # A private-use code point stands for "a tag was here" between the tag pass and the text pass.
 _MARK = "\ue000"
@@ -61,6 +62,7 @@ def unescape(c: Column, terminated: bool = False) -> Column:
     HTML5 also decodes some names without a semicolon (``&amp``, ``&notit;``); with ``terminated`` only
     references that end in one are decoded, and others stay as they are.
     """
+    bounded_batches()
     return F.coalesce(_entity_decoder(terminated)(F.when(F.contains(c, F.lit("&")), c)), c)
 
 

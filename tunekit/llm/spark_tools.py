@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
 from tunekit.functions.arrays import quoted
-from tunekit.sources.shared import work_dir
+from tunekit.sources.shared import bounded_batches, work_dir
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -43,21 +43,6 @@ def map_rows(docs: DataFrame, run: Callable[[Iterator], Iterator], schema: Struc
     return docs.toDF(*(f"c{i}" for i in range(len(docs.columns)))).mapInArrow(run, numbered).toDF(*schema.names)
 
 
-BATCH_BYTES = 4 << 20
-
-
-def bounded_batches(spark: SparkSession) -> None:
-    """Let Arrow batches hold a few megabytes at most (of rows; a longer row is alone).
-
-    Rows are whole texts, so a bound on rows alone would make a worker's memory follow their length. The
-    setting is the session's, as plans are carried out after they are built; a lower one stays.
-    """
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    java = spark._jsparkSession.sessionState().conf()
-    if java.arrowMaxBytesPerBatch() > BATCH_BYTES:
-        spark.conf.set(key, str(BATCH_BYTES))
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

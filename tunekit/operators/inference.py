@@ -14,7 +14,7 @@ from pyspark.sql.utils import AnalysisException
 
 from tunekit.functions.text import strip
 from tunekit.operators.prompts import value_text
-from tunekit.sources.shared import work_dir
+from tunekit.sources.shared import bounded_batches, work_dir
 
 DEFAULT_NAMES = ("column", "batch")
 REPLY_TYPE = "raw_content string, error string"
@@ -147,6 +147,7 @@ class BatchModel:
             "batches": Iterator[tuple[pd.Series, pd.Series]],
             "return": Iterator[pd.DataFrame],
         }
+        bounded_batches()
         # A reply may differ per call, so Catalyst must neither repeat nor move the call.
         return F.pandas_udf(run, REPLY_TYPE).asNondeterministic()(system, user)
 

@@ -15,6 +15,7 @@ from tunekit.functions import json_text as J
 from tunekit.functions.arrays import bind
 from tunekit.functions.text import extension, file_name, has_text, strip
 from tunekit.operators import sections as S
+from tunekit.sources.shared import bounded_batches
 
 METADATA_TYPE = "map<string,string>"
 
@@ -269,6 +270,7 @@ def page_rows(
         if held:
             yield pa.RecordBatch.from_pylist([dict(zip(kind.names, r)) for r in held], schema=kind)
 
+    bounded_batches(files.sparkSession)
     rows = files.select(F.col(path_col).alias("source_path"), extension(F.col(path_col)).alias("ext"), F.col(bytes_col).alias("bytes"))
     return rows.mapInArrow(run, "source_path string, doc_type string, page int, text string, error string")
 
@@ -325,6 +327,7 @@ def extract_pages(
                     {"source_path": [path], "pages": [pages], "error": [error]}, dtype=object
                 )
 
+    bounded_batches(files.sparkSession)
     return files.select(path_col, bytes_col).mapInPandas(
         run, f"source_path string, pages {PAGES_TYPE}, error string"
     )

@@ -1,4 +1,4 @@
-"""Shared folder for tables that cut lineage or carry staged results."""
+"""Shared folder for tables that cut lineage or carry staged results, and the bound on Arrow batches."""
 
 from __future__ import annotations
 
@@ -24,3 +24,20 @@ def work_dir(spark: SparkSession, purpose: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
         root = tempfile.mkdtemp(prefix="tunekit-")
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession | None = None) -> None:
+    """Let Arrow batches hold a few megabytes at most (of rows; a longer row is alone).
+
+    Rows are whole texts, so a bound on rows alone would make a worker's memory follow their length. The
+    setting is the session's (the active one's, if none is given), as plans are carried out after they are
+    built; a lower one stays.
+    """
+    spark = spark or SparkSession.active()
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    java = spark._jsparkSession.sessionState().conf()
+    if java.arrowMaxBytesPerBatch() > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))

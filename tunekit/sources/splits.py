@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tunekit.sources.shared import work_dir
+from tunekit.sources.shared import bounded_batches, work_dir
 
 WHOLE, HEAD, TAIL, THROUGH = 0, 1, 2, 3  # a record, the end of one, the beginning of one, neither end of one
 
@@ -45,6 +45,7 @@ def pieces(spark: SparkSession, path: str | Sequence[str], separator: str, recur
     With ``unit="path"`` all files count as one, in order of their names: ``file`` is then the path, and
     ``block`` a struct of name and place.
     """
+    bounded_batches(spark)
     key = "spark.sql.files.minPartitionNum"
     if spark.conf.get(key, None) is None:
         spark.conf.set(key, str(spark.sparkContext.defaultParallelism))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +14,7 @@ from tunekit.functions.arrays import quoted
 from tunekit.functions.text import remove_nul
 from tunekit.sources.datasets import FORMATS, FormatError, _suffix, read_dataset
 from tunekit.sources.one_array import write_json_array
+from tunekit.sources.shared import bounded_batches
 
 MODES = ("errorifexists", "overwrite", "append")
 
@@ -45,21 +47,21 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists", nulls: bo
 def write_json(df: DataFrame, path: str, mode: str = "errorifexists", nulls: bool = True) -> None:
     """Every part file is one JSON array, so parts are written in parallel; ``nulls`` as in :func:`write_jsonl`."""
 
-    def bracket(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def bracket(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lead = "["
         for batch in batches:
-            rows = batch["value"].tolist()
-            if rows:
-                lines = [lead + rows[0], *("," + r for r in rows[1:])]
+            if batch.num_rows:
+                leads = pa.array([lead] + [","] * (batch.num_rows - 1), pa.string())
                 lead = ","
-                yield pd.DataFrame({"value": lines})
+                yield pa.RecordBatch.from_arrays([pc.binary_join_element_wise(leads, batch.column(0).cast(pa.string()), "")], names=["value"])
         if lead == ",":
-            yield pd.DataFrame({"value": ["]"]})
+            yield pa.RecordBatch.from_arrays([pa.array(["]"], pa.string())], names=["value"])
 
     options = {"ignoreNullFields": str(not nulls).lower()}
     row = F.struct(*[quoted(c) for c in df.columns])
     text = df.select(F.to_json(row, options).alias("value"))
-    text.mapInPandas(bracket, "value string").write.mode(mode).text(path)
+    bounded_batches(df.sparkSession)
+    text.mapInArrow(bracket, "value string").write.mode(mode).text(path)
 
 
 def write_csv(df: DataFrame, path: str, sep: str = ",", mode: str = "errorifexists") -> None:
