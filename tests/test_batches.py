@@ -49,3 +49,21 @@ def test_json_arrays_of_several_batches(unbounded, tmp_path):
     text = "\n".join(r[0] for r in unbounded.read.text(f"{tmp_path}/a.json").collect())
     assert [x["id"] for x in json.loads(text)] == list(range(7))
     assert bounded(unbounded)
+
+
+def test_tokenizer_gets_portions(unbounded):
+    limit = Q.CALL_CHARS
+
+    def load():
+        def call(texts):
+            if len(texts) > 1 and (len(texts) > 3 or sum(map(len, texts)) > limit):
+                raise RuntimeError("too much at once")
+            return [[(i, i + 1) for i in range(len(t))] for t in texts]
+
+        return call
+
+    texts = ["ab"] * 4 + ["x" * (limit - 1), "yz", "w" * (limit + 5), ""] + ["cd"]
+    df = unbounded.createDataFrame(list(enumerate(texts)), "i int, t string").coalesce(1)
+    found = df.select("i", Q.text_windows(F.col("t"), Q.BatchTokenizer(load, batch_size=3), limit, 0).alias("w")).orderBy("i").collect()
+    assert [r["w"] for r in found] == [[t] if len(t) <= limit else [t[:limit], t[limit:]] for t in texts]
+    assert bounded(unbounded)

@@ -18,6 +18,7 @@ from tunekit.functions.text import UNICODE, WS, has_text, strip, text_preview, t
 from tunekit.operators.entries import fields_of
 from tunekit.operators.limits import first_rows
 from tunekit.operators.prompts import MAINLAND_TO_TAIWAN
+from tunekit.sources.shared import bounded_batches
 
 # Window of the classifier in tokens (384 less two special ones), shared tokens
 # between windows, pass threshold, and the funnel's rates.
@@ -30,13 +31,17 @@ MIN_BUFFER, MAX_BUFFER = 1.2, 3.0
 CHECKED_LOCALE = "zh-tw"
 REJECTED_LABEL, ACCEPTED_LABEL = "Mainland Traditional", "Taiwan Traditional"
 
+# Characters of the texts a tokenizer gets at once (a longer text is alone), as it returns an object for every token.
+CALL_CHARS = 1 << 17
+
 FIELD_TEXTS = "array<struct<field:string,text:string>>"
 
 
 @dataclass(frozen=True)
 class BatchTokenizer:
     """A Python tokenizer. ``load`` runs once per task and returns ``call(texts)``: for each text the
-    ``(start, end)`` places of its tokens in characters, in order; ``batch_size`` texts at a time.
+    ``(start, end)`` places of its tokens in characters, in order; ``batch_size`` texts at a time, fewer
+    where they have more than ``CALL_CHARS`` characters together.
 
     Only windows come back from Python, as places in the text, so their words and spaces are the text's own.
     """
@@ -62,21 +67,33 @@ class BatchTokenizer:
             firsts = range(0, step * -(-(n - width) // step) + 1, step)
             return [{"start": places[i][0], "end": places[min(i + width, n) - 1][1]} for i in firsts]
 
+        def portions(texts: list[str]) -> Iterator[list[str]]:
+            held, chars = [], 0
+            for text in texts:
+                if held and (len(held) == size or chars + len(text) > CALL_CHARS):
+                    yield held
+                    held, chars = [], 0
+                held.append(text)
+                chars += len(text)
+            if held:
+                yield held
+
         def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             call = load()
             for rows in batches:
                 rows = rows.to_pylist()
-                flat = [t or "" for row in rows if row is not None for t in row]
                 found: list = []
-                for i in range(0, len(flat), size):
-                    places = call(flat[i : i + size])
-                    if len(places) != len(flat[i : i + size]):
+                for texts in portions([t or "" for row in rows if row is not None for t in row]):
+                    places = call(texts)
+                    if len(places) != len(texts):
                         raise ValueError("as many token lists as texts are needed")
                     found += [windows(p) for p in places]
+                    del places  # many times as large as the texts
                 left = iter(found)
                 yield pa.array([None if row is None else [next(left) for _ in row] for row in rows], kind)
 
         run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+        bounded_batches()
         return F.arrow_udf(run, "array<array<struct<start:int,end:int>>>")(texts)
 
 
