@@ -67,3 +67,10 @@ def test_tokenizer_gets_portions(unbounded):
     found = df.select("i", Q.text_windows(F.col("t"), Q.BatchTokenizer(load, batch_size=3), limit, 0).alias("w")).orderBy("i").collect()
     assert [r["w"] for r in found] == [[t] if len(t) <= limit else [t[:limit], t[limit:]] for t in texts]
     assert bounded(unbounded)
+
+
+def test_scorer_gets_bounded_batches(unbounded):
+    df = unbounded.createDataFrame([("a", "b", "c"), ("a", None, "bad")], "instruction string, input string, output string")
+    quality = Q.Quality(Q.BatchScorer(lambda: lambda texts: [0.0 if "bad" in t else 1.0 for t in texts]))
+    assert [r["qc_passed"] for r in Q.with_quality(df, "sft", quality).collect()] == [True, False]
+    assert bounded(unbounded)

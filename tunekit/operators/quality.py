@@ -228,6 +228,7 @@ class BatchScorer:
                     ]
                 )
 
+        bounded_batches()
         # Keeps Catalyst from pushing a later filter below the call, which would score twice.
         return F.pandas_udf(run, "array<double>").asNondeterministic()(windows)
 
