@@ -51,6 +51,16 @@ def test_json_arrays_of_several_batches(unbounded, tmp_path):
     assert bounded(unbounded)
 
 
+def test_entities_and_one_array(unbounded, tmp_path):
+    H.unescape(F.col("x"))
+    assert bounded(unbounded)
+    unbounded.conf.set(KEY, str(64 << 20))
+    W.write_dataset(rows(unbounded), f"{tmp_path}/a.json", one_array=True)
+    assert bounded(unbounded)
+    parts = unbounded.read.text(f"{tmp_path}/a.json", wholetext=True).select("value", "_metadata.file_path").orderBy("file_path")
+    assert [x["a"] for x in json.loads("".join(r[0] for r in parts.collect()))] == ["0", "1", "2"]
+
+
 def test_tokenizer_gets_portions(unbounded):
     limit = Q.CALL_CHARS
 

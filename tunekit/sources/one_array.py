@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 from tunekit.functions.arrays import quoted
+from tunekit.sources.shared import bounded_batches
 
 NAME = "tunekit_json_array"
 _COPIED = 8 << 20
@@ -61,8 +62,9 @@ class ArrayWriter(DataSourceArrowWriter):
         rows = 0
         with store.open_output_stream(file) as out:
             for batch in iterator:
-                for text in batch.column(0).cast(pa.binary()).to_pylist():
-                    out.write((b",\n" if rows else b"[" if task.partitionId() == 0 else b",") + text)
+                for text in batch.column(0).cast(pa.binary()):
+                    out.write(b",\n" if rows else b"[" if task.partitionId() == 0 else b",")
+                    out.write(text.as_buffer())
                     rows += 1
         return Part(task.partitionId(), file, rows)
 
@@ -122,6 +124,7 @@ def write_json_array(df: DataFrame, path: str, mode: str = "errorifexists", null
     if mode == "errorifexists" and store.get_file_info(target).type != fs.FileType.NotFound:
         raise FileExistsError(f"{path} already exists")
     df.sparkSession.dataSource.register(ArraySource)
+    bounded_batches(df.sparkSession)
     row = F.struct(*[quoted(c) for c in df.columns])
     text = df.select(F.to_json(row, {"ignoreNullFields": str(not nulls).lower()}).alias("value"))
     text.write.format(NAME).mode("append").option("path", path).option("replace", str(mode == "overwrite").lower()).save()
