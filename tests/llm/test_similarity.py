@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tunekit.llm import bytededup, decontaminate, linedup, parityjoin, unitdedup
+from tunekit.llm import bytededup, decontaminate, linedup, parityjoin, spark_tools, unitdedup
 from tunekit.llm.spark_tools import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -70,6 +70,50 @@ def test_parity_join(frame, corpus, small):
     assert len(got) == len(corpus)
 
 
+def test_parity_join_in_steps(frame, corpus, monkeypatch):
+    for name, value in (("PAIRS", 0), ("STEP", 5000), ("BLOCK", 4), ("ROW", 2)):
+        monkeypatch.setattr(parityjoin, name, value)
+    rng = random.Random(9)
+    base = words(rng, 200)
+    rows = corpus[::2] + [(1000 + i, " ".join(c)) for i, c in enumerate(near_copies(rng, base, 40, 4))]
+    got = parityjoin.similar_documents(frame(rows), 4).collect()
+    assert {tuple(r) for r in got} == brute_join(rows)
+
+
+def test_parity_join_keeps_as_much_with_more_shards(frame, spark, monkeypatch):
+    """Twelve near copies of each text: what is kept of the pairs that keys show doesn't grow with the number of shards."""
+    rng = random.Random(4)
+    rows = list(enumerate(" ".join(c) for _ in range(6) for c in near_copies(rng, words(rng, 300), 12, 3)))
+    kept, before = [], spark.conf.get("spark.sql.shuffle.partitions")
+    for shards in ("4", "64"):
+        made = {}
+
+        def stage(df, name, made=made):
+            out = spark_tools.stage(df, name)
+            made.setdefault(name, out.count())
+            return out
+
+        monkeypatch.setattr(parityjoin, "stage", stage)
+        spark.conf.set("spark.sql.shuffle.partitions", shards)
+        try:
+            got = parityjoin.similar_documents(frame(rows)).collect()
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", before)
+        assert {tuple(r) for r in got} == brute_join(rows)
+        kept.append(made["parity-found"])
+    assert kept[1] < 1.5 * kept[0]
+
+
+def test_stage_frees_what_it_shuffles(spark):
+    tracker = spark.sparkContext._jsc.sc().env().mapOutputTracker()
+    shuffles = lambda: set(tracker.shuffleStatuses().keySet().toString().strip("Set()[]").split(", ")) - {""}
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, was = shuffles(), spark.conf.get(key, None)
+    table = spark_tools.stage(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "test-freed")
+    assert shuffles() <= before and spark.conf.get(key, None) == was
+    assert sorted(r["count"] for r in table.collect()) == [142] + [143] * 6
+
+
 def test_parity_join_edges(frame):
     assert parityjoin.similar_documents(frame([])).collect() == []
     rows = [(None, "a b c d e f", "x"), (1, "a b c d e f", None), (1, "a b c d e f", "y"), (2, None, "z"), (0, "A B c d e f", "z")]

@@ -11,21 +11,24 @@ by a shuffle on (band, block, value).
 Steps:
 
 1. One pass over the texts gives every document its class (equal shingle sets) and its block keys.
-   Keys travel packed, thousands to a row, to the task of their shard, where they are sorted. Copies
+   Keys travel packed, many to a row, to the task of their shard, where they are sorted. Copies
    collapse to their class in that pass.
-2. A key of up to ``SMALL`` classes gives all its pairs. A key of more gives a star around its least
-   class, and its members stay as "hot" rows. A similar pair shares at least as many keys as a class has
-   filled blocks beyond the largest difference; a class with fewer repeated keys than that has no
-   partner and leaves, with its pairs.
+2. The classes of a key are a bucket. Buckets of up to ``SMALL`` classes go on, equal ones once with their
+   number, to the shard of their least class and give all their pairs there, with how many keys show a
+   pair: so what is kept doesn't grow with the number of shards that a pair's keys are dealt over. A key of
+   more classes is "hot" and goes with each of them to that class's shard; it gives a star around its
+   least class. A similar pair shares at least as many keys as a class has filled blocks beyond the
+   largest difference; a pair with fewer leaves, all hot keys of a class taken as shared.
 3. Pairs are verified exactly and joined to components. A bit sketch of each set is compared first: its
    Hamming distance can't exceed the symmetric difference, so a larger distance refutes a pair without
-   its shingles.
+   its shingles. Of very many pairs, one of each class is verified at a time, and then those that are
+   still between two components. Sets are shuffled a part at a time.
 4. Hot keys whose classes are all in one component are settled. In the others a class can be left out
    when it has fewer hot keys than blocks that any partner must share with it: such a partner shares a
    key that isn't hot, and was met in step 2. Classes that are left form families (those that share such
    a key, and onwards). The bit sketches of a family are laid in blocks of about ``BLOCK`` classes, and
    blocks of different components are compared with each other in numpy; only pairs that the sketches
-   don't refute become rows and are verified.
+   don't refute become rows and are verified. Blocks are shuffled, not pairs of blocks.
 
 Nulls and ties: a null text or one without words has no shingles and is linked with nothing. A row
 with a null ``doc_id`` links nothing and has a null component. Rows with the same ``doc_id`` stand
@@ -35,9 +38,11 @@ result.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BooleanType
 
 from tunekit.llm.arrays import PIECE, constants, groups, mix, text_bytes, word_hashes
@@ -46,6 +51,9 @@ from tunekit.llm.spark_tools import bounded_batches, components, maybe_member, m
 WORDS = 5
 SMALL = 12
 BLOCK = 256
+ROW = 8
+STEP = 1 << 24  # shingles of pairs that are verified in one step, at least
+PAIRS = 1 << 20  # so many pairs at most are verified without a look at what others join
 SINGLE_LEVEL = 6  # bands of sets under 2**6 shingles: each shingle is a block of its own
 LEVEL_BITS = np.uint64(6)
 _MULTIPLIERS = constants(WORDS, 11)
@@ -121,29 +129,76 @@ def _sets(batch: pa.RecordBatch):
             yield i, shingles(words[at[i - lo] : at[i - lo + 1]])
 
 
+# Rows on their way to a shard; packed: columns of numbers, one after another.
+# kind: 0 a document, 1 keys of classes and then buckets, 2 hot keys of a class, 3 how many keys a partner must share with a class in a band
+_DEALT = pa.schema(
+    [("kind", pa.int32()), ("doc_id", pa.int64()), ("cls", pa.int64()), ("n", pa.int64()), ("spare", pa.list_(pa.int32())), ("shard", pa.int32()), ("packed", pa.binary())]
+)
+_DEALT_DDL = "kind int, doc_id long, cls long, n long, spare array<int>, shard int, packed binary"
+_KEY, _HOT, _SPARE = ("<u4", "<u2", "<i8"), ("<i8", "<i8", "<i8"), ("<i8", "<i4", "<i4")
+KEY_BITS = np.uint64(48)
+
+
+def _made(schema: pa.Schema, kind: int, columns: dict) -> pa.RecordBatch:
+    n = len(next(iter(columns.values())))
+    columns["kind"] = pa.array(np.full(n, kind, np.int32))
+    return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
+
+
+def _rows(kind: int, shard: list, packed: list):
+    for x in range(0, len(shard), 256):
+        yield _made(_DEALT, kind, {"shard": pa.array(shard[x : x + 256], pa.int32()), "packed": pa.array(packed[x : x + 256], pa.binary())})
+
+
+def _cuts(sorted_values: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin, and the end."""
+    return np.flatnonzero(np.r_[True, sorted_values[1:] != sorted_values[:-1], True])
+
+
+def _packed(kind: int, shard: np.ndarray, *columns: np.ndarray):
+    """A row of packed columns for every shard."""
+    if len(shard) == 0:
+        return
+    order = np.argsort(shard, kind="stable")
+    shard, columns = shard[order], [c[order] for c in columns]
+    cuts = _cuts(shard)
+    yield from _rows(kind, shard[cuts[:-1]].tolist(), [b"".join(c[x:y].tobytes() for c in columns) for x, y in zip(cuts[:-1], cuts[1:])])
+
+
+def _unpacked(rows: list, types: tuple) -> list[np.ndarray]:
+    """The columns of packed rows."""
+    found: list[list] = [[np.zeros(0, t)] for t in types]
+    width = sum(np.dtype(t).itemsize for t in types)
+    for row in rows:
+        at = 0
+        for t, column in zip(types, found):
+            column.append(np.frombuffer(row, t, len(row) // width, at))
+            at += column[-1].nbytes
+    return [np.concatenate(column) for column in found]
+
+
+def _home(cls: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of a class."""
+    return (cls.view(np.uint64) % np.uint64(shards)).astype(np.int32)
+
+
 def _keys(shards: int):
     """A row for every document, and rows of packed keys by shard."""
-    schema = pa.schema(
-        [("doc_id", pa.int64()), ("cls", pa.int64()), ("n", pa.int64()), ("spare", pa.list_(pa.int32())), ("shard", pa.int32()), ("packed", pa.binary())]
-    )
 
-    def packed(keys: list, cls: list, seen: set):
+    def packed(keys: list, cls: list, needs: list):
         if not keys:
             return
-        key, owner = np.concatenate(keys), np.repeat(np.array(cls, np.int64), [len(k) for k in keys])
-        keys.clear(), cls.clear(), seen.clear()
-        shard = ((key.view(np.uint64) >> np.uint64(40)) % np.uint64(shards)).astype(np.int32)
-        order = np.argsort(shard, kind="stable")
-        key, owner, shard = key[order], owner[order], shard[order]
-        cuts = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1], True])
-        rows = [key[x:y].tobytes() + owner[x:y].tobytes() for x, y in zip(cuts[:-1], cuts[1:])]
-        none = pa.nulls(len(rows), pa.int64())
-        yield pa.RecordBatch.from_arrays(
-            [none, none, none, pa.nulls(len(rows), pa.list_(pa.int32())), pa.array(shard[cuts[:-1]]), pa.array(rows, pa.binary())], schema=schema
-        )
+        key, owner = np.concatenate(keys).view(np.uint64), np.repeat(np.array(cls, np.int64), [len(k) for k in keys])
+        need = np.array(needs, np.int64)
+        keys.clear(), cls.clear(), needs.clear()
+        # 48 bits of a key are enough within its shard: keys only propose pairs.
+        key, shard = key & ((np.uint64(1) << KEY_BITS) - np.uint64(1)), (mix(key) % np.uint64(shards)).astype(np.int32)
+        yield from _packed(1, shard, (key >> np.uint64(16)).astype("<u4"), key.astype("<u2"), owner)
+        name = need[:, 0].copy()
+        yield from _packed(3, _home(name, shards), name, need[:, 1].astype("<i4"), need[:, 2].astype("<i4"))
 
     def run(batches):
-        keys, cls, seen, held = [], [], set(), 0
+        keys, cls, needs, seen, held = [], [], [], set(), 0
         for batch in batches:
             ids, names, sizes, spare = batch.column(0).to_pylist(), [], [], []
             for i, s in _sets(batch):
@@ -157,52 +212,58 @@ def _keys(shards: int):
                     room += [level, len(found) - most]
                     if ids[i] is not None and (name, level) not in seen:
                         seen.add((name, level))
-                        keys.append(found), cls.append(name)
+                        keys.append(found), cls.append(name), needs.append((name, *room[-2:]))
                         held += len(found)
                 spare.append(room)
                 if held > 500_000:
-                    yield from packed(keys, cls, seen)
+                    yield from packed(keys, cls, needs)
+                    seen.clear()
                     held = 0
             n = len(ids)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(spare, pa.list_(pa.int32())), pa.array(np.arange(n) % shards, pa.int32()), pa.nulls(n, pa.binary())],
-                schema=schema,
-            )
-        yield from packed(keys, cls, seen)
+            columns = {"doc_id": batch.column(0).cast(pa.int64()), "cls": pa.array(names, pa.int64()), "n": pa.array(sizes, pa.int64()), "spare": pa.array(spare, pa.list_(pa.int32()))}
+            yield _made(_DEALT, 0, columns | {"shard": pa.array(np.arange(n) % shards, pa.int32())})
+        yield from packed(keys, cls, needs)
 
     return run
 
 
-_KEYS = "doc_id long, cls long, n long, spare array<int>, shard int, packed binary"
-# kind: 0 a document, 1 a pair (a, b) in a band, 2 a member cls of a hot key, 3 how many repeated keys of a band a task has seen of cls
-_FOUND = pa.schema(
-    [("kind", pa.int32()), ("doc_id", pa.int64()), ("cls", pa.int64()), ("n", pa.int64()), ("spare", pa.list_(pa.int32())), ("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64()), ("level", pa.int32())]
-)
-_FOUND_DDL = "kind int, doc_id long, cls long, n long, spare array<int>, a long, b long, key long, level int"
+def _split(batches, held: dict[int, list]):
+    """The batches' rows without packed columns; the packed ones are put into held, by kind."""
+    for batch in batches:
+        plain = batch.filter(batch.column("packed").is_null())
+        if len(plain):
+            yield plain
+        both = batch.filter(batch.column("packed").is_valid())
+        for kind, row in zip(both.column("kind").to_pylist(), both.column("packed").to_pylist()):
+            held.setdefault(kind, []).append(row)
 
 
-def _found(kind: int, **columns) -> pa.RecordBatch:
-    n = len(next(iter(columns.values())))
-    columns["kind"] = pa.array(np.full(n, kind, np.int32))
-    return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(n, f.type) for f in _FOUND], schema=_FOUND)
+def _bucket_names(start: np.ndarray, level: np.ndarray, members: np.ndarray) -> np.ndarray:
+    """64-bit names of buckets (sets of classes in a band); their members lie one after another."""
+    return np.add.reduceat(mix(members.view(np.uint64)), start) * _BLOCKS[0] + mix(level.astype(np.uint64) + _BLOCKS[1])
+
+
+def _gathered(start: np.ndarray, size: np.ndarray, members: np.ndarray) -> np.ndarray:
+    """The members of some buckets, one bucket after another."""
+    at = np.cumsum(size) - size
+    return members[np.repeat(start - at, size) + np.arange(size.sum())]
 
 
-def _buckets(small: int):
-    """The documents' rows as they are, and what the keys of one task's shards give."""
+def _buckets(small: int, shards: int):
+    """What the keys of one task's shard give: hot keys, dealt by the class they are of, and buckets of fewer classes, dealt by the least of them."""
 
     def run(batches):
-        keys, cls = [], []
-        for batch in batches:
-            docs = batch.filter(batch.column("packed").is_null())
-            if len(docs):
-                yield _found(0, **{c: docs.column(c) for c in ("doc_id", "cls", "n", "spare")})
-            for row in batch.column("packed").drop_null():
-                both = np.frombuffer(row.as_buffer(), np.int64)
-                keys.append(both[: len(both) // 2].copy()), cls.append(both[len(both) // 2 :].copy())
-        if not keys:
+        held: dict[int, list] = {}
+        yield from _split(batches, held)
+        for x in range(0, len(held.get(3, ())), 256):
+            name, level, need = _unpacked(held[3][x : x + 256], _SPARE)
+            yield from _packed(3, _home(name, shards), name, level, need)
+        high, low, owner = _unpacked(held.pop(1, []), _KEY)
+        held.clear()
+        if len(owner) == 0:
             return
-        key, owner = np.concatenate(keys), np.concatenate(cls)
-        del keys, cls
+        key = (high.astype(np.int64) << 16) | low
+        del high, low
         # Only keys met more than once matter.
         order = np.argsort(key)
         key, owner = key[order], owner[order]
@@ -215,29 +276,122 @@ def _buckets(small: int):
             return
         new = np.r_[True, (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])]
         key, owner = key[new], owner[new]
-        start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        size = np.diff(np.r_[start, len(key)])
-        level = (key & 63).astype(np.int32)
-        order = np.lexsort((level, owner))
-        first = np.flatnonzero(np.r_[True, (owner[order][1:] != owner[order][:-1]) | (level[order][1:] != level[order][:-1])])
-        yield from _slices(3, cls=owner[order][first], level=level[order][first], a=np.diff(np.r_[first, len(key)]))
-        hot, least = np.repeat(size > small, size), np.repeat(owner[start], size)
-        found = [np.stack([least[hot], owner[hot], level[hot]], axis=1)]
-        for m in range(2, small + 1):
-            at = start[size == m]
-            rows = owner[at[:, None] + np.arange(m)]
-            found += [np.stack([rows[:, i], rows[:, j], level[at]], axis=1) for i in range(m) for j in range(i + 1, m)]
-        pairs = np.concatenate(found)
-        pairs = np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
-        yield from _slices(1, a=pairs[:, 0], b=pairs[:, 1], level=pairs[:, 2].astype(np.int32))
-        yield from _slices(2, cls=owner[hot], key=key[hot], level=level[hot])
+        cuts = _cuts(key)
+        start, size = cuts[:-1], np.diff(cuts)
+        hot = np.repeat(size > small, size)
+        yield from _packed(2, _home(owner[hot], shards), owner[hot], key[hot], np.repeat(owner[start], size)[hot])
+        some = (size > 1) & (size <= small)
+        if not some.any():
+            return
+        start, size = start[some], size[some]
+        level, members = (key[start] & 63).astype("<u1"), _gathered(start, size, owner)
+        start = np.cumsum(size) - size
+        _, at, times = np.unique(_bucket_names(start, level, members), return_index=True, return_counts=True)
+        home = _home(members[start[at]], shards)
+        order = np.argsort(home, kind="stable")
+        at, times, home = at[order], times[order].astype("<u4"), home[order]
+        cuts, rows = _cuts(home), []
+        for x, y in zip(cuts[:-1], cuts[1:]):
+            i = at[x:y]
+            parts = np.array([y - x], "<u4"), size[i].astype("<u4"), level[i], times[x:y], _gathered(start[i], size[i], members)
+            rows.append(b"".join(p.tobytes() for p in parts))
+        yield from _rows(1, home[cuts[:-1]].tolist(), rows)
+
+    return run
+
+
+# kind: 0 a document, 1 a pair (a, b) that shares n keys of a band that aren't hot, 2 a member cls of a hot key,
+# 3 that cls has n hot keys of a band and a partner must share a, 4 a pair of the least class of a hot key and another
+_FOUND = pa.schema(
+    [("kind", pa.int32()), ("doc_id", pa.int64()), ("cls", pa.int64()), ("n", pa.int64()), ("spare", pa.list_(pa.int32())), ("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64()), ("level", pa.int32())]
+)
+_FOUND_DDL = "kind int, doc_id long, cls long, n long, spare array<int>, a long, b long, key long, level int"
+
+
+def _classes():
+    """The documents' rows as they are, and what the classes of one task's shard have: hot keys, and pairs from the buckets they are the least of."""
+
+    def run(batches):
+        held: dict[int, list] = {}
+        for docs in _split(batches, held):
+            yield _made(_FOUND, 0, {c: docs.column(c) for c in ("doc_id", "cls", "n", "spare")})
+        yield from _hot_of(_unpacked(held.pop(2, []), _HOT), _unpacked(held.pop(3, []), _SPARE))
+        yield from _pairs_of(held.pop(1, []))
 
     return run
 
 
+def _hot_of(hot: list[np.ndarray], needs: list[np.ndarray]):
+    cls, key, least = hot
+    if len(cls) == 0:
+        return
+    level = (key & 63).astype(np.int32)
+    order = np.lexsort((key, level, cls))
+    cls, key, least, level = cls[order], key[order], least[order], level[order]
+    first = np.flatnonzero(np.r_[True, (cls[1:] != cls[:-1]) | (level[1:] != level[:-1])])
+    count = np.diff(np.r_[first, len(cls)])
+    # A class has two bands at most.
+    name, band, need = needs
+    order = np.lexsort((band, name))
+    name, band, need = name[order], band[order], need[order]
+    new = np.r_[True, (name[1:] != name[:-1]) | (band[1:] != band[:-1])]
+    name, band, need = name[new], band[new], need[new]
+    at = np.searchsorted(name, cls[first])
+    need = need[at + (band[at] != level[first])].astype(np.int64)
+    yield from _slices(3, cls=cls[first], level=level[first], n=count, a=need)
+    # A pair that no other key has shown shares `spare` hot keys of either class, so each may do without the last half of
+    # as many: two such halves don't hold all that is shared.
+    nth = np.arange(len(cls)) - np.repeat(first, count)
+    enough = np.repeat(count >= need, count)
+    kept = enough & (nth < np.repeat(count - (need - 1) // 2, count))
+    yield from _slices(2, cls=cls[kept], key=key[kept])
+    enough &= cls != least
+    star = np.unique(np.stack([least[enough], cls[enough], level[enough]], axis=1), axis=0)
+    yield from _slices(4, a=star[:, 0], b=star[:, 1], level=star[:, 2].astype(np.int32))
+
+
+def _pairs_of(rows: list):
+    """Pairs of the classes of each bucket, and how many keys show them; the buckets of a least class are taken together."""
+    found = [[np.zeros(0, t)] for t in ("<u4", "<u1", "<u4", "<i8")]
+    for row in rows:
+        n, at = int(np.frombuffer(row, "<u4", 1)[0]), 4
+        for t, column in zip(("<u4", "<u1", "<u4", "<i8"), found):
+            column.append(np.frombuffer(row, t, n if t != "<i8" else (len(row) - at) // 8, at))
+            at += column[-1].nbytes
+    rows.clear()
+    size, level, times, members = (np.concatenate(column) for column in found)
+    if len(size) == 0:
+        return
+    del found
+    size = size.astype(np.int64)
+    start = np.cumsum(size) - size
+    _, at, same = np.unique(_bucket_names(start, level, members), return_index=True, return_inverse=True)
+    times = np.bincount(same, weights=times).astype(np.int64)
+    order = np.argsort(members[start[at]], kind="stable")
+    at, times = at[order], times[order]
+    start, size, level = start[at], size[at], level[at]
+    made = np.cumsum(size * (size - 1) // 2)
+    x = 0
+    while x < len(size):
+        y = max(x + 1, int(np.searchsorted(made, (made[x - 1] if x else 0) + 500_000, side="right")))
+        a, b, band, shared = [], [], [], []
+        for m in np.unique(size[x:y]):
+            i = x + np.flatnonzero(size[x:y] == m)
+            classes = members[start[i][:, None] + np.arange(m)]
+            for j in range(m):
+                for k in range(j + 1, m):
+                    a.append(classes[:, j]), b.append(classes[:, k]), band.append(level[i]), shared.append(times[i])
+        a, b, band, shared = np.concatenate(a), np.concatenate(b), np.concatenate(band), np.concatenate(shared)
+        order = np.lexsort((band, b, a))
+        a, b, band, shared = a[order], b[order], band[order], shared[order]
+        first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (band[1:] != band[:-1])])
+        yield from _slices(1, a=a[first], b=b[first], level=band[first].astype(np.int32), n=np.add.reduceat(shared, first))
+        x = y
+
+
 def _slices(kind: int, **columns):
     for x in range(0, len(next(iter(columns.values()))), 50_000):
-        yield _found(kind, **{c: pa.array(np.ascontiguousarray(v[x : x + 50_000])) for c, v in columns.items()})
+        yield _made(_FOUND, kind, {c: pa.array(np.ascontiguousarray(v[x : x + 50_000])) for c, v in columns.items()})
 
 
 _SETS = pa.schema([("cls", pa.int64()), ("n", pa.int64()), ("hashes", pa.binary()), ("sketch", pa.binary())])
@@ -286,16 +440,54 @@ def _side(table: DataFrame, end: str) -> DataFrame:
 
 
 def _refuted_less(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
-    """The pairs (a, b) that sizes and bit sketches don't refute."""
+    """The pairs (a, b) that sizes and bit sketches don't refute, and how many shingles both have."""
     small = sets.select("cls", "n", "sketch")
     near = pairs.join(_side(small, "a"), "a").join(_side(small, "b"), "b").where("100 * least(n_a, n_b) >= 80 * greatest(n_a, n_b)")
-    return stage(near.where(_near_by_sketch("n_a", "n_b", "sketch_a", "sketch_b")).select("a", "b"), name)
+    near = near.where(_near_by_sketch("n_a", "n_b", "sketch_a", "sketch_b"))
+    return stage(near.select("a", "b", F.expr("n_a + n_b").alias("size")), name)
 
 
 def _verified(near: DataFrame, sets: DataFrame, name: str) -> DataFrame:
-    """The similar ones of some pairs; only the sets of their classes are shuffled."""
-    full = maybe_member(sets.select("cls", "hashes"), "cls", membership(near.select(F.explode(F.array("a", "b")).alias("cls")), "cls"))
-    return stage(near.join(_side(full, "a"), "a").join(_side(full, "b"), "b").where(_similar("hashes_a", "hashes_b")).select("a", "b"), name)
+    """The similar ones of some pairs (a, b, size); only the sets of their classes are shuffled.
+
+    Every pair brings two sets along, so the pairs are taken in steps that shuffle a part of what all sets hold.
+    """
+    size, held = (t.agg(F.sum(c)).first()[0] or 0 for t, c in ((near, "size"), (sets, "n")))
+    steps = max(1, -(-size // max(held // 3, STEP)))
+    found = []
+    for i in range(steps):
+        some = near.where(F.expr(f"pmod(xxhash64(b), {steps}) = {i}")).select("a", "b")
+        full = maybe_member(sets.select("cls", "hashes"), "cls", membership(some.select(F.explode(F.array("a", "b")).alias("cls")), "cls"))
+        found.append(stage(some.join(_side(full, "a"), "a").join(_side(full, "b"), "b").where(_similar("hashes_a", "hashes_b")).select("a", "b"), name))
+    return reduce(DataFrame.unionAll, found)
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, parts: DataFrame | None = None) -> DataFrame:
+    """(id, component) of the classes that the similar ones of some pairs join, or parts joined further.
+
+    While there are many pairs, one of each class is verified at a time, and those that this leaves within a component
+    need no look.
+    """
+
+    def joined(some: DataFrame) -> DataFrame:
+        links = _verified(_refuted_less(some, sets, "parity-near"), sets, "parity-links")
+        if parts is None:
+            return stage(components(links), "parity-parts")
+        known = parts.select(F.col("id").alias("a"), F.col("component").alias("b"))
+        return parts if links.isEmpty() else stage(components(links.unionAll(known)), "parity-parts")
+
+    left, most = pairs.count(), max(PAIRS, 2 * sets.count())
+    while left > most:
+        first = stage(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "parity-first")
+        parts = joined(first)
+        pairs = pairs.join(first, ["a", "b"], "left_anti")
+        for end in ("a", "b"):
+            pairs = pairs.join(parts.select(F.col("id").alias(end), F.col("component").alias(f"of_{end}")), end, "left")
+        pairs = stage(pairs.where("coalesce(of_a, a) != coalesce(of_b, b)").select("a", "b"), "parity-pairs")
+        was, left = left, pairs.count()
+        if 2 * left > was:
+            break
+    return joined(pairs)
 
 
 _NEAR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -327,16 +519,10 @@ def _near_of_blocks(batches):
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, i].copy()) for i in (0, 1)], schema=_NEAR)
 
 
-def _hot_pairs(hot: DataFrame, spare: DataFrame, parts: DataFrame, sets: DataFrame) -> DataFrame | None:
+def _hot_pairs(hot: DataFrame, parts: DataFrame, sets: DataFrame) -> DataFrame | None:
     """Pairs (a, b) across components that only hot keys can show and that aren't refuted; None if all hot keys are settled."""
     of = parts.select(F.col("id").alias("cls"), "component")
-    bound = hot.groupBy("cls", "level").count().join(spare, ["cls", "level"]).where("count >= spare")
-    # A pair that no other key has shown shares `spare` hot keys of either class, so each may do without the last half of
-    # as many: two such halves don't hold all that is shared.
-    bound = bound.select("cls", "level", F.expr("count - (spare - 1) div 2").alias("kept"))
-    nth = F.row_number().over(Window.partitionBy("cls", "level").orderBy("key"))
-    placed = hot.join(bound, ["cls", "level"]).withColumn("nth", nth).where("nth <= kept")
-    placed = placed.join(of, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    placed = hot.join(of, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     placed = stage(placed.select("key", "cls", "component"), "parity-hot")
     mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("cls").alias("least")).where("x != y")
     stars = stage(placed.join(mixed.select("key", "least"), "key").select("cls", "least", "component").distinct(), "parity-stars")
@@ -355,12 +541,17 @@ def _hot_pairs(hot: DataFrame, spare: DataFrame, parts: DataFrame, sets: DataFra
         .agg(F.collect_list(F.struct("cls", "component", "n", "sketch")).alias("block")),
         "parity-blocks",
     )
-    other = blocks.select("family", F.col("own").alias("own_y"), F.col("part").alias("part_y"), F.col("block").alias("y"))
+    # About ROW blocks of a family are together in a row, and every block is sent to each row; pairs of blocks aren't shuffled.
+    counts = blocks.groupBy("family").agg(F.ceil(F.count("*") / ROW).alias("rows"))
+    counted = blocks.join(counts, "family")
+    each = counted.withColumn("row", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)))
+    each = each.select("family", "row", F.col("own").alias("own_y"), F.col("part").alias("part_y"), F.col("block").alias("y"))
+    own = counted.withColumn("row", F.expr("pmod(xxhash64(own, part), rows)")).select("family", "row", "own", "part", F.col("block").alias("x"))
     rank = "struct(coalesce(own, bigint(-1)), own IS NULL, part)"
-    met = blocks.withColumnRenamed("block", "x").join(other, "family").where(
+    met = each.join(own.hint("merge"), ["family", "row"]).where(
         f"{rank} <= struct(coalesce(own_y, bigint(-1)), own_y IS NULL, part_y) AND NOT coalesce(own = own_y, false)"
     )
-    return met.select("x", "y").repartition(partitions(hot.sparkSession)).mapInArrow(_near_of_blocks, "a long, b long").distinct()
+    return met.select("x", "y").mapInArrow(_near_of_blocks, "a long, b long").distinct()
 
 
 def similar_documents(docs: DataFrame, small: int = SMALL) -> DataFrame:
@@ -372,32 +563,34 @@ def similar_documents(docs: DataFrame, small: int = SMALL) -> DataFrame:
     bounded_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     shards = partitions(spark)
-    dealt = docs.mapInArrow(_keys(shards), _KEYS).repartitionById(shards, F.col("shard"))
-    found = stage(dealt.mapInArrow(_buckets(small), _FOUND_DDL), "parity-found")
+    dealt = docs.mapInArrow(_keys(shards), _DEALT_DDL).repartitionById(shards, F.col("shard"))
+    dealt = dealt.mapInArrow(_buckets(small, shards), _DEALT_DDL).repartitionById(shards, F.col("shard"))
+    found = stage(dealt.mapInArrow(_classes(), _FOUND_DDL), "parity-found")
     rows = found.where("kind = 0").select("doc_id", "cls", "n", "spare")
     classes = rows.where("n > 0 and doc_id is not null").groupBy("cls").agg(
         F.min("doc_id").alias("least_id"), F.first("n").alias("n"), F.first("spare").alias("spare")
     )
     each = F.expr("transform(sequence(0, size(spare) - 2, 2), i -> struct(spare[i] AS level, spare[i + 1] AS spare))")
-    repeated = found.where("kind = 3").groupBy("cls", "level").agg(F.sum("a").alias("keys"))
-    spare = repeated.join(classes.select("cls", F.explode(each).alias("s")).select("cls", "s.*"), ["cls", "level"])
-    spare = stage(spare.where("keys >= spare").select("cls", "level", "spare"), "parity-able")
-    able = lambda e: spare.select(F.col("cls").alias(e), "level")
-    pairs = found.where("kind = 1").select("a", "b", "level").distinct().join(able("a"), ["a", "level"]).join(able("b"), ["b", "level"])
-    pairs = stage(pairs.select("a", "b").distinct(), "parity-pairs")
-    hot = found.where("kind = 2").select("cls", "key", "level").join(able("cls"), ["cls", "level"])
-    known = stage(classes.join(spare.select("cls").distinct(), "cls", "left_semi"), "parity-classes")
+    hot_keys = found.where("kind = 3").select("cls", "level", F.col("n").alias("hot"), F.col("a").alias("spare"))
+    need = classes.select("cls", F.explode(each).alias("s")).select("cls", "s.*").join(hot_keys.drop("spare"), ["cls", "level"], "left")
+    need = stage(need.select("cls", "level", F.expr("spare - coalesce(hot, 0)").alias("need")), "parity-need")
+    pairs = found.where("kind = 1").groupBy("a", "b", "level").agg(F.sum("n").alias("shared"))
+    for end in ("a", "b"):
+        pairs = pairs.join(need.select(F.col("cls").alias(end), "level", "need"), [end, "level"]).where("shared >= need").drop("need")
+    strong = hot_keys.where("hot >= spare").select(F.col("cls").alias("a"), "level")
+    stars = found.where("kind = 4").select("a", "b", "level").join(strong, ["a", "level"])
+    pairs = stage(pairs.select("a", "b").unionAll(stars.select("a", "b")).distinct(), "parity-pairs")
+    hot = found.where("kind = 2").select("cls", "key")
+    met = pairs.select(F.explode(F.array("a", "b")).alias("cls")).unionAll(hot.select("cls")).distinct()
+    known = stage(classes.join(met, "cls", "left_semi"), "parity-classes")
     wanted = known.select("cls", F.col("least_id").alias("doc_id"))
     texts = maybe_member(docs, "doc_id", membership(wanted, "doc_id"))
     matched = texts.join(wanted.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "cls")
     sets = stage(matched.mapInArrow(_candidate_sets, "cls long, n long, hashes binary, sketch binary"), "parity-sets")
-    links = _verified(_refuted_less(pairs, sets, "parity-near"), sets, "parity-links")
-    parts = stage(components(links), "parity-parts")
-    last = _hot_pairs(hot, spare, parts, sets)
+    parts = _linked(pairs, sets)
+    last = _hot_pairs(hot, parts, sets)
     if last is not None:
-        links = _verified(stage(last.join(pairs, ["a", "b"], "left_anti"), "parity-near2"), sets, "parity-links2")
-        if not links.isEmpty():
-            parts = stage(components(links.unionAll(parts.select(F.col("id").alias("a"), F.col("component").alias("b")))), "parity-parts2")
+        parts = _linked(stage(last.join(pairs, ["a", "b"], "left_anti"), "parity-near2"), sets, parts)
     grouped = classes.join(parts.withColumnRenamed("id", "cls"), "cls", "left").select("cls", F.coalesce("component", "cls").alias("name"), "least_id")
     least = grouped.groupBy("name").agg(F.min("least_id").alias("component_id"))
     named = grouped.join(least, "name").select("cls", "component_id")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -14,11 +15,24 @@ from tunekit.functions.arrays import quoted
 from tunekit.sources.shared import bounded_batches, work_dir
 
 
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """What is run in here leaves no shuffle files behind; else they stay until the driver happens to collect its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the cluster's shared folder and read it again: later steps start from files, not from lineage."""
     spark = df.sparkSession
     path = work_dir(spark, name)
-    df.write.parquet(path)
+    with shuffles_freed(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -65,12 +79,13 @@ def membership(df: DataFrame, column: str, probes: int = 2) -> np.ndarray:
 
 def fold_slots(df: DataFrame, slots: list) -> np.ndarray:
     """A bit for every slot number (below FILTER_BITS) that some row has, as 64-bit words."""
-    words = (
-        df.select(F.explode(F.array(*slots)).alias("slot"))
-        .groupBy(F.shiftright("slot", 6).alias("word"))
-        .agg(F.expr("bit_or(shiftleft(1L, cast(slot % 64 AS int)))").alias("bits"))
-        .toPandas()
-    )
+    with shuffles_freed(df.sparkSession):
+        words = (
+            df.select(F.explode(F.array(*slots)).alias("slot"))
+            .groupBy(F.shiftright("slot", 6).alias("word"))
+            .agg(F.expr("bit_or(shiftleft(1L, cast(slot % 64 AS int)))").alias("bits"))
+            .toPandas()
+        )
     out = np.zeros(FILTER_BITS // 64, dtype=np.int64)
     out[words["word"].to_numpy(dtype=np.int64)] = words["bits"].to_numpy(dtype=np.int64)
     return out
@@ -115,4 +130,5 @@ def _stars(edges: DataFrame) -> bool:
     """Whether every u has one edge and no u is a v."""
     ends = edges.select(F.col("u").alias("id"), F.lit(1).alias("out"), F.lit(0).alias("into"))
     ends = ends.unionAll(edges.select("v", F.lit(0), F.lit(1)))
-    return ends.groupBy("id").agg(F.sum("out").alias("out"), F.max("into").alias("into")).where("out > 1 OR (out = 1 AND into = 1)").isEmpty()
+    with shuffles_freed(edges.sparkSession):
+        return ends.groupBy("id").agg(F.sum("out").alias("out"), F.max("into").alias("into")).where("out > 1 OR (out = 1 AND into = 1)").isEmpty()
